@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -173,30 +174,25 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     Null texts and texts without a letter are ``und`` with score 0, as is everything if there is no model.
     """
     base = docs.drop("lang_pred", "score")
-    text, ready = common.fresh("text_", base.columns), model is not None and len(model.names) > 0
-    if not ready:
+    if model is None or not model.names:
         return base.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+    letter, place = common.fresh("has_letter", base.columns), base.columns.index("text")
 
-    @F.pandas_udf("lang_pred string, score double")
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(model)
         for batch in batches:
-            texts, langs, probs = common.utf8(batch), [], []
+            texts = batch.column(place).cast(pa.binary()).fill_null(b"").to_pylist()
+            langs, probs = [], []
             for _, pack in common.packs(texts, 1 << 17):
                 a, b = predictor.predict(pack)
                 langs += a
-                probs.append(b)
-            yield pd.DataFrame({"lang_pred": langs, "score": np.concatenate(probs) if probs else np.zeros(0)})
-
-    run = run.asNondeterministic()  # one evaluation for both fields
-    out = base.withColumn(text, run(F.coalesce(F.col("text"), F.lit(""))))
-    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return out.withColumns({
-        "lang_pred": F.when(letter, F.col(text)["lang_pred"]).otherwise(UNKNOWN),
-        "score": F.when(letter, F.col(text)["score"]).otherwise(0.0),
-    }).drop(text)
+                probs += b.tolist()
+            known = batch.column(batch.num_columns - 1).to_pylist()
+            made = [pa.array([x if k else UNKNOWN for x, k in zip(langs, known)], pa.string()), pa.array([x if k else 0.0 for x, k in zip(probs, known)], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], "lang_pred", "score"])
+
+    schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return base.withColumn(letter, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, schema)
 
 
 def learnt(docs: DataFrame, usable: Column) -> Model | None:
