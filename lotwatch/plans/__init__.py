@@ -1,9 +1,19 @@
 """Queries over the driver tables, by name, each with the DuckDB SQL that states the same result."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql() -> dict:
-    return {}
+from . import documents, names, risk
+
+_MODULES = (risk, documents, names)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for m in _MODULES for k, (f, _) in m.PLANS.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: sql for m in _MODULES for k, (_, sql) in m.PLANS.items() if sql}
