@@ -17,7 +17,7 @@ def write_snapshot(df: DataFrame, root: str, version: str) -> None:
     """A new version beside the old ones; readers see it once the pointer names it."""
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{root}/v={version}")
-    (new, fs), (final, _) = _path(spark, f"{root}/_current.new"), _path(spark, f"{root}/_current")
+    (new, fs), (final, _) = _path(spark, f"{root}/current.new"), _path(spark, f"{root}/current")
     out = fs.create(new, True)
     out.write(bytearray(version.encode()))
     out.close()
@@ -27,8 +27,8 @@ def write_snapshot(df: DataFrame, root: str, version: str) -> None:
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
-    p, fs = _path(spark, f"{root}/_current")
-    return spark.read.text(f"{root}/_current").first()[0] if fs.exists(p) else None
+    p, fs = _path(spark, f"{root}/current")
+    return spark.read.text(f"{root}/current").first()[0] if fs.exists(p) else None
 
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
