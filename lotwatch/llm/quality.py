@@ -41,7 +41,8 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     start, end, word = _HASHER.words(data)
     again = np.zeros(len(word), bool)
     again[1:] = word[1:] == word[:-1]
-    again[np.searchsorted(start, begin[:-1])[np.searchsorted(start, begin[:-1]) < len(start)]] = False
+    first = np.searchsorted(start, begin[:-1])
+    again[first[first < len(start)]] = False
     top = np.uint64(64 - (BUCKETS.bit_length() - 1))
     ids, places = [], []
     with np.errstate(over="ignore"):
@@ -51,7 +52,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         ids.append(np.full(int(again.sum()), int(pair >> top), np.int32))
         places.append(start[again])
         for n in GRAMS:
-            size = len(data) - n + 1
+            size = max(0, len(data) - n + 1)
             code = np.zeros(size, np.uint64)
             inner = np.ones(size, bool)
             for j in range(n):
@@ -61,7 +62,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             inner &= ~(space[:size] & space[n - 1 : n - 1 + size])
             at = np.flatnonzero(inner)
             ids.append((((code[at] + np.uint64(n)) * common.PRIME) >> top).astype(np.int32))
-            places.append(at + (space[at] & True))
+            places.append(at + space[at])
     place = np.concatenate(places)
     owner = np.searchsorted(begin, place, side="right") - 1
     order = np.argsort(owner, kind="stable")
