@@ -110,7 +110,7 @@ def splitters(rows: DataFrame, shards: int) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def shard_of(bounds: list[tuple[int, int]]) -> Column:
+def shard_of(bounds: list[tuple[int, int]], key_col: str = "key", key2_col: str = "key2") -> Column:
     """The number of splitters that don't exceed the row's keys, by halving the list in nested conditions."""
 
     def pick(lo: int, hi: int) -> Column:
@@ -118,7 +118,8 @@ def shard_of(bounds: list[tuple[int, int]]) -> Column:
             return F.lit(lo)
         mid = (lo + hi) // 2
         key, key2 = bounds[mid]
-        over = F.col("key") >= F.lit(key) if key2 == 0 else (F.col("key") > F.lit(key)) | ((F.col("key") == F.lit(key)) & (F.col("key2") >= F.lit(key2)))
+        first, second = F.col(key_col), F.col(key2_col)
+        over = first >= F.lit(key) if key2 == 0 else (first > F.lit(key)) | ((first == F.lit(key)) & (second >= F.lit(key2)))
         return F.when(over, pick(mid + 1, hi)).otherwise(pick(lo, mid))
 
     return pick(0, len(bounds))
@@ -136,24 +137,23 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     made = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     base = docs.drop(*[c for c in docs.columns if c.lower() in made and c not in (id_col, text_col)])
     carried = [c for c in base.columns if payload or c == id_col]
-    tmp = {n: common.fresh(f"{n}_", base.columns) for n in ("key", "key2", "part")}
+    key, key2, part, before = (common.fresh(n, base.columns) for n in ("shard_key", "shard_key2", "shard_part", "shard_before"))
     measures = keyed(base, id_col, text_col)
     rows = common.written(base.select(*[c.alias(n) for n, c in measures.items()]), "shard-keys")
     bounds = splitters(rows, shards)
-    number = shard_of(bounds)
     n_rows = rows.count()
     parts = max(8, -(-n_rows // (shards * SLOT_ROWS)))
-    part = F.pmod(F.xxhash64("key2", F.lit(5)), F.lit(parts)).cast("int")
+    part_of = lambda c: F.pmod(F.xxhash64(c, F.lit(5)), F.lit(parts)).cast("int")
     # Offsets of a shard's parts: one small row for each part.
-    counts = rows.select(number.alias("shard"), part.alias("part")).groupBy("shard", "part").count()
-    offset = counts.selectExpr("shard", "part as part_", "sum(count) over (partition by shard order by part) - count as before_")
-    offset = common.written(offset.withColumnsRenamed({"part_": tmp["part"], "before_": tmp["key"]}), "shard-offsets")
-    placed = base.select(*carried, *[c.alias(n) for n, c in measures.items()])
-    placed = placed.withColumns({"shard": number, tmp["part"]: part})
-    order = f"row_number() over (partition by shard, {tmp['part']} order by key, key2)"
-    numbered = placed.withColumn("slot", F.expr(order).cast("long"))
-    numbered = numbered.join(F.broadcast(offset) if parts * shards <= 100_000 else offset, ["shard", tmp["part"]])
+    counts = rows.select(shard_of(bounds).alias("shard"), part_of("key2").alias("part")).groupBy("shard", "part").count()
+    offset = counts.selectExpr("shard", f"part as {part}", f"sum(count) over (partition by shard order by part) - count as {before}")
+    offset = common.written(offset, "shard-offsets")
+    named = {"key": key, "key2": key2}
+    placed = base.select(*carried, *[c.alias(named.get(n, n)) for n, c in measures.items()])
+    placed = placed.withColumns({"shard": shard_of(bounds, key, key2), part: part_of(key2)})
+    numbered = placed.withColumn("slot", F.expr(f"row_number() over (partition by shard, {part} order by {key}, {key2})").cast("long"))
+    numbered = numbered.join(F.broadcast(offset) if parts * shards <= 100_000 else offset, ["shard", part])
     return numbered.select(
         *carried, "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-        (F.col("slot") - 1 + F.col(tmp["key"])).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        (F.col("slot") - 1 + F.col(before)).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
