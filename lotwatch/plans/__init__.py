@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, names, risk
+from . import documents, names, risk, streams
 
-_MODULES = (risk, documents, names)
+_MODULES = (risk, documents, names, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
