@@ -23,7 +23,7 @@ from . import common
 WINDOW, DIM, FILTERS, WIDTHS = 192, 8, 16, (2, 4)
 EPOCHS, BATCH, RATE = 10, 32, 0.15
 #: Labelled rows of each language to learn from, at most; windows taken of each; longest text among them in bytes.
-SAMPLE_ROWS, SAMPLE_WINDOWS, SAMPLE_BYTES = 600, 3, 65536
+SAMPLE_ROWS, SAMPLE_WINDOWS, SAMPLE_BYTES = 600, 3, 16384
 UNKNOWN = "und"
 
 #: Letters are lower-cased where they are single bytes; other ASCII is white space. Bytes from 128 stay.

@@ -20,7 +20,7 @@ from . import common
 BUCKETS = 1 << 18
 DIM, EPOCHS, RATE = 8, 6, 4.0
 #: Labelled rows to learn from, at most, and the longest text (bytes) among them. Only training is bounded so.
-SAMPLE_ROWS, SAMPLE_BYTES = 4000, 65536
+SAMPLE_ROWS, SAMPLE_BYTES = 4000, 32768
 GRAMS = (2, 3, 4)
 _HASHER: common.WordHasher | None = None
 
