@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from datetime import datetime
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_name
+from ..storage import written
 from .signals import resolve_for_merge, stable_id
 
 THRESHOLD = 92.0
@@ -88,26 +90,42 @@ def _scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame
 
 
-def _blocks(keys: DataFrame, key: str) -> DataFrame:
-    """A row for each block of a key: its words and the character pairs of its sorted words.
+def _words(keys: DataFrame, key: str) -> DataFrame:
+    return keys.select(key, F.explode(F.array_distinct(F.split(key, " "))).alias("block"))
 
-    Two keys at 92 or more without a common word differ in so few characters that a pair survives.
-    """
-    words = F.array_sort(F.array_distinct(F.split(key, " ")))
-    line = F.array_join(words, " ")
-    pairs = F.when(F.length(line) >= 2, F.transform(F.sequence(F.lit(1), F.length(line) - 1), lambda i: F.concat(F.lit("~"), F.substring(line, i, F.lit(2))))).otherwise(F.array(F.concat(F.lit("~"), line)))
-    return keys.withColumn("block", F.explode(F.array_distinct(F.concat(words, pairs))))
+
+def _grams(keys: DataFrame, key: str) -> DataFrame:
+    """Character pairs of each word with marked ends: they don't depend on the words' order."""
+    ends = F.transform(F.split(key, " "), lambda w: F.concat(F.lit("^"), w, F.lit("$")))
+    pairs = F.flatten(F.transform(ends, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))))
+    return keys.select(key, F.explode(F.array_distinct(pairs)).alias("block"))
+
+
+def _rarest(rows: DataFrame, counts: DataFrame, key: str, limit) -> DataFrame:
+    """The first ``limit`` blocks of each key in the order of their frequency."""
+    ranked = rows.join(counts, "block").withColumn("_rank", F.expr(f"row_number() over (partition by {key} order by n, block)"))
+    return ranked.where(F.col("_rank") <= limit).select(key, "block")
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, score) of normalized keys (columns a and b) with a score of at least ``threshold``.
 
-    Pairs that share no word must be of nearly equal length, so character blocks are joined with a length test.
+    Candidates are found through rare blocks only, and none is lost. A pair scores in one of two ways.
+    Its joined strings differ by at most a share of their length: then so few character pairs differ
+    that the rarest ones of both sides, in one order, must meet. Or one side's shared words make up
+    nearly all of it: then one of its rarest words is the other's.
     """
+    share = (100 - threshold) / 100
     a, b = left.select("a").where("a != ''").distinct(), right.select("b").where("b != ''").distinct()
-    ratio = threshold / (200 - threshold)
-    near = F.least(F.length("a"), F.length("b")) >= ratio * F.greatest(F.length("a"), F.length("b")) - 1
-    joined = _blocks(a, "a").join(_blocks(b, "b"), "block").where(near | ~F.startswith("block", F.lit("~"))).select("a", "b").distinct()
+    keys = a.select(F.col("a").alias("k")).union(b).distinct()
+    words, grams = (f(keys, "k").groupBy("block").agg(F.count("*").alias("n")) for f in (_words, _grams))
+    few = lambda k: F.floor(F.length(k) * 2 * share / (1 + share) / 2 + 1e-6) + 1
+    edits = lambda k: 2 * F.floor(F.length(k) * 2 * share / (1 - share) + 1e-6) + 1
+    found = [
+        _rarest(_words(a, "a"), words, "a", few("a")).join(_words(b, "b"), "block"), _words(a, "a").join(_rarest(_words(b, "b"), words, "b", few("b")), "block"),
+        _rarest(_grams(a, "a"), grams, "a", edits("a")).join(_rarest(_grams(b, "b"), grams, "b", edits("b")), "block").where(F.least(F.length("a"), F.length("b")) * (1 + share) + 1e-6 >= F.greatest(F.length("a"), F.length("b")) * (1 - share) - 2),
+    ]
+    joined = reduce(DataFrame.union, [f.select("a", "b") for f in found]).distinct()
     return joined.where(may_reach(threshold)).mapInPandas(_scored, "a string, b string, score double").where(F.col("score") >= threshold)
 
 
@@ -255,17 +273,15 @@ def cluster_names(names: DataFrame, overrides: DataFrame, threshold: float = THR
     return grouped.groupBy("label").applyInPandas(_greedy(threshold), "raw string, canonical string")
 
 
-def component_labels(keys: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(key, label): the least key that each key reaches, by repeated minimum over neighbours and a jump to the label's label."""
-    spark = keys.sparkSession
-    both = edges.union(edges.select("b", "a")).distinct().checkpoint() if spark.sparkContext.getCheckpointDir() else edges.union(edges.select("b", "a")).distinct()
+def component_labels(keys: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """(key, label): the least key that each key reaches, by repeated minimum over neighbours. Each round is written to the shared folder."""
+    both = written(edges.union(edges.select("b", "a")).distinct(), "edges")
     label = keys.select("key", F.col("key").alias("label"))
     for _ in range(rounds):
         near = both.join(label.select(F.col("key").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         step = label.join(near, F.col("key") == F.col("a"), "left").select("key", F.least("label", F.coalesce("near", "label")).alias("label"), (F.coalesce("near", "label") < F.col("label")).alias("moved"))
-        step = step.checkpoint() if spark.sparkContext.getCheckpointDir() else step.cache()
-        done = step.where("moved").isEmpty()
+        step = written(step, "labels")
         label = step.select("key", "label")
-        if done:
+        if step.where("moved").isEmpty():
             return label
     raise RuntimeError(f"labels still change after {rounds} rounds")

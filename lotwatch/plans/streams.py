@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import scratch_path
 from ..streaming import jobs
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SEVERITY = {"error": "class_1", "purchase": "class_2", "click": "class_3"}
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all machines share: under spark.checkpoint.dir where the cluster names one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lotwatch-")
-    return f"{root.rstrip('/')}/streams/{uuid.uuid4().hex}"
-
-
 def events(spark: SparkSession, sf: str) -> DataFrame:
     """The events as a stream of files. A pattern is given because a stream's plain path must be a folder."""
     stream = spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).parquet(f"{sf}/[e]vents.parquet")
@@ -29,7 +21,7 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All rows of the stream as a batch table. In complete mode each batch replaces the one before."""
     spark = stream.sparkSession
-    root = scratch(spark)
+    root = scratch_path(spark, "stream")
 
     def keep(batch: DataFrame, number: int) -> None:
         # Numbered folders: a batch that is repeated after a failure replaces itself.
