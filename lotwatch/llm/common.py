@@ -1,4 +1,4 @@
-"""Helpers shared by the training-data operators: scratch tables, text packing, byte hashing.
+"""Helpers shared by the training-data operators: folds, text packing, byte hashing.
 
 Scratch tables go to the folder that the cluster names in ``spark.checkpoint.dir``: every
 executor and the driver can read it, and a lost executor loses nothing that was written there.
@@ -6,14 +6,14 @@ executor and the driver can read it, and a lost executor loses nothing that was
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import scratch_path, shared_dir, written  # noqa: F401
+
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 MIX1 = np.uint64(0xFF51AFD7ED558CCD)
 MIX2 = np.uint64(0xC4CEB9FE1A85EC53)
@@ -21,28 +21,6 @@ MIX2 = np.uint64(0xC4CEB9FE1A85EC53)
 PACK_BYTES = 1 << 19
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share; a new local one only where the session names none (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = getattr(spark, "_lotwatch_shared", None) or tempfile.mkdtemp(prefix="lotwatch-")
-        spark._lotwatch_shared = path
-    return path.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/lotwatch/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, computes side results once."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
