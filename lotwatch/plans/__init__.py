@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, names, risk, streams
+from . import documents, extra, names, risk, streams
 
-_MODULES = (risk, documents, names, streams)
+_MODULES = (risk, documents, names, extra, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
