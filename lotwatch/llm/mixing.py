@@ -38,9 +38,9 @@ def rates(docs: DataFrame, source_col: str, weights: dict[str, float] | None, si
         pairs = [x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]
         weight = F.coalesce(F.try_element_at(F.create_map(*pairs), F.coalesce(F.col("source"), F.lit(""))), F.lit(0.0)) if pairs else F.lit(0.0)
     counts = common.written(counts.withColumn("weight", weight), "source-weights")
-    total = counts.agg(F.sum("weight").alias("all_weight"), F.sum("n").alias("all_n"))  # one row
-    wanted = F.lit(float(size)) if size is not None else F.col("all_n")
-    return counts.crossJoin(F.broadcast(total)).select("source", "n", F.coalesce(F.try_divide(F.col("weight") * wanted, F.col("all_weight") * F.col("n")), F.lit(0.0)).alias("rate"))
+    all_weight, all_n = counts.agg(F.coalesce(F.sum("weight"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    rate = F.try_divide(F.col("weight") * F.lit(float(all_n if size is None else size)), F.lit(float(all_weight)) * F.col("n"))
+    return counts.select("source", "n", F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
 def poisson(u: Column, mean: Column) -> Column:
