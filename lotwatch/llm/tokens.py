@@ -84,7 +84,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     texts = keyed.join(missing, ["content_digest", "pick"], "left_semi").select("content_digest", "text")
     new = texts.mapInArrow(_encoder(tokenizer_path), "content_digest string, n_tokens long")
     new.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache_path)
-    # An append that was repeated after a failure may have stored a key twice.
+    # An append that was repeated after a failure may have stored a key twice. The counts are written before the join:
+    # an aggregation in the join's own stage would keep Spark from splitting the partition of a text with very many copies.
     counts = read_cache(docs, cache_path).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
-    out = digests.join(counts, "content_digest")
+    out = digests.join(common.written(counts, "counts"), "content_digest")
     return out.select(F.col("row_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
