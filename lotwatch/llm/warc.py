@@ -27,6 +27,8 @@ from . import common
 
 #: Captures of one index block; bytes of an archive after which a task begins another.
 BLOCK_LINES, ARCHIVE_BYTES = 1000, 256 << 20
+#: Captures that one task reads back, about.
+TASK_CAPTURES = 20_000
 #: Neighbouring records are fetched by one read if no more than this many bytes lie between them.
 READ_GAP, READ_BYTES = 1 << 16, 4 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -267,8 +269,12 @@ def read_archives(spark: SparkSession, root: str, directory: DataFrame) -> DataF
     Blocks are read by the directory; their captures are brought into archive order, so that
     neighbouring records come by one range read. Digests of responses are computed from what was read.
     """
-    places = directory.repartition("shard", "offset").mapInPandas(_block_reader(root), "archive string, offset long, length long")
-    sorted_ = places.repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    # The rows that name places are small and what is read behind them isn't, so the tasks are counted by captures and
+    # not left to Spark, which would go by the rows' bytes.
+    blocks, lines = directory.agg(F.count("*"), F.coalesce(F.sum("lines"), F.lit(0))).first()
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    places = directory.repartition(max(least, blocks // 100), "shard", "offset").mapInPandas(_block_reader(root), "archive string, offset long, length long")
+    sorted_ = places.repartitionByRange(max(least, lines // TASK_CAPTURES), "archive", "offset").sortWithinPartitions("archive", "offset")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
     return sorted_.mapInPandas(_record_reader(root), schema)
 
