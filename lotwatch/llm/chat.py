@@ -17,16 +17,20 @@ from . import common
 OPEN, MIDDLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 
 
-def _turn_hash(n: Column, salt: int) -> Column:
-    """Hash of a turn with its number: xor over a prefix then depends on the order. Nulls differ from empty texts."""
-    return F.xxhash64(F.lit(salt), n, F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text"))
+def _content_hash(salt: int) -> Column:
+    """Hash of a turn's role and text; nulls differ from empty texts."""
+    return F.xxhash64(F.lit(salt), F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text"))
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
-    """(conv_id, n, last, h1, h2) for each turn: the hash pair of the first n turns, and whether they are all."""
-    order = "partition by conv_id order by turn nulls first, role nulls first, text nulls first"
-    numbered = turns.selectExpr("conv_id", "turn", "role", "text", f"row_number() over ({order}) as n", "count(*) over (partition by conv_id) as n_turns")
-    hashed = numbered.select("conv_id", "n", "n_turns", _turn_hash(F.col("n"), 1).alias("x1"), _turn_hash(F.col("n"), 2).alias("x2"))
+    """(conv_id, n, last, h1, h2) for each turn: the hash pair of the first n turns, and whether they are all.
+
+    Texts are hashed where they lie; only hashes are shuffled. With the turn's number in each hash, the xor over a
+    prefix depends on the order.
+    """
+    slim = turns.select("conv_id", "turn", _content_hash(1).alias("c1"), _content_hash(2).alias("c2"))
+    numbered = slim.selectExpr("*", "row_number() over (partition by conv_id order by turn nulls first, c1, c2) as n", "count(*) over (partition by conv_id) as n_turns")
+    hashed = numbered.select("conv_id", "n", "n_turns", F.xxhash64("n", "c1").alias("x1"), F.xxhash64("n", "c2").alias("x2"))
     run = "over (partition by conv_id order by n rows between unbounded preceding and current row)"
     return hashed.selectExpr("conv_id", "n", "n = n_turns as last", f"bit_xor(x1) {run} as h1", f"bit_xor(x2) {run} as h2")
 
@@ -46,8 +50,8 @@ def maximal(turns: DataFrame) -> DataFrame:
 def format_chats(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_copies, rendered) for each maximal conversation of ``turns`` (conv_id, turn, role, text).
 
-    Defined cases: rows without a conv_id take no part; a null turn sorts first, equal turns by role
-    and text; null roles and texts are rendered as empty but aren't equal to them; rows that repeat
+    Defined cases: rows without a conv_id take no part; a null turn sorts first, equal turns by the
+    hash of role and text in comparisons and by role and text when rendered; null roles and texts are rendered as empty but aren't equal to them; rows that repeat
     are turns of their own; an empty table gives an empty result; other columns are ignored. A
     conversation is one output row by its nature, so its turns meet in one task.
     """
