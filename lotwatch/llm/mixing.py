@@ -43,14 +43,17 @@ def rates(docs: DataFrame, source_col: str, weights: dict[str, float] | None, si
     return counts.select("source", "n", F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
-def poisson(u: Column, mean: Column) -> Column:
-    """The least k with u < P(X <= k), X Poisson with a mean of at most MEAN_STEP.
+def cumulative(mean: Column) -> Column:
+    """P(X <= 0), P(X <= 1), ... of a Poisson X with a mean of at most MEAN_STEP, as far as a double tells them from 1."""
+    start = F.struct(F.exp(-mean).alias("p"), F.array(F.exp(-mean)).alias("c"))
+    term = lambda a, i: a["p"] * mean / i
+    step = lambda a, i: F.struct(term(a, i).alias("p"), F.concat(a["c"], F.array(F.element_at(a["c"], -1) + term(a, i))).alias("c"))
+    return F.filter(F.aggregate(F.sequence(F.lit(1), F.lit(TERMS - 1)), start, step, lambda a: a["c"]), lambda c: c < 1)
 
-    State of the fold: (k found or -1, probability of the term, sum so far).
-    """
-    start = F.struct(F.lit(0).alias("k"), F.exp(-mean).alias("p"), F.exp(-mean).alias("c"))
-    step = lambda a, i: F.struct((a["k"] + F.when(u >= a["c"], 1).otherwise(0)).alias("k"), (a["p"] * mean / i).alias("p"), (a["c"] + a["p"] * mean / i).alias("c"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step, lambda a: a["k"])
+
+def poisson(u: Column, sums: Column) -> Column:
+    """The least k with u < P(X <= k): the inverse at u, given the cumulative probabilities."""
+    return F.size(F.filter(sums, lambda c: c <= u))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: int | None = None, temperature: float = TEMPERATURE, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -62,16 +65,16 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: int | No
     drops a source; an empty table gives an empty result; columns of the new names are replaced.
     """
     base = docs.drop("rate", "replica", "shuffle_key")
-    src, draws, count = (common.fresh(n, base.columns) for n in ("mix_source", "mix_draws", "mix_count"))
+    src, draws, count, sums = (common.fresh(n, base.columns) for n in ("mix_source", "mix_draws", "mix_count", "mix_sums"))
     by_source = common.written(rates(docs, source_col, weights, size, temperature), "rates")
     small = by_source.count() <= BROADCAST_SOURCES
-    by_source = by_source.select(F.col("source").alias(src), "rate")
+    # What depends on the source alone is computed once for each source.
+    times = F.greatest(F.lit(1), F.ceil(F.col("rate") / MEAN_STEP)).cast("int")
+    by_source = by_source.withColumn(draws, times).select(F.col("source").alias(src), "rate", draws, cumulative(F.col("rate") / F.col(draws)).alias(sums))
     joined = base.join(F.broadcast(by_source) if small else by_source, F.col(source_col).cast("string").eqNullSafe(F.col(src)))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    times = F.greatest(F.lit(1), F.ceil(F.col("rate") / MEAN_STEP)).cast("int")
-    drawn = F.aggregate(F.sequence(F.lit(1), F.col(draws)), F.lit(0), lambda a, i: a + poisson(uniform(F.lit(seed), key, i), F.col("rate") / F.col(draws)))
-    counted = joined.withColumn(draws, times).withColumn(count, drawn).where(F.col(count) > 0)
-    copies = counted.withColumn("replica", F.explode(F.sequence(F.lit(0), F.col(count) - 1)))
+    drawn = F.aggregate(F.sequence(F.lit(1), F.col(draws)), F.lit(0), lambda a, i: a + poisson(uniform(F.lit(seed), key, i), F.col(sums)))
+    copies = joined.withColumn(count, drawn).withColumn("replica", F.explode(F.when(F.col(count) > 0, F.sequence(F.lit(0), F.col(count) - 1))))
     shuffled = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(seed), key, F.col("replica").cast("string"), F.lit("order")).cast("binary")))
     return shuffled.repartition("shuffle_key").sortWithinPartitions("shuffle_key").select(*base.columns, "rate", "replica", "shuffle_key")
 
