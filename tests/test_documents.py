@@ -5,7 +5,6 @@ import random
 from datetime import date, datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from lotwatch.operators import documents as docs
 from lotwatch.operators import manufacturers as m
