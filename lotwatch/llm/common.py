@@ -93,7 +93,7 @@ class WordHasher:
 
     def words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, hash) of each maximal run of bytes that aren't white space."""
-        self._grow(len(data) + 1)
+        self._grow(max(len(data) + 1, 64))  # callers use the first powers whatever the length
         space = space_mask(data)
         edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
         start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
