@@ -30,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    return decontaminate.decontaminated(docs, common.table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminated(docs, common.table(spark, sf_dir, "benchmark"), find=decontaminate.overlaps)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

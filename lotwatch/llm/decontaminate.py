@@ -12,6 +12,8 @@ beyond that bound are seeds shuffled.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +28,11 @@ SPAN = 12
 MARGIN, PERCENT = 8, 75
 #: Items of fewer tokens than the span are matched whole; below this many they prove nothing and are left out.
 LEAST_TOKENS = 5
+#: Masks of the overlaps: every stretch with LEAST_EQUAL equal tokens that are PERCENT of it, wherever the others are, has all tokens of one.
+SEEDS = ("111011", "11001011", "11111", "101111")
+LEAST_EQUAL = 10
+#: A stretch that qualifies holds one of at most this many tokens (of a longer one, a half qualifies), so a hit is judged that far around.
+REACH = 25
 #: Benchmark seeds are broadcast up to this number (about 100 bytes each with their share of the item).
 BROADCAST_SEEDS = 200_000
 
@@ -92,6 +99,64 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     equal = F.size(F.filter(F.zip_with("own", "theirs", lambda a, b: a == b), lambda x: x))
     hits = hits.select("id", "k1", "k2", "item_id", "doc_start", (F.col("lo") + F.col("cut")).alias("item_start"), F.size("own").alias("n_overlap"), equal.alias("n_equal"), "item_n")
     sure = (F.lit(100) * F.col("n_equal") >= F.lit(percent) * F.col("n_overlap")) & (F.col("n_equal") >= F.least(F.lit(SPAN - 2), F.col("item_n")))
+    return best_of(hits, sure, id_col)
+
+
+def longest(same: Column, percent: int) -> Column:
+    """(i, n): the first of the longest stretches of a boolean array in which at least ``percent`` are true."""
+    up, down = (100 - percent) // math.gcd(percent, 100), percent // math.gcd(percent, 100)
+
+    # s: running sum; f: for each depth d the first place where the sum was at most -d.
+    def step(a: Column, x: Column) -> Column:
+        s, j = a["s"] + F.when(x, F.lit(up)).otherwise(F.lit(-down)), a["j"] + 1
+        start = F.when(s >= 0, F.lit(0)).when(-s < F.size(a["f"]), F.get(a["f"], -s)).otherwise(j)
+        return F.struct(
+            j.alias("j"), s.alias("s"), F.when(-s >= F.size(a["f"]), F.concat(a["f"], F.array_repeat(j, 1 - s - F.size(a["f"])))).otherwise(a["f"]).alias("f"),
+            F.when(j - start > a["n"], start).otherwise(a["i"]).alias("i"), F.greatest(a["n"], j - start).alias("n"),
+        )
+
+    zero = F.struct(F.lit(0).alias("j"), F.lit(0).alias("s"), F.array(F.lit(0)).alias("f"), F.lit(0).alias("i"), F.lit(0).alias("n"))
+    return F.aggregate(same, zero, step, lambda a: F.struct(a["i"].alias("i"), a["n"].alias("n")))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``contamination``, but whole: every aligned stretch with LEAST_EQUAL equal tokens that are PERCENT of it counts, wherever it lies in the item.
+
+    Items of fewer than LEAST_EQUAL tokens must occur whole and unchanged. The longest such stretch
+    within REACH tokens of a seed is reported, without unequal tokens at its ends.
+    """
+    items = common.written(benchmark_items(benchmark), "items")
+    short = [r[0] for r in items.select(F.size("tokens").alias("n")).where(F.col("n") < LEAST_EQUAL).distinct().orderBy("n").collect()]  # at most LEAST_EQUAL values
+    spaced = {n: (len(m), mask_offsets(m)) for n, m in enumerate(SEEDS)}
+    whole = {100 + n: (n, list(range(n))) for n in short}
+    own = [seeded(items.where(F.size("tokens") >= LEAST_EQUAL), spaced)] + [seeded(items.where(F.size("tokens") == n), {100 + n: whole[100 + n]}) for n in short]
+    probe = reduce(DataFrame.unionByName, own).withColumnRenamed("pos", "item_pos")
+    before = REACH - min(len(m) for m in SEEDS)
+    probe = probe.withColumn("lo", F.greatest(F.lit(0), F.col("item_pos") - before)).select("seed", "item_id", "item_pos", F.size("tokens").alias("item_n"), "lo", F.slice("tokens", F.col("lo") + 1, F.col("item_pos") + REACH - F.col("lo")).alias("part"))
+    probe = common.written(probe, "seeds")
+    small = probe.count() <= BROADCAST_SEEDS
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("k1"), F.xxhash64(F.lit(1), F.col(text_col)).alias("k2"), token_hashes(F.col(text_col)).alias("tokens"))
+    hits = seeded(base, spaced | whole).join(F.broadcast(probe) if small else probe, "seed")
+    # Align the item with the document at the hit; what hangs over either end of the document is cut.
+    shift = F.col("pos") - F.col("item_pos")
+    hits = hits.withColumn("cut", F.greatest(F.lit(0), -(F.col("lo") + shift))).withColumn("from", F.col("lo") + shift + F.col("cut"))
+    hits = hits.withColumn("theirs", F.slice("part", F.col("cut") + 1, F.size("part") - F.col("cut")))
+    hits = hits.withColumn("own", F.slice("tokens", F.col("from") + 1, F.size("theirs")))
+    same = F.zip_with("own", F.slice("theirs", 1, F.size("own")), lambda a, b: a == b)
+    hits = hits.select("id", "k1", "k2", "item_id", "from", (F.col("lo") + F.col("cut")).alias("item_from"), F.least(F.lit(LEAST_EQUAL), F.col("item_n")).alias("least"), same.alias("same"))
+    # Chance hits have too few equal tokens in all and need no search.
+    found = F.when(F.size(F.filter("same", lambda x: x)) >= F.col("least"), longest(F.col("same"), PERCENT))
+    hits = hits.withColumn("found", found).withColumn("part", F.slice("same", F.col("found.i") + 1, F.col("found.n")))
+    lead, back = F.array_position("part", True).cast("int") - 1, F.array_position(F.reverse("part"), True).cast("int") - 1
+    hits = hits.select(
+        "id", "k1", "k2", "item_id", (F.col("from") + F.col("found.i") + lead).alias("doc_start"), (F.col("item_from") + F.col("found.i") + lead).alias("item_start"),
+        (F.size("part") - lead - back).alias("n_overlap"), F.size(F.filter("part", lambda x: x)).alias("n_equal"), "least",
+    )
+    sure = F.coalesce(F.col("n_equal") >= F.col("least"), F.lit(False))
+    return best_of(hits, sure, id_col)
+
+
+def best_of(hits: DataFrame, sure: Column, id_col: str) -> DataFrame:
     # The test is part of the maximum and not a filter: a filter would move into the join's condition, and rows with
     # all of a document's tokens would be built before it, one for each place.
     best = F.max(F.struct(sure.alias("sure"), "n_equal", (-F.col("n_overlap")).alias("o"), (-F.col("doc_start")).alias("d"), (-F.col("item_start")).alias("i"))).alias("b")
@@ -102,10 +167,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold a confirmed overlap, all columns kept."""
+def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = contamination) -> DataFrame:
+    """``docs`` without the rows that hold an overlap confirmed by ``find``, all columns kept."""
     k1, k2 = common.fresh("k1", docs.columns), common.fresh("k2", docs.columns)
-    dirty = contamination(docs, benchmark, id_col, text_col).select(F.col("row_key.k1").alias(k1), F.col("row_key.k2").alias(k2)).distinct()
+    dirty = find(docs, benchmark, id_col, text_col).select(F.col("row_key.k1").alias(k1), F.col("row_key.k2").alias(k2)).distinct()
     dirty = common.written(dirty, "contaminated")
     keyed = docs.withColumns({k1: F.xxhash64(F.col(id_col), F.col(text_col)), k2: F.xxhash64(F.lit(1), F.col(text_col))})
     return keyed.join(dirty, [k1, k2], "left_anti").drop(k1, k2)

@@ -28,7 +28,7 @@ def op2_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "doc_start", "item_start", "n_overlap", "n_equal")
 
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -171,6 +172,68 @@ def test_decontamination_shuffled_seeds(spark, prose, monkeypatch):
     assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(df, bench).collect()] == [(1, 7)]
 
 
+def test_overlap_seeds_hit_every_placement():
+    """Any placement of the unequal tokens in the least stretches that qualify leaves all tokens of some mask."""
+    masks = [(len(m), sum(1 << o for o in decontaminate.mask_offsets(m))) for m in decontaminate.SEEDS]
+    for n, k in ((10, 0), (11, 1), (12, 2), (13, 3), (16, 4), (20, 5), (24, 6)):
+        placed = [mask << s for span, mask in masks for s in range(n - span + 1)]
+        assert all(any(not gaps & m for m in placed) for gaps in (sum(1 << i for i in c) for c in itertools.combinations(range(n), k))), (n, k)
+
+
+def aligned_overlaps(docs, items):
+    """Documents and items with a stretch on one diagonal that has 10 equal tokens, 75 % of it; items of fewer tokens occur whole. No seeds."""
+    split = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    found = {}
+    for d, text in docs:
+        a = split(text)
+        for i, item in items:
+            b = split(item)
+            for shift in range(1 - len(b), len(a)):
+                same = [a[shift + j] == b[j] for j in range(len(b)) if 0 <= shift + j < len(a)]
+                least = min(10, len(b))
+                if len(b) < 5 or sum(same) < least:
+                    continue
+                if len(b) < 10 or any(4 * sum(same[x:y]) >= 3 * (y - x) and sum(same[x:y]) >= 10 for x in range(len(same)) for y in range(x + 1, len(same) + 1)):
+                    found[d, i] = shift
+    return found
+
+
+def test_overlaps_by_alignment(spark, prose):
+    rng = random.Random(14)
+    items = [(i, prose(n, 700 + i)) for i, n in enumerate([4, 7, 9, 10, 11, 12, 15, 15, 18, 20, 38, 59])]
+    docs = []
+    for k in range(240):
+        passage = rng.choice(items[1:])[1].split()
+        if k % 3 == 1 and len(passage) > 13:  # a verbatim piece from inside
+            size = rng.randrange(8, min(22, len(passage)))
+            at = rng.randrange(len(passage) - size + 1)
+            passage = passage[at : at + size]
+        elif k % 3 == 2:  # up to 30 % substituted
+            for p in rng.sample(range(len(passage)), rng.randrange(len(passage) * 3 // 10 + 1)):
+                passage[p] = "swapped"
+        text = prose(rng.choice([0, 0, 3, 70]), k).split()
+        at = rng.randrange(len(text) + 1)
+        docs.append((k, " ".join(text[:at] + passage + text[at:])))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.overlaps(df, bench).collect()}
+    expect = aligned_overlaps(docs, items)
+    assert set(got) == set(expect) and 100 < len(got) < 240
+    for key, r in got.items():
+        a, b = docs[key[0]][1].split(), items[key[1]][1].split()
+        same = [x == y for x, y in zip(a[r["doc_start"] : r["doc_start"] + r["n_overlap"]], b[r["item_start"] : r["item_start"] + r["n_overlap"]])]
+        assert r["doc_start"] - r["item_start"] == expect[key] and same[0] and same[-1] and sum(same) == r["n_equal"] and 4 * sum(same) >= 3 * r["n_overlap"] == 3 * len(same)
+    left = {r["doc_id"] for r in decontaminate.decontaminated(df, bench, find=decontaminate.overlaps).collect()}
+    assert left == {k for k, _ in docs} - {d for d, _ in got}
+
+
+def test_overlaps_cases(spark, hard_docs, no_docs, prose, monkeypatch):
+    bench = spark.createDataFrame([(1, prose(120, 1)), (2, None), (3, ""), (None, prose(40, 3)), (4, "two words")], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.overlaps(hard_docs, bench).collect()} == {0, 1, 2, None}
+    assert decontaminate.overlaps(no_docs, bench).isEmpty() and decontaminate.overlaps(hard_docs, bench.limit(0)).isEmpty()
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
+    assert {r["doc_id"] for r in decontaminate.overlaps(hard_docs, bench).collect()} == {0, 1, 2, None}
+
+
 def test_decontamination_cases(spark, hard_docs, no_docs, prose):
     bench = spark.createDataFrame([(1, prose(120, 1)), (2, None), (3, ""), (None, prose(40, 3)), (4, "two words")], "item_id long, text string")
     assert {r["doc_id"] for r in decontaminate.contamination(hard_docs, bench).collect()} == {0, 1, 2, None}
