@@ -226,6 +226,13 @@ def test_overlaps_by_alignment(spark, prose):
     assert left == {k for k, _ in docs} - {d for d, _ in got}
 
 
+def test_overlaps_find_inner_pieces(spark, prose):
+    item = prose(59, 1).split()
+    docs = [(100 * size + at, f"{prose(30, 2)} {' '.join(item[at : at + size])} {prose(30, 3)}") for size in (12, 13, 14, 20) for at in range(59 - size + 1)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.overlaps(df, bench).collect()} == {d for d, _ in docs}
+
+
 def test_overlaps_cases(spark, hard_docs, no_docs, prose, monkeypatch):
     bench = spark.createDataFrame([(1, prose(120, 1)), (2, None), (3, ""), (None, prose(40, 3)), (4, "two words")], "item_id long, text string")
     assert {r["doc_id"] for r in decontaminate.overlaps(hard_docs, bench).collect()} == {0, 1, 2, None}
