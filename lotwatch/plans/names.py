@@ -51,7 +51,7 @@ def reconcile_counts(spark, sf):
 
 
 def match_fuzzy(spark, sf):
-    return m.match_fuzzy(b.raw_names(spark, sf).where("n % 2 = 1"), dimension(spark, sf))
+    return m.match_fuzzy(b.raw_names(spark, sf), dimension(spark, sf))
 
 
 def cluster_names(spark, sf):

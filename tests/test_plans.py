@@ -23,6 +23,20 @@ def test_plan(spark, sf_dir, con, name):
         assert got[0]
 
 
+def test_match_fuzzy_by_brute_force(spark, sf_dir):
+    from lotwatch.operators import manufacturers as m
+    from lotwatch.plans import names
+
+    raw = {r["raw"]: r["key"] for r in names.normalized_names(spark, sf_dir).collect()}
+    known = [(r["ordinal"], r["id"], r["canonical_name"]) for r in names.dimension(spark, sf_dir).collect()]
+    key = {r["raw"]: r["key"] for r in spark.createDataFrame([(c,) for _, _, c in known], "raw string").select("raw", names.text.normalize_name(names.F.col("raw")).alias("key")).collect()}
+    scored = {r: min((-m.token_set_ratio(k, key[c]), n, i, c) for n, i, c in known) for r, k in raw.items()}
+    expect = sorted((r, i, c, -score) for r, (score, _, i, c) in scored.items() if -score >= m.THRESHOLD)
+    assert sorted(map(tuple, names.match_fuzzy(spark, sf_dir).collect())) == expect
+    # Every supplier with an even number is in the dimension.
+    assert sum(score == 100 for *_, score in expect) >= len(known)
+
+
 def test_entry_points():
     import __spark_entry__ as entry
 
