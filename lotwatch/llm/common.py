@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import scratch_path, shared_dir, written  # noqa: F401
+from ..storage import release, scratch_path, shared_dir, written  # noqa: F401
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 MIX1 = np.uint64(0xFF51AFD7ED558CCD)

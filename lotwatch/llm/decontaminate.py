@@ -2,18 +2,18 @@
 
 A seed is a fixed mask over consecutive tokens; the tokens at its zeros are ignored, so a
 passage still shares seeds with its copy after some tokens were substituted. Seeds of all
-documents are joined to the benchmark's; around every hit the aligned tokens are compared, and
-the hit counts if enough of them agree.
+documents are joined to the benchmark's. A hit names a diagonal, a document and an item laid over
+each other at one shift; the diagonal's aligned tokens are compared, and its longest stretch in
+which enough tokens agree decides.
 
-The seeds of a document never leave its row's task: the benchmark's are broadcast when their
-measured number allows it, and the comparison happens on the joined row. Only with a benchmark
-beyond that bound are seeds shuffled.
+The benchmark's seeds are broadcast when their measured number allows it; then each hit is judged
+on its document's row and nothing of the documents moves. Beyond that bound seeds are shuffled
+without tokens, and tokens are joined back for the documents that were hit.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,17 +21,14 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Masks over 12 tokens; 1: the token counts. Fixed values of this library.
-MASKS = ("110110010111", "111010011011")
-SPAN = 12
-#: A hit is confirmed on this many tokens to each side of the seed, where this percentage must agree.
-MARGIN, PERCENT = 8, 75
-#: Items of fewer tokens than the span are matched whole; below this many they prove nothing and are left out.
-LEAST_TOKENS = 5
-#: Masks of the overlaps: every stretch with LEAST_EQUAL equal tokens that are PERCENT of it, wherever the others are, has all tokens of one.
+#: A stretch counts if this percentage of it is equal and it has so many equal tokens, or this percentage of its item's tokens if those are fewer.
+PERCENT, LEAST_EQUAL = 75, 10
+#: Masks (1: the token counts) of items of at least 13 tokens: every stretch with LEAST_EQUAL equal tokens that are PERCENT of it has all tokens of one.
 SEEDS = ("111011", "11001011", "11111", "101111")
-LEAST_EQUAL = 10
-#: A stretch that qualifies holds one of at most this many tokens (of a longer one, a half qualifies), so a hit is judged that far around.
+#: Masks of shorter items, by the least number of tokens: they hit every placement of the unequal tokens that PERCENT allows. Below 4 it allows none.
+SHORT_SEEDS = {1: ("1",), 2: ("11",), 3: ("111",), 4: ("111", "1101", "1011"), 6: ("1111", "11011"), 8: ("1111", "11101", "1010011"), 10: ("1111", "11101"), 12: ("1111", "11011")}
+LONG_ITEM = 13
+#: Every stretch that counts holds one of at most this many tokens (of a longer one, a half counts), so a broadcast seed is judged that far around.
 REACH = 25
 #: Benchmark seeds are broadcast up to this number (about 100 bytes each with their share of the item).
 BROADCAST_SEEDS = 200_000
@@ -47,59 +44,32 @@ def mask_offsets(mask: str) -> list[int]:
     return [i for i, c in enumerate(mask) if c == "1"]
 
 
-def seeded(rows: DataFrame, masks: dict[int, tuple[int, list[int]]]) -> DataFrame:
-    """``rows`` (with a column ``tokens``) once for each mask (number -> span, offsets) and place ``pos`` where it fits, with its ``seed``.
+def masks_of(n: int) -> tuple[str, ...]:
+    """The masks of an item of ``n`` tokens."""
+    return SEEDS if n >= LONG_ITEM else SHORT_SEEDS[max(k for k in SHORT_SEEDS if k <= n)]
+
+
+def least_equal(n: Column) -> Column:
+    """Equal tokens that a stretch of an item of ``n`` tokens needs."""
+    return F.least(F.lit(LEAST_EQUAL), F.ceil(n * F.lit(PERCENT) / 100).cast("int"))
+
+
+def seeded(rows: DataFrame, masks: tuple[str, ...]) -> DataFrame:
+    """``rows`` (with a column ``tokens``) once for each mask and place ``pos`` where it fits, with its ``seed``.
 
     The places are exploded first and the seeds hashed afterwards, so that both run in generated code.
     """
     n = F.size("tokens")
-    least = min(span for span, _ in masks.values())
+    least = min(map(len, masks))
     places = rows.withColumn("pos", F.explode(F.when(n >= least, F.sequence(F.lit(0), n - least))))
-    seed = lambda number, span, offsets: F.when(F.col("pos") + span <= n, F.xxhash64(F.lit(number), *[F.get("tokens", F.col("pos") + o) for o in offsets]))
-    return places.withColumn("seed", F.explode(F.array(*[seed(number, *m) for number, m in masks.items()]))).where("seed is not null")
+    seed = lambda mask: F.when(F.col("pos") + len(mask) <= n, F.xxhash64(F.lit(mask), *[F.get("tokens", F.col("pos") + o) for o in mask_offsets(mask)]))
+    return places.withColumn("seed", F.explode(F.array(*map(seed, masks)))).where("seed is not null")
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """(item_id, tokens): one row for items of equal tokens (the smallest id), without those too short."""
-    items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", token_hashes(F.col("text")).alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS)
-    return items.groupBy("tokens").agg(F.min("item_id").alias("item_id"))
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", margin: int = MARGIN, percent: int = PERCENT) -> DataFrame:
-    """(row_key, id, item_id, doc_start, item_start, n_overlap, n_equal): the best confirmed overlap of each document and item.
-
-    ``row_key`` is the hash pair of id and text. Defined cases: null or empty texts and items have
-    no tokens and never match; equal benchmark items are reported under the smallest id; rows that
-    repeat give one result; texts of any length are read whole.
-    """
-    items = common.written(benchmark_items(benchmark), "items")
-    short = [r[0] for r in items.select(F.size("tokens").alias("n")).where(F.col("n") < SPAN).distinct().orderBy("n").collect()]  # at most SPAN values
-    spaced = {n: (len(m), mask_offsets(m)) for n, m in enumerate(MASKS)}
-    whole = {100 + n: (n, list(range(n))) for n in short}
-    # A short item's own length is the only mask that covers it; the masks of other lengths would report parts of it.
-    own = [seeded(items.where(F.size("tokens") >= SPAN), spaced)] + [seeded(items.where(F.size("tokens") == n), {100 + n: whole[100 + n]}) for n in short]
-    exploded = reduce(DataFrame.unionByName, own).withColumnRenamed("pos", "item_pos")
-    masks = spaced | whole
-    probe = exploded.select(
-        "seed", "item_id", "item_pos", F.size("tokens").alias("item_n"),
-        F.greatest(F.lit(0), F.col("item_pos") - margin).alias("lo"),
-        F.least(F.size("tokens"), F.col("item_pos") + SPAN + margin).alias("hi"), "tokens",
-    ).withColumn("part", F.slice("tokens", F.col("lo") + 1, F.col("hi") - F.col("lo"))).drop("tokens")
-    probe = common.written(probe, "seeds")
-    small = probe.count() <= BROADCAST_SEEDS
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("k1"), F.xxhash64(F.lit(1), F.col(text_col)).alias("k2"), token_hashes(F.col(text_col)).alias("tokens"))
-    hits = seeded(base, masks).join(F.broadcast(probe) if small else probe, "seed")
-    # Align the item with the document at the hit; what hangs over either end of the document is cut.
-    shift = F.col("pos") - F.col("item_pos")
-    left = F.greatest(F.lit(0), -(F.col("lo") + shift))
-    hits = hits.withColumn("cut", left).withColumn("doc_start", F.col("lo") + shift + F.col("cut"))
-    hits = hits.withColumn("theirs", F.slice("part", F.col("cut") + 1, F.size("part") - F.col("cut")))
-    hits = hits.withColumn("own", F.slice("tokens", F.col("doc_start") + 1, F.size("theirs")))
-    hits = hits.withColumn("theirs", F.slice("theirs", 1, F.size("own")))
-    equal = F.size(F.filter(F.zip_with("own", "theirs", lambda a, b: a == b), lambda x: x))
-    hits = hits.select("id", "k1", "k2", "item_id", "doc_start", (F.col("lo") + F.col("cut")).alias("item_start"), F.size("own").alias("n_overlap"), equal.alias("n_equal"), "item_n")
-    sure = (F.lit(100) * F.col("n_equal") >= F.lit(percent) * F.col("n_overlap")) & (F.col("n_equal") >= F.least(F.lit(SPAN - 2), F.col("item_n")))
-    return best_of(hits, sure, id_col)
+    """(item, item_id, tokens): one row for items of equal tokens, with the smallest id; items without a token are left out."""
+    items = benchmark.select("item_id", token_hashes(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    return items.groupBy("tokens").agg(F.min("item_id").alias("item_id")).select(F.xxhash64("tokens").alias("item"), "item_id", "tokens")
 
 
 def longest(same: Column, percent: int) -> Column:
@@ -119,58 +89,104 @@ def longest(same: Column, percent: int) -> Column:
     return F.aggregate(same, zero, step, lambda a: F.struct(a["i"].alias("i"), a["n"].alias("n")))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As ``contamination``, but whole: every aligned stretch with LEAST_EQUAL equal tokens that are PERCENT of it counts, wherever it lies in the item.
+def row_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """The hash pair that names a document's row by its id and text."""
+    return F.xxhash64(F.col(id_col), F.col(text_col)), F.xxhash64(F.lit(1), F.col(text_col))
 
-    Items of fewer than LEAST_EQUAL tokens must occur whole and unchanged. The longest such stretch
-    within REACH tokens of a seed is reported, without unequal tokens at its ends.
-    """
-    items = common.written(benchmark_items(benchmark), "items")
-    short = [r[0] for r in items.select(F.size("tokens").alias("n")).where(F.col("n") < LEAST_EQUAL).distinct().orderBy("n").collect()]  # at most LEAST_EQUAL values
-    spaced = {n: (len(m), mask_offsets(m)) for n, m in enumerate(SEEDS)}
-    whole = {100 + n: (n, list(range(n))) for n in short}
-    own = [seeded(items.where(F.size("tokens") >= LEAST_EQUAL), spaced)] + [seeded(items.where(F.size("tokens") == n), {100 + n: whole[100 + n]}) for n in short]
-    probe = reduce(DataFrame.unionByName, own).withColumnRenamed("pos", "item_pos")
-    before = REACH - min(len(m) for m in SEEDS)
-    probe = probe.withColumn("lo", F.greatest(F.lit(0), F.col("item_pos") - before)).select("seed", "item_id", "item_pos", F.size("tokens").alias("item_n"), "lo", F.slice("tokens", F.col("lo") + 1, F.col("item_pos") + REACH - F.col("lo")).alias("part"))
-    probe = common.written(probe, "seeds")
-    small = probe.count() <= BROADCAST_SEEDS
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("k1"), F.xxhash64(F.lit(1), F.col(text_col)).alias("k2"), token_hashes(F.col(text_col)).alias("tokens"))
-    hits = seeded(base, spaced | whole).join(F.broadcast(probe) if small else probe, "seed")
+
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    k1, k2 = row_keys(id_col, text_col)
+    return docs.select(F.col(id_col).alias("id"), k1.alias("k1"), k2.alias("k2"), token_hashes(F.col(text_col)).alias("tokens"))
+
+
+def _near_hits(base: DataFrame, probe: DataFrame, masks: tuple[str, ...]) -> DataFrame:
+    """(id, k1, k2, item, shift) of the diagonals on which a stretch near a seed counts, with broadcast seeds."""
+    before = REACH - min(map(len, masks))
+    probe = probe.withColumn("lo", F.greatest(F.lit(0), F.col("item_pos") - before))
+    probe = probe.select("seed", "item", "item_pos", least_equal(F.size("tokens")).alias("least"), "lo", F.slice("tokens", F.col("lo") + 1, F.col("item_pos") + REACH - F.col("lo")).alias("part"))
+    hits = seeded(base, masks).join(F.broadcast(probe), "seed")
     # Align the item with the document at the hit; what hangs over either end of the document is cut.
-    shift = F.col("pos") - F.col("item_pos")
-    hits = hits.withColumn("cut", F.greatest(F.lit(0), -(F.col("lo") + shift))).withColumn("from", F.col("lo") + shift + F.col("cut"))
-    hits = hits.withColumn("theirs", F.slice("part", F.col("cut") + 1, F.size("part") - F.col("cut")))
-    hits = hits.withColumn("own", F.slice("tokens", F.col("from") + 1, F.size("theirs")))
-    same = F.zip_with("own", F.slice("theirs", 1, F.size("own")), lambda a, b: a == b)
-    hits = hits.select("id", "k1", "k2", "item_id", "from", (F.col("lo") + F.col("cut")).alias("item_from"), F.least(F.lit(LEAST_EQUAL), F.col("item_n")).alias("least"), same.alias("same"))
+    hits = hits.withColumn("shift", F.col("pos") - F.col("item_pos")).withColumn("cut", F.greatest(F.lit(0), -(F.col("lo") + F.col("shift"))))
+    own = F.slice("tokens", F.col("lo") + F.col("shift") + F.col("cut") + 1, F.size("part") - F.col("cut"))
+    same = F.zip_with(own, F.slice("part", F.col("cut") + 1, F.size("part")), lambda a, b: F.coalesce(a == b, F.lit(False)))
+    hits = hits.select("id", "k1", "k2", "item", "shift", "least", same.alias("same"))
     # Chance hits have too few equal tokens in all and need no search.
-    found = F.when(F.size(F.filter("same", lambda x: x)) >= F.col("least"), longest(F.col("same"), PERCENT))
-    hits = hits.withColumn("found", found).withColumn("part", F.slice("same", F.col("found.i") + 1, F.col("found.n")))
+    equal = lambda c: F.size(F.filter(c, lambda x: x))
+    best = F.when(equal("same") >= F.col("least"), longest(F.col("same"), PERCENT))
+    hits = hits.withColumn("found", best)
+    sure = F.coalesce(equal(F.slice("same", F.col("found.i") + 1, F.col("found.n"))) >= F.col("least"), F.lit(False))
+    # The test blanks the shift, and blanks are dropped by an aggregate's result: a filter on a key would move into the
+    # join's condition, and rows with all of a document's tokens would be built before it, one for each place.
+    hits = hits.select("id", "k1", "k2", "item", F.when(sure, F.col("shift")).alias("at"))
+    return hits.groupBy("id", "k1", "k2", "item", "at").agg(F.max("at").alias("shift")).where("shift is not null").drop("at")
+
+
+def _far_hits(base: DataFrame, probe: DataFrame, masks: tuple[str, ...]) -> DataFrame:
+    """(id, k1, k2, item, shift) of all diagonals with a seed in common, with shuffled seeds; no tokens are shuffled."""
+    seeds = seeded(base, masks).select("seed", "id", "k1", "k2", "pos")
+    met = seeds.join(probe.select("seed", "item", "item_pos"), "seed")
+    return met.select("id", "k1", "k2", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
+
+
+def _judged(diagonals: DataFrame, base: DataFrame, items: DataFrame) -> DataFrame:
+    """Every diagonal with the longest stretch that counts on it, if there is one; unequal tokens at its ends are cut off."""
+    slim = diagonals.drop("id").distinct()
+    items = items.select("item", "item_id", F.col("tokens").alias("theirs"))
+    both = base.join(slim, ["k1", "k2"]).join(items, "item")
+    start, item_start = F.greatest(F.lit(0), F.col("shift")), F.greatest(F.lit(0), -F.col("shift"))
+    n = F.greatest(F.lit(0), F.least(F.size("tokens") - start, F.size("theirs") - item_start))
+    same = F.zip_with(F.slice("tokens", start + 1, n), F.slice("theirs", item_start + 1, n), lambda a, b: a == b)
+    rows = both.select("id", "k1", "k2", "item_id", start.alias("start"), item_start.alias("item_start"), least_equal(F.size("theirs")).alias("least"), same.alias("same"))
+    rows = rows.withColumn("found", longest(F.col("same"), PERCENT)).withColumn("part", F.slice("same", F.col("found.i") + 1, F.col("found.n")))
+    rows = rows.where(F.size(F.filter("part", lambda x: x)) >= F.col("least"))
     lead, back = F.array_position("part", True).cast("int") - 1, F.array_position(F.reverse("part"), True).cast("int") - 1
-    hits = hits.select(
-        "id", "k1", "k2", "item_id", (F.col("from") + F.col("found.i") + lead).alias("doc_start"), (F.col("item_from") + F.col("found.i") + lead).alias("item_start"),
-        (F.size("part") - lead - back).alias("n_overlap"), F.size(F.filter("part", lambda x: x)).alias("n_equal"), "least",
+    return rows.select(
+        "id", "k1", "k2", "item_id", (F.col("start") + F.col("found.i") + lead).alias("doc_start"), (F.col("item_start") + F.col("found.i") + lead).alias("item_start"),
+        (F.size("part") - lead - back).alias("n_overlap"), F.size(F.filter("part", lambda x: x)).alias("n_equal"),
     )
-    sure = F.coalesce(F.col("n_equal") >= F.col("least"), F.lit(False))
-    return best_of(hits, sure, id_col)
 
 
-def best_of(hits: DataFrame, sure: Column, id_col: str) -> DataFrame:
-    # The test is part of the maximum and not a filter: a filter would move into the join's condition, and rows with
-    # all of a document's tokens would be built before it, one for each place.
-    best = F.max(F.struct(sure.alias("sure"), "n_equal", (-F.col("n_overlap")).alias("o"), (-F.col("doc_start")).alias("d"), (-F.col("item_start")).alias("i"))).alias("b")
-    out = hits.groupBy("id", "k1", "k2", "item_id").agg(best).where("b.sure")
+def _search(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """(diagonals, documents' tokens, items, whether the diagonals are confirmed)."""
+    items = common.written(benchmark_items(benchmark), "items")
+    size = F.least(F.size("tokens"), F.lit(LONG_ITEM))
+    sizes = [r[0] for r in items.select(size.alias("n")).distinct().collect()]  # at most LONG_ITEM values
+    base = _documents(docs, id_col, text_col)
+    if not sizes:
+        return base.limit(0).select("id", "k1", "k2", F.lit(0).cast("long").alias("item"), F.lit(0).alias("shift")), base, items, True
+    classes = sorted({masks_of(n) for n in sizes})
+    own = [seeded(items.where(size.isin([n for n in sizes if masks_of(n) == c])), c) for c in classes]
+    probe = common.written(reduce(DataFrame.unionByName, own).withColumnRenamed("pos", "item_pos"), "seeds")
+    masks = tuple(sorted({m for c in classes for m in c}))
+    near = probe.count() <= BROADCAST_SEEDS
+    return common.written((_near_hits if near else _far_hits)(base, probe, masks), "diagonals"), base, items, near
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row_key, id, item_id, doc_start, item_start, n_overlap, n_equal): the longest overlap of each document and item that share one.
+
+    An overlap is a stretch of one diagonal in which PERCENT of the tokens are equal and at least
+    LEAST_EQUAL, or PERCENT of the item's tokens where those are fewer; so an item of up to three
+    tokens must occur whole and unchanged. ``row_key`` is the hash pair of id and text. Defined
+    cases: null or empty texts and items have no tokens and never match; equal items are reported
+    under the smallest id (null if they have none); rows that repeat give one result; texts of any
+    length are read whole; of equally long overlaps the first in the document is reported; other
+    columns are ignored.
+    """
+    diagonals, base, items, _ = _search(docs, benchmark, id_col, text_col)
+    best = F.max(F.struct("n_equal", (-F.col("n_overlap")).alias("o"), (-F.col("doc_start")).alias("d"), (-F.col("item_start")).alias("i"))).alias("b")
+    out = _judged(diagonals, base, items).groupBy("id", "k1", "k2", "item_id").agg(best)
     return out.select(
         F.struct("k1", "k2").alias("row_key"), F.col("id").alias(id_col), "item_id", (-F.col("b.d")).alias("doc_start"),
         (-F.col("b.i")).alias("item_start"), (-F.col("b.o")).alias("n_overlap"), F.col("b.n_equal").alias("n_equal"),
     )
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = contamination) -> DataFrame:
-    """``docs`` without the rows that hold an overlap confirmed by ``find``, all columns kept."""
+def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that share an overlap with an item, as :func:`overlaps` defines it; all columns kept."""
     k1, k2 = common.fresh("k1", docs.columns), common.fresh("k2", docs.columns)
-    dirty = find(docs, benchmark, id_col, text_col).select(F.col("row_key.k1").alias(k1), F.col("row_key.k2").alias(k2)).distinct()
-    dirty = common.written(dirty, "contaminated")
-    keyed = docs.withColumns({k1: F.xxhash64(F.col(id_col), F.col(text_col)), k2: F.xxhash64(F.lit(1), F.col(text_col))})
+    diagonals, base, items, sure = _search(docs, benchmark, id_col, text_col)
+    found = diagonals if sure else _judged(diagonals, base, items)
+    dirty = common.written(found.select(F.col("k1").alias(k1), F.col("k2").alias(k2)).distinct(), "contaminated")
+    keyed = docs.withColumns(dict(zip((k1, k2), row_keys(id_col, text_col))))
     return keyed.join(dirty, [k1, k2], "left_anti").drop(k1, k2)

@@ -120,90 +120,38 @@ def test_sharding_cases(spark, hard_docs, no_docs):
 # 3
 
 
-def brute_contaminated(docs, items):
-    """Documents in which some stretch of SPAN tokens of an item has all tokens of a mask, and enough around it agree."""
-    split = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
-    hits = set()
-    for d, text in docs:
-        a = split(text)
-        for i, item in items:
-            b = split(item)
-            if len(b) < decontaminate.LEAST_TOKENS:
-                continue
-            masks = [(decontaminate.SPAN, decontaminate.mask_offsets(m)) for m in decontaminate.MASKS] if len(b) >= decontaminate.SPAN else [(len(b), range(len(b)))]
-            for span, offsets in masks:
-                for p in range(len(a) - span + 1):
-                    for q in range(len(b) - span + 1):
-                        if all(a[p + o] == b[q + o] for o in offsets):
-                            lo, hi = max(0, q - decontaminate.MARGIN), min(len(b), q + decontaminate.SPAN + decontaminate.MARGIN)
-                            pairs = [(a[x + p - q], b[x]) for x in range(lo, hi) if 0 <= x + p - q < len(a)]
-                            n = sum(x == y for x, y in pairs)
-                            if 100 * n >= decontaminate.PERCENT * len(pairs) and n >= min(decontaminate.SPAN - 2, len(b)):
-                                hits.add((d, i))
-    return hits
-
-
-def test_decontamination_by_brute_force(spark, prose):
-    rng = random.Random(4)
-    items = [(i, prose(rng.choice([4, 6, 9, 14, 30]), 900 + i)) for i in range(12)] + [(50, prose(30, 905))]
-    docs = []
-    for k in range(80):
-        text = prose(rng.randrange(0, 60), k).split()
-        if k % 2:
-            passage = rng.choice(items)[1].split()
-            for _ in range(rng.randrange(5)):
-                passage[rng.randrange(len(passage))] = "swapped"
-            cut = rng.randrange(len(passage)) if k % 4 == 3 else 0
-            at = rng.randrange(len(text) + 1)
-            text = text[:at] + passage[cut:] + text[at:]
-        docs.append((k, ("; " if k % 3 else " ").join(text)))
-    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(df, bench).collect()}
-    expect = {(d, i) for d, i in brute_contaminated(docs, items) if i != 50 or (d, 5) not in brute_contaminated([docs[d]], items)}
-    assert got == expect and len(got) > 8
-    left = {r["doc_id"] for r in decontaminate.decontaminated(df, bench).collect()}
-    assert left == {k for k, _ in docs} - {d for d, _ in got}
-
-
-def test_decontamination_shuffled_seeds(spark, prose, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
-    df = spark.createDataFrame([(1, "x " + prose(30, 1)), (2, prose(30, 2))], "doc_id long, text string")
-    bench = spark.createDataFrame([(7, prose(30, 1))], "item_id long, text string")
-    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(df, bench).collect()] == [(1, 7)]
-
-
-def test_overlap_seeds_hit_every_placement():
-    """Any placement of the unequal tokens in the least stretches that qualify leaves all tokens of some mask."""
-    masks = [(len(m), sum(1 << o for o in decontaminate.mask_offsets(m))) for m in decontaminate.SEEDS]
-    for n, k in ((10, 0), (11, 1), (12, 2), (13, 3), (16, 4), (20, 5), (24, 6)):
-        placed = [mask << s for span, mask in masks for s in range(n - span + 1)]
+def test_seeds_hit_every_placement():
+    """Any placement of the unequal tokens in the least stretches that qualify, and in short items, leaves all tokens of some mask."""
+    for n, k in ((10, 0), (11, 1), (12, 2), (13, 3), (16, 4), (20, 5), (24, 6), *((-m, m - -(-3 * m // 4)) for m in range(1, 13))):
+        masks = decontaminate.SEEDS if n > 0 else decontaminate.masks_of(-n)
+        n = abs(n)
+        placed = [sum(1 << o + s for o in decontaminate.mask_offsets(m)) for m in masks for s in range(n - len(m) + 1)]
         assert all(any(not gaps & m for m in placed) for gaps in (sum(1 << i for i in c) for c in itertools.combinations(range(n), k))), (n, k)
 
 
 def aligned_overlaps(docs, items):
-    """Documents and items with a stretch on one diagonal that has 10 equal tokens, 75 % of it; items of fewer tokens occur whole. No seeds."""
+    """(document, item) -> shifts with a stretch that has min(10, 75 % of the item) equal tokens, and these 75 % of it. No seeds."""
     split = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
-    found = {}
+    found = defaultdict(set)
     for d, text in docs:
         a = split(text)
         for i, item in items:
             b = split(item)
+            least = min(10, -(-3 * len(b) // 4))
             for shift in range(1 - len(b), len(a)):
                 same = [a[shift + j] == b[j] for j in range(len(b)) if 0 <= shift + j < len(a)]
-                least = min(10, len(b))
-                if len(b) < 5 or sum(same) < least:
-                    continue
-                if len(b) < 10 or any(4 * sum(same[x:y]) >= 3 * (y - x) and sum(same[x:y]) >= 10 for x in range(len(same)) for y in range(x + 1, len(same) + 1)):
-                    found[d, i] = shift
+                if b and sum(same) >= least and any(4 * sum(same[x:y]) >= 3 * (y - x) and sum(same[x:y]) >= least for x in range(len(same)) for y in range(x + 1, len(same) + 1)):
+                    found[d, i].add(shift)
     return found
 
 
-def test_overlaps_by_alignment(spark, prose):
+@pytest.fixture(scope="module")
+def passages(prose):
     rng = random.Random(14)
-    items = [(i, prose(n, 700 + i)) for i, n in enumerate([4, 7, 9, 10, 11, 12, 15, 15, 18, 20, 38, 59])]
+    items = [(i, prose(n, 700 + i)) for i, n in enumerate([2, 4, 7, 9, 10, 11, 12, 15, 15, 18, 20, 38, 59])]
     docs = []
-    for k in range(240):
-        passage = rng.choice(items[1:])[1].split()
+    for k in range(260):
+        passage = rng.choice(items)[1].split()
         if k % 3 == 1 and len(passage) > 13:  # a verbatim piece from inside
             size = rng.randrange(8, min(22, len(passage)))
             at = rng.randrange(len(passage) - size + 1)
@@ -213,40 +161,58 @@ def test_overlaps_by_alignment(spark, prose):
                 passage[p] = "swapped"
         text = prose(rng.choice([0, 0, 3, 70]), k).split()
         at = rng.randrange(len(text) + 1)
-        docs.append((k, " ".join(text[:at] + passage + text[at:])))
+        docs.append((k, ("; " if k % 2 else " ").join(text[:at] + passage + text[at:])))
+    return docs, items
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_overlaps_by_alignment(spark, passages, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", broadcast)
+    docs, items = passages
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.overlaps(df, bench).collect()}
     expect = aligned_overlaps(docs, items)
-    assert set(got) == set(expect) and 100 < len(got) < 240
+    assert set(got) == set(expect) and 100 < len(got) < 260
     for key, r in got.items():
-        a, b = docs[key[0]][1].split(), items[key[1]][1].split()
+        a, b = re.split("[; ]+", docs[key[0]][1].lower()), items[key[1]][1].split()
         same = [x == y for x, y in zip(a[r["doc_start"] : r["doc_start"] + r["n_overlap"]], b[r["item_start"] : r["item_start"] + r["n_overlap"]])]
-        assert r["doc_start"] - r["item_start"] == expect[key] and same[0] and same[-1] and sum(same) == r["n_equal"] and 4 * sum(same) >= 3 * r["n_overlap"] == 3 * len(same)
-    left = {r["doc_id"] for r in decontaminate.decontaminated(df, bench, find=decontaminate.overlaps).collect()}
+        assert r["doc_start"] - r["item_start"] in expect[key] and same[0] and same[-1] and sum(same) == r["n_equal"] and 4 * sum(same) >= 3 * r["n_overlap"] == 3 * len(same)
+    left = {r["doc_id"] for r in decontaminate.decontaminated(df, bench).collect()}
     assert left == {k for k, _ in docs} - {d for d, _ in got}
 
 
-def test_overlaps_find_inner_pieces(spark, prose):
-    item = prose(59, 1).split()
-    docs = [(100 * size + at, f"{prose(30, 2)} {' '.join(item[at : at + size])} {prose(30, 3)}") for size in (12, 13, 14, 20) for at in range(59 - size + 1)]
-    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
-    assert {r["doc_id"] for r in decontaminate.overlaps(df, bench).collect()} == {d for d, _ in docs}
+def test_overlaps_whole_and_inner_pieces(spark, prose):
+    """A verbatim piece of a long item, the whole of a long one, and one substitution in ten."""
+    item, long, ten = prose(60, 1).split(), prose(400, 5), prose(10, 6).split()
+    docs = [(100 * size + at, f"{prose(30, 2)} {' '.join(item[at : at + size])} {prose(30, 3)}") for size in (12, 16, 20) for at in range(60 - size + 1)]
+    docs += [(9000 + n, f"{prose(20, 4)} {' '.join([*ten[:n], 'other', *ten[n + 1 :]])} {prose(20, 7)}") for n in range(10)] + [(9999, f"a {long} b")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, long), (9, " ".join(ten))], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.overlaps(df, bench).collect()}
+    assert set(got) == {d for d, _ in docs} and got[9999]["n_overlap"] == 400 == got[9999]["n_equal"]
 
 
-def test_overlaps_cases(spark, hard_docs, no_docs, prose, monkeypatch):
-    bench = spark.createDataFrame([(1, prose(120, 1)), (2, None), (3, ""), (None, prose(40, 3)), (4, "two words")], "item_id long, text string")
-    assert {r["doc_id"] for r in decontaminate.overlaps(hard_docs, bench).collect()} == {0, 1, 2, None}
-    assert decontaminate.overlaps(no_docs, bench).isEmpty() and decontaminate.overlaps(hard_docs, bench.limit(0)).isEmpty()
+def test_shuffled_seeds_carry_no_tokens(spark, prose, monkeypatch):
+    """Beyond the broadcast bound a row of the seed shuffle doesn't grow with its document."""
     monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
-    assert {r["doc_id"] for r in decontaminate.overlaps(hard_docs, bench).collect()} == {0, 1, 2, None}
-
-
-def test_decontamination_cases(spark, hard_docs, no_docs, prose):
+    bench = spark.createDataFrame([(7, prose(40, 1))], "item_id long, text string")
+    df = spark.createDataFrame([(1, prose(20_000, 2) + " " + prose(40, 1))], "doc_id long, text string")
+    base = decontaminate._documents(df, "doc_id", "text")
+    far = decontaminate._far_hits(base, decontaminate.seeded(decontaminate.benchmark_items(bench), decontaminate.SEEDS).withColumnRenamed("pos", "item_pos"), decontaminate.SEEDS)
+    plan = far._jdf.queryExecution().optimizedPlan().toString()
+    assert "Project [seed" in plan and all("tokens" not in line for line in plan[: plan.index("Generate")].splitlines())
+    assert [(r["doc_id"], r["n_overlap"]) for r in decontaminate.overlaps(df, bench).collect()] == [(1, 40)]
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_overlaps_cases(spark, hard_docs, no_docs, prose, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", broadcast)
     bench = spark.createDataFrame([(1, prose(120, 1)), (2, None), (3, ""), (None, prose(40, 3)), (4, "two words")], "item_id long, text string")
-    assert {r["doc_id"] for r in decontaminate.contamination(hard_docs, bench).collect()} == {0, 1, 2, None}
+    out = decontaminate.overlaps(hard_docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in out} == {(0, 1), (1, 1), (2, 1), (None, 1), (10, None), (6, 4), (7, 4)} and len(out) == 7
     rest = decontaminate.decontaminated(hard_docs, bench)
-    assert rest.columns == hard_docs.columns and rest.count() == hard_docs.count() - 5
-    assert decontaminate.contamination(no_docs, bench).isEmpty()
+    assert rest.columns == hard_docs.columns and sorted(r["doc_id"] for r in rest.collect()) == [3, 4, 5, 8, 9, 11]
+    assert decontaminate.overlaps(no_docs, bench).isEmpty() and decontaminate.overlaps(hard_docs, bench.limit(0)).isEmpty()
     assert decontaminate.decontaminated(hard_docs, bench.limit(0)).count() == hard_docs.count()
 
 
