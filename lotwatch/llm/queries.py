@@ -83,6 +83,17 @@ NEAR_DUPLICATES_SQL = r"""
 """
 
 
+#: The contract's columns from the pages themselves; base32 is written out, as SQL has none.
+CAPTURES_SQL = """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS payload, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+    r AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS response FROM p)
+    SELECT page_id, payload_bytes,
+      list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
+      CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> response THEN response END AS refers_to
+    FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_quality_classifier, op2_histogram_sharding, op3_spaced_seed_decontamination, op4_multiprobe_neighbours, op5_warc_capture_index,
@@ -92,4 +103,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_minmax_near_duplicates": NEAR_DUPLICATES_SQL, "op8_snapshot_collapse": chat.oracle(), "op10_poisson_mixing": mixing.oracle()}
+    return {"op5_warc_capture_index": CAPTURES_SQL, "op6_minmax_near_duplicates": NEAR_DUPLICATES_SQL, "op8_snapshot_collapse": chat.oracle(), "op10_poisson_mixing": mixing.oracle()}

@@ -1,6 +1,7 @@
 """The other operators against brute force, round trips or held-out accuracy, and their defined cases."""
 
 import base64
+import gzip
 import hashlib
 import itertools
 import random
@@ -270,21 +271,47 @@ def test_warc_round_trip(spark, tmp_path):
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     captures = warc.write_archives(df, str(tmp_path))
     directory = warc.write_index(captures, str(tmp_path))
-    got = warc.read_archives(spark, str(tmp_path), directory).collect()
+    got = warc.read_records(warc.find(df, str(tmp_path), directory), str(tmp_path), len(pages)).collect()
     assert len(got) == len(pages)
     want = sorted((p if p is not None else -1, len((h or "").encode()), base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()) for p, _, h in pages)
     assert sorted((r["page_id"] if r["page_id"] is not None else -1, r["payload_bytes"], r["payload_digest"]) for r in got) == want
     kind = sorted(((r["page_id"] or 0), r["record_type"], r["refers_to"]) for r in got if r["page_id"] is not None)
     assert kind == [(0, "revisit", 6), (1, "response", None), (2, "revisit", 6), (3, "revisit", 4), (4, "response", None), (5, "response", None), (6, "response", None), (6, "response", None)]
-    lookup = warc.Lookup(str(tmp_path), [tuple(r) for r in directory.collect()])
+    lookup = warc.Lookup(str(tmp_path), [tuple(r) for r in directory.drop("lines").collect()])
     one = lookup.captures("HTTPS://example1.org/a?b=5")
     assert [c["page_id"] for c in one] == [5] and lookup.payload(one[0]) == b"x" * 300_000 and lookup.captures("http://nowhere.org/") == []
     for f in tmp_path.glob("*.warc.gz"):
-        import gzip
-
         assert gzip.decompress(f.read_bytes()).count(b"WARC/1.1\r\n") >= 1
 
 
+ODD_URLS = ["http://a.org/x\u2028y", "http://a.org/x\u0085y", "http://a.org/x\fy", "http://a.org/x\ny", "http://a.org/x y", "http://a.org:bad/x", "http://[bad/x\r\nWARC-Type: z", "", " ", None, "http://ü.org/é?ñ", "\x00\x1e", "http://A.org/X%20y"]
+
+
+def test_warc_odd_urls(spark, tmp_path, monkeypatch):
+    """Any text is a URL: it is found by binary search, and the record is that page's own."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 3)
+    rows = [(n, u, f"page {n}", "x", 1) for n, u in enumerate(ODD_URLS * 3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, urlkey string, archive int").repartition(3)
+    root = str(tmp_path)
+    captures = warc.write_archives(df, root)
+    directory = warc.write_index(captures, root)
+    got = warc.read_records(warc.find(df, root, directory), root, len(rows)).collect()
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in got) == [(n, len(h)) for n, _, h, _, _ in rows]
+    lookup = warc.Lookup(root, [tuple(r) for r in directory.drop("lines").collect()])
+    for n, u, h, _, _ in rows:
+        one = list(lookup.page(u, n))
+        assert len(one) == 1 and lookup.payload(one[0]) == h.encode() and list(lookup.page(u, 10**6)) == []
+    some = warc.find(df.where("page_id % 5 = 0"), root, directory)
+    assert some.count() == sum(n % 5 == 0 for n, *_ in rows)
+
+
+def test_warc_repeats_and_nulls(spark, tmp_path):
+    rows = [(1, "u", "a"), (1, "u", "a"), (None, "u", "b"), (None, "u", "b"), (2, "u", "b"), (3, None, None), (3, None, "c")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.roundtrip(df, str(tmp_path)).collect())
+    assert got == {(1, 1, "response", None): 2, (None, 1, "revisit", 2): 2, (2, 1, "response", None): 1, (3, 0, "response", None): 1, (3, 1, "response", None): 1}
+
+
 def test_warc_least_bytes_and_empty(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "v", "abcdef"), (4, "v", "abcdef")], "page_id long, url string, html string")
     got = {r["page_id"]: r["record_type"] for r in warc.roundtrip(df, str(tmp_path / "a"), min_bytes=3).collect()}
