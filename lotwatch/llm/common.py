@@ -43,6 +43,47 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     return name
 
 
+def set_aside(df: DataFrame, *made: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with its columns of the names ``made`` under other names (underscores in front), so that a result may use these."""
+    names, taken = {}, {*df.columns, *made}
+    for c in df.columns:
+        if c.lower() in {m.lower() for m in made} and c.lower() not in {k.lower() for k in keep}:
+            names[c] = fresh(c, taken)
+            taken.add(names[c])
+    return df.withColumnsRenamed(names)
+
+
+#: Ids that several rows share are broadcast up to this number, and shuffled beyond.
+BROADCAST_REPEATED = 20_000
+
+
+def row_names(df: DataFrame, name: str, id_col: str, text_col: str) -> DataFrame:
+    """``df`` with a column ``name``: a text of its own for each row, the same whatever the partitions.
+
+    It is the id where no other row has it. Rows that share an id (or have none) are told apart by
+    their texts, and those equal in both by an occurrence number, counted within partitions and
+    added up over them, so that no task needs all rows of an id.
+    """
+    spark, ident = df.sparkSession, F.col(id_col).cast("string")
+    ids, twin = fresh("row_id", df.columns), fresh("row_text", df.columns)
+    part, nth, before = fresh("row_part", df.columns), fresh("row_nth", df.columns), fresh("row_before", df.columns)
+    shared = written(df.select(ident.alias(ids)).groupBy(ids).agg(F.count("*").alias("n")).where(f"n > 1 or {ids} is null").select(ids), "shared-ids")
+    n = shared.count()
+    if not n:
+        return df.withColumn(name, ident)
+    small = F.broadcast(shared) if n <= BROADCAST_REPEATED else shared
+    match = ident.eqNullSafe(F.col(ids))
+    alone = df.join(small, match, "left_anti").withColumn(name, ident)
+    some = df.join(small, match, "left_semi").withColumns({twin: F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")), ids: F.coalesce(ident, F.lit("")), part: F.spark_partition_id()})
+    some = written(some, "shared-rows")
+    key = [ids, twin]
+    counts = some.groupBy(*key, part).agg(F.count("*").alias("n")).selectExpr(*key, part, f"sum(n) over (partition by {ids}, {twin} order by {part}) - n as {before}")
+    counts = written(counts, "shared-counts")
+    numbered = some.withColumn(nth, F.expr(f"row_number() over (partition by {ids}, {twin}, {part} order by {twin})")).join(counts, [*key, part])
+    made = F.concat_ws("|", ids, twin, (F.col(nth) + F.col(before)).cast("string"))
+    return alone.unionByName(numbered.withColumn(name, made).drop(*key, part, nth, before))
+
+
 def packs(texts: Iterable[bytes], limit: int = PACK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """Consecutive texts in packs of about ``limit`` bytes, each with the number of its first text."""
     first, held, size = 0, [], 0

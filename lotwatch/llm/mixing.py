@@ -2,8 +2,9 @@
 
 Each source has a target share of the output. A document's number of copies is Poisson
 distributed with mean (target rows of its source) / (rows of its source): the inverse of the
-distribution at a number hashed from seed and id, so it doesn't depend on partitions or order.
-Copies are exploded and shuffled globally by a hash.
+distribution at a number hashed from seed and the row's name (its id; rows that share one are told
+apart by text and occurrence), so it doesn't depend on partitions or order. Copies are exploded and
+shuffled globally by a hash.
 """
 
 from __future__ import annotations
@@ -56,31 +57,39 @@ def poisson(u: Column, sums: Column) -> Column:
     return F.size(F.filter(sums, lambda c: c <= u))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: int | None = None, temperature: float = TEMPERATURE, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(
+    docs: DataFrame, weights: dict[str, float] | None = None, size: int | None = None, temperature: float = TEMPERATURE, seed: str = SEED,
+    id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+) -> DataFrame:
     """``docs`` with ``rate``, ``replica`` (from 0) and ``shuffle_key``: each row as often as drawn, in global hash order.
 
     The expected rows of a source are its share of ``size`` (default: the rows of the input).
     Defined cases: null sources are a source of their own, of weight 0 if weights are given; rows
-    without an id share the draw of the empty id; rows of equal id have equal draws; a weight of 0
-    drops a source; an empty table gives an empty result; columns of the new names are replaced.
+    without an id and rows that share one have independent draws; a weight of 0 drops a source; an
+    empty table gives an empty result; the input's columns of the new names stay, with an underscore
+    in front.
     """
-    base = docs.drop("rate", "replica", "shuffle_key")
-    src, draws, count, sums = (common.fresh(n, base.columns) for n in ("mix_source", "mix_draws", "mix_count", "mix_sums"))
-    by_source = common.written(rates(docs, source_col, weights, size, temperature), "rates")
+    base = common.set_aside(docs, "rate", "replica", "shuffle_key", keep=(id_col, source_col, text_col))
+    own = base.columns
+    src, draws, count, sums, name, mean = (common.fresh(n, own) for n in ("mix_source", "mix_draws", "mix_count", "mix_sums", "mix_name", "mix_rate"))
+    by_source = common.written(rates(base, source_col, weights, size, temperature), "rates")
     small = by_source.count() <= BROADCAST_SOURCES
     # What depends on the source alone is computed once for each source.
     times = F.greatest(F.lit(1), F.ceil(F.col("rate") / MEAN_STEP)).cast("int")
-    by_source = by_source.withColumn(draws, times).select(F.col("source").alias(src), "rate", draws, cumulative(F.col("rate") / F.col(draws)).alias(sums))
-    joined = base.join(F.broadcast(by_source) if small else by_source, F.col(source_col).cast("string").eqNullSafe(F.col(src)))
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    by_source = by_source.withColumn(draws, times).select(F.col("source").alias(src), F.col("rate").alias(mean), draws, cumulative(F.col("rate") / F.col(draws)).alias(sums))
+    named = common.row_names(base, name, id_col, text_col)
+    joined = named.join(F.broadcast(by_source) if small else by_source, F.col(source_col).cast("string").eqNullSafe(F.col(src)))
+    key = F.col(name)
     drawn = F.aggregate(F.sequence(F.lit(1), F.col(draws)), F.lit(0), lambda a, i: a + poisson(uniform(F.lit(seed), key, i), F.col(sums)))
     copies = joined.withColumn(count, drawn).withColumn("replica", F.explode(F.when(F.col(count) > 0, F.sequence(F.lit(0), F.col(count) - 1))))
     shuffled = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(seed), key, F.col("replica").cast("string"), F.lit("order")).cast("binary")))
-    return shuffled.repartition("shuffle_key").sortWithinPartitions("shuffle_key").select(*base.columns, "rate", "replica", "shuffle_key")
+    # Nothing of a source's table moves with the rows: its arrays would be many times a document.
+    moved = shuffled.select(*own, F.col(mean).alias("rate"), "replica", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return moved.select(*own, "rate", "replica", "shuffle_key")
 
 
 def oracle(table: str = "documents", temperature: float = TEMPERATURE, seed: str = SEED) -> str:
-    """DuckDB SQL for the rows of :func:`mix` with default weights, without texts."""
+    """DuckDB SQL for the rows of :func:`mix` with default weights, a digest standing for the text; ids are distinct."""
     u = f"CAST(CAST('0x' || substr(md5('{seed}|' || CAST(doc_id AS VARCHAR) || '|' || CAST(i AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) / {float(1 << 52)}"
     return f"""
     WITH RECURSIVE counts AS (SELECT source, count(*) AS n, pow(CAST(count(*) AS DOUBLE), {temperature}) AS weight FROM {table} GROUP BY source),
@@ -95,7 +104,7 @@ def oracle(table: str = "documents", temperature: float = TEMPERATURE, seed: str
     drawn AS (
       SELECT doc_id, numbers.source, rate, count(*) FILTER (WHERE u >= c) AS copies
       FROM numbers JOIN terms ON numbers.source IS NOT DISTINCT FROM terms.source GROUP BY ALL)
-    SELECT doc_id, source, CAST(round(rate * 1000000) AS BIGINT) AS rate_ppm, CAST(r AS INTEGER) AS replica,
-      md5('{seed}|' || CAST(doc_id AS VARCHAR) || '|' || CAST(r AS VARCHAR) || '|order') AS shuffle_key
-    FROM drawn, LATERAL (SELECT unnest(range(0, copies)) AS r) y
+    SELECT doc_id, drawn.source, CAST(round(rate * 1000000) AS BIGINT) AS rate_ppm, CAST(r AS INTEGER) AS replica,
+      md5('{seed}|' || CAST(doc_id AS VARCHAR) || '|' || CAST(r AS VARCHAR) || '|order') AS shuffle_key, md5(coalesce(text, '')) AS text_md5
+    FROM drawn JOIN {table} USING (doc_id), LATERAL (SELECT unnest(range(0, copies)) AS r) y
     """
