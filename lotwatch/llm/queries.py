@@ -24,7 +24,8 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents"), payload=False)
+    """Whole documents are exchanged; the checksum is computed from the text that arrives."""
+    return sharding.shard(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op3_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +59,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
-    return mixed.select("doc_id", "source", F.round(F.col("rate") * 1_000_000).cast("long").alias("rate_ppm"), "replica", "shuffle_key")
+    """Whole documents are mixed; the digest is computed from the text that arrives."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", F.round(F.col("rate") * 1_000_000).cast("long").alias("rate_ppm"), "replica", "shuffle_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
 
 
 NEAR_DUPLICATES_SQL = r"""

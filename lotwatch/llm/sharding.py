@@ -4,7 +4,12 @@ Rows are ordered by a hash of the text, then a hash of the id. Splitters between
 by counting the exact bytes below candidate keys (probes) over all partitions, and probing again
 inside the interval that holds the target, until the count is within tolerance or the interval is
 one key. Only then are the rows exchanged, once. Equal texts have equal first keys, so they stay
-in one shard unless their group is wider than the tolerance; only then is a group cut by id.
+in one shard unless their group is wider than the tolerance; only then is a group cut by id, and
+rows equal in both, which no key tells apart, by their number within the group.
+
+A shard is numbered in parts, each a range of keys. A text with more rows than a part has parts of
+its own by ranges of the second key, behind the shard's other rows; a group of rows equal in both
+keys has parts by ranges of its numbers.
 """
 
 from __future__ import annotations
@@ -22,14 +27,15 @@ KEEP_TOLERANCE = 0.01
 KEY_BITS = 63
 #: Rows numbered by one task, about.
 SLOT_ROWS = 250_000
+#: Tables with a row for each text of over SLOT_ROWS rows, or for each part, are broadcast up to this number.
+BROADCAST_ROWS = 100_000
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict[str, Column]:
-    """The measures of a row: size in bytes plus 1, checksum, and its two sort keys (non-negative longs)."""
+    """The measures of a row: size in bytes plus 1, and its two sort keys (non-negative longs)."""
     text = F.col(text_col).cast("string")
     return {
         "size": (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"),
-        "text_crc32": F.crc32(F.coalesce(text, F.lit("")).cast("binary")),
         "key": F.shiftrightunsigned(F.xxhash64(text), 1),
         "key2": F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(2)), 1),
     }
@@ -87,73 +93,120 @@ def _boundaries(rows: DataFrame, key: str, targets: list[int], slack: float) ->
     return [done[t] for t in targets]
 
 
-def splitters(rows: DataFrame, shards: int) -> list[tuple[int, int]]:
-    """shards - 1 ascending keys (key, key2): a row belongs to the shard numbered by how many don't exceed it."""
+def splitters(rows: DataFrame, shards: int, keep_together: float = KEEP_TOLERANCE) -> list[tuple[int, int, int]]:
+    """shards - 1 ascending keys (key, key2, number): a row belongs to the shard numbered by how many don't exceed it.
+
+    The number counts the rows of a group of equal keys; it is 0 where the group isn't cut.
+    """
     total, largest = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
     if not total:
-        return [(0, 0)] * (shards - 1)
+        return [(0, 0, 0)] * (shards - 1)
     targets = [total * k // shards for k in range(1, shards)]
-    out: list[tuple[int, int]] = []
-    keep = max(total / shards * KEEP_TOLERANCE, largest / 2)
+    out: list[tuple[int, int, int]] = []
+    keep = max(total / shards * keep_together, largest / 2)
     cut: dict[int, list[int]] = {}
     for t, (b, below, held) in zip(targets, _boundaries(rows, "key", targets, total / shards * TOLERANCE)):
         if not held:
-            out.append((b, 0))
+            out.append((b, 0, 0))
         elif min(t - below, below + held - t) <= keep:
-            out.append((b, 0) if t - below <= below + held - t else (b + 1, 0))
+            out.append((b, 0, 0) if t - below <= below + held - t else (b + 1, 0, 0))
         else:  # the group is wider than the tolerance: cut it by the second key
             cut.setdefault(b, []).append(t - below)
     for key, inner in cut.items():
         group = rows.where(F.col("key") == F.lit(key))
         for t, (b, below, held) in zip(inner, _boundaries(group, "key2", inner, total / shards * TOLERANCE)):
-            out.append((key, b + 1 if held and t - below > below + held - t else b))
+            if not held:
+                out.append((key, b, 0))
+            elif min(t - below, below + held - t) <= largest:
+                out.append((key, b + 1 if t - below > below + held - t else b, 0))
+            else:  # rows equal in both keys: all have one size, so their number says where to cut
+                n = group.where(F.col("key2") == F.lit(b)).count()
+                out.append((key, b, round((t - below) * n / held)))
     return sorted(out)
 
 
-def shard_of(bounds: list[tuple[int, int]], key_col: str = "key", key2_col: str = "key2") -> Column:
+def shard_of(bounds: list[tuple[int, int, int]], key_col: str = "key", key2_col: str = "key2", number_col: str | None = None) -> Column:
     """The number of splitters that don't exceed the row's keys, by halving the list in nested conditions."""
 
     def pick(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        key, key2 = bounds[mid]
+        key, key2, nth = bounds[mid]
         first, second = F.col(key_col), F.col(key2_col)
-        over = first >= F.lit(key) if key2 == 0 else (first > F.lit(key)) | ((first == F.lit(key)) & (second >= F.lit(key2)))
+        over = second >= F.lit(key2)
+        if nth:
+            number = F.col(number_col) if number_col else F.lit(0)
+            over = (second > F.lit(key2)) | ((second == F.lit(key2)) & (number >= F.lit(nth)))
+        over = first >= F.lit(key) if (key2, nth) == (0, 0) else (first > F.lit(key)) | ((first == F.lit(key)) & over)
         return F.when(over, pick(mid + 1, hi)).otherwise(pick(lo, mid))
 
     return pick(0, len(bounds))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", payload: bool = True) -> DataFrame:
+def _numbered(rows: DataFrame, twins: DataFrame, key: str, key2: str, number: str) -> DataFrame:
+    """``rows`` with a column ``number``: 0, but from 0 upwards in the groups of equal keys that ``twins`` (t1, t2) names.
+
+    The groups' rows are written with their partition, counted in each, and numbered within it, so no task needs a whole group.
+    """
+    match = (F.col(key) == F.col("t1")) & (F.col(key2) == F.col("t2"))
+    part, before = common.fresh("shard_of_part", rows.columns), common.fresh("shard_rows_before", rows.columns)
+    alone = rows.join(F.broadcast(twins), match, "left_anti").withColumn(number, F.lit(0).cast("long"))
+    some = common.written(rows.join(F.broadcast(twins), match, "left_semi").withColumn(part, F.spark_partition_id()), "shard-twins")
+    counts = some.groupBy(key, key2, part).agg(F.count("*").alias("n")).selectExpr(key, key2, part, f"sum(n) over (partition by {key}, {key2} order by {part}) - n as {before}")
+    nth = F.expr(f"row_number() over (partition by {key}, {key2}, {part} order by {part})")
+    some = some.withColumn(number, nth).join(common.written(counts, "shard-twin-counts"), [key, key2, part])
+    return alone.unionByName(some.withColumn(number, (F.col(number) - 1 + F.col(before)).cast("long")).drop(part, before))
+
+
+def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", keep_together: float = KEEP_TOLERANCE) -> DataFrame:
     """``docs`` with size, text_crc32, law, shard, slot and grown_shard; sizes of shards are near equal (law ``bytes``).
 
-    With ``payload`` false only the id is carried. A shard misses total/shards by at most the
-    tolerance or half the largest row at each end. Slots number a shard's rows from 0 without
-    gaps. Defined cases: a null text has size 1 and checksum 0; null ids are ordinary values; rows
-    equal in id and text have equal keys and stay together; an empty table gives an empty result;
-    columns of the result's names in the input are replaced.
+    A shard misses total/shards by at most the tolerance or half the largest row at each end; a
+    group of equal texts is kept whole while that misses it by at most ``keep_together`` of a shard.
+    Slots number a shard's rows from 0 without gaps, in the order of the keys; texts with very many
+    rows come last. Defined cases: a null text has size 1 and the checksum of the empty text; null
+    ids are ordinary values; rows equal in id and text stay together unless a splitter must cut
+    them, and then any of them may lie on either side; an empty table gives an empty result; the
+    input's columns of the result's names stay, with an underscore in front.
     """
     made = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    base = docs.drop(*[c for c in docs.columns if c.lower() in made and c not in (id_col, text_col)])
-    carried = [c for c in base.columns if payload or c == id_col]
-    key, key2, part, before = (common.fresh(n, base.columns) for n in ("shard_key", "shard_key2", "shard_part", "shard_before"))
+    base = common.set_aside(docs, *made, keep=(id_col, text_col))
+    own = base.columns
+    key, key2, number, part, before, size = (common.fresh(n, [*own, *made]) for n in ("shard_key", "shard_key2", "shard_number", "shard_part", "shard_before", "shard_size"))
     measures = keyed(base, id_col, text_col)
-    rows = common.written(base.select(*[c.alias(n) for n, c in measures.items()]), "shard-keys")
-    bounds = splitters(rows, shards)
+    rows = common.written(base.select(*[measures[n].alias(n) for n in ("size", "key", "key2")]), "shard-keys")
+    bounds = splitters(rows, shards, keep_together)
     n_rows = rows.count()
+    # Hashes are even, so equal ranges of keys have about equal numbers of texts; texts and groups of many rows are split on their own.
     parts = max(8, -(-n_rows // (shards * SLOT_ROWS)))
-    part_of = lambda c: F.pmod(F.xxhash64(c, F.lit(5)), F.lit(parts)).cast("int")
+    wide = common.written(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SLOT_ROWS).select(F.col("key").alias("w"), F.ceil(F.col("n") / SLOT_ROWS).cast("int").alias("w_parts")), "shard-wide")
+    groups = rows.join(F.broadcast(wide), rows.key == wide.w).groupBy("key", "key2").agg(F.count("*").alias("n")).where(F.col("n") > SLOT_ROWS)
+    cut = [(a, b) for a, b, n in bounds if n]
+    twins = groups.selectExpr("key as t1", "key2 as t2").union(docs.sparkSession.createDataFrame(cut, "t1 long, t2 long")).distinct()
+    twins = common.written(twins, "shard-groups")
+    span = (1 << KEY_BITS) // (shards * parts) + 1
+    wide = F.broadcast(wide) if wide.count() <= BROADCAST_ROWS else wide
+
+    def place(df: DataFrame) -> DataFrame:
+        """``df`` with the shard and the part of each row."""
+        slice_ = F.expr(f"{key} div {span}L")
+        inner = F.when(F.col("w").isNull(), F.lit(0)).otherwise(F.floor(F.col(key2) / F.lit(float(1 << KEY_BITS)) * F.col("w_parts"))).cast("long")
+        at = F.struct(F.col("w").isNotNull().alias("wide"), slice_.alias("a"), F.coalesce("w", F.lit(0)).alias("w"), inner.alias("b"), F.expr(f"{number} div {SLOT_ROWS}L").alias("c"))
+        return df.join(wide, F.col(key) == F.col("w"), "left").withColumns({"shard": shard_of(bounds, key, key2, number), part: at}).drop("w", "w_parts")
+
+    placed = base.select(*own, measures["size"].alias(size), measures["key"].alias(key), measures["key2"].alias(key2))
+    if twins.isEmpty():
+        slim = rows.select(F.col("key").alias(key), F.col("key2").alias(key2), F.lit(0).cast("long").alias(number))
+        placed = placed.withColumn(number, F.lit(0).cast("long"))
+    else:
+        slim = placed = _numbered(placed, twins, key, key2, number)
     # Offsets of a shard's parts: one small row for each part.
-    counts = rows.select(shard_of(bounds).alias("shard"), part_of("key2").alias("part")).groupBy("shard", "part").count()
-    offset = counts.selectExpr("shard", f"part as {part}", f"sum(count) over (partition by shard order by part) - count as {before}")
-    offset = common.written(offset, "shard-offsets")
-    named = {"key": key, "key2": key2}
-    placed = base.select(*carried, *[c.alias(named.get(n, n)) for n, c in measures.items()])
-    placed = placed.withColumns({"shard": shard_of(bounds, key, key2), part: part_of(key2)})
-    numbered = placed.withColumn("slot", F.expr(f"row_number() over (partition by shard, {part} order by {key}, {key2})").cast("long"))
-    numbered = numbered.join(F.broadcast(offset) if parts * shards <= 100_000 else offset, ["shard", part])
+    counts = place(slim).groupBy("shard", part).agg(F.count("*").alias("n")).selectExpr("shard", part, f"sum(n) over (partition by shard order by {part}) - n as {before}")
+    counts = common.written(counts, "shard-offsets")
+    slot = F.expr(f"row_number() over (partition by shard, {part} order by {key}, {key2}, {number})")
+    numbered = place(placed).withColumn("slot", slot).join(F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts, ["shard", part])
     return numbered.select(
-        *carried, "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-        (F.col("slot") - 1 + F.col(before)).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        *own, F.col(size).alias("size"), F.crc32(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
+        (F.col("slot") - 1 + F.col(before)).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )

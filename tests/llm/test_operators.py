@@ -106,18 +106,53 @@ def test_splitters_by_brute_force(spark, prose):
     data = sorted((r["key"], r["key2"], r["size"]) for r in rows.collect())
     total, largest = sum(x[2] for x in data), max(x[2] for x in data)
     for n, b in enumerate(bounds, 1):
-        below = sum(s for k, k2, s in data if (k, k2) < b)
+        below = sum(s for k, k2, s in data if (k, k2, 0) < b)
         assert abs(below - total * n / 5) <= largest
     got = df.select("doc_id", *[c.alias(n) for n, c in sharding.keyed(df).items()]).select("key", "key2", sharding.shard_of(bounds).alias("s")).collect()
-    assert all(r["s"] == sum(b <= (r["key"], r["key2"]) for b in bounds) for r in got)
+    assert all(r["s"] == sum(b <= (r["key"], r["key2"], 0) for b in bounds) for r in got)
+
+
+def slots_are_whole(out):
+    slots = defaultdict(list)
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+    return all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
 def test_sharding_cases(spark, hard_docs, no_docs):
     out = sharding.shard(hard_docs, 3).collect()
-    assert len(out) == hard_docs.count() and {r["size"] for r in out if r["text"] is None} == {1}
+    assert len(out) == hard_docs.count() and {(r["size"], r["text_crc32"]) for r in out if r["text"] is None} == {(1, 0)} and slots_are_whole(out)
+    assert {r["_size"] for r in out} == {10} and {r["_shard"] for r in out} == {4}
     assert sharding.shard(no_docs, 3).isEmpty()
 
 
+@pytest.mark.parametrize("ids", [lambda k: 5, lambda k: None, lambda k: k])
+def test_sharding_of_equal_rows(spark, prose, ids):
+    """Equal rows fill shards as evenly as others, with or without ids."""
+    rows = [(ids(k), "one and the same text") for k in range(400)]
+    out = hist_rows(spark, rows, 16)
+    counts = Counter(r["shard"] for r in out)
+    assert len(out) == 400 and slots_are_whole(out) and set(counts) == set(range(16)) and max(counts.values()) - min(counts.values()) <= 2
+    mixed = [(ids(k), "one and the same text") for k in range(300)] + [(None, None)] * 50 + [(1000 + k, prose(5, k)) for k in range(300)]
+    sizes = Counter()
+    for r in hist_rows(spark, mixed, 8):
+        sizes[r["shard"]] += r["size"]
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * max(len(t or "") + 1 for _, t in mixed)
+
+
+def test_sharding_splits_wide_groups(spark, prose, monkeypatch):
+    """Texts and groups of equal rows wider than a part are numbered in parts; slots stay whole and follow the keys."""
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 20)
+    rows = [(k, "wide text") for k in range(150)] + [(None, "equal rows")] * 130 + [(1000 + k, prose(9, k)) for k in range(200)]
+    out = hist_rows(spark, rows, 3)
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in out) == sorted((i or -1, t) for i, t in rows) and slots_are_whole(out)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = {r["text"]: r["key"] for r in df.select("text", sharding.keyed(df)["key"].alias("key")).collect()}
+    for s in range(3):
+        placed = [key[r["text"]] for r in sorted((r for r in out if r["shard"] == s and r["text"] not in ("wide text", "equal rows")), key=lambda r: r["slot"])]
+        assert placed == sorted(placed)
+
+
 # 3
 
 
@@ -417,11 +452,25 @@ def test_mixing_by_brute_force(spark):
 
 def test_mixing_cases(spark, hard_docs, no_docs):
     out = mixing.mix(hard_docs)
-    assert set(hard_docs.columns) - {"rate"} <= set(out.columns)
+    assert set(hard_docs.columns) - {"rate"} | {"_rate", "rate", "replica", "shuffle_key"} == set(out.columns)
+    assert {r["_rate"] for r in out.collect()} == {6}
     assert mixing.mix(no_docs).isEmpty() and mixing.mix(hard_docs, {}).isEmpty()
     assert {r["source"] for r in mixing.mix(hard_docs, {"s2": 1.0}, size=500).collect()} == {"s2"}
 
 
+@pytest.mark.parametrize("broadcast", [20_000, 0])
+def test_mixing_tells_rows_apart(spark, monkeypatch, broadcast):
+    """Rows without an id and repeated rows are drawn and placed one by one, whatever the partitions of the input."""
+    monkeypatch.setattr(common, "BROADCAST_REPEATED", broadcast)
+    rows = [(None, "same", "a")] * 200 + [(7, "same", "a")] * 150 + [(7, f"t{k}", "a") for k in range(50)] + [(100 + k, "same", "a") for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, two = (mixing.mix(df.repartition(n), size=500).select("doc_id", "text", "replica", "shuffle_key") for n in (3, 11))
+    got = [tuple(r) for r in one.collect()]
+    assert sorted(got, key=repr) == sorted((tuple(r) for r in two.collect()), key=repr)
+    assert len({k for *_, k in got}) == len(got) and abs(len(got) - 500) < 5 * 500**0.5
+    assert abs(sum(i is None for i, *_ in got) - 200) < 5 * 200**0.5
+
+
 # pipeline
 
 
