@@ -54,8 +54,9 @@ def op8_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
-def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), common.scratch_path(spark, "token-cache"))
+def op9_token_counts(spark: SparkSession, sf_dir: str, cache_path: str | None = None) -> DataFrame:
+    """With the path of a cache that is kept, only texts that it lacks are encoded; by default the cache is new."""
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), cache_path or common.scratch_path(spark, "token-cache"))
 
 
 def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
