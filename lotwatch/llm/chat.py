@@ -3,7 +3,8 @@
 Logs often hold a conversation once for every turn: each snapshot repeats the one before and adds
 to it. A rolling hash of the turns names every prefix. A conversation whose full hash is another's
 proper prefix is dropped by an anti-join; of equal conversations the smallest id stays; what
-remains is rendered.
+remains is rendered. Marks of the format inside roles and texts are escaped, so no text can open
+or close a turn.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from . import common
 
 #: Rendering of one turn and what joins turns: fixed strings of the format.
 OPEN, MIDDLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
+#: What every mark begins with, and what stands for it inside roles and texts.
+MARK, ESCAPED = "<|", "<\\|"
 
 
 def _content_hash(salt: int) -> Column:
@@ -48,17 +51,20 @@ def maximal(turns: DataFrame) -> DataFrame:
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, n_copies, rendered) for each maximal conversation of ``turns`` (conv_id, turn, role, text).
+    r"""(conv_id, n_turns, n_copies, rendered) for each maximal conversation of ``turns`` (conv_id, turn, role, text).
 
     Defined cases: rows without a conv_id take no part; a null turn sorts first, equal turns by the
     hash of role and text in comparisons and by role and text when rendered; null roles and texts are rendered as empty but aren't equal to them; rows that repeat
     are turns of their own; an empty table gives an empty result; other columns are ignored. A
-    conversation is one output row by its nature, so its turns meet in one task.
+    conversation is one output row by its nature, so its turns meet in one task; texts of any length
+    are hashed and rendered whole. ``<|`` in a role or text is rendered as ``<\|``; a line end in a
+    role as a blank.
     """
     slim = turns.where(F.col("conv_id").isNotNull()).select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     kept = maximal(slim)
     said = slim.join(kept, "conv_id").groupBy("conv_id", "n_turns", "n_copies").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("said"))
-    part = lambda t: F.concat(F.lit(OPEN), F.coalesce(t["role"], F.lit("")), F.lit(MIDDLE), F.coalesce(t["text"], F.lit("")), F.lit(CLOSE))
+    plain = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit(MARK), F.lit(ESCAPED))
+    part = lambda t: F.concat(F.lit(OPEN), F.translate(plain(t["role"]), "\r\n", "  "), F.lit(MIDDLE), plain(t["text"]), F.lit(CLOSE))
     return said.select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), "n_copies", F.array_join(F.transform("said", part), "").alias("rendered"))
 
 
@@ -66,7 +72,7 @@ def oracle(table: str = "conversations") -> str:
     """DuckDB SQL for the rows of :func:`format_chats` over distinct, non-null turns."""
     return f"""
     WITH chats AS (
-      SELECT conv_id, count(*) AS n_turns, string_agg('{OPEN}' || role || chr(10) || text || '{CLOSE.strip()}' || chr(10), '' ORDER BY turn) AS rendered
+      SELECT conv_id, count(*) AS n_turns, string_agg('{OPEN}' || replace(role, '{MARK}', '{ESCAPED}') || chr(10) || replace(text, '{MARK}', '{ESCAPED}') || '{CLOSE.strip()}' || chr(10), '' ORDER BY turn) AS rendered
       FROM {table} GROUP BY conv_id),
     one AS (SELECT min(conv_id) AS conv_id, n_turns, rendered, count(*) AS n_copies FROM chats GROUP BY n_turns, rendered)
     SELECT a.conv_id, CAST(a.n_turns AS BIGINT) AS n_turns, CAST(a.n_copies AS BIGINT) AS n_copies, a.rendered FROM one a
