@@ -89,6 +89,19 @@ def longest(same: Column, percent: int) -> Column:
     return F.aggregate(same, zero, step, lambda a: F.struct(a["i"].alias("i"), a["n"].alias("n")))
 
 
+def equal_in(same: Column) -> Column:
+    return F.size(F.filter(same, lambda x: x))
+
+
+def stretch(same: Column, least: Column) -> Column:
+    """(i, n) of the longest stretch with PERCENT equal; if that has fewer than ``least`` equal tokens, of the first short one that has them; else null."""
+    found = longest(same, PERCENT)
+    size = F.floor(least * 100 / PERCENT).cast("int")
+    start = F.get(F.filter(F.sequence(F.lit(0), F.size(same)), lambda i: equal_in(F.slice(same, i + 1, size)) >= least), F.lit(0))
+    short = F.when(start.isNotNull(), F.struct(start.alias("i"), F.least(size, F.size(same) - start).alias("n")))
+    return F.when(equal_in(same) >= least, F.when(equal_in(F.slice(same, found["i"] + 1, found["n"])) >= least, found).otherwise(short))
+
+
 def row_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
     """The hash pair that names a document's row by its id and text."""
     return F.xxhash64(F.col(id_col), F.col(text_col)), F.xxhash64(F.lit(1), F.col(text_col))
@@ -110,11 +123,8 @@ def _near_hits(base: DataFrame, probe: DataFrame, masks: tuple[str, ...]) -> Dat
     own = F.slice("tokens", F.col("lo") + F.col("shift") + F.col("cut") + 1, F.size("part") - F.col("cut"))
     same = F.zip_with(own, F.slice("part", F.col("cut") + 1, F.size("part")), lambda a, b: F.coalesce(a == b, F.lit(False)))
     hits = hits.select("id", "k1", "k2", "item", "shift", "least", same.alias("same"))
-    # Chance hits have too few equal tokens in all and need no search.
-    equal = lambda c: F.size(F.filter(c, lambda x: x))
-    best = F.when(equal("same") >= F.col("least"), longest(F.col("same"), PERCENT))
-    hits = hits.withColumn("found", best)
-    sure = F.coalesce(equal(F.slice("same", F.col("found.i") + 1, F.col("found.n"))) >= F.col("least"), F.lit(False))
+    # Chance hits have too few equal tokens in all and aren't searched.
+    sure = stretch(F.col("same"), F.col("least")).isNotNull()
     # The test blanks the shift, and blanks are dropped by an aggregate's result: a filter on a key would move into the
     # join's condition, and rows with all of a document's tokens would be built before it, one for each place.
     hits = hits.select("id", "k1", "k2", "item", F.when(sure, F.col("shift")).alias("at"))
@@ -137,8 +147,7 @@ def _judged(diagonals: DataFrame, base: DataFrame, items: DataFrame) -> DataFram
     n = F.greatest(F.lit(0), F.least(F.size("tokens") - start, F.size("theirs") - item_start))
     same = F.zip_with(F.slice("tokens", start + 1, n), F.slice("theirs", item_start + 1, n), lambda a, b: a == b)
     rows = both.select("id", "k1", "k2", "item_id", start.alias("start"), item_start.alias("item_start"), least_equal(F.size("theirs")).alias("least"), same.alias("same"))
-    rows = rows.withColumn("found", longest(F.col("same"), PERCENT)).withColumn("part", F.slice("same", F.col("found.i") + 1, F.col("found.n")))
-    rows = rows.where(F.size(F.filter("part", lambda x: x)) >= F.col("least"))
+    rows = rows.withColumn("found", stretch(F.col("same"), F.col("least"))).where("found is not null").withColumn("part", F.slice("same", F.col("found.i") + 1, F.col("found.n")))
     lead, back = F.array_position("part", True).cast("int") - 1, F.array_position(F.reverse("part"), True).cast("int") - 1
     return rows.select(
         "id", "k1", "k2", "item_id", (F.col("start") + F.col("found.i") + lead).alias("doc_start"), (F.col("item_start") + F.col("found.i") + lead).alias("item_start"),
