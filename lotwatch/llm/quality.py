@@ -8,6 +8,7 @@ bucket and label, so scoring a text is a table lookup and a mean: the same funct
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,50 +20,60 @@ from . import common
 
 BUCKETS = 1 << 18
 DIM, EPOCHS, RATE = 8, 6, 4.0
-#: Labelled rows to learn from, at most, and the longest text (bytes) among them. Only training is bounded so.
-SAMPLE_ROWS, SAMPLE_BYTES = 4000, 32768
+#: Labelled rows to learn from, at most, and bytes of text after which no further row is taken. Only training is bounded so.
+SAMPLE_ROWS, SAMPLE_BYTES = 4000, 32 << 20
 GRAMS = (2, 3, 4)
+TOP = np.uint64(64 - (BUCKETS.bit_length() - 1))
+#: Bucket of the mark for a word that repeats the one before.
+AGAIN = int(common.mixed(np.array([12345], np.uint64))[0] >> TOP)
 _HASHER: common.WordHasher | None = None
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number, place) of each character of UTF-8 bytes: its bytes read as one number, and where it begins."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    code = data[at].astype(np.uint64)
+    if len(at) < len(data):
+        size = np.diff(np.append(at, len(data)))
+        for k in range(1, 4):
+            more = size > k
+            code[more] = (code[more] << np.uint64(8)) | data[at[more] + k]
+    return code, at
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hash buckets of all features of each text, and where each text's begin.
 
-    Features are the words, marked when a word repeats the one before, and the byte n-grams that
-    lie within a word or touch its edges. An empty text has none.
+    Features are the words, marked when a word repeats the one before, and the character n-grams
+    that lie within a word or touch its edges. An empty text has none.
     """
     global _HASHER
     _HASHER = _HASHER or common.WordHasher()
     data, begin = common.joined(texts)
     begin = begin + 1
     data = np.concatenate([np.full(1, 10, np.uint8), data])
-    space = common.space_mask(data)
-    plain = np.where(space, np.uint8(32), data).astype(np.uint64)
     start, end, word = _HASHER.words(data)
     again = np.zeros(len(word), bool)
     again[1:] = word[1:] == word[:-1]
     first = np.searchsorted(start, begin[:-1])
     again[first[first < len(start)]] = False
-    top = np.uint64(64 - (BUCKETS.bit_length() - 1))
-    ids, places = [], []
+    ids, places = [(word >> TOP).astype(np.int32), np.full(int(again.sum()), AGAIN, np.int32)], [start, start[again]]
+    plain, at = characters(np.where(common.space_mask(data), np.uint8(32), data))
+    space = plain == 32
     with np.errstate(over="ignore"):
-        ids.append((word >> top).astype(np.int32))
-        places.append(start)
-        pair = common.mixed(np.array([12345], np.uint64))[0]
-        ids.append(np.full(int(again.sum()), int(pair >> top), np.int32))
-        places.append(start[again])
         for n in GRAMS:
-            size = max(0, len(data) - n + 1)
+            size = max(0, len(plain) - n + 1)
             code = np.zeros(size, np.uint64)
             inner = np.ones(size, bool)
             for j in range(n):
-                code = code * np.uint64(257) + plain[j : j + size]
+                code = code * common.PRIME + plain[j : j + size]
                 if 0 < j < n - 1:
                     inner &= ~space[j : j + size]
             inner &= ~(space[:size] & space[n - 1 : n - 1 + size])
-            at = np.flatnonzero(inner)
-            ids.append((((code[at] + np.uint64(n)) * common.PRIME) >> top).astype(np.int32))
-            places.append(at + space[at])
+            which = np.flatnonzero(inner)
+            ids.append((((code[which] + np.uint64(n)) * common.PRIME) >> TOP).astype(np.int32))
+            places.append(at[which + space[which]])
     place = np.concatenate(places)
     owner = np.searchsorted(begin, place, side="right") - 1
     order = np.argsort(owner, kind="stable")
@@ -70,8 +81,31 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return found, np.searchsorted(owner[order], np.arange(len(texts) + 1))
 
 
-def train(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> np.ndarray:
-    """One number per bucket: its share of logit(label 1) - logit(label 0). Last entry: the bias."""
+def pieces(text: bytes, limit: int) -> list[tuple[bytes, bool]]:
+    """A text cut before white space into pieces of about ``limit`` bytes, each with whether its first word repeats the last of the piece before.
+
+    A word longer than that stays whole. The pieces' features are the text's.
+    """
+    out, first, last = [], 0, b""
+    while first < len(text) or not out:
+        end = first + limit
+        if end < len(text):
+            cut = next((i for i in range(end, first, -1) if text[i] == 32 or 9 <= text[i] <= 13), None)
+            if cut is None:
+                found = _SPACE.search(text, end)
+                cut = found.start() if found else len(text)
+            end = cut
+        part = text[first:end]
+        words = part.split(None, 1)
+        out.append((part, bool(out and words) and words[0] == last))
+        if words:
+            last = part.rsplit(None, 1)[-1]
+        first = max(end, first + 1)
+    return out
+
+
+def train(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a vector for each bucket, output weights of both labels, their biases)."""
     rng = np.random.default_rng(seed)
     bags = []
     for _, pack in common.packs(texts):
@@ -97,19 +131,27 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> np.ndarray:
             bias -= rate * 0.05 * p
             if len(ids):
                 vectors[ids] -= rate * (share * np.float32(20))[:, None] * grad[None, :]
+    return vectors, out, bias
+
+
+def folded(vectors: np.ndarray, out: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """One number per bucket: its share of logit(label 1) - logit(label 0). Last entry: the bias."""
     return np.append(vectors @ (out[1] - out[0]), bias[1] - bias[0]).astype(np.float32)
 
 
 def scores(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
     """Probability of label 1 for each text; a text of any length is read whole, a piece at a time."""
     total, count = np.zeros(len(texts)), np.zeros(len(texts))
-    pieces: list[bytes] = []
+    parts: list[bytes] = []
     owner: list[int] = []
     for i, text in enumerate(texts):
-        for k in range(0, max(1, len(text)), common.PACK_BYTES):
-            pieces.append(text[k : k + common.PACK_BYTES])
+        for part, again in pieces(text, common.PACK_BYTES):
+            parts.append(part)
             owner.append(i)
-    for first, pack in common.packs(pieces):
+            if again:
+                total[i] += weights[AGAIN]
+                count[i] += 1
+    for first, pack in common.packs(parts):
         found, at = features(pack)
         sums = np.concatenate([[0.0], np.cumsum(weights[found], dtype=np.float64)])
         for j in range(len(pack)):
@@ -122,15 +164,30 @@ def scores(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
 def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "quality", rows: int = SAMPLE_ROWS, limit: int = SAMPLE_BYTES) -> list:
     """Up to ``rows`` (text, label) pairs in an order given by the ids' hashes: the same rows in every run.
 
-    The labels are cut first (a bounded number of ids is broadcast), so the texts of the corpus aren't moved.
+    Rows are taken in this order while the bytes of those before are under ``limit``, so the length
+    of a text doesn't decide on it. The labels are cut first (a bounded number of ids is broadcast),
+    so the texts of the corpus aren't moved.
     """
     picked = (
         labels.where(usable & F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1))
         .groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
         .orderBy(common.hash_order(F.col("doc_id")), "doc_id").limit(rows)
     )
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").where(F.octet_length("text") <= limit)
-    return found.select("text", "label").orderBy(common.hash_order(F.col("doc_id")), common.hash_order(F.col("text"))).limit(rows).collect()
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    order = [common.hash_order(F.col("doc_id")), common.hash_order(F.col("text"))]
+    # Sizes are added up before any text is fetched; a repeated id can have more rows than the sample.
+    sizes = found.select("doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").alias("size"), order[0].alias("a"), order[1].alias("b")).orderBy("a", "b").limit(rows).collect()
+    before, taken = 0, []
+    for r in sizes:
+        if before >= limit:
+            break
+        taken.append((r["doc_id"], r["h"]))
+        before += r["size"]
+    if not taken:
+        return []
+    wanted = docs.sparkSession.createDataFrame(sorted(set(taken)), "doc_id long, h long")
+    found = found.withColumn("h", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "h"], "left_semi")
+    return found.orderBy(*order).limit(len(taken)).select("text", "label").collect()
 
 
 def score_quality(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,7 +210,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     sample = labelled_sample(docs, labels, ~common.held_out(F.col("doc_id")))
     if sample:
-        weights = train(common.utf8(r["text"] for r in sample), np.array([r["label"] for r in sample]))
+        weights = folded(*train(common.utf8(r["text"] for r in sample), np.array([r["label"] for r in sample])))
     else:
         weights = np.zeros(BUCKETS + 1, np.float32)
     return score_quality(docs, weights).select(

@@ -59,6 +59,48 @@ def test_quality_features_by_hand():
         assert sorted(f[a[n] : a[n + 1]].tolist()) == sorted(quality.features([t])[0].tolist())
 
 
+def bucket(code, n):
+    return ((code + n) * int(common.PRIME) & (2**64 - 1)) >> 46
+
+
+def bag_by_hand(text):
+    """Buckets of a text's features, one at a time."""
+    hasher = common.WordHasher()
+    out, before = [], None
+    for word in re.split(r"[ \t-\r]+", text.strip(" \t\n\x0b\f\r")):
+        if not word:
+            continue
+        out.append(int(hasher.words(np.frombuffer(word.encode(), np.uint8))[2][0]) >> 46)
+        out += [quality.AGAIN] if word == before else []
+        before = word
+        chars = [32, *(int.from_bytes(c.encode(), "big") for c in word), 32]
+        for n in quality.GRAMS:
+            for k in range(len(chars) - n + 1):
+                if all(c != 32 for c in chars[k + 1 : k + n - 1]) and not chars[k] == 32 == chars[k + n - 1]:
+                    code = 0
+                    for c in chars[k : k + n]:
+                        code = (code * int(common.PRIME) + c) & (2**64 - 1)
+                    out.append(bucket(code, n))
+    return out
+
+
+def test_quality_scores_by_explicit_forward_pass(spark, prose, monkeypatch):
+    """Mean of the features' vectors, then softmax, against the folded table; long texts in pieces, one of them a single word."""
+    texts = ["çédille ñandú 漢字 x", "again again more", prose(40, 1), "w" * 90 + " w", "漢" * 70, " lead", "", prose(30, 2) + " same same " + prose(30, 3)]
+    vectors, out, bias = quality.train([t.encode() for t in texts], np.arange(len(texts)) % 2)
+    for limit in (common.PACK_BYTES, 37):
+        monkeypatch.setattr(common, "PACK_BYTES", limit)
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        got = {n: s for n, s in enumerate(quality.scores([t.encode() for t in texts], quality.folded(vectors, out, bias)))}
+        if limit > 100:
+            assert {r["doc_id"]: r["score"] for r in quality.score_quality(df, quality.folded(vectors, out, bias)).collect()} == got
+        for n, text in enumerate(texts):
+            bag = bag_by_hand(text)
+            logit = out @ (vectors[bag].mean(axis=0) if bag else np.zeros(quality.DIM)) + bias
+            p = np.exp(logit - logit.max())
+            assert abs(got[n] - p[1] / p.sum()) < 1e-4, (limit, text)
+
+
 def test_quality_cases(spark, hard_docs, no_docs):
     labels = spark.createDataFrame([(0, 1), (2, 0), (4, 1), (6, None), (None, 1), (8, 7)], "doc_id long, quality int")
     out = quality.classify(hard_docs, labels)
@@ -228,6 +270,15 @@ def test_overlaps_whole_and_inner_pieces(spark, prose):
     assert set(got) == {d for d, _ in docs} and got[9999]["n_overlap"] == 400 == got[9999]["n_equal"]
 
 
+def test_overlaps_with_few_equal_tokens_in_the_longest_stretch(spark, prose):
+    """The longest stretch of the diagonal has 9 equal tokens of 11, another 10 of 10."""
+    item = prose(40, 1).split()
+    text = [w if k in (0, 1, 2, 4, 5, 6, 8, 9, 10) or 20 <= k < 30 else "other" for k, w in enumerate(item)]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = decontaminate.overlaps(spark.createDataFrame([(1, " ".join(text))], "doc_id long, text string"), bench).collect()
+    assert [(r["doc_start"], r["n_equal"]) for r in got] == [(20, 10)]
+
+
 def test_shuffled_seeds_carry_no_tokens(spark, prose, monkeypatch):
     """Beyond the broadcast bound a row of the seed shuffle doesn't grow with its document."""
     monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
