@@ -9,6 +9,7 @@ tables indexed by byte pairs, which gives the same activations without a matrix
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,8 +23,10 @@ from . import common
 
 WINDOW, DIM, FILTERS, WIDTHS = 192, 8, 16, (2, 4)
 EPOCHS, BATCH, RATE = 10, 32, 0.15
-#: Labelled rows of each language to learn from, at most; windows taken of each; longest text among them in bytes.
-SAMPLE_ROWS, SAMPLE_WINDOWS, SAMPLE_BYTES = 600, 3, 16384
+#: Labelled rows of each language to learn from, about; windows taken of each, from anywhere in its text. Only training is bounded so.
+SAMPLE_ROWS, SAMPLE_WINDOWS = 600, 3
+#: A window to learn from has at least so many letters.
+LEAST_LETTERS = 4
 UNKNOWN = "und"
 
 #: Letters are lower-cased where they are single bytes; other ASCII is white space. Bytes from 128 stay.
@@ -62,26 +65,35 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[bytes], langs: list[str], seed: int = 5) -> Model:
-    """Fit the network on windows of the texts by plain stochastic gradient descent with momentum."""
+def chosen_windows(text: bytes, count: int = SAMPLE_WINDOWS) -> bytes:
+    """Up to ``count`` of the text's windows, drawn by a number from the text itself."""
+    w = windows(text)
+    rng = np.random.default_rng(zlib.crc32(text))
+    return w[rng.permutation(len(w))[:count]].tobytes()
+
+
+def train(samples: list[bytes], langs: list[str], seed: int = 5) -> Model | None:
+    """Fit the network on windows (each sample holds some) by plain stochastic gradient descent with momentum; None without a usable window."""
     rng = np.random.default_rng(seed)
-    names = sorted(set(langs))
     rows, labels = [], []
-    for text, lang in zip(texts, langs):
-        w = windows(text)
-        for i in rng.permutation(len(w))[:SAMPLE_WINDOWS]:
-            row = w[i].copy()
+    for sample, lang in zip(samples, langs):
+        for row in np.frombuffer(sample, np.uint8).reshape(-1, WINDOW).copy():
             if rng.random() < 0.3:  # short texts must be told apart too
                 row[rng.integers(8, WINDOW) :] = 32
-            if (row != 32).sum() >= 4:
+            if (row != 32).sum() >= LEAST_LETTERS:
                 rows.append(row)
-                labels.append(names.index(lang))
+                labels.append(lang)
+    if not rows:
+        return None
+    names = sorted(set(labels))
+    place = {n: i for i, n in enumerate(names)}
+    labels = [place[x] for x in labels]
     k = len(names)
     model = Model(
         names, rng.normal(0, 0.5, (256, DIM)), [rng.normal(0, 1 / np.sqrt(w * DIM), (w, DIM, FILTERS)) for w in WIDTHS],
         [np.zeros(FILTERS) for _ in WIDTHS], rng.normal(0, 0.3, (FILTERS * len(WIDTHS), k)), np.zeros(k),
     )
-    if not rows or k == 1:
+    if k == 1:
         return model
     data, label = np.array(rows), np.array(labels)
     share = np.bincount(label, minlength=k) / len(label)
@@ -156,27 +168,38 @@ class Predictor:
         return [self.model.names[i] for i in best], np.clip(mean[np.arange(len(best)), best], 0, 1)
 
 
-def labelled_sample(docs: DataFrame, usable: Column, rows: int = SAMPLE_ROWS, limit: int = SAMPLE_BYTES) -> list:
-    """About ``rows`` (text, lang) pairs of each language, picked by the ids' hashes: the same in every run.
+def labelled_sample(docs: DataFrame, usable: Column, rows: int = SAMPLE_ROWS) -> list:
+    """(windows, lang) of about ``rows`` rows of each language, picked by the ids' hashes: the same in every run.
 
-    One pass counts the languages, a second keeps the rows below each language's share of the hash range.
+    One pass counts the languages, a second keeps the rows below each language's share of the hash
+    range, whatever their length. Only their chosen windows reach the driver: it holds at most
+    SAMPLE_WINDOWS windows of each of these rows, so what it holds grows with the languages alone.
     """
-    known = docs.where(usable & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(500)
-    share = F.pmod(common.hash_order(F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = known.join(F.broadcast(counts), "lang").where((share * F.col("count") < rows) & (F.octet_length("text") <= limit) & F.col("text").rlike(r"\p{L}"))
-    return picked.orderBy(common.hash_order(F.col("doc_id")), common.hash_order(F.col("text"))).limit(rows * 20).select("text", "lang").collect()
+    known = docs.where(usable & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = known.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    # Rows are told apart by their texts where ids repeat.
+    share = F.pmod(common.hash_order(F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    picked = known.join(counts, "lang").where((share * F.col("n") < rows) & F.col("text").rlike(r"\p{L}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [chosen_windows(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary()), batch.column(2)], ["doc_id", "windows", "lang"])
+
+    found = picked.select("doc_id", "text", "lang").mapInArrow(run, "doc_id string, windows binary, lang string").distinct()
+    return sorted(found.collect(), key=lambda r: (zlib.crc32(r["doc_id"].encode()), r["doc_id"], r["windows"]))
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of ``docs`` with ``lang_pred`` and ``score``; a column of such a name is replaced.
+def identify(docs: DataFrame, model: Model | None, lang: str = "lang_pred", score: str = "score", text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` with the language in ``lang`` and its probability in ``score``; columns of such names get an underscore in front.
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything if there is no model.
     """
-    base = docs.drop("lang_pred", "score")
-    if model is None or not model.names:
-        return base.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
-    letter, place = common.fresh("has_letter", base.columns), base.columns.index("text")
+    base = common.set_aside(docs, lang, score, keep=(text_col,))
+    if model is None:
+        return base.withColumns({lang: F.lit(UNKNOWN), score: F.lit(0.0)})
+    letter, place = common.fresh("has_letter", base.columns), [c.lower() for c in base.columns].index(text_col.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(model)
@@ -189,22 +212,22 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 probs += b.tolist()
             known = batch.column(batch.num_columns - 1).to_pylist()
             made = [pa.array([x if k else UNKNOWN for x, k in zip(langs, known)], pa.string()), pa.array([x if k else 0.0 for x, k in zip(probs, known)], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], lang, score])
 
-    schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return base.withColumn(letter, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, schema)
+    schema = T.StructType([*base.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
+    return base.withColumn(letter, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, schema)
 
 
 def learnt(docs: DataFrame, usable: Column) -> Model | None:
     sample = labelled_sample(docs, usable)
-    return train(common.utf8(r["text"] for r in sample), [r["lang"] for r in sample]) if sample else None
+    return train([bytes(r["windows"]) for r in sample], [r["lang"] for r in sample])
 
 
 def classify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row, learnt from the rows that aren't held out.
 
-    Defined cases: as for :func:`identify`; rows without an id or a language are never learnt from.
+    Defined cases: as for :func:`identify`; rows without an id or a language are never learnt from;
+    without a usable labelled window everything is ``und``; other columns are ignored.
     """
-    slim = docs.select("doc_id", "text", "lang")
-    model = learnt(slim, ~common.held_out(F.col("doc_id")))
-    return identify(slim.select("doc_id", "text"), model).select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    model = learnt(docs, ~common.held_out(F.col("doc_id")))
+    return identify(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")), model).select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
