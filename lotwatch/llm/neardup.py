@@ -20,13 +20,18 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bands of signature values. A pair at similarity 0.75 is missed with probability (1 - 0.75**6)**50 = 5e-5.
+#: Bands of signature values. A pair of large sets at similarity 0.75 is missed with probability (1 - 0.75**6)**50 = 5e-5.
 BANDS, ROWS = 50, 6
+#: In small sets minimum and maximum aren't independent and more pairs would be missed. Sets of up to SHORT shingles have
+#: bands of 4 values, and those of over SHORT * 0.75 the others, so that any two sets that may be linked share one kind.
+SHORT, SHORT_BANDS, SHORT_ROWS = 54, 75, 4
 WIDTH = 5
 #: Candidate ids are broadcast up to this many (8 bytes each), and shuffled beyond.
 BROADCAST_IDS = 500_000
 #: Leftover pairs of a bucket of up to this many classes are listed; larger ones are compared block by block.
 BUCKET, BLOCK = 64, 128
+#: Shingles that a block comparison lays out at a time.
+CHUNK = 4096
 _HASHER: common.WordHasher | None = None
 
 
@@ -90,6 +95,17 @@ def signatures(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS, see
     return keys
 
 
+def band_keys(sets: list[np.ndarray], percent: int = 75) -> list[np.ndarray]:
+    """The keys under which each set looks for others: by its size those of the short bands, of the long ones, or both."""
+    n = np.array([len(s) for s in sets])
+    short, long = np.flatnonzero((n > 0) & (n <= SHORT)), np.flatnonzero(100 * n > percent * SHORT)
+    out = [np.zeros(0, np.uint64)] * len(sets)
+    for which, keys in ((long, signatures([sets[i] for i in long])), (short, signatures([sets[i] for i in short], SHORT_BANDS, SHORT_ROWS, seed=8))):
+        for i, k in zip(which, keys):
+            out[i] = np.concatenate([out[i], k])
+    return out
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
     flat = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
@@ -104,14 +120,16 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[
             yield ids.slice(first, len(pack)), shingle_sets(pack)
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    key = np.random.default_rng(3).integers(0, 2**63, 2, dtype=np.uint64)
-    for ids, sets in _pieces(batches):
-        sign = signatures(sets)
-        with np.errstate(over="ignore"):
-            digest = [np.array([common.mixed(s ^ k).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for k in key]
-        columns = [ids, pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, digest), _lists(list(sign))]
-        yield pa.RecordBatch.from_arrays(columns, ["node", "n_shingles", "d1", "d2", "bands"])
+def _signed(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = np.random.default_rng(3).integers(0, 2**63, 2, dtype=np.uint64)
+        for ids, sets in _pieces(batches):
+            with np.errstate(over="ignore"):
+                digest = [np.array([common.mixed(s ^ k).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for k in key]
+            columns = [ids, pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, digest), _lists(band_keys(sets, percent))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n_shingles", "d1", "d2", "bands"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,12 +143,17 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star contraction until nothing changes; every step is two
     aggregations and joins on the node, written to the shared folder.
     """
-    state, before = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), None
+    state, before, table = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), None, None
     while True:
         state = common.written(state, "components")
+        if table is not None:
+            common.release(table)
+        table = state
         seen = tuple(state.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.max("v")).first())
         if seen == before or not seen[0]:
-            return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = state.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out._lotwatch_path = table._lotwatch_path
+            return out
         before = seen
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -158,9 +181,16 @@ def _block_links(percent: int):
         nodes, root = rows["node"].to_numpy(), rows["root"].to_numpy().copy()
         n = np.array([len(s) for s in sets])
         _, word = np.unique(np.concatenate(sets), return_inverse=True)
-        hold = np.zeros((len(sets), word.max() + 1), np.float32)
-        hold[np.repeat(np.arange(len(sets)), n), word] = 1
-        k = np.rint(hold @ hold.T)
+        owner, k = np.repeat(np.arange(len(sets)), n), np.zeros((len(sets), len(sets)))
+        order = np.argsort(word, kind="stable")
+        word, owner = word[order], owner[order]
+        # Some thousand shingles at a time, so that memory doesn't grow with the sets.
+        edge = np.searchsorted(word, np.arange(0, word[-1] + CHUNK + 1, CHUNK))
+        for c, (lo, hi) in enumerate(zip(edge[:-1], edge[1:])):
+            hold = np.zeros((len(sets), CHUNK), np.float32)
+            hold[owner[lo:hi], word[lo:hi] - c * CHUNK] = 1
+            k += hold @ hold.T
+        k = np.rint(k)
         out = []
         for i, j in zip(*np.nonzero(np.triu(100 * k >= percent * (n[:, None] + n[None, :] - k), 1))):
             if root[i] != root[j]:
@@ -215,7 +245,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    signed = common.written(base.mapInArrow(_signed, "node long, n_shingles long, d1 long, d2 long, bands array<long>"), "signed")
+    signed = common.written(base.mapInArrow(_signed(percent), "node long, n_shingles long, d1 long, d2 long, bands array<long>"), "signed")
     known = signed.where("node is not null and n_shingles > 0")
     classes = common.written(known.groupBy("d1", "d2").agg(F.min("node").alias("rep")), "classes")
     rows = (
@@ -252,7 +282,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = more.unionByName(_leftover(at, hot, sets, percent))
     more = common.written(more, "more-links")
     if not more.isEmpty():
-        root = components(links.unionByName(more))
+        older, root = root, components(links.unionByName(more))
+        common.release(older)
+    common.release(full, members, sets, links, at, left, more)
     named = classes.join(root, classes.rep == root.node, "left").select("d1", "d2", F.coalesce("root", "rep").alias("component_id"))
     # An id with several texts is one node: what its texts reach is one component, so the least of them is the answer.
     out = signed.where("n_shingles > 0 and node is not null").select("node", "n_shingles", "d1", "d2").join(named, ["d1", "d2"])

@@ -81,6 +81,32 @@ def test_defined_cases(spark, hard_docs, no_docs):
     assert neardup.near_duplicates(no_docs).count() == 0
 
 
+def test_short_texts_lose_no_link(spark, prose):
+    """Pairs at exactly 0.75 of very few shingles, and pairs on both sides of the sizes where the bands change."""
+    rng, rows = random.Random(8), []
+    for k in range(300):
+        a = prose(7, 2 * k).split()
+        rows += [a, [*a, "more"]]
+    for k, n in enumerate([38, 40, 41, 52, 54, 55, 58, 60, 70, 72] * 6):
+        a = prose(n, 9000 + k).split()
+        rows += [a, [*a, *prose(n // 4 - 2, 5000 + k).split()], edited(" ".join(a), 1, rng).split()]
+    rows = list(enumerate(map(" ".join, rows)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and sum(k != v[1] for k, v in got.items()) > 350
+
+
+def test_block_comparison_lays_out_few_shingles(monkeypatch):
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    base = np.unique(rng.integers(0, 2**62, 3000))
+    sets = [base, base[100:], base[:2000], np.unique(rng.integers(0, 2**62, 5000)), base[900:]]
+    rows = pd.DataFrame({"node": range(5), "root": range(5), "shingles": sets})
+    expect = neardup._block_links(75)(rows)
+    monkeypatch.setattr(neardup, "CHUNK", 7)
+    assert neardup._block_links(75)(rows).equals(expect) and sorted(map(tuple, expect.itertuples(index=False))) == [(0, 1)]
+
+
 def test_signature_agreement_estimates_similarity():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 2000, dtype=np.uint64)
