@@ -340,6 +340,62 @@ def test_neighbours_cases(spark):
     assert ann.search(df.limit(0), F.col("vec_id") % 100 == 0).isEmpty() and ann.search(df, F.col("vec_id") == -1).isEmpty()
 
 
+def recall(spark, rows, **settings):
+    """(recall of the 10 nearest at queries with ids divisible by 100, answers) against brute force."""
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>").repartition(4)
+    got = defaultdict(list)
+    for r in ann.search(df, F.col("vec_id") % 100 == 0, **settings).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    expect = brute_neighbours(rows)
+    assert set(got) == set(expect) and all(len(v) == len(expect[q]) for q, v in got.items())
+    return np.mean([len({v for v, _ in got[q]} & {v for v, _ in expect[q]}) / max(1, len(expect[q])) for q in expect]), got, expect
+
+
+def test_neighbours_of_clusters(spark, monkeypatch):
+    """Clustered vectors: recall holds and few pairs are compared; crowded buckets are dealt in blocks."""
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(40, 24)) * 4
+    rows = [(i, (centers[i % 40] + rng.normal(size=24) * 0.3).astype(np.float32)) for i in range(3000)]
+    found, got, expect = recall(spark, rows)
+    assert found >= 0.95 and all(abs(s - dict(expect[q]).get(v, s)) < 1e-12 for q in got for v, s in got[q])
+    monkeypatch.setattr(ann, "VECTORS", 20)
+    monkeypatch.setattr(ann, "QUERIES", 3)
+    monkeypatch.setattr(ann, "GROUP_ROWS", 100)
+    assert recall(spark, rows)[0] >= 0.95
+    index = ann.Index(24, 2.8 * 1.3)
+    x = np.array([v for _, v in rows], np.float64)
+    codes, probes = index.codes(x), index.probe_codes(x[:100:20])
+    met = np.zeros((5, len(x)), bool)
+    for t in range(index.tables):
+        for i in range(5):
+            met[i] |= np.isin(codes[:, t], probes[i, t])
+    assert met.mean() <= 0.05
+
+
+def test_neighbours_of_equal_vectors(spark):
+    """A vector that a third of all rows share, many of them queries, is searched once; the answers are exact."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [1.0, 2.0, 3.0] if i % 3 == 0 else rng.normal(size=3).round(1)) for i in range(1500)]
+    found, got, expect = recall(spark, rows)
+    assert found >= 0.95 and [v for v, _ in got[300]] == [v for v, _ in expect[300]] and all(s == 0 for _, s in got[300])
+
+
+def test_neighbours_of_every_length(spark):
+    rng = np.random.default_rng(5)
+    two, three = [(i, rng.normal(size=2)) for i in range(0, 400, 2)], [(i, rng.normal(size=3)) for i in range(1, 60, 2)] + [(900, rng.normal(size=3))]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in two + three], "vec_id long, embedding array<double>").selectExpr("*", "1 as c1", "2 as ids", "'x' as score")
+    got = defaultdict(list)
+    for r in ann.search(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert set(got) == {0, 100, 200, 300, 900} and all(len(v) == 10 for v in got.values()) and all(v % 2 for v in got[900])
+
+
+def test_neighbours_of_repeated_ids(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [9.0, 9.0]), (1, [1.0, 0.5]), (1, [9.0, 8.0]), (2, [5.0, 5.0])], "vec_id long, embedding array<double>")
+    out = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert out == [(0, 1, 1, 0.5), (0, 2, 2, 32**0.5)]
+
+
 def test_probe_order_is_by_score():
     order = ann.probe_order(4, 30)
     e = [j * (j + 1) / (4 * 5 * 6) if j <= 4 else 1 - (9 - j) / 5 + (9 - j) * (10 - j) / (4 * 5 * 6) for j in range(1, 9)]
