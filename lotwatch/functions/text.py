@@ -6,6 +6,7 @@ import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Legal forms and trade words that names are compared without.
 LEGAL_SUFFIXES = (
@@ -47,14 +48,23 @@ def strip(col: Column) -> Column:
 
 
 def fold_accents(col: Column) -> Column:
-    """Compatibility decomposition without combining marks, for characters that decompose to one plain character."""
-    source, target = [], []
-    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F)]:
+    """Compatibility decomposition without combining marks, for all characters of the scripts that names are written in.
+
+    One-to-one decompositions are one translation; longer ones (ligatures, fractions, signs of several letters) are replaced
+    where a text has any.
+    """
+    source, target, longer = [], [], {}
+    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2000, 0x2190), *range(0x2460, 0x2500), *range(0x3200, 0x3400), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
         plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
         if len(plain) == 1 and plain != chr(code):
             source.append(chr(code))
             target.append(plain)
-    return F.translate(F.regexp_replace(col, r"\p{M}", ""), "".join(source), "".join(target))
+        elif len(plain) > 1:
+            longer[chr(code)] = plain
+    text = F.translate(F.regexp_replace(col, r"\p{M}", ""), "".join(source), "".join(target))
+    table = F.create_map(*[F.lit(x) for kv in longer.items() for x in kv])
+    spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.when(text.rlike("[" + "".join(longer) + "]"), spelled).otherwise(text)
 
 
 def normalize_name(col: Column) -> Column:
@@ -98,10 +108,11 @@ def infer_severity(col: Column, missing: str | None = "unclassified") -> Column:
 
 
 def map_severity(col: Column) -> Column:
-    """Exact "Class I/II/III"; null for nothing, unclassified for anything else."""
+    """Exact "Class I/II/III", blanks at the ends aside; null for nothing, unclassified for anything else."""
+    said = strip(col)
     return (
-        F.when(col.isNull() | (col == ""), F.lit(None)).when(col == "Class I", "class_1").when(col == "Class II", "class_2")
-        .when(col == "Class III", "class_3").otherwise("unclassified")
+        F.when(col.isNull() | (col == ""), F.lit(None)).when(said == "Class I", "class_1").when(said == "Class II", "class_2")
+        .when(said == "Class III", "class_3").otherwise("unclassified")
     )
 
 
@@ -137,12 +148,32 @@ def sorted_list(col: Column) -> Column:
     return F.array_join(F.sort_array(F.coalesce(col, F.array().cast("array<string>"))), ",")
 
 
-def document_hash(metadata: Column | None = None) -> Column:
-    """Content hash of a normalized document: raw text and times don't count, the order of lists doesn't."""
-    c = F.col
-    parts = [c("source_id"), c("source_url"), c("jurisdiction"), c("document_type"), c("document_id"), c("title"), sorted_list(c("active_ingredients")),
-             sorted_list(c("manufacturers")), sorted_list(c("product_names")), c("severity"), c("date_published")]
-    return content_hash(*parts, *([] if metadata is None else [F.to_json(F.map_from_entries(F.sort_array(F.map_entries(metadata))))]))
+def canonical_json(col: Column, kind: T.DataType) -> Column:
+    """JSON with the keys in order, whatever form the metadata has: a map, a struct, a variant or JSON text. Missing metadata is ``{}``."""
+
+    def ordered(c: Column, t: T.DataType) -> Column:
+        if isinstance(t, T.StructType):
+            return F.struct(*[ordered(c[f.name], f.dataType).alias(f.name) for f in sorted(t.fields, key=lambda f: f.name)])
+        if isinstance(t, T.MapType):
+            return F.map_from_entries(F.array_sort(F.map_entries(F.transform_values(c, lambda _, v: ordered(v, t.valueType)))))
+        return F.transform(c, lambda x: ordered(x, t.elementType)) if isinstance(t, T.ArrayType) else c
+
+    keep = {"ignoreNullFields": "false"}
+    if isinstance(kind, T.StringType):
+        made = F.coalesce(F.to_json(F.try_parse_json(col)), col)
+    else:
+        made = F.when(col.isNotNull(), F.to_json(ordered(col, kind), keep))
+    return F.coalesce(made, F.lit("{}"))
+
+
+def document_hash(schema: T.StructType) -> Column:
+    """Content hash of a normalized document of this schema: address, number, title, lists, class, dates and metadata. Raw text and times don't count, the order of lists doesn't."""
+    have = {f.name: f.dataType for f in schema.fields}
+    c = lambda n: F.col(n) if n in have else F.lit(None).cast("string")
+    items = lambda n: sorted_list(F.col(n)) if n in have else F.lit("")
+    metadata = canonical_json(F.col("raw_metadata"), have["raw_metadata"]) if "raw_metadata" in have else F.lit("{}")
+    parts = [c("source_id"), c("source_url"), c("document_id"), c("title"), items("product_names"), items("active_ingredients"), items("manufacturers"), c("severity"), c("date_published"), c("date_effective")]
+    return content_hash(*parts, metadata)
 
 
 def safe_name(url: Column, number: Column | None = None, prefix: str = "doc_") -> Column:

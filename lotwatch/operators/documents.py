@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +39,7 @@ def validate(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def to_document(docs: DataFrame) -> DataFrame:
     """Stored form: with the content hash and the ingredients' comparison keys."""
-    return docs.withColumns({"normalized_hash": document_hash(), "active_ingredients_normalized": F.transform("active_ingredients", normalize_ingredient)})
+    return docs.withColumns({"normalized_hash": document_hash(docs.schema), "active_ingredients_normalized": F.transform("active_ingredients", normalize_ingredient)})
 
 
 def _newest(key: tuple[str, ...], *order: str) -> Column:
@@ -50,11 +50,18 @@ def latest_per_url(docs: DataFrame, order: tuple[str, ...] = ("created_at desc",
     return docs.withColumn("_rank", _newest(URL, *order)).where("_rank = 1").drop("_rank")
 
 
-def dedup(docs: DataFrame, order: tuple[str, ...] = ("created_at desc", "id")) -> tuple[DataFrame, DataFrame]:
-    """(kept, versions): the newest of each address stays, the others become versions of it."""
+#: What a version keeps of the document that it archives, where the table has it.
+ARCHIVED = ("raw_text", "raw_metadata")
+
+
+def dedup(docs: DataFrame, order: tuple[str, ...] = ("created_at desc", "id"), now: datetime | None = None) -> tuple[DataFrame, DataFrame]:
+    """(kept, versions): the newest of each address stays, the others become versions of it with their text and metadata, superseded at ``now``."""
     window = f"(partition by {', '.join(URL)} order by {', '.join(order)})"
     ranked = docs.selectExpr("*", f"row_number() over {window} as _rank", f"first_value(id) over {window} as _keeper")
-    versions = ranked.where("_rank > 1").select(F.col("_keeper").alias("document_id"), F.coalesce("normalized_hash", F.lit("")).alias("normalized_hash"), F.col("id").alias("replaced_id"), F.col("created_at"))
+    held = [c for c in ARCHIVED if c in docs.columns]
+    versions = ranked.where("_rank > 1").select(
+        F.col("_keeper").alias("document_id"), F.coalesce("normalized_hash", F.lit("")).alias("normalized_hash"), *held, F.col("id").alias("replaced_id"), F.col("created_at"), F.lit(now).cast("timestamp").alias("superseded_at")
+    )
     return ranked.where("_rank = 1").drop("_rank", "_keeper"), versions
 
 
@@ -63,6 +70,11 @@ def duplicate_groups(docs: DataFrame, source: str | None = None) -> DataFrame:
     return rows.groupBy(*URL).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def duplicate_content(docs: DataFrame) -> DataFrame:
+    """(source_hash, first_id, n): contents that several documents have."""
+    return docs.groupBy("source_hash").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+
+
 def dedup_summary(docs: DataFrame) -> DataFrame:
     """Groups and surplus rows of each source, and in all (source_id null)."""
     groups = duplicate_groups(docs)
@@ -83,42 +95,47 @@ def version_chain(observed: DataFrame, order: str = "seq") -> DataFrame:
     return lagged.where("not (normalized_hash <=> previous_hash) and coalesce(previous_hash, '') != ''")
 
 
-def upsert(docs: DataFrame, incoming: DataFrame, check_for_updates: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(documents', versions, log, counts) after a batch of observations (columns of docs, and seq).
+def upsert(docs: DataFrame, incoming: DataFrame, check_for_updates: bool = True, now: datetime | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents', versions, log, counts) after a batch of observations (columns of docs, seq, and ``error`` where parsing can fail).
 
     Each observation has one outcome. Without update checks a known address is ``skip_known``. With
-    them an equal hash is ``skip_unchanged``, another one an ``update`` that archives what it
-    replaces. A new address whose bytes are stored is ``skip_same_bytes``, else ``insert``. Within
-    a batch the observations of an address follow each other by seq, and bytes belong to the first
-    address that brought them.
+    them an equal hash is ``skip_unchanged``, another one an ``update`` that archives the hash, text
+    and metadata it replaces, superseded at ``now``. A new address whose bytes are stored is
+    ``skip_same_bytes``, else ``insert``. An observation that couldn't be parsed is an ``error`` and
+    changes nothing. Within a batch the observations of an address follow each other by seq, and
+    bytes belong to the first address that brought them.
     """
-    url = ", ".join(URL)
-    stored = docs.select(*URL, F.col("id").alias("stored_id"), F.col("normalized_hash").alias("stored_hash"))
-    seen = incoming.withColumn("content_first", F.expr("row_number() over (partition by source_hash order by seq)")).join(stored, list(URL), "left")
+    url, held = ", ".join(URL), [c for c in ARCHIVED if c in docs.columns]
+    failed = F.col("error").isNotNull() if "error" in incoming.columns else F.lit(False)
+    stored = docs.select(*URL, F.col("id").alias("stored_id"), F.struct("normalized_hash", *held).alias("stored"))
+    seen = incoming.withColumn("failed", failed)
+    first = F.when(~F.col("failed"), F.expr("row_number() over (partition by source_hash, failed order by seq)"))
+    seen = seen.withColumn("content_first", first).join(stored, list(URL), "left")
     bytes_known = docs.select("source_hash").distinct().withColumn("bytes_known", F.lit(True))
     seen = seen.join(bytes_known, "source_hash", "left").withColumn("bytes_known", F.coalesce("bytes_known", F.lit(False)))
     # A new address opens at its first observation whose bytes nobody has; what comes before is skipped.
     opens = F.when(F.col("stored_id").isNull() & ~F.col("bytes_known") & (F.col("content_first") == 1), F.col("seq"))
     seen = seen.withColumn("opened", opens).withColumn("opened", F.expr(f"min(opened) over (partition by {url})"))
-    live = F.col("stored_id").isNotNull() | (F.col("seq") > F.col("opened"))
-    before = F.expr(f"lag(normalized_hash) over (partition by {url} order by seq)")
-    seen = seen.withColumn("before", F.when(F.col("seq") > F.coalesce("opened", F.lit(-1)), before)).withColumn("before", F.coalesce("before", "stored_hash"))
+    live = F.coalesce(F.col("stored_id").isNotNull() | (F.col("seq") > F.col("opened")), F.lit(False))
+    before = F.expr(f"lag(struct({', '.join(['normalized_hash', *held])})) over (partition by {url}, failed order by seq)")
+    seen = seen.withColumn("before", F.when(F.col("seq") > F.coalesce("opened", F.lit(-1)), before)).withColumn("before", F.coalesce("before", "stored"))
     action = (
-        F.when(F.coalesce(live, F.lit(False)), F.when(F.lit(not check_for_updates), "skip_known").when(F.col("normalized_hash").eqNullSafe(F.col("before")), "skip_unchanged").otherwise("update"))
+        F.when(live & F.lit(not check_for_updates), "skip_known").when(F.col("failed"), "error")
+        .when(live, F.when(F.col("normalized_hash").eqNullSafe(F.col("before.normalized_hash")), "skip_unchanged").otherwise("update"))
         .when(F.col("seq") == F.col("opened"), "insert").otherwise("skip_same_bytes")
     )
     log = seen.withColumn("action", action)
     last = log.where("action in ('insert', 'update')").withColumn("_rank", F.expr(f"row_number() over (partition by {url} order by seq desc)")).where("_rank = 1")
     new = last.withColumn("id", F.coalesce("stored_id", "id")).select(*docs.columns)
     kept = docs.join(new.select(*URL), list(URL), "left_anti")
-    versions = log.where("action = 'update' and coalesce(before, '') != ''").select(*URL, F.col("before").alias("normalized_hash"), "seq")
+    versions = log.where("action = 'update' and coalesce(before.normalized_hash, '') != ''").select(*URL, "before.*", "seq", F.lit(now).cast("timestamp").alias("superseded_at"))
     return kept.unionByName(new), versions, log, ingest_counts(log)
 
 
 def ingest_counts(log: DataFrame) -> DataFrame:
-    """added, updated and skipped of each source."""
+    """added, updated, skipped and failed of each source."""
     one = lambda *a: F.count_if(F.col("action").isin(*a))
-    return log.groupBy("source_id").agg(one("insert").alias("added"), one("update").alias("updated"), one("skip_known", "skip_unchanged", "skip_same_bytes").alias("skipped"))
+    return log.groupBy("source_id").agg(one("insert").alias("added"), one("update").alias("updated"), one("skip_known", "skip_unchanged", "skip_same_bytes").alias("skipped"), one("error").alias("failed"))
 
 
 def enforce_reference(child: DataFrame, parent: DataFrame, column: str, on_missing: str = "cascade") -> DataFrame:

@@ -4,6 +4,7 @@ from datetime import date, datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lotwatch.functions import dates, text
 
@@ -70,5 +71,25 @@ def test_hash_cases(spark):
     base = dict(source_id="s", source_url="u", jurisdiction="KE", document_type="recall", document_id="1", title="t", active_ingredients=["b", "a"], manufacturers=["x", "y"], product_names=["p"], severity="class_1", date_published=date(2024, 1, 1), raw_text="r")
     schema = "source_id string, source_url string, jurisdiction string, document_type string, document_id string, title string, active_ingredients array<string>, manufacturers array<string>, product_names array<string>, severity string, date_published date, raw_text string"
     rows = [base, base | {"raw_text": "other"}, base | {"manufacturers": ["y", "x"]}, base | {"severity": "class_2"}, base | {"manufacturers": ["x"]}, base | {"title": None}]
-    h = [r[0] for r in spark.createDataFrame(rows, schema).select(text.document_hash()).collect()]
+    h = [r[0] for r in spark.createDataFrame(rows, schema).select(text.document_hash(T.StructType.fromDDL(schema))).collect()]
     assert h[0] == h[1] == h[2] and len({h[0], h[3], h[4], h[5]}) == 4
+
+
+def test_hash_covers_dates_and_metadata(spark):
+    """Batch numbers and the effective date make another document; the order of metadata's keys and its form don't."""
+    schema = "source_id string, source_url string, title string, date_published date, date_effective date, raw_metadata map<string,string>"
+    base = dict(source_id="s", source_url="u", title="t", date_published=date(2024, 1, 1), date_effective=None, raw_metadata={"batch": "1", "reason": "x"})
+    rows = [base, base | {"raw_metadata": {"reason": "x", "batch": "1"}}, base | {"date_effective": date(2024, 2, 1)}, base | {"raw_metadata": {"batch": "2", "reason": "x"}}, base | {"raw_metadata": {}}, base | {"raw_metadata": None}]
+    df = spark.createDataFrame(rows, schema)
+    h = [r[0] for r in df.select(text.document_hash(df.schema)).collect()]
+    assert h[0] == h[1] and h[4] == h[5] and len(set(h)) == 4
+    forms = [df.withColumn("raw_metadata", F.to_json("raw_metadata")), df.withColumn("raw_metadata", F.parse_json(F.to_json("raw_metadata")))]
+    for form in forms:
+        assert [r[0] for r in form.select(text.document_hash(form.schema)).collect()] == h
+    other = spark.createDataFrame([({"reason": "x", "batch": "1"},)], "raw_metadata struct<reason: string, batch: string>").withColumns({n: F.lit(v) for n, v in base.items() if n in ("source_id", "source_url", "title", "date_published")})
+    assert other.select(text.document_hash(other.schema)).first()[0] == h[0]
+
+
+def test_padded_class_and_ligatures(spark):
+    assert apply(spark, ["Class I ", " Class III", "  ", "", None, "class i"], text.map_severity) == ["class_1", "class_3", "unclassified", None, None, "unclassified"]
+    assert apply(spark, ["ﬁne ½ Ltd", "ＡＢＣ™ ﬂow", "№ 5 Æ"], text.normalize_name) == ["fine 1 2", "abctm flow", "no 5 æ"]
