@@ -14,8 +14,8 @@ def run_risk(tables: dict[str, DataFrame], as_of: date, now: datetime, cfg: Risk
     """All rules at ``as_of`` merged into the signal table.
 
     tables: documents, manufacturers, suppliers, county_supply, counties, signals, events. Returns
-    candidates, merged (with the action of each), signals and events; write signals and events from
-    one materialised copy of ``merged`` where the inputs are large.
+    candidates, merged (with the action of each), signals and events. Candidates and merged rows are
+    written once; signals and events are read from them.
     """
     cfg = cfg or RiskConfig()
     found = rules.all_candidates(tables, as_of, cfg)

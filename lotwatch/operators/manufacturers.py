@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_name
-from ..storage import written
+from ..storage import release, written
 from .signals import resolve_for_merge, stable_id
 
 THRESHOLD = 92.0
@@ -236,52 +236,40 @@ def merge(manufacturers: DataFrame, docs: DataFrame, signals: DataFrame, pairs:
     return {"manufacturers": kept.withColumn("aliases", aliases).drop("target", "more"), "documents": repoint(docs, good), "signals": out_signals, "events": events, "errors": errors}
 
 
-def _greedy(threshold: float):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Names of one component in input order: each joins the first canonical that its override, key or similarity names, else founds one."""
-        canon: list[tuple[str, str]] = []
-        out = []
-        for row in group.sort_values("ordinal").itertuples(index=False):
-            target = row.override if isinstance(row.override, str) else next((c for c, k in canon if k == row.key), None)
-            if target is None and canon:
-                scores = [token_set_ratio(row.key, k) for _, k in canon]
-                best = max(range(len(scores)), key=scores.__getitem__)
-                target = canon[best][0] if scores[best] >= threshold else None
-            if target is None:
-                target = row.raw
-            if all(c != target for c, _ in canon):
-                canon.append((target, row.key if target == row.raw else row.override_key))
-            out.append((row.raw, target))
-        return pd.DataFrame(out, columns=["raw", "canonical"])
-
-    return run
-
-
 def cluster_names(names: DataFrame, overrides: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(raw, canonical): names (raw, ordinal) matched against those before them, without a dimension.
-
-    Only names of equal key, of a shared override or similar enough can influence each other, so each
-    connected group of those is decided on its own, in input order.
+    """(raw, canonical): names (raw, ordinal, both distinct) matched against those before them, without a dimension.
+
+    In input order a name takes its override's canonical, else the first earlier canonical of equal
+    key, else the most similar earlier canonical (ties to the earlier), else founds one. A key founds
+    at its first name or never, as canonicals only grow; so keys are decided, in rounds of joins: one
+    that an earlier canonical takes in founds none, one whose earlier similar keys are all decided
+    otherwise does. The earliest undecided key can always be decided, and unlike keys don't wait for
+    each other. Every name then takes the best of the canonicals before it.
     """
     over = match_override(names, overrides).withColumnsRenamed({"canonical": "override"})
-    rows = names.join(over, "raw", "left").withColumns({"key": normalize_name(F.col("raw")), "override_key": normalize_name(F.col("override"))})
-    keys = rows.select("key").union(rows.where("override_key is not null").select("override_key")).distinct()
-    pairs = similar_pairs(keys.withColumnRenamed("key", "a"), keys.withColumnRenamed("key", "b"), threshold).select("a", "b")
-    edges = pairs.union(rows.where("override_key is not null").select("key", "override_key")).where("a != b").distinct()
-    label = component_labels(keys, edges)
-    grouped = rows.join(label, "key")
-    return grouped.groupBy("label").applyInPandas(_greedy(threshold), "raw string, canonical string")
-
-
-def component_labels(keys: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(key, label): the least key that each key reaches, by repeated minimum over neighbours. Each round is written to the shared folder."""
-    both = written(edges.union(edges.select("b", "a")).distinct(), "edges")
-    label = keys.select("key", F.col("key").alias("label"))
-    for _ in range(rounds):
-        near = both.join(label.select(F.col("key").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = label.join(near, F.col("key") == F.col("a"), "left").select("key", F.least("label", F.coalesce("near", "label")).alias("label"), (F.coalesce("near", "label") < F.col("label")).alias("moved"))
-        step = written(step, "labels")
-        label = step.select("key", "label")
-        if step.where("moved").isEmpty():
-            return label
-    raise RuntimeError(f"labels still change after {rounds} rounds")
+    rows = written(names.join(over, "raw", "left").withColumns({"key": normalize_name(F.col("raw")), "override_key": normalize_name(F.col("override"))}), "cluster-names")
+    # What can be a canonical: an override from its first use on, and a key from its first name without override on. ``at`` names it.
+    fixed = rows.where("override is not null").groupBy(F.col("override").alias("title"), F.col("override_key").alias("key")).agg(F.min("ordinal").alias("at"))
+    own = rows.where("override is null").groupBy("key").agg(F.min_by("raw", "ordinal").alias("title"), F.min("ordinal").alias("at"))
+    nodes = written(own.select("key", "at", "title", F.lit(False).alias("fixed")).unionByName(fixed.select("key", "at", "title", F.lit(True).alias("fixed"))), "cluster-nodes")
+    keys = nodes.select("key").distinct()
+    pairs = similar_pairs(keys.withColumnRenamed("key", "a"), keys.withColumnRenamed("key", "b"), threshold).where("a != b")
+    pairs = written(pairs.unionByName(keys.select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(1000.0).alias("score"))), "cluster-pairs")  # an equal key goes before similar ones
+    ahead = nodes.select(F.col("key").alias("b"), F.col("at").alias("b_at"))
+    edges = nodes.where("not fixed").select(F.col("key").alias("a"), "at").join(pairs, "a").join(ahead, "b").where("b_at < at")
+    edges = written(edges.select("at", "b_at"), "cluster-edges")
+    decided = written(nodes.where("fixed").select(F.col("at").alias("b_at"), F.lit(True).alias("founds")), "cluster-decided")
+    waiting = written(nodes.where("not fixed").select("at"), "cluster-open")
+    while not waiting.isEmpty():
+        found = edges.join(waiting, "at", "left_semi").join(decided, "b_at", "left").groupBy("at").agg(F.max(F.coalesce("founds", F.lit(False))).alias("taken"), F.max(F.col("founds").isNull()).alias("waits"))
+        ready = waiting.join(found, "at", "left").where("coalesce(taken, false) or not coalesce(waits, false)")
+        step = written(ready.select(F.col("at").alias("b_at"), (~F.coalesce("taken", F.lit(False))).alias("founds")), "cluster-step")
+        older = decided, waiting, step
+        decided = written(decided.unionByName(step), "cluster-decided")
+        waiting = written(waiting.join(step.select(F.col("b_at").alias("at")), "at", "left_anti"), "cluster-open")
+        release(*older)
+    canonical = nodes.join(decided.where("founds").select(F.col("b_at").alias("at")), "at", "left_semi").select(F.col("key").alias("b"), "at", "title")
+    open_ = rows.where("override is null").select("raw", "ordinal", F.col("key").alias("a"))
+    met = open_.join(pairs, "a").join(canonical, "b").where("at <= ordinal")
+    best = met.groupBy("raw").agg(F.min_by("title", F.struct(-F.col("score"), "at")).alias("title"))
+    return rows.join(best, "raw", "left").select("raw", F.coalesce("override", "title").alias("canonical"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..config import Corroboration, RepeatViolator, RiskConfig, SupplyChain
 from ..functions import severity as sev
 from ..functions.text import normalize_ingredient
+from ..storage import written
 
 RECALL_TYPES = ("recall", "alert", "enforcement")
 
@@ -52,16 +53,36 @@ def with_name(df: DataFrame, manufacturers: DataFrame) -> DataFrame:
     return df.join(names, "manufacturer_id", "left").withColumn("canonical_name", F.coalesce("canonical_name", "manufacturer_id"))
 
 
-def repeat_violators(docs: DataFrame, manufacturers: DataFrame, as_of: date, cfg: RepeatViolator | None = None, ingredient_col: str = "active_ingredients") -> DataFrame:
-    """Manufacturers over a threshold of recalls and weighted score."""
+def with_ingredient_keys(docs: DataFrame, ingredient_col: str | None) -> tuple[DataFrame, str]:
+    """``docs`` and the column of its ingredients: the one given, else the stored comparison keys, else keys made from the names."""
+    name = ingredient_col or "active_ingredients_normalized"
+    if name in docs.columns:
+        return docs, name
+    return docs.withColumn(name, F.transform("active_ingredients", normalize_ingredient)), name
+
+
+def repeat_violators(docs: DataFrame, manufacturers: DataFrame, as_of: date, cfg: RepeatViolator | None = None, ingredient_col: str | None = None) -> DataFrame:
+    """Manufacturers over a threshold of recalls and weighted score, with the most frequent ingredient key (ties by name).
+
+    One pass: recalls are first counted by manufacturer and list of ingredients, and totals and the top ingredient come
+    from these counts.
+    """
     cfg = cfg or RepeatViolator()
+    docs, ingredient_col = with_ingredient_keys(docs, ingredient_col)
     rows = by_manufacturer(recall_window(docs, as_of, cfg.window_months), "severity", ingredient_col)
-    totals = rows.groupBy("manufacturer_id").agg(
-        F.count("*").alias("recall_count"), F.sum(sev.weight(F.col("severity"), cfg.severity_weights)).alias("weighted_score"),
-        F.sort_array(F.collect_list("id")).alias("evidence_document_ids"),
+    parts = rows.groupBy("manufacturer_id", F.col(ingredient_col).alias("names")).agg(
+        F.count("*").alias("n"), F.sum(sev.weight(F.col("severity"), cfg.severity_weights)).alias("score"), F.collect_list("id").alias("ids")
+    )
+    each = parts.withColumn("name", F.explode_outer(F.concat(F.array(F.lit(None).cast("string")), F.coalesce("names", F.array().cast("array<string>")))))
+    # A row without a name stands for the part itself, the others count its ingredients.
+    whole = F.col("name").isNull()
+    by_name = each.groupBy("manufacturer_id", "name").agg(F.sum("n").alias("n"), F.sum(F.when(whole, F.col("score"))).alias("score"), F.collect_list(F.when(whole, F.col("ids"))).alias("ids"))
+    totals = by_name.groupBy("manufacturer_id").agg(
+        F.sum(F.when(whole, F.col("n"))).alias("recall_count"), F.sum("score").alias("weighted_score"), F.sort_array(F.flatten(F.flatten(F.collect_list("ids")))).alias("evidence_document_ids"),
+        F.min(F.when(~whole, F.struct((-F.col("n")).alias("n"), F.col("name").alias("x")))).alias("top"),
     )
     crossed = totals.withColumn("severity", sev.recall_level(F.col("recall_count"), F.col("weighted_score"), cfg)).where("severity is not null")
-    named = with_name(crossed.join(top_ingredient(rows, ingredient_col=ingredient_col), "manufacturer_id", "left"), manufacturers)
+    named = with_name(crossed.withColumn("active_ingredient", F.col("top.x")).drop("top"), manufacturers)
     action = F.format_string(f"Review procurement from %s: %d recall events (score %d) in {cfg.window_months} months.", "canonical_name", "recall_count", "weighted_score")
     return candidates(named.withColumns({"kind": F.lit("repeat_violator"), "recommended_action": action}))
 
@@ -71,42 +92,52 @@ def present(col: Column) -> Column:
 
 
 def county_exposure(signals: DataFrame, suppliers: DataFrame, supply: DataFrame) -> DataFrame:
-    """Matched supply facts of each signal (manufacturer, ingredient): signal_key, county, share, lead time and fact id."""
+    """(manufacturer_id, active_ingredient, ingredient_key, county_id, share, lead, supply_ids): what the supply facts of each signal add up to in each county."""
     keyed = signals.where(present(F.col("manufacturer_id")) & present(F.col("active_ingredient"))).select(
-        "manufacturer_id", F.col("active_ingredient"), normalize_ingredient(F.col("active_ingredient")).alias("ingredient_key"), "evidence_document_ids"
+        "manufacturer_id", F.col("active_ingredient"), normalize_ingredient(F.col("active_ingredient")).alias("ingredient_key")
     )
     linked = keyed.join(suppliers.select(F.col("id").alias("supplier_id"), "manufacturer_id"), "manufacturer_id")
-    facts = supply.select(F.col("id").alias("supply_id"), "county_id", "supplier_id", F.col("active_ingredient").alias("ingredient_key"), "share_pct", "lead_time_days", *(["contract_start", "contract_end"] if "contract_start" in supply.columns else []))
-    return linked.join(facts, ["supplier_id", "ingredient_key"])
+    facts = supply.select(F.col("id").alias("supply_id"), "county_id", "supplier_id", F.col("active_ingredient").alias("ingredient_key"), "share_pct", "lead_time_days")
+    matched = linked.join(facts, ["supplier_id", "ingredient_key"])
+    return matched.groupBy("manufacturer_id", "active_ingredient", "ingredient_key", "county_id").agg(F.sum("share_pct").alias("share"), F.max("lead_time_days").alias("lead"), F.collect_set("supply_id").alias("supply_ids"))
+
+
+def alternative_suppliers(exposed: DataFrame, suppliers: DataFrame, supply: DataFrame) -> DataFrame:
+    """(manufacturer_id, active_ingredient, alternative_supplier_count): other suppliers of the ingredient in the exposed counties, not linked to the manufacturer."""
+    offers = supply.select("county_id", F.col("active_ingredient").alias("ingredient_key"), "supplier_id").distinct()
+    linked = suppliers.select("manufacturer_id", F.col("id").alias("supplier_id"))
+    others = exposed.select("manufacturer_id", "active_ingredient", "ingredient_key", "county_id").join(offers, ["county_id", "ingredient_key"]).join(linked, ["manufacturer_id", "supplier_id"], "left_anti")
+    return others.groupBy("manufacturer_id", "active_ingredient").agg(F.countDistinct("supplier_id").alias("alternative_supplier_count"))
 
 
 def supply_chain_exposure(
     signals: DataFrame, suppliers: DataFrame, supply: DataFrame, counties: DataFrame, manufacturers: DataFrame, cfg: SupplyChain | None = None,
     as_of: date | None = None, contracts_valid: bool = False,
 ) -> DataFrame:
-    """Counties that depend on flagged manufacturers' suppliers, one candidate for each manufacturer and ingredient."""
+    """Counties that depend on flagged manufacturers' suppliers, one candidate for each manufacturer and ingredient.
+
+    The sums by signal and county, a small table, are written once; everything else is read from them.
+    """
     cfg = cfg or SupplyChain()
     key = ["manufacturer_id", "active_ingredient"]
     if contracts_valid:
         supply = supply.where((F.col("contract_start").isNull() | (F.col("contract_start") <= F.lit(as_of))) & (F.col("contract_end").isNull() | (F.col("contract_end") >= F.lit(as_of))))
-    matched = county_exposure(signals, suppliers, supply)
-    county = matched.groupBy(*key, "ingredient_key", "county_id").agg(F.sum("share_pct").alias("share"), F.max("lead_time_days").alias("lead"))
+    # Several signals of one key (a stored one and a candidate) are one, with the evidence of all.
+    one = signals.groupBy(*key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence_document_ids")))).alias("evidence_document_ids"))
+    one = written(one, "exposed-signals")
+    county = written(county_exposure(one, suppliers, supply), "county-exposure")
     exposed = county.where(F.col("share") >= F.lit(cfg.min_county_share_pct))
     places = counties.select(F.col("id").alias("county_id"), F.col("name"), F.col("population"))
-    exposed = exposed.join(places, "county_id", "left").withColumns({"name": F.coalesce("name", "county_id"), "population": F.coalesce("population", F.lit(0)).cast("long")})
-    # Other suppliers of the ingredient in the exposed counties: those not linked to the manufacturer.
-    offers = supply.select("county_id", F.col("active_ingredient").alias("ingredient_key"), "supplier_id").distinct()
-    linked = suppliers.select("manufacturer_id", F.col("id").alias("supplier_id"))
-    others = exposed.select(*key, "ingredient_key", "county_id").join(offers, ["county_id", "ingredient_key"]).join(linked, ["manufacturer_id", "supplier_id"], "left_anti")
-    alternatives = others.groupBy(*key).agg(F.countDistinct("supplier_id").alias("alternative_supplier_count"))
+    placed = exposed.join(places, "county_id", "left").withColumns({"name": F.coalesce("name", "county_id"), "population": F.coalesce("population", F.lit(0)).cast("long")})
+    alternatives = alternative_suppliers(exposed, suppliers, supply)
     population = F.sum("population")
-    total = exposed.groupBy(*key).agg(
+    total = placed.groupBy(*key).agg(
         (F.sum(F.col("share").cast("decimal(18,4)") * F.col("population")) / F.greatest(population, F.lit(1))).cast("decimal(18,6)").alias("mean_share"),
         F.greatest(F.max("lead").cast("long"), F.lit(cfg.time_to_expiry_floor_days).cast("long")).alias("time_to_expiry_days"), F.sort_array(F.collect_set("name")).alias("regions_affected"),
     )
-    evidence = matched.groupBy(*key).agg(F.sort_array(F.collect_set("supply_id")).alias("evidence_supply_ids"))
-    documents = signals.select(*key, "evidence_document_ids")
-    out = total.join(alternatives, key, "left").join(evidence, key).join(documents, key)
+    # Evidence counts the facts of all counties, also of those below the threshold.
+    evidence = county.groupBy(*key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("supply_ids")))).alias("evidence_supply_ids"))
+    out = total.join(alternatives, key, "left").join(evidence, key).join(one, key)
     out = with_name(out, manufacturers).withColumns({"alternative_supplier_count": F.coalesce("alternative_supplier_count", F.lit(0)), "exposure_pct": F.round("mean_share", 2).cast("decimal(5,2)"), "kind": F.lit("supply_chain_exposure")})
     regions = F.concat(F.array_join(F.slice("regions_affected", 1, 3), ", "), F.when(F.size("regions_affected") > 3, "...").otherwise(""))
     action = F.concat(
@@ -158,10 +189,10 @@ def _corroboration(tables: dict[str, DataFrame], as_of: date, cfg: RiskConfig) -
 
 
 def all_candidates(tables: dict[str, DataFrame], as_of: date, cfg: RiskConfig) -> DataFrame:
-    """The union of all registered rules."""
-    out = None
-    for rule in RULES.values():
-        found = rule(tables, as_of, cfg)
+    """The union of all registered rules. What a rule found is written once, so that later rules and the caller read it."""
+    out, tables = None, dict(tables)
+    for name, rule in RULES.items():
+        found = tables[name] = written(rule(tables, as_of, cfg), f"rule-{name}")
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -31,10 +31,11 @@ class VersionTracker(StatefulProcessor):
         self.last = handle.getValueState("last", "hash string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        frame = pd.concat(list(rows)).sort_values("seq")
+        # Rows of a key come in any order, so their numbers and hashes (nothing else of them) are sorted first.
+        seen = sorted((seq, now) for frame in rows for seq, now in zip(frame["seq"], frame["normalized_hash"]))
         before = self.last.get()[0] if self.last.exists() else None
         out = []
-        for seq, now in zip(frame["seq"], frame["normalized_hash"]):
+        for seq, now in seen:
             if now != before:
                 if before:
                     out.append((key[0], seq, before, now))
@@ -49,7 +50,7 @@ class VersionTracker(StatefulProcessor):
 def stream_versions(stream: DataFrame) -> DataFrame:
     """(source_url, seq, previous_hash, normalized_hash) of changes; columns source_url, seq, normalized_hash are needed. Needs the RocksDB state store."""
     schema = "source_url string, seq long, previous_hash string, normalized_hash string"
-    return stream.groupBy("source_url").transformWithStateInPandas(VersionTracker(), schema, "Append", "none")
+    return stream.select("source_url", "seq", "normalized_hash").groupBy("source_url").transformWithStateInPandas(VersionTracker(), schema, "Append", "none")
 
 
 def stream_recall_counts(stream: DataFrame, time_col: str = "ts", key: str = "manufacturer_id", window: str = "30 days", slide: str | None = None, delay: str = "1 day", cfg: RepeatViolator | None = None) -> DataFrame:

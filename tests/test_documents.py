@@ -5,6 +5,7 @@ import random
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from lotwatch.operators import documents as docs
 from lotwatch.operators import manufacturers as m
@@ -245,3 +246,54 @@ def test_streams(spark, tmp_path):
     assert sum(seen) == 5
     changes = drain(jobs.stream_versions(stream().select("source_url", "seq", "normalized_hash")), "versions")
     assert sorted((r["seq"], r["previous_hash"], r["normalized_hash"]) for r in changes) == [(3, "a", "b"), (5, "b", "a")]
+
+
+def test_clusters_by_greedy_loop(spark):
+    """Chains of similar names, equal keys and overrides in random order."""
+    rng = random.Random(6)
+    base = ["alpha beta gamma delta", "alpha beta gamma delto", "alpha beta gammo delto", "alpho beta gammo delto", "zeta works", "zeta work", "omega"]
+    over = {"Zeta Works": ["zeto works"], "Alpha": ["alpha beta gamma delta inc"]}
+    for _ in range(2):
+        listed = list(dict.fromkeys(rng.choice(base) + rng.choice(["", " ltd", " Inc", " extra", " LIMITED"]) for _ in range(25)))
+        rows = spark.createDataFrame(list(zip(listed, range(len(listed)))), "raw string, ordinal int")
+        table = m.overrides_table(spark, over)
+        got = {r["raw"]: r["canonical"] for r in m.cluster_names(rows, table).collect()}
+        settled = {r["raw"]: r["canonical"] for r in m.match_override(rows, table).collect()}
+        both = spark.createDataFrame([(x,) for x in [*listed, *over]], "v string").select("v", m.normalize_name(F.col("v")).alias("k")).collect()
+        key, canon = {r["v"]: r["k"] for r in both}, []
+        for raw in listed:
+            target = settled.get(raw) or next((c for c, k in canon if k == key[raw]), None)
+            scores = [m.token_set_ratio(key[raw], k) for _, k in canon] if target is None else []
+            if scores and max(scores) >= m.THRESHOLD:
+                target = canon[scores.index(max(scores))][0]
+            target = target or raw
+            assert got[raw] == target, (raw, listed)
+            if all(c != target for c, _ in canon):
+                canon.append((target, key[target]))
+
+
+def test_components_of_a_long_chain(spark):
+    from lotwatch.operators.graph import components
+
+    edges = spark.createDataFrame([(f"n{i:04d}", f"n{i + 1:04d}") for i in range(300)] + [("x", "y"), ("z", "z")], "a string, b string")
+    got = {r["node"]: r["root"] for r in components(edges).collect()}
+    assert got == {f"n{i:04d}": "n0000" for i in range(1, 301)} | {"y": "x"}
+
+
+def test_deeply_nested_pages():
+    html = "<div>" * 5000 + "<p>deep</p>" + "</div>" * 5000
+    assert landed.tree(html).first("p").text() == "deep" and landed.tree(html).text() == "deep"
+
+
+def test_failed_observations(spark):
+    """A failed parse is an error and changes nothing; a known address without update checks isn't even looked at."""
+    columns = "id string, source_id string, source_url string, source_hash string, normalized_hash string, raw_text string"
+    kept = spark.createDataFrame([("1", "s", "a", "h1", "n1", "old")], columns)
+    rows = [("x1", "s", "a", "h2", "n2", "new", 1, None), ("x2", "s", "a", "h3", "n1", "bad", 2, "boom"), ("x3", "s", "b", "h4", "n4", "b", 1, "boom"), ("x4", "s", "b", "h4", "n4", "b", 2, None), ("x5", "s", "a", "h5", "n1", "third", 3, None)]
+    batch = spark.createDataFrame(rows, columns + ", seq long, error string")
+    after, versions, log, counts = docs.upsert(kept, batch, now=datetime(2024, 1, 1))
+    assert {r["id"]: r["action"] for r in log.collect()} == {"x1": "update", "x2": "error", "x3": "error", "x4": "insert", "x5": "update"}
+    assert sorted((r["normalized_hash"], r["raw_text"], r["superseded_at"]) for r in versions.collect()) == [("n1", "old", datetime(2024, 1, 1)), ("n2", "new", datetime(2024, 1, 1))]
+    assert {r["source_url"]: r["raw_text"] for r in after.collect()} == {"a": "third", "b": "b"} and counts.first()["failed"] == 2
+    fast = {r["id"]: r["action"] for r in docs.upsert(kept, batch, check_for_updates=False)[2].collect()}
+    assert fast == {"x1": "skip_known", "x2": "skip_known", "x3": "error", "x4": "insert", "x5": "skip_known"}

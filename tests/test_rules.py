@@ -126,6 +126,31 @@ def test_transitions(spark):
     assert signals.list_signals(kept, RiskConfig().config_hash).first()["stale"] is False
 
 
+def test_repeated_requests(spark):
+    """One request for a signal is carried out, the last by seq; suppressed signals have a time of resolution too."""
+    kept = fixed(spark, run(spark, FIVE)[0])
+    one = kept.first()["id"]
+    asked = spark.createDataFrame([(one, "suppressed", "me", "a", 1), (one, "resolved", "me", "b", 2), ("nobody", "resolved", "me", "c", 3)], "signal_id string, to string, actor string, reason string, seq int")
+    out, events, rejected = signals.transition(kept, asked, NOW)
+    assert out.count() == kept.count() and events.count() == 1 and events.first()["event_type"] == "resolved"
+    assert {(r["id"], r["fault"], r["reason"]) for r in rejected.collect()} == {(one, "repeated", "a"), ("nobody", "unknown", "c")}
+    muted = signals.transition(kept, asked.where("seq = 1"), NOW)[0].where("status = 'suppressed'").collect()
+    assert len(muted) == 1 and muted[0]["resolved_at"] is not None
+
+
+def test_keys_with_separators(spark):
+    """The parts of a key don't run together."""
+    columns = "kind string, severity string, manufacturer_id string, active_ingredient string, regions_affected array<string>, evidence struct<as_of: date, computed_at: timestamp>"
+    one = spark.createDataFrame([("k", "low", "x|y", "z", [], None)], columns)
+    two = spark.createDataFrame([("k", "low", "x", "y|z", [], None)], columns).selectExpr("*", "'1' as id", "'active' as status")
+    assert sorted(r["action"] for r in signals.merged(one, two).collect()) == ["created", "resolved"]
+
+
+def test_normalized_ingredients_count_together(spark):
+    table = docs(spark, [("m", "class_1", 1, "US", i) for i in ("Atorvastatin Calcium", "atorvastatin", "b", "b", "ATORVASTATIN")])
+    assert rules.repeat_violators(table, makers(spark), AS_OF).first()["active_ingredient"] == "atorvastatin"
+
+
 def test_whole_run(spark):
     tables = {
         "documents": docs(spark, FIVE + [("n", "class_2", 1, "ZA", "a")]), "manufacturers": makers(spark), "suppliers": spark.createDataFrame([("s", "m")], "id string, manufacturer_id string"),
