@@ -21,9 +21,10 @@ def write_snapshot(df: DataFrame, root: str, version: str) -> None:
     out = fs.create(new, True)
     out.write(bytearray(version.encode()))
     out.close()
-    if not fs.rename(new, final):  # stores that don't replace: remove the old pointer first
-        fs.delete(final, False)
-        fs.rename(new, final)
+    # One step, so that a reader finds the old pointer or the new one.
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(new, final, options)
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
