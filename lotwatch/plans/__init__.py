@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, extra, names, risk, streams
+from . import documents, extra, names, risk, sources, streams
 
-_MODULES = (risk, documents, names, extra, streams)
+_MODULES = (risk, documents, names, extra, sources, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

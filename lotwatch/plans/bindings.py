@@ -26,14 +26,14 @@ LINES_SQL = """lines AS (
 numbered AS (SELECT *, concat_ws('-', line_text, row_number() OVER (PARTITION BY line_text)) AS line_id FROM lines)"""
 
 
-def lines(spark: SparkSession, sf_dir: str, condition: str = "true") -> DataFrame:
-    """Order lines with ids. A condition on columns of the line goes before the numbering: equal lines pass or fail together."""
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with ids."""
     cents = lambda c: F.round(F.col(c) * 100).cast("long").cast("string")
     text = F.concat_ws(
         "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd"), F.col("l_quantity").cast("long").cast("string"),
         cents("l_extendedprice"), cents("l_discount"), cents("l_tax"), "l_returnflag", "l_linestatus",
     )
-    rows = t(spark, sf_dir, "lineitem").where(condition).withColumns({"shipped": F.to_date("l_shipdate"), "line_text": text})
+    rows = t(spark, sf_dir, "lineitem").withColumns({"shipped": F.to_date("l_shipdate"), "line_text": text})
     return rows.withColumn("line_id", F.concat_ws("-", "line_text", F.expr("row_number() over (partition by line_text order by l_orderkey)").cast("string")))
 
 
@@ -44,8 +44,7 @@ recalls AS (
   SELECT line_id AS id, CAST(l_suppkey AS VARCHAR) AS manufacturer_id, p_name AS ingredient, n_name AS jurisdiction, shipped AS date_published,
     CASE l_returnflag WHEN 'R' THEN 'class_1' WHEN 'A' THEN 'class_2' ELSE 'class_3' END AS severity,
     CASE l_linestatus WHEN 'O' THEN 'recall' ELSE 'guideline' END AS document_type, CAST(l_linenumber AS VARCHAR) AS source_id
-  FROM numbered JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey
-  WHERE l_quantity >= 45 AND l_discount >= 0.07),
+  FROM numbered JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey),
 windowed AS (SELECT * FROM recalls WHERE document_type IN ('recall', 'alert', 'enforcement') AND date_published BETWEEN DATE '2000-12-31' - 720 AND DATE '2000-12-31'),
 makers AS (SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS canonical_name FROM supplier)"""
 )
@@ -54,7 +53,7 @@ makers AS (SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS canonical_name FRO
 def recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall documents of the schema that the rules take."""
     joined = (
-        lines(spark, sf_dir, "l_quantity >= 45 and l_discount >= 0.07")
+        lines(spark, sf_dir)
         .join(t(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
         .join(t(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
         .join(t(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
@@ -67,14 +66,22 @@ def recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The same recalls with the part's brand as ingredient, which the supply facts have too.
+BRAND_RECALLS_SQL = RECALLS_SQL.replace("p_name AS ingredient", "lower(p_brand) AS ingredient")
+
+
+def brand_recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = t(spark, sf_dir, "part").select(F.lower("p_brand").alias("brand"), "p_partkey")
+    part = F.split("id", "-")[2].cast("long")
+    return recalls(spark, sf_dir).withColumn("part", part).join(names, F.col("part") == F.col("p_partkey")).withColumn("active_ingredients", F.array("brand")).drop("part", "p_partkey", "brand")
+
+
 def makers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("canonical_name"))
 
 
 #: Repeat violators, and the procurement tables: a nation is a county, its customers the population, a brand an ingredient.
-VIOLATORS_SQL = (
-    RECALLS_SQL
-    + """,
+_VIOLATORS = """,
 totals AS (
   SELECT manufacturer_id, CAST(count(*) AS BIGINT) AS recall_count, CAST(sum(CASE severity WHEN 'class_1' THEN 3 WHEN 'class_2' THEN 2 ELSE 1 END) AS BIGINT) AS weighted_score,
     list_sort(list(id)) AS ids FROM windowed GROUP BY 1),
@@ -84,7 +91,7 @@ violators AS (
   SELECT manufacturer_id, recall_count, weighted_score, ids, ingredient AS active_ingredient,
     CASE WHEN recall_count >= 6 AND weighted_score >= 12 THEN 'critical' WHEN recall_count >= 4 AND weighted_score >= 8 THEN 'high' WHEN recall_count >= 3 AND weighted_score >= 4 THEN 'medium' END AS severity
   FROM totals JOIN tops USING (manufacturer_id))"""
-)
+VIOLATORS_SQL, BRAND_VIOLATORS_SQL = RECALLS_SQL + _VIOLATORS, BRAND_RECALLS_SQL + _VIOLATORS
 
 SUPPLY_SQL = """supply AS (
   SELECT c_nationkey AS county, p_brand AS ingredient, l_suppkey AS supplier, sum(CAST(l_quantity AS BIGINT)) AS quantity, max(l_linenumber * 10) AS lead
@@ -146,7 +153,7 @@ OBSERVED_SQL = (
     + """,
 observed AS (
   SELECT line_id AS id, CAST(l_linenumber AS VARCHAR) AS source_id, CAST(l_orderkey AS VARCHAR) AS source_url, md5(concat_ws('|', l_returnflag, l_linestatus)) AS normalized_hash,
-    shipped AS created_at, row_number() OVER (ORDER BY shipped, line_id) AS seq FROM numbered)"""
+    line_text AS raw_text, shipped AS created_at FROM numbered)"""
 )
 
 
@@ -154,5 +161,5 @@ def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as observations; the order of an address is by date and id."""
     return lines(spark, sf_dir).select(
         F.col("line_id").alias("id"), F.col("l_linenumber").cast("string").alias("source_id"), F.col("l_orderkey").cast("string").alias("source_url"),
-        F.md5(F.concat_ws("|", "l_returnflag", "l_linestatus").cast("binary")).alias("normalized_hash"), F.col("shipped").alias("created_at"),
+        F.md5(F.concat_ws("|", "l_returnflag", "l_linestatus").cast("binary")).alias("normalized_hash"), F.col("line_text").alias("raw_text"), F.col("shipped").alias("created_at"),
     )

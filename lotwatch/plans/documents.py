@@ -18,8 +18,10 @@ def latest_per_url(spark, sf):
 
 
 def dedup_documents(spark, sf):
-    kept, versions = docs.dedup(b.observed(spark, sf))
-    return versions.select("document_id", "replaced_id", "normalized_hash")
+    """The kept documents, and the versions that stand for the others, with the text they had."""
+    kept, versions = docs.dedup(b.observed(spark, sf), now=datetime(2001, 1, 1))
+    out = versions.select("document_id", "replaced_id", "normalized_hash", F.md5("raw_text").alias("text"), F.col("superseded_at").cast("timestamp_ntz").alias("superseded_at"))
+    return out.unionByName(kept.select(F.col("id").alias("document_id")), allowMissingColumns=True)
 
 
 def duplicate_groups(spark, sf):
@@ -44,13 +46,32 @@ def unknown_content(spark, sf):
     return docs.unknown_content(rows.where("doc_id % 2 = 1"), rows.where("doc_id % 2 = 0")).select("doc_id", "source_hash")
 
 
-def upsert_documents(spark, sf):
-    """Outcomes of the later observations against the state that the earlier ones left."""
+def _upsert(spark, sf):
+    """The later observations against the state that the earlier ones left; every 11th of an address can't be parsed."""
     rows = b.observed(spark, sf).withColumn("source_hash", F.sha2(F.concat_ws("|", "source_url", "normalized_hash").cast("binary"), 256))
     stored = docs.latest_per_url(rows.where(F.col("created_at") < F.lit(date(2000, 1, 1))))
     later = rows.where(F.col("created_at") >= F.lit(date(2000, 1, 1)))
-    batch = later.withColumn("seq", F.expr("row_number() over (partition by source_url order by created_at, id)").cast("long"))
-    return docs.upsert(stored, batch)[3]
+    batch = later.withColumn("seq", F.expr("row_number() over (partition by source_url order by created_at, id)").cast("long")).withColumn("error", F.when(F.col("seq") % 11 == 3, "unreadable"))
+    return docs.upsert(stored, batch, now=datetime(2001, 1, 1))
+
+
+def upsert_documents(spark, sf):
+    return _upsert(spark, sf)[3]
+
+
+def upsert_log(spark, sf):
+    """The outcome of each observation."""
+    return _upsert(spark, sf)[2].select("id", "action")
+
+
+def upsert_versions(spark, sf):
+    """What updates replaced."""
+    return _upsert(spark, sf)[1].select("source_id", "source_url", "normalized_hash", F.md5("raw_text").alias("text"), "seq")
+
+
+def upserted_state(spark, sf):
+    """The document table afterwards."""
+    return _upsert(spark, sf)[0].select("id", "source_id", "source_url", "normalized_hash", F.md5("raw_text").alias("text"))
 
 
 def ingest_counts(spark, sf):
@@ -76,8 +97,7 @@ def content_hash(spark, sf):
 
 
 def duplicate_content(spark, sf):
-    rows = b.t(spark, sf, "documents").select("doc_id", text.source_hash(F.col("text")).alias("source_hash"))
-    return rows.groupBy("source_hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    return docs.duplicate_content(b.t(spark, sf, "documents").select(F.col("doc_id").alias("id"), text.source_hash(F.col("text")).alias("source_hash")))
 
 
 def extract_links(spark, sf):
@@ -130,17 +150,40 @@ links AS (SELECT page_id, page_url, generate_subscripts(found, 1) - 1 AS pos, un
 parts AS (SELECT page_id, pos, page_url, trim(regexp_extract(tag, '(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1)) AS href,
   trim(regexp_replace(regexp_replace(regexp_extract(tag, '(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 2), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS text FROM links)"""
 
+UPSERT_SQL = f"""{b.OBSERVED_SQL},
+stored AS (SELECT * FROM observed WHERE created_at < DATE '2000-01-01' QUALIFY row_number() OVER (PARTITION BY source_id, source_url ORDER BY created_at DESC, id) = 1),
+later AS (SELECT *, row_number() OVER (PARTITION BY source_url ORDER BY created_at, id) AS seq FROM observed WHERE created_at >= DATE '2000-01-01'),
+parsed AS (
+  SELECT l.*, s.id AS stored_id, s.normalized_hash AS stored_hash, s.raw_text AS stored_text,
+    s.id IS NULL AND NOT EXISTS (SELECT 1 FROM stored k WHERE k.source_url = l.source_url AND k.normalized_hash = l.normalized_hash)
+      AND row_number() OVER (PARTITION BY l.source_url, l.normalized_hash ORDER BY seq) = 1 AS opens,
+    lag(l.normalized_hash) OVER w AS last_hash, lag(l.raw_text) OVER w AS last_text
+  FROM later l LEFT JOIN stored s ON s.source_id = l.source_id AND s.source_url = l.source_url WHERE seq % 11 <> 3 WINDOW w AS (PARTITION BY l.source_id, l.source_url ORDER BY seq)),
+opened AS (SELECT *, min(CASE WHEN opens THEN seq END) OVER (PARTITION BY source_id, source_url) AS opened FROM parsed),
+against AS (SELECT *, CASE WHEN seq > coalesce(opened, -1) AND last_hash IS NOT NULL THEN last_hash ELSE stored_hash END AS old_hash, CASE WHEN seq > coalesce(opened, -1) AND last_hash IS NOT NULL THEN last_text ELSE stored_text END AS old_text FROM opened),
+outcomes AS (
+  SELECT id, source_id, source_url, seq, normalized_hash, raw_text, stored_id, old_hash, old_text,
+    CASE WHEN stored_id IS NOT NULL OR seq > opened THEN CASE WHEN normalized_hash = old_hash THEN 'skip_unchanged' ELSE 'update' END WHEN seq = opened THEN 'insert' ELSE 'skip_same_bytes' END AS action FROM against
+  UNION ALL SELECT id, source_id, source_url, seq, normalized_hash, raw_text, NULL, NULL, NULL, 'error' FROM later WHERE seq % 11 = 3)"""
+
 PLANS = {
     "latest_per_url": (latest_per_url, f"WITH {b.OBSERVED_SQL} SELECT id, source_id, source_url, created_at FROM observed QUALIFY row_number() OVER (PARTITION BY source_id, source_url ORDER BY created_at DESC, id) = 1"),
     "dedup_documents": (dedup_documents, f"""WITH {b.OBSERVED_SQL}, ranked AS (SELECT *, row_number() OVER w AS k, first_value(id) OVER w AS keeper FROM observed WINDOW w AS (PARTITION BY source_id, source_url ORDER BY created_at DESC, id))
-SELECT keeper AS document_id, id AS replaced_id, normalized_hash FROM ranked WHERE k > 1"""),
+SELECT keeper AS document_id, id AS replaced_id, normalized_hash, md5(raw_text) AS text, TIMESTAMP '2001-01-01' AS superseded_at FROM ranked WHERE k > 1
+UNION ALL SELECT id, NULL, NULL, NULL, NULL FROM ranked WHERE k = 1"""),
     "duplicate_groups": (duplicate_groups, f"WITH {b.OBSERVED_SQL} SELECT source_id, source_url, CAST(count(*) AS BIGINT) AS n FROM observed GROUP BY ALL HAVING count(*) > 1"),
     "dedup_summary": (dedup_summary, f"WITH {b.OBSERVED_SQL}, g AS (SELECT source_id, source_url, count(*) AS n FROM observed GROUP BY ALL HAVING count(*) > 1) SELECT coalesce(source_id, 'all') AS source_id, CAST(count(*) AS BIGINT) AS groups, CAST(sum(n - 1) AS BIGINT) AS surplus FROM g GROUP BY ROLLUP (source_id)"),
     "version_chain": (version_chain, f"WITH {b.OBSERVED_SQL}, c AS (SELECT *, lag(normalized_hash) OVER (PARTITION BY source_id, source_url ORDER BY created_at, id) AS previous_hash FROM observed) SELECT id, previous_hash, normalized_hash FROM c WHERE previous_hash <> normalized_hash"),
     "unknown_urls": (unknown_urls, f"WITH {b.OBSERVED_SQL} SELECT id FROM observed o WHERE created_at >= DATE '2000-01-01' AND NOT EXISTS (SELECT 1 FROM observed p WHERE p.source_id = o.source_id AND p.source_url = o.source_url AND p.created_at < DATE '2000-01-01')"),
     "unknown_content": (unknown_content, "SELECT doc_id, sha256(text) AS source_hash FROM documents d WHERE doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id % 2 = 0 AND e.text = d.text)"),
-    "upsert_documents": (upsert_documents, None),
-    "ingest_counts": (ingest_counts, f"WITH {b.OBSERVED_SQL} SELECT source_id, CAST(count(DISTINCT source_url) AS BIGINT) AS added, CAST(0 AS BIGINT) AS updated, CAST(count(*) - count(DISTINCT source_url) AS BIGINT) AS skipped FROM observed GROUP BY 1"),
+    "upsert_documents": (upsert_documents, f"""WITH {UPSERT_SQL} SELECT source_id, CAST(count(*) FILTER (WHERE action = 'insert') AS BIGINT) AS added, CAST(count(*) FILTER (WHERE action = 'update') AS BIGINT) AS updated,
+  CAST(count(*) FILTER (WHERE starts_with(action, 'skip')) AS BIGINT) AS skipped, CAST(count(*) FILTER (WHERE action = 'error') AS BIGINT) AS failed FROM outcomes GROUP BY 1"""),
+    "upsert_log": (upsert_log, f"WITH {UPSERT_SQL} SELECT id, action FROM outcomes"),
+    "upsert_versions": (upsert_versions, f"WITH {UPSERT_SQL} SELECT source_id, source_url, old_hash AS normalized_hash, md5(old_text) AS text, seq FROM outcomes WHERE action = 'update'"),
+    "upserted_state": (upserted_state, f"""WITH {UPSERT_SQL}, changed AS (SELECT * FROM outcomes WHERE action IN ('insert', 'update') QUALIFY row_number() OVER (PARTITION BY source_id, source_url ORDER BY seq DESC) = 1)
+SELECT coalesce(stored_id, id) AS id, source_id, source_url, normalized_hash, md5(raw_text) AS text FROM changed
+UNION ALL SELECT id, source_id, source_url, normalized_hash, md5(raw_text) FROM stored s WHERE NOT EXISTS (SELECT 1 FROM changed c WHERE c.source_id = s.source_id AND c.source_url = s.source_url)"""),
+    "ingest_counts": (ingest_counts, f"WITH {b.OBSERVED_SQL} SELECT source_id, CAST(count(DISTINCT source_url) AS BIGINT) AS added, CAST(0 AS BIGINT) AS updated, CAST(count(*) - count(DISTINCT source_url) AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS failed FROM observed GROUP BY 1"),
     "since_filter": (since_filter, f"WITH {b.OBSERVED_SQL} SELECT id, created_at FROM observed WHERE created_at > DATE '2000-12-01'"),
     "validated_documents": (validated, """WITH r AS (SELECT doc_id, upper(lang) AS language, upper(CASE doc_id % 7 WHEN 0 THEN 'global' WHEN 1 THEN 'K3' ELSE lang END) AS jurisdiction, doc_id % 5 = 0 AS memo FROM documents)
 SELECT doc_id, jurisdiction, lower(language) AS language, concat_ws(',', CASE WHEN jurisdiction = 'K3' THEN 'jurisdiction' END, CASE WHEN memo THEN 'document_type' END) AS faults FROM r"""),

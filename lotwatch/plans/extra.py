@@ -22,11 +22,10 @@ def manufacturer_names(spark, sf):
 
 
 def alternative_suppliers(spark, sf):
-    """Suppliers of each brand in each county that aren't the largest one."""
+    """For every supply fact as an exposed county: the other suppliers of the brand there."""
     facts = b.supply(spark, sf)
-    best = facts.groupBy("county_id", "active_ingredient").agg(F.min_by("supplier_id", F.struct(-F.col("share_pct"), "supplier_id")).alias("supplier_id"))
-    others = facts.join(best, ["county_id", "active_ingredient", "supplier_id"], "left_anti")
-    return others.groupBy("county_id", "active_ingredient").agg(F.countDistinct("supplier_id").alias("others"))
+    exposed = facts.select(F.col("supplier_id").alias("manufacturer_id"), "active_ingredient", F.col("active_ingredient").alias("ingredient_key"), "county_id")
+    return rules.alternative_suppliers(exposed, b.suppliers(spark, sf), facts)
 
 
 def foreign_key_cascade(spark, sf):
@@ -48,6 +47,7 @@ def split_lists(spark, sf):
 
 def mapped_severity(spark, sf):
     said = F.element_at(F.array(F.lit("Class I"), F.lit("Class II"), F.lit("Class III"), F.lit(""), F.lit("class i")), (F.col("p_partkey") % 5 + 1).cast("int"))
+    said = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" "), said, F.lit("\t"))).otherwise(said)
     return b.t(spark, sf, "part").select("p_partkey", text.map_severity(said).alias("severity"))
 
 
@@ -91,8 +91,9 @@ def grown_aliases(spark, sf):
 
 def backfilled(spark, sf):
     rows = b.t(spark, sf, "part").select(
-        F.lit("s").alias("source_id"), F.col("p_partkey").cast("string").alias("source_url"), F.lit("KE").alias("jurisdiction"), F.lit("recall").alias("document_type"), F.lit(None).cast("string").alias("document_id"), F.col("p_name").alias("title"),
+        F.lit("s").alias("source_id"), F.col("p_partkey").cast("string").alias("source_url"), F.lit(None).cast("string").alias("document_id"), F.col("p_name").alias("title"),
         F.array(F.concat(F.upper("p_name"), F.lit(" SODIUM"))).alias("active_ingredients"), F.array("p_brand", "p_type").alias("manufacturers"), F.array().cast("array<string>").alias("product_names"), F.lit("class_1").alias("severity"), F.lit(b.AS_OF).alias("date_published"),
+        F.when(F.col("p_partkey") % 2 == 0, F.lit(b.AS_OF.replace(day=1))).alias("date_effective"), F.struct(F.col("p_size").cast("string").alias("size"), F.col("p_type").alias("batch")).alias("raw_metadata"),
     )
     return docs.backfill(rows).select("source_url", "normalized_hash", F.array_join("active_ingredients_normalized", "|").alias("keys"))
 
@@ -104,11 +105,11 @@ def ingredient_dictionary(spark, sf):
 
 PLANS = {
     "manufacturer_names": (manufacturer_names, "SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS manufacturer_id, CASE WHEN l_suppkey % 2 = 0 THEN coalesce(s_name, CAST(l_suppkey AS VARCHAR)) ELSE CAST(l_suppkey AS VARCHAR) END AS canonical_name FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey"),
-    "alternative_suppliers": (alternative_suppliers, f"WITH {b.SUPPLY_SQL} SELECT county_id, active_ingredient, CAST(count(DISTINCT supplier_id) - 1 AS BIGINT) AS others FROM facts GROUP BY ALL HAVING count(DISTINCT supplier_id) > 1"),
+    "alternative_suppliers": (alternative_suppliers, f"WITH {b.SUPPLY_SQL} SELECT e.supplier_id AS manufacturer_id, e.active_ingredient, CAST(count(DISTINCT f.supplier_id) AS BIGINT) AS alternative_supplier_count FROM facts e JOIN facts f ON f.county_id = e.county_id AND f.active_ingredient = e.active_ingredient AND f.supplier_id <> e.supplier_id GROUP BY ALL"),
     "foreign_key_cascade": (foreign_key_cascade, "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS c FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment = 'BUILDING')"),
     "inn_lists": (inn_lists, "SELECT p_partkey, p_name || '|acetaminophen|amoxicillin' AS inn, p_name || '|PARACETAMOL|Amoxycillin' AS raw FROM part"),
     "split_lists": (split_lists, "SELECT p_partkey, p_brand || '|' || p_type || '|' || p_size AS parts, 3 AS n FROM part"),
-    "mapped_severity": (mapped_severity, "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'class_1' WHEN 1 THEN 'class_2' WHEN 2 THEN 'class_3' WHEN 4 THEN 'unclassified' END AS severity FROM part"),
+    "mapped_severity": (mapped_severity, "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'class_1' WHEN 1 THEN 'class_2' WHEN 2 THEN 'class_3' WHEN 4 THEN 'unclassified' WHEN 3 THEN CASE WHEN p_partkey % 3 = 0 THEN 'unclassified' END END AS severity FROM part"),
     "signal_texts": (signal_texts, f"""WITH k AS (SELECT *, CASE WHEN s_suppkey % 2 = 0 THEN 'supply_chain_exposure' ELSE 'repeat_violator' END AS kind FROM supplier)
 SELECT s_suppkey, kind || '|' || s_suppkey || '|' || CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE '' END AS key, CASE WHEN s_suppkey % 2 = 0 THEN s_name || '{signals.SYNTHETIC_SUFFIX}' ELSE s_name || '  ' END AS action FROM k"""),
     "changed_evidence": (changed_evidence, f"SELECT manufacturer_id, false AS by_time, true AS by_date FROM ({risk.REPEAT_VIOLATORS})"),
@@ -117,6 +118,6 @@ SELECT s_suppkey, kind || '|' || s_suppkey || '|' || CASE WHEN s_suppkey % 3 = 0
     "grown_aliases": (grown_aliases, f"""WITH {names.KEYS_SQL}, {names.DIM_SQL}, met AS (SELECT raw, arg_max(id, ordinal) AS id FROM keyed JOIN dim USING (key) GROUP BY raw),
 n AS (SELECT CAST(s_suppkey AS VARCHAR) AS id, {names.DIM_NAME} AS canonical_name FROM supplier WHERE s_suppkey % 2 = 0)
 SELECT n.id, n.canonical_name, array_to_string(list_sort(list_distinct(['Alias ' || n.id] || coalesce((SELECT list(raw) FROM met WHERE met.id = n.id AND raw <> n.canonical_name), []))), '|') AS aliases FROM n"""),
-    "backfilled_documents": (backfilled, "SELECT CAST(p_partkey AS VARCHAR) AS source_url, sha256(array_to_string(['s', CAST(p_partkey AS VARCHAR), 'KE', 'recall', '', p_name, upper(p_name) || ' SODIUM', array_to_string(list_sort([p_brand, p_type]), ','), '', 'class_1', '2000-12-31'], chr(31))) AS normalized_hash, p_name AS keys FROM part"),
+    "backfilled_documents": (backfilled, """SELECT CAST(p_partkey AS VARCHAR) AS source_url, sha256(array_to_string(['s', CAST(p_partkey AS VARCHAR), '', p_name, '', upper(p_name) || ' SODIUM', array_to_string(list_sort([p_brand, p_type]), ','), 'class_1', '2000-12-31', CASE WHEN p_partkey % 2 = 0 THEN '2000-12-01' ELSE '' END, '{"batch":"' || p_type || '","size":"' || p_size || '"}'], chr(31))) AS normalized_hash, p_name AS keys FROM part"""),
     "ingredient_dictionary": (ingredient_dictionary, r"SELECT p_partkey, array_to_string(list_filter(['anvil', 'red', 'ring', 'widget'], lambda w: regexp_matches(lower(p_name), '(^|[^a-z0-9])' || w || '([^a-z0-9]|$)')), '|') AS found FROM part"),
 }

@@ -41,9 +41,14 @@ def match_exact(spark, sf):
 
 
 def first_in_group(spark, sf):
-    rows = b.raw_names(spark, sf).select("raw", text.normalize_name(F.col("raw")).alias("key"))
-    lead = rows.groupBy("key").agg(F.min("raw").alias("first"))
-    return rows.join(lead, "key").select("raw", "first")
+    """Without a dimension every name is new: the first of each key names the group."""
+    found = m.resolve_names(b.raw_names(spark, sf), dimension(spark, sf).limit(0), m.overrides_table(spark, {}))
+    return found.select("raw", F.col("canonical").alias("first"))
+
+
+def resolved_names(spark, sf):
+    """How each name is settled: override, exact, fuzzy or new."""
+    return m.resolve_names(b.raw_names(spark, sf), dimension(spark, sf), m.overrides_table(spark, OVERRIDES)).select("raw", "action", "canonical", F.round(F.col("confidence"), 6).alias("confidence"))
 
 
 def reconcile_counts(spark, sf):
@@ -51,14 +56,17 @@ def reconcile_counts(spark, sf):
 
 
 def match_fuzzy(spark, sf):
-    return m.match_fuzzy(b.raw_names(spark, sf), dimension(spark, sf))
+    return m.match_fuzzy(b.raw_names(spark, sf), dimension(spark, sf)).withColumn("score", F.round("score", 6))
 
 
-def cluster_names(spark, sf):
+def part_names(spark, sf):
     """Part names and types in several written forms, in the order of their first part."""
     end = F.element_at(F.array(F.lit(" Ltd"), F.lit(" LIMITED"), F.lit("s"), F.lit("")), (F.col("p_partkey") % 4 + 1).cast("int"))
-    names = b.t(spark, sf, "part").select(F.concat("p_name", F.lit(" "), "p_type", end).alias("raw"), "p_partkey").groupBy("raw").agg(F.min("p_partkey").alias("ordinal"))
-    return m.cluster_names(names, m.overrides_table(spark, OVERRIDES))
+    return b.t(spark, sf, "part").select(F.concat("p_name", F.lit(" "), "p_type", end).alias("raw"), "p_partkey").groupBy("raw").agg(F.min("p_partkey").alias("ordinal"))
+
+
+def cluster_names(spark, sf):
+    return m.cluster_names(part_names(spark, sf), m.overrides_table(spark, OVERRIDES))
 
 
 def documents(spark, sf):
@@ -118,16 +126,42 @@ PART = "SELECT p_partkey, "
 KEYS_SQL = f"{b.NAMES_SQL}, keyed AS (SELECT raw, {KEY} AS key FROM raw_names)"
 DIM_NAME = "replace(s_name, '#0000', ' ')"
 DIM_SQL = f"dim AS (SELECT CAST(s_suppkey AS VARCHAR) AS id, s_suppkey AS ordinal, {b.normalized_sql(DIM_NAME)} AS key FROM supplier WHERE s_suppkey % 2 = 0)"
+#: Token-set similarity of every key to every canonical's: the length of the longest common subsequence by rows of bits.
+FUZZY_SQL = f"""{KEYS_SQL},
+canon AS (SELECT CAST(s_suppkey AS VARCHAR) AS id, {DIM_NAME} AS canonical_name, s_suppkey AS ordinal, {b.normalized_sql(DIM_NAME)} AS b FROM supplier WHERE s_suppkey % 2 = 0),
+sides AS (SELECT DISTINCT list_sort(list_distinct(string_split(key, ' '))) AS x, key AS a FROM keyed WHERE key <> ''),
+others AS (SELECT DISTINCT list_sort(list_distinct(string_split(b, ' '))) AS y, b FROM canon WHERE b <> ''),
+split AS (SELECT a, b, list_sort(list_intersect(x, y)) AS same, list_sort(list_filter(x, lambda w: NOT list_contains(y, w))) AS only_a, list_sort(list_filter(y, lambda w: NOT list_contains(x, w))) AS only_b FROM sides, others),
+lines_ AS (SELECT a, b, len(same) AS n, len(only_a) = 0 OR len(only_b) = 0 AS part, array_to_string(same, ' ') AS s, array_to_string(list_concat(same, only_a), ' ') AS l, array_to_string(list_concat(same, only_b), ' ') AS r FROM split),
+close AS (SELECT * FROM lines_ WHERE (n > 0 AND part) OR 200 * least(length(l), length(r)) >= 92 * (length(l) + length(r)) OR 200 * length(s) >= 92 * (length(s) + least(length(l), length(r)))),
+common AS (
+  SELECT *, length(l) - bit_count(list_reduce(list_concat([(CAST(1 AS HUGEINT) << length(l)) - 1], list_transform(string_split(r, ''), lambda c: list_reduce(list_concat([CAST(0 AS HUGEINT)], list_transform(range(1, length(l) + 1), lambda i: CASE WHEN substr(l, CAST(i AS INTEGER), 1) = c THEN CAST(1 AS HUGEINT) << CAST(i - 1 AS INTEGER) ELSE CAST(0 AS HUGEINT) END)), lambda p, q: p + q))),
+    lambda v, h: ((v + (v & h)) | (v - (v & h))) & ((CAST(1 AS HUGEINT) << length(l)) - 1))) AS lcs FROM close),
+scores AS (SELECT a, b, CASE WHEN n > 0 AND part THEN 100.0 ELSE greatest(200.0 * lcs / (length(l) + length(r)), CASE WHEN n > 0 THEN greatest(200.0 * length(s) / (length(s) + length(l)), 200.0 * length(s) / (length(s) + length(r))) ELSE 0 END) END AS score FROM common),
+best_match AS (SELECT a, id, canonical_name, score FROM scores JOIN canon USING (b) WHERE score >= 92 QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, ordinal) = 1)"""
 OVER_SQL = f"over_ AS (SELECT canonical, ordinal, {b.normalized_sql('alias')} AS key FROM (VALUES {OVERRIDE_ROWS}) v(canonical, alias, ordinal))"
 
+RESOLVED_SQL = f"""{FUZZY_SQL}, {DIM_SQL}, {OVER_SQL},
+by_over AS (SELECT raw, arg_min(canonical, ordinal) AS canonical FROM keyed JOIN over_ USING (key) GROUP BY raw),
+by_key AS (SELECT raw, arg_max(id, ordinal) AS id FROM keyed JOIN dim USING (key) GROUP BY raw),
+settled AS (
+  SELECT DISTINCT k.raw, k.key, o.canonical AS o, c.canonical_name AS e, f.canonical_name AS f, f.score,
+    CASE WHEN o.canonical IS NOT NULL THEN 'override' WHEN e.id IS NOT NULL THEN 'exact' WHEN f.id IS NOT NULL THEN 'fuzzy' ELSE 'new' END AS kind
+  FROM keyed k LEFT JOIN by_over o USING (raw) LEFT JOIN by_key e USING (raw) LEFT JOIN canon c ON c.id = e.id LEFT JOIN best_match f ON f.a = k.key),
+named AS (SELECT *, min(CASE WHEN kind = 'new' THEN raw END) OVER (PARTITION BY key) AS lead FROM settled),
+results AS (
+  SELECT raw, CASE WHEN kind = 'new' AND raw <> lead THEN 'exact' ELSE kind END AS action, CASE kind WHEN 'override' THEN o WHEN 'exact' THEN e WHEN 'fuzzy' THEN f ELSE lead END AS canonical,
+    round(CASE kind WHEN 'fuzzy' THEN score / 100 ELSE 1.0 END, 6) AS confidence FROM named)"""
+
 PLANS = {
     "normalized_names": (normalized_names, f"WITH {KEYS_SQL} SELECT raw, key FROM keyed"),
     "distinct_names": (distinct_names, f"WITH {b.NAMES_SQL} SELECT DISTINCT raw FROM raw_names WHERE trim(raw) <> ''"),
     "match_override": (match_override, f"WITH {KEYS_SQL}, {OVER_SQL} SELECT raw, arg_min(canonical, ordinal) AS canonical FROM keyed JOIN over_ USING (key) GROUP BY raw"),
     "match_exact": (match_exact, f"WITH {KEYS_SQL}, {DIM_SQL} SELECT raw, arg_max(id, ordinal) AS id FROM keyed JOIN dim USING (key) GROUP BY raw"),
     "first_in_group": (first_in_group, f"WITH {KEYS_SQL} SELECT raw, min(raw) OVER (PARTITION BY key) AS first FROM keyed"),
-    "reconcile_counts": (reconcile_counts, None),
-    "match_fuzzy": (match_fuzzy, None),
+    "resolved_names": (resolved_names, f"WITH {RESOLVED_SQL} SELECT raw, action, canonical, confidence FROM results"),
+    "reconcile_counts": (reconcile_counts, f"WITH {RESOLVED_SQL} SELECT action, CAST(count(*) AS BIGINT) AS n FROM results GROUP BY 1"),
+    "match_fuzzy": (match_fuzzy, f"WITH {FUZZY_SQL} SELECT raw, id, canonical_name, round(score, 6) AS score FROM keyed JOIN best_match ON a = key"),
     "cluster_names": (cluster_names, None),
     "repointed_documents": (repointed, """WITH d AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderkey % 97 AS a, o_orderkey % 10 AS z FROM orders),
 f AS (SELECT id, a, z, CASE WHEN a < 10 AND a % 2 = 1 THEN 0 ELSE a END AS fa, CASE WHEN z % 2 = 1 THEN 0 ELSE z END AS fz FROM d)

@@ -9,17 +9,14 @@ from pyspark.sql import functions as F
 
 from ..config import Corroboration, RiskConfig, SupplyChain
 from ..functions import severity as sev
-from ..operators import procurement, reports, rules, signals
+from ..operators import jobs, procurement, reports, rules, signals
+from ..storage import written
 from . import bindings as b
 
 NOW = datetime(2001, 1, 1)
 #: Counties here have many suppliers, so shares are small.
 SUPPLY = SupplyChain(min_county_share_pct=4.0)
-EMPTY_SIGNALS = (
-    "id string, kind string, severity string, status string, manufacturer_id string, active_ingredient string, regions_affected array<string>, exposure_pct decimal(5,2), alternative_supplier_count long, "
-    "recommended_action string, time_to_expiry_days long, evidence struct<document_ids: array<string>, supply_ids: array<string>, rule_version: string, config_hash: string, computed_at: timestamp, as_of: date, "
-    "inputs: struct<manufacturer_id: string, active_ingredient: string, kind: string>, recall_count: bigint, weighted_score: bigint, jurisdictions: array<string>, data_provenance: string>, first_seen timestamp, last_updated timestamp, resolved_at timestamp"
-)
+EMPTY_SIGNALS = signals.SIGNAL
 
 
 def joined(col: str) -> F.Column:
@@ -70,12 +67,14 @@ def brand_signals(spark: SparkSession, sf: str) -> DataFrame:
     return violators(spark, sf).drop("active_ingredient").join(best, "manufacturer_id")
 
 
+_EXPOSED = """matched AS (SELECT s.manufacturer_id, s.active_ingredient, f.* EXCLUDE (active_ingredient) FROM signals s JOIN facts f ON f.supplier_id = s.manufacturer_id AND f.active_ingredient = s.active_ingredient),
+exposed AS (SELECT manufacturer_id, active_ingredient, county_id, sum(share_pct) AS share, max(lead_time_days) AS lead FROM matched GROUP BY ALL HAVING sum(share_pct) >= 4)"""
 BRANDS_SQL = f"""{b.VIOLATORS_SQL}, {b.SUPPLY_SQL},
 brand_counts AS (SELECT CAST(l_suppkey AS VARCHAR) AS manufacturer_id, lower(p_brand) AS brand, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL),
 best AS (SELECT manufacturer_id, brand FROM brand_counts QUALIFY row_number() OVER (PARTITION BY manufacturer_id ORDER BY n DESC, brand) = 1),
 signals AS (SELECT v.manufacturer_id, best.brand AS active_ingredient FROM violators v JOIN best USING (manufacturer_id) WHERE v.severity IS NOT NULL),
-matched AS (SELECT s.manufacturer_id, s.active_ingredient, f.* EXCLUDE (active_ingredient) FROM signals s JOIN facts f ON f.supplier_id = s.manufacturer_id AND f.active_ingredient = s.active_ingredient),
-exposed AS (SELECT manufacturer_id, active_ingredient, county_id, sum(share_pct) AS share, max(lead_time_days) AS lead FROM matched GROUP BY ALL HAVING sum(share_pct) >= 4)"""
+{_EXPOSED}"""
+
 
 
 def exposure(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,12 +85,14 @@ def supply_chain_exposure(spark, sf):
     return exposure(spark, sf).select("manufacturer_id", "active_ingredient", "severity", F.col("exposure_pct").cast("double").alias("exposure_pct"), "alternative_supplier_count", "time_to_expiry_days", joined("regions_affected").alias("regions"), F.size("evidence_supply_ids").cast("long").alias("facts"))
 
 
-SUPPLY_CHAIN = f"""WITH {BRANDS_SQL},
-others AS (
+_COUNTED = """others AS (
   SELECT e.manufacturer_id, e.active_ingredient, count(DISTINCT f.supplier_id) AS n FROM exposed e JOIN facts f ON f.county_id = e.county_id AND f.active_ingredient = e.active_ingredient AND f.supplier_id <> e.manufacturer_id GROUP BY ALL),
 means AS (
   SELECT e.manufacturer_id, e.active_ingredient, sum(CAST(e.share * c.population AS DECIMAL(30, 4))) AS top, greatest(sum(c.population), 1) AS bottom, greatest(max(lead), 60) AS tte, array_to_string(list_sort(list(c.name)), '|') AS regions
-  FROM exposed e JOIN counties c ON c.id = e.county_id GROUP BY ALL),
+  FROM exposed e JOIN counties c ON c.id = e.county_id GROUP BY ALL)"""
+_SUPPLY_LEVEL = "CASE WHEN coalesce(n, 0) >= 3 THEN 'low' WHEN top / bottom >= 70 THEN 'critical' WHEN top / bottom >= 50 THEN 'high' WHEN top / bottom >= 25 THEN 'medium' ELSE 'low' END"
+SUPPLY_CHAIN = f"""WITH {BRANDS_SQL},
+{_COUNTED},
 evidence AS (SELECT manufacturer_id, active_ingredient, count(*) AS facts FROM matched GROUP BY ALL)
 SELECT manufacturer_id, active_ingredient,
   CASE WHEN coalesce(n, 0) >= 3 THEN 'low' WHEN top / bottom >= 70 THEN 'critical' WHEN top / bottom >= 50 THEN 'high' WHEN top / bottom >= 25 THEN 'medium' ELSE 'low' END AS severity,
@@ -100,14 +101,54 @@ FROM means JOIN evidence USING (manufacturer_id, active_ingredient) LEFT JOIN ot
 
 
 def county_exposure(spark, sf):
-    matched = rules.county_exposure(brand_signals(spark, sf), b.suppliers(spark, sf), b.supply(spark, sf))
-    sums = matched.groupBy("manufacturer_id", "active_ingredient", "county_id").agg(F.sum("share_pct").alias("share"), F.max("lead_time_days").alias("lead"))
+    sums = rules.county_exposure(brand_signals(spark, sf), b.suppliers(spark, sf), b.supply(spark, sf))
     return sums.select("manufacturer_id", "active_ingredient", "county_id", F.col("share").cast("double").alias("share"), F.col("lead").cast("long").alias("lead"))
 
 
+CONFIG = RiskConfig(supply_chain_exposure=SUPPLY)
+
+
+def tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """All tables of a risk run, with brands as ingredients; what several rules read is written once."""
+    out = {"documents": b.brand_recalls(spark, sf), "manufacturers": b.makers(spark, sf), "suppliers": b.suppliers(spark, sf), "county_supply": b.supply(spark, sf), "counties": b.counties(spark, sf)}
+    for name in ("documents", "county_supply"):
+        out[name] = written(out[name], name)
+    return out | {"signals": spark.createDataFrame([], EMPTY_SIGNALS), "events": spark.createDataFrame([], signals.EVENT)}
+
+
 def all_candidates(spark, sf):
-    found = violators(spark, sf).unionByName(exposure(spark, sf)).unionByName(rules.corroboration(b.recalls(spark, sf), b.AS_OF))
-    return found.groupBy("kind", "severity").agg(F.count("*").alias("n"))
+    found = rules.all_candidates(tables(spark, sf), b.AS_OF, CONFIG)
+    return found.select("kind", "severity", "manufacturer_id", "active_ingredient", F.col("exposure_pct").cast("double").alias("exposure_pct"), "recall_count")
+
+
+def whole_run(spark, sf):
+    """The signals that a first run of all rules leaves."""
+    out = jobs.run_risk(tables(spark, sf), b.AS_OF, NOW, CONFIG)["signals"]
+    return out.select("kind", "severity", "status", "manufacturer_id", "active_ingredient", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"))
+
+
+def carried_first_seen(spark, sf):
+    """Signals created after their manufacturers' were merged away keep the first date of a signal of the same ingredient."""
+    kept = stored(spark, sf)
+    gone = b.makers(spark, sf).where("cast(id as int) % 5 = 0").select(F.col("id").alias("manufacturer_id"))
+    merged, events = signals.resolve_for_merge(kept, gone, datetime(2000, 12, 28))
+    new, _, _ = signals.persist_signals(violators(spark, sf), merged, events, RiskConfig(), b.AS_OF, NOW)
+    return new.where("status = 'active'").select("manufacturer_id", "active_ingredient", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"))
+
+
+def signal_states(spark, sf):
+    """Audit events of a run with the states before and after."""
+    events = spark.createDataFrame([], signals.EVENT)
+    _, new, _ = signals.persist_signals(violators(spark, sf), stored(spark, sf), events, RiskConfig(), b.AS_OF, NOW)
+    field = lambda c, n: F.get_json_object(c, f"$.{n}")
+    return new.select(F.coalesce(field("new_state", "manufacturer_id"), F.lit("")).alias("manufacturer_id"), "event_type", field("old_state", "status").alias("old_status"), field("new_state", "status").alias("new_status"), field("new_state", "active_ingredient").alias("active_ingredient"))
+
+
+def supply_evidence(spark, sf):
+    """The evidence of supply signals: their facts, where these come from, and the settings' digest."""
+    found = exposure(spark, sf)
+    e = found.withColumn("e", signals.build_evidence(CONFIG, b.AS_OF, NOW)).select("e.*")
+    return e.select(F.col("inputs.manufacturer_id").alias("manufacturer_id"), F.col("inputs.kind").alias("kind"), F.md5(joined("supply_ids").cast("binary")).alias("supply"), F.col("data_provenance.supply_chain_source").alias("source"), F.length("data_provenance.caveat").cast("long").alias("caveat"), "config_hash", F.col("as_of"))
 
 
 def boosted_violators(spark, sf):
@@ -148,7 +189,7 @@ FROM new n FULL OUTER JOIN old o ON n.manufacturer_id = o.manufacturer_id AND n.
 
 
 def merge_counts(spark, sf):
-    return merge_signals(spark, sf).groupBy("action").agg(F.count("*").alias("n"))
+    return signals.merge_counts(merge_signals(spark, sf))
 
 
 def signal_events(spark, sf):
@@ -168,9 +209,13 @@ def rerun_unchanged(spark, sf):
 
 def suppressed_signals(spark, sf):
     kept = stored(spark, sf)
-    asked = kept.where("severity = 'medium'").select(F.col("id").alias("signal_id"), F.lit("suppressed").alias("to"), F.lit("analyst").alias("actor"), F.lit("known").alias("reason"))
-    out, _, _ = signals.transition(kept, asked, NOW)
-    return out.groupBy("status", "severity").agg(F.count("*").alias("n"))
+    asked = kept.where("cast(manufacturer_id as int) % 3 < 2").select(F.col("id").alias("signal_id"), F.lit("suppressed").alias("to"), F.lit("analyst").alias("actor"), F.lit("known").alias("reason"), F.lit(1).alias("seq"))
+    twice = asked.join(kept.where("cast(manufacturer_id as int) % 3 = 1").select(F.col("id").alias("signal_id")), "signal_id", "left_semi").withColumns({"to": F.lit("resolved"), "seq": F.lit(2)})
+    out, events, rejected = signals.transition(kept, asked.unionByName(twice), NOW)
+    out = written(out, "transitioned")
+    return out.select("manufacturer_id", "status", F.col("resolved_at").cast("timestamp_ntz").alias("resolved_at")).unionByName(
+        rejected.groupBy(F.concat(F.lit("rejected: "), "fault").alias("status")).agg(F.count("*").cast("string").alias("manufacturer_id")).withColumn("resolved_at", F.lit(None).cast("timestamp_ntz"))
+    )
 
 
 def listed_signals(spark, sf):
@@ -245,6 +290,17 @@ leveled AS (SELECT *, CASE WHEN k - 15 >= 6 AND score - 30 >= 12 THEN 'critical'
 SELECT *, CASE level WHEN 'medium' THEN 'high' WHEN 'high' THEN 'critical' ELSE level END AS boosted,
   CASE WHEN k % 5 >= 3 THEN 'low' WHEN score >= 70 THEN 'critical' WHEN score >= 50 THEN 'high' WHEN score >= 25 THEN 'medium' ELSE 'low' END AS exposure FROM leveled"""
 
+# All rules over recalls of brands: the supply rule follows the violators' own brands.
+CANDIDATES_SQL = f"""WITH {b.BRAND_VIOLATORS_SQL}, {b.SUPPLY_SQL},
+signals AS (SELECT manufacturer_id, active_ingredient FROM violators WHERE severity IS NOT NULL),
+{_EXPOSED},
+{_COUNTED},
+sourced AS (SELECT ingredient, count(DISTINCT jurisdiction) AS k FROM windowed GROUP BY 1),
+found AS (
+  SELECT 'repeat_violator' AS kind, severity, manufacturer_id, active_ingredient, CAST(NULL AS DOUBLE) AS exposure_pct, recall_count FROM violators WHERE severity IS NOT NULL
+  UNION ALL SELECT 'supply_chain_exposure', {_SUPPLY_LEVEL}, manufacturer_id, active_ingredient, round(CAST(top AS DOUBLE) / bottom + 1e-9, 2), NULL FROM means LEFT JOIN others USING (manufacturer_id, active_ingredient)
+  UNION ALL SELECT 'cross_source_corroboration', 'medium', NULL, ingredient, NULL, NULL FROM sourced WHERE k >= 2)"""
+
 PLANS = {
     "repeat_violators": (repeat_violators, REPEAT_VIOLATORS),
     "recall_window": (recall_window, f"WITH {b.RECALLS_SQL} SELECT id, jurisdiction, date_published, severity FROM windowed"),
@@ -252,16 +308,30 @@ PLANS = {
     "corroboration": (corroboration, CORROBORATION),
     "county_exposure": (county_exposure, f"WITH {BRANDS_SQL} SELECT manufacturer_id, active_ingredient, county_id, CAST(sum(share_pct) AS DOUBLE) AS share, CAST(max(lead_time_days) AS BIGINT) AS lead FROM matched GROUP BY ALL"),
     "supply_chain_exposure": (supply_chain_exposure, SUPPLY_CHAIN),
-    "all_candidates": (all_candidates, f"""SELECT kind, severity, CAST(count(*) AS BIGINT) AS n FROM (
-  SELECT 'repeat_violator' AS kind, severity FROM ({REPEAT_VIOLATORS}) UNION ALL SELECT 'supply_chain_exposure', severity FROM ({SUPPLY_CHAIN}) UNION ALL SELECT 'cross_source_corroboration', severity FROM ({CORROBORATION})) GROUP BY ALL"""),
+    "all_candidates": (all_candidates, f"{CANDIDATES_SQL} SELECT * FROM found"),
+    "whole_run": (whole_run, f"""{CANDIDATES_SQL}, sure AS (SELECT active_ingredient FROM found WHERE kind = 'cross_source_corroboration')
+SELECT kind, CASE WHEN kind = 'cross_source_corroboration' OR active_ingredient NOT IN (SELECT active_ingredient FROM sure) THEN severity WHEN severity = 'low' THEN 'medium' WHEN severity = 'medium' THEN 'high' ELSE 'critical' END AS severity,
+  'active' AS status, manufacturer_id, active_ingredient, TIMESTAMP '2001-01-01' AS first_seen FROM found"""),
+    "carried_first_seen": (carried_first_seen, f"""WITH {b.RECALLS_SQL}, {_violators_at('2000-12-31', 'new')}, {_violators_at('2000-07-04', 'old')}
+SELECT n.manufacturer_id, n.active_ingredient, CASE WHEN o.manufacturer_id IS NOT NULL OR n.active_ingredient IN (SELECT active_ingredient FROM old WHERE CAST(manufacturer_id AS INTEGER) % 5 = 0) THEN TIMESTAMP '2000-07-05' ELSE TIMESTAMP '2001-01-01' END AS first_seen
+FROM new n LEFT JOIN old o ON o.manufacturer_id = n.manufacturer_id AND o.active_ingredient = n.active_ingredient AND CAST(o.manufacturer_id AS INTEGER) % 5 <> 0"""),
+    "signal_states": (signal_states, f"SELECT manufacturer_id, action AS event_type, CASE action WHEN 'created' THEN NULL ELSE 'active' END AS old_status, CASE action WHEN 'resolved' THEN 'resolved' ELSE 'active' END AS new_status, active_ingredient FROM ({MERGE})"),
+    "supply_evidence": (supply_evidence, f"""WITH {BRANDS_SQL}, ids AS (SELECT manufacturer_id, md5(array_to_string(list_sort(list(id)), '|')) AS supply FROM matched GROUP BY manufacturer_id, active_ingredient)
+SELECT manufacturer_id, 'supply_chain_exposure' AS kind, supply, '{signals.SUPPLY_SOURCE}' AS source, CAST({len(signals.SUPPLY_CAVEAT)} AS BIGINT) AS caveat, '{CONFIG.config_hash}' AS config_hash, DATE '2000-12-31' AS as_of FROM ids WHERE manufacturer_id IN (SELECT manufacturer_id FROM exposed)"""),
     "boosted_violators": (boosted_violators, BOOSTED),
     "merge_signals": (merge_signals, MERGE),
     "merge_counts": (merge_counts, f"SELECT action, CAST(count(*) AS BIGINT) AS n FROM ({MERGE}) GROUP BY 1"),
     "signal_events": (signal_events, f"SELECT action AS event_type, 'system' AS actor, CASE action WHEN 'resolved' THEN 'rule_no_longer_fires' ELSE '' END AS reason, CAST(count(*) AS BIGINT) AS n FROM ({MERGE}) GROUP BY ALL"),
     "rerun_unchanged": (rerun_unchanged, f"SELECT 'unchanged' AS action, CAST(count(*) AS BIGINT) AS n FROM ({REPEAT_VIOLATORS})"),
-    "suppressed_signals": (suppressed_signals, f"WITH {OLD_LEVELS} SELECT CASE severity WHEN 'medium' THEN 'suppressed' ELSE 'active' END AS status, severity, CAST(count(*) AS BIGINT) AS n FROM levels GROUP BY ALL"),
+    "suppressed_signals": (suppressed_signals, f"""WITH {OLD_LEVELS} SELECT manufacturer_id, CASE CAST(manufacturer_id AS INTEGER) % 3 WHEN 0 THEN 'suppressed' WHEN 1 THEN 'resolved' ELSE 'active' END AS status, CASE WHEN CAST(manufacturer_id AS INTEGER) % 3 < 2 THEN TIMESTAMP '2001-01-01' END AS resolved_at FROM levels
+UNION ALL SELECT CAST(count(*) AS VARCHAR), 'rejected: repeated', NULL FROM levels WHERE CAST(manufacturer_id AS INTEGER) % 3 = 1 HAVING count(*) > 0"""),
     "listed_signals": (listed_signals, f"WITH {OLD_LEVELS} SELECT manufacturer_id, severity, 'active' AS status, true AS stale FROM levels"),
-    "explained_signals": (explained_signals, None),
+    "explained_signals": (explained_signals, f"""WITH {OLD_LEVELS}, ids AS (SELECT manufacturer_id, list_sort(list(id)) AS ids, count(*) AS k, sum(CASE severity WHEN 'class_1' THEN 3 WHEN 'class_2' THEN 2 ELSE 1 END) AS score FROM old_rows GROUP BY 1),
+s AS (SELECT *, sha256(array_to_string(['repeat_violator', manufacturer_id, active_ingredient, '2000-07-05 00:00:00'], chr(31))) AS h FROM levels JOIN old USING (manufacturer_id) JOIN ids USING (manufacturer_id) JOIN makers ON makers.id = manufacturer_id),
+n AS (SELECT *, concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]) AS signal FROM s)
+SELECT signal AS id, array_to_string(list_concat(['Signal ID : ' || signal, 'Kind      : repeat_violator', 'Severity  : ' || severity, 'Status    : active', 'Ingredient: ' || active_ingredient, 'Regions   : (none)', 'First seen: 2000-07-05T00:00:00+00:00', 'Updated   : 2000-07-05T00:00:00+00:00',
+  '', 'Rule', '  Version    : 1.0', '  Config hash: {RiskConfig().config_hash[:16]}...', '  Computed at: 2000-07-05T00:00:00+00:00', '  As of      : 2000-07-04', '', 'Evidence'], list_transform(ids, lambda x: '  Document: ' || x),
+  ['', 'Recommendation', '  Review procurement from ' || canonical_name || ': ' || k || ' recall events (score ' || score || ') in 24 months.']), chr(10)) AS explanation FROM n"""),
     "signal_inventory": (signal_inventory, f"WITH {OLD_LEVELS} SELECT kind, status, CAST((SELECT count(*) FROM levels) AS BIGINT) AS n FROM (VALUES ('repeat_violator', 'active'), ('repeat_violator', 'all'), ('all', 'active'), ('all', 'all')) v(kind, status)"),
     "orphan_signals": (orphan_signals, f"WITH {OLD_SQL} SELECT manufacturer_id, active_ingredient FROM old WHERE CAST(manufacturer_id AS INTEGER) % 3 = 0"),
     "manufacturer_report": (manufacturer_report, f"WITH {OLD_LEVELS} SELECT m.id, canonical_name, CAST(count(r.id) AS BIGINT) AS recalls, CAST(count(DISTINCT r.source_id) AS BIGINT) AS sources, (SELECT severity FROM levels l WHERE l.manufacturer_id = m.id) AS severity FROM makers m LEFT JOIN recalls r ON r.manufacturer_id = m.id GROUP BY m.id, canonical_name"),

@@ -38,6 +38,13 @@ def stream_recall_counts(spark, sf):
     return out.withColumns({n: F.col(n).cast("timestamp_ntz") for n in ("start", "end")})
 
 
+def stream_recall_bursts(spark, sf):
+    """Sessions that a gap of an hour ends, read to the end of the stream: those still open when the watermark stops are left."""
+    rows = events(spark, sf).select("ts", (F.col("user_id") % 20).cast("string").alias("manufacturer_id"))
+    out = drained(jobs.stream_recall_bursts(rows, gap="1 hour"), "complete")
+    return out.withColumns({n: F.col(n).cast("timestamp_ntz") for n in ("start", "end")})
+
+
 def stream_dedup(spark, sf):
     rows = events(spark, sf).select(F.col("event_type").alias("source_id"), F.col("user_id").cast("string").alias("source_url"), F.col("ts").alias("fetched_at"))
     return drained(jobs.stream_dedup(rows, delay="1000 days")).select("source_id", "source_url")
@@ -60,6 +67,9 @@ def event_properties(spark, sf):
 PLANS = {
     "stream_recall_counts": (stream_recall_counts, """SELECT CAST(user_id % 20 AS VARCHAR) AS manufacturer_id, CAST(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS TIMESTAMP) AS start, CAST(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') + INTERVAL 1 DAY AS TIMESTAMP) AS "end",
   CAST(count(*) AS BIGINT) AS recall_count, CAST(sum(CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 ELSE 1 END) AS BIGINT) AS weighted_score FROM events GROUP BY ALL"""),
+    "stream_recall_bursts": (stream_recall_bursts, """WITH e AS (SELECT CAST(user_id % 20 AS VARCHAR) AS manufacturer_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id % 20 ORDER BY ts, event_id)),
+n AS (SELECT *, sum(opens) OVER (PARTITION BY manufacturer_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM e)
+SELECT manufacturer_id, CAST(min(ts) AS TIMESTAMP) AS start, CAST(max(ts) + INTERVAL 1 HOUR AS TIMESTAMP) AS "end", CAST(count(*) AS BIGINT) AS recall_count FROM n GROUP BY manufacturer_id, burst"""),
     "stream_dedup": (stream_dedup, "SELECT DISTINCT event_type AS source_id, CAST(user_id AS VARCHAR) AS source_url FROM events"),
     "stream_versions": (stream_versions, "WITH c AS (SELECT CAST(user_id AS VARCHAR) AS source_url, event_id AS seq, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS previous_hash, event_type AS normalized_hash FROM events) SELECT * FROM c WHERE previous_hash <> normalized_hash"),
     "event_properties": (event_properties, "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events"),
