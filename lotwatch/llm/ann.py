@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Tables, directions in each, bucket width in units of the sample's typical nearest distance, probes in each table.
-TABLES, DIRECTIONS, WIDTH, PROBES = 8, 16, 2.8, 1000
+TABLES, DIRECTIONS, WIDTH, PROBES = 4, 12, 2.6, 600
 #: Rows of the sample that sets the width, at most.
 SAMPLE = 2000
 #: Vectors and queries of one block of a crowded bucket, and index rows of one group, about.
-VECTORS, QUERIES, GROUP_ROWS = 2048, 512, 4096
+VECTORS, QUERIES, GROUP_ROWS = 2048, 512, 8192
 #: Vectors whose probes are made at a time.
 PACK = 16
 
@@ -139,10 +139,11 @@ def _matcher(k: int):
         """The k + 1 nearest classes of each query among those that share a unit with it; ties go to the smaller id."""
         out = []
         if len(vectors) and len(queries):
-            vectors = vectors.sort_values("unit", kind="stable")
-            unit, first = vectors["unit"].to_numpy(), vectors["first"].to_numpy()
+            held, first = vectors["vector"].to_numpy(), vectors["first"].to_numpy()
             c1, c2 = vectors["c1"].to_numpy(), vectors["c2"].to_numpy()
-            held = vectors["vector"].to_numpy()
+            unit, row = np.concatenate(vectors["units"].to_numpy()), np.repeat(np.arange(len(vectors)), vectors["units"].map(len))
+            order = np.argsort(unit, kind="stable")
+            unit, row = unit[order], row[order]
             size = np.array([len(v) for v in held])
             stacked = {d: np.array(held[size == d].tolist(), np.float64) for d in set(size.tolist())}
             place = np.zeros(len(size), np.int64)
@@ -155,34 +156,30 @@ def _matcher(k: int):
                 if not n.any():
                     continue
                 at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-                at = np.unique(at[size[at] == len(q)])
+                at = np.unique(row[at])
+                at = at[size[at] == len(q)]
                 d = np.sqrt(((stacked[len(q)][place[at]] - np.asarray(q, np.float64)) ** 2).sum(axis=1)) if len(at) else np.zeros(0)
-                if len(d) > (k + 1) * TABLES:  # a class met in several tables is here as many times, at one distance
-                    bound = np.partition(d, (k + 1) * TABLES)[(k + 1) * TABLES]
+                if len(d) > k + 1:
+                    bound = np.partition(d, k)[k]
                     at, d = at[d <= bound], d[d <= bound]
-                seen: set = set()
-                for i in np.lexsort((first[at], d)):
-                    key = (c1[at[i]], c2[at[i]])
-                    if key not in seen:
-                        seen.add(key)
-                        out.append((q1, q2, *key, first[at[i]], d[i]))
-                        if len(seen) > k:
-                            break
+                for i in np.lexsort((first[at], d))[: k + 1]:
+                    out.append((q1, q2, c1[at[i]], c2[at[i]], first[at[i]], d[i]))
         return pd.DataFrame(out, columns=["q1", "q2", "c1", "c2", "first", "score"]).astype({"q1": "int64", "q2": "int64", "c1": "int64", "c2": "int64", "first": "int64", "score": "float64"})
 
     return run
 
 
 def _met_by(vectors: DataFrame, queries: DataFrame, classes: DataFrame, groups: int, k: int) -> DataFrame:
-    """(q1, q2, c1, c2, first, score) for vectors (unit, c1, c2, first, vector) and queries (unit, q1, q2; vectors in ``classes``) that share a unit.
+    """(q1, q2, c1, c2, first, score) for vectors (unit, c1, c2) and queries (unit, q1, q2) that share a unit; both are in ``classes``.
 
-    Units are dealt to groups; a query goes once to each group that holds one of its units.
+    Units are dealt to groups; a vector goes once to each group that holds one of its units.
     """
     group = F.pmod(F.xxhash64("unit"), F.lit(groups)).cast("int").alias("g")
     asked = queries.select(group, "q1", "q2", "unit").groupBy("g", "q1", "q2").agg(F.collect_list("unit").alias("units"))
+    dealt = vectors.select(group, "c1", "c2", "unit").groupBy("g", "c1", "c2").agg(F.collect_list("unit").alias("units")).join(classes.select("c1", "c2", "first", "vector"), ["c1", "c2"])
     whole = classes.select(F.col("c1").alias("q1"), F.col("c2").alias("q2"), F.col("vector").alias("goal"))
     asked = asked.join(whole, ["q1", "q2"])
-    return vectors.select(group, "unit", "c1", "c2", "first", "vector").groupBy("g").cogroup(asked.groupBy("g")).applyInPandas(_matcher(k), "q1 long, q2 long, c1 long, c2 long, first long, score double")
+    return dealt.groupBy("g").cogroup(asked.groupBy("g")).applyInPandas(_matcher(k), "q1 long, q2 long, c1 long, c2 long, first long, score double")
 
 
 def _best(found: DataFrame, classes: DataFrame, k: int) -> DataFrame:
@@ -230,7 +227,7 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 10, id_col: str = "
     share = lambda c, n: F.pmod(F.xxhash64(F.col(c), F.lit(9)), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     unit = F.xxhash64("code", "vb", "qb").alias("unit")
-    vectors = index.join(blocks, "code").withColumn("vb", share("c1", "v")).withColumn("qb", upto("q")).select(unit, "c1", "c2").join(classes.select("c1", "c2", "first", "vector"), ["c1", "c2"])
+    vectors = index.join(blocks, "code").withColumn("vb", share("c1", "v")).withColumn("qb", upto("q")).select(unit, "c1", "c2")
     wanted = probes.join(blocks, "code").withColumn("qb", share("q1", "q")).withColumn("vb", upto("v")).select(unit, "q1", "q2")
     n_index = index.count()
     found = _met_by(vectors, wanted, classes, max(8, n_index // GROUP_ROWS), k)
@@ -243,7 +240,7 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 10, id_col: str = "
         vbs, qbs = -(-classes.count() // VECTORS), -(-n_short // QUERIES)
         unit = F.xxhash64("dim", "vb", "qb").alias("unit")
         sized = lambda d, n, c: d.withColumns({"vbs": F.lit(vbs), "qbs": F.lit(qbs)}).withColumn(n, share(c, f"{n}s"))
-        vectors = sized(classes.withColumn("dim", F.size("vector")), "vb", "c1").withColumn("qb", upto("qbs")).select(unit, "c1", "c2", "first", "vector")
+        vectors = sized(classes.withColumn("dim", F.size("vector")), "vb", "c1").withColumn("qb", upto("qbs")).select(unit, "c1", "c2")
         wanted = sized(short, "qb", "q1").withColumn("vb", upto("vbs")).select(unit, "q1", "q2")
         again = _best(_met_by(vectors, wanted, classes, max(8, vbs * qbs), k), classes, k)
         best = best.join(short, ["q1", "q2"], "left_anti").unionByName(again)
