@@ -78,7 +78,8 @@ signals AS (SELECT v.manufacturer_id, best.brand AS active_ingredient FROM viola
 
 
 def exposure(spark: SparkSession, sf: str) -> DataFrame:
-    return rules.supply_chain_exposure(brand_signals(spark, sf), b.suppliers(spark, sf), b.supply(spark, sf), b.counties(spark, sf), b.makers(spark, sf), SUPPLY)
+    facts = written(b.supply(spark, sf), "supply")  # read twice: for the signals' own facts and for other suppliers
+    return rules.supply_chain_exposure(brand_signals(spark, sf), b.suppliers(spark, sf), facts, b.counties(spark, sf), b.makers(spark, sf), SUPPLY)
 
 
 def supply_chain_exposure(spark, sf):
