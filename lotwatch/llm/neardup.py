@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from . import common
 
 #: Bands of signature values. A pair of large sets at similarity 0.75 is missed with probability (1 - 0.75**6)**50 = 5e-5.
 BANDS, ROWS = 50, 6
-#: In small sets minimum and maximum aren't independent and more pairs would be missed. Sets of up to SHORT shingles have
-#: bands of 4 values, and those of over SHORT * 0.75 the others, so that any two sets that may be linked share one kind.
-SHORT, SHORT_BANDS, SHORT_ROWS = 54, 75, 4
+#: In small sets minimum and maximum aren't independent and more pairs would be missed (1.3e-3 at 3 of 4 shingles, 1.1e-4 at
+#: 15 of 20). Sets of up to SHORT shingles have bands of 4 values (3e-10 at 3 of 4), and those of over SHORT * 0.75 the others,
+#: so that any two sets that may be linked share one kind.
+SHORT, SHORT_BANDS, SHORT_ROWS = 20, 75, 4
 WIDTH = 5
 #: Candidate ids are broadcast up to this many (8 bytes each), and shuffled beyond.
 BROADCAST_IDS = 500_000
@@ -137,32 +139,6 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids, _lists(sets)], ["node", "shingles"])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of ``edges`` (a, b): root is the smallest node reachable.
-
-    Alternates large-star and small-star contraction until nothing changes; every step is two
-    aggregations and joins on the node, written to the shared folder.
-    """
-    state, before, table = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), None, None
-    while True:
-        state = common.written(state, "components")
-        if table is not None:
-            common.release(table)
-        table = state
-        seen = tuple(state.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.max("v")).first())
-        if seen == before or not seen[0]:
-            out = state.select(F.col("u").alias("node"), F.col("v").alias("root"))
-            out._lotwatch_path = table._lotwatch_path
-            return out
-        before = seen
-        both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        state = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-
-
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets overlap enough."""
     both = (
