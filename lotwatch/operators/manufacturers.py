@@ -116,7 +116,8 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = THRESHOL
     nearly all of it: then one of its rarest words is the other's.
     """
     share = (100 - threshold) / 100
-    a, b = left.select("a").where("a != ''").distinct(), right.select("b").where("b != ''").distinct()
+    # Distinct keys are read many times below.
+    a, b = written(left.select("a").where("a != ''").distinct(), "keys"), written(right.select("b").where("b != ''").distinct(), "keys")
     keys = a.select(F.col("a").alias("k")).union(b).distinct()
     words, grams = (f(keys, "k").groupBy("block").agg(F.count("*").alias("n")) for f in (_words, _grams))
     few = lambda k: F.floor(F.length(k) * 2 * share / (1 + share) / 2 + 1e-6) + 1
@@ -157,7 +158,7 @@ def resolve_names(names: DataFrame, manufacturers: DataFrame, overrides: DataFra
     names = names.select("raw").distinct()
     by_override = match_override(names, overrides).select("raw", F.col("canonical").alias("o_canonical"))
     by_key = match_exact(names, manufacturers).select("raw", F.col("id").alias("e_id"), F.col("canonical_name").alias("e_canonical"))
-    first = names.join(by_override, "raw", "left").join(by_key, "raw", "left")
+    first = written(names.join(by_override, "raw", "left").join(by_key, "raw", "left"), "names-by-key")
     open_ = first.where("o_canonical is null and e_id is null").select("raw")
     low = min(threshold, review_band[0]) if review_band else threshold
     fuzzy = match_fuzzy(open_, manufacturers, low).select("raw", F.col("id").alias("f_id"), F.col("canonical_name").alias("f_canonical"), "score")
