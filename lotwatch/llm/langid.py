@@ -25,6 +25,8 @@ WINDOW, DIM, FILTERS, WIDTHS = 192, 8, 16, (2, 4)
 EPOCHS, BATCH, RATE = 10, 32, 0.15
 #: Labelled rows of each language to learn from, about; windows taken of each, from anywhere in its text. Only training is bounded so.
 SAMPLE_ROWS, SAMPLE_WINDOWS = 600, 3
+#: Languages are broadcast up to this number, and shuffled beyond.
+BROADCAST_LANGUAGES = 10_000
 #: A window to learn from has at least so many letters.
 LEAST_LETTERS = 4
 UNKNOWN = "und"
@@ -177,7 +179,8 @@ def labelled_sample(docs: DataFrame, usable: Column, rows: int = SAMPLE_ROWS) ->
     """
     known = docs.where(usable & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     known = known.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = common.written(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_LANGUAGES else counts
     # Rows are told apart by their texts where ids repeat.
     share = F.pmod(common.hash_order(F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     picked = known.join(counts, "lang").where((share * F.col("n") < rows) & F.col("text").rlike(r"\p{L}"))
