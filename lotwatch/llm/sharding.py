@@ -25,9 +25,9 @@ PROBES, TOLERANCE = 256, 0.001
 #: A group of equal texts is cut only if keeping it whole would miss the target by more than this share.
 KEEP_TOLERANCE = 0.01
 KEY_BITS = 63
-#: Rows numbered by one task, about.
-SLOT_ROWS = 250_000
-#: Tables with a row for each text of over SLOT_ROWS rows, or for each part, are broadcast up to this number.
+#: Rows and bytes numbered by one task, about.
+SLOT_ROWS, SLOT_BYTES = 250_000, 64 << 20
+#: Tables with a row for each text of over SLOT_ROWS rows or SLOT_BYTES, or for each part, are broadcast up to this number.
 BROADCAST_ROWS = 100_000
 
 
@@ -177,11 +177,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     measures = keyed(base, id_col, text_col)
     rows = common.written(base.select(*[measures[n].alias(n) for n in ("size", "key", "key2")]), "shard-keys")
     bounds = splitters(rows, shards, keep_together)
-    n_rows = rows.count()
+    n_rows, n_bytes = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     # Hashes are even, so equal ranges of keys have about equal numbers of texts; texts and groups of many rows are split on their own.
-    parts = max(8, -(-n_rows // (shards * SLOT_ROWS)))
-    wide = common.written(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SLOT_ROWS).select(F.col("key").alias("w"), F.ceil(F.col("n") / SLOT_ROWS).cast("int").alias("w_parts")), "shard-wide")
-    groups = rows.join(F.broadcast(wide), rows.key == wide.w).groupBy("key", "key2").agg(F.count("*").alias("n")).where(F.col("n") > SLOT_ROWS)
+    parts = max(8, -(-n_rows // (shards * SLOT_ROWS)), -(-n_bytes // (shards * SLOT_BYTES)))
+    needs = F.greatest(F.ceil(F.count("*") / SLOT_ROWS), F.ceil(F.sum("size") / SLOT_BYTES)).cast("int").alias("w_parts")
+    wide = common.written(rows.groupBy(F.col("key").alias("w")).agg(needs).where("w_parts > 1"), "shard-wide")
+    groups = rows.join(F.broadcast(wide) if wide.count() <= BROADCAST_ROWS else wide, rows.key == wide.w).groupBy("key", "key2").agg(needs).where("w_parts > 1")
     cut = [(a, b) for a, b, n in bounds if n]
     twins = groups.selectExpr("key as t1", "key2 as t2").union(docs.sparkSession.createDataFrame(cut, "t1 long, t2 long")).distinct()
     twins = common.written(twins, "shard-groups")
@@ -192,12 +193,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
         """``df`` with the shard and the part of each row."""
         slice_ = F.expr(f"{key} div {span}L")
         inner = F.when(F.col("w").isNull(), F.lit(0)).otherwise(F.floor(F.col(key2) / F.lit(float(1 << KEY_BITS)) * F.col("w_parts"))).cast("long")
-        at = F.struct(F.col("w").isNotNull().alias("wide"), slice_.alias("a"), F.coalesce("w", F.lit(0)).alias("w"), inner.alias("b"), F.expr(f"{number} div {SLOT_ROWS}L").alias("c"))
+        at = F.struct(F.col("w").isNotNull().alias("wide"), slice_.alias("a"), F.coalesce("w", F.lit(0)).alias("w"), inner.alias("b"), F.expr(f"{number} div greatest(1L, least({SLOT_ROWS}L, {SLOT_BYTES}L div {size}))").alias("c"))
         return df.join(wide, F.col(key) == F.col("w"), "left").withColumns({"shard": shard_of(bounds, key, key2, number), part: at}).drop("w", "w_parts")
 
     placed = base.select(*own, measures["size"].alias(size), measures["key"].alias(key), measures["key2"].alias(key2))
     if twins.isEmpty():
-        slim = rows.select(F.col("key").alias(key), F.col("key2").alias(key2), F.lit(0).cast("long").alias(number))
+        slim = rows.select(F.col("key").alias(key), F.col("key2").alias(key2), F.col("size").alias(size), F.lit(0).cast("long").alias(number))
         placed = placed.withColumn(number, F.lit(0).cast("long"))
     else:
         slim = placed = _numbered(placed, twins, key, key2, number)

@@ -185,6 +185,7 @@ def test_sharding_of_equal_rows(spark, prose, ids):
 def test_sharding_splits_wide_groups(spark, prose, monkeypatch):
     """Texts and groups of equal rows wider than a part are numbered in parts; slots stay whole and follow the keys."""
     monkeypatch.setattr(sharding, "SLOT_ROWS", 20)
+    monkeypatch.setattr(sharding, "SLOT_BYTES", 600)
     rows = [(k, "wide text") for k in range(150)] + [(None, "equal rows")] * 130 + [(1000 + k, prose(9, k)) for k in range(200)]
     out = hist_rows(spark, rows, 3)
     assert sorted((r["doc_id"] or -1, r["text"]) for r in out) == sorted((i or -1, t) for i, t in rows) and slots_are_whole(out)
@@ -362,7 +363,7 @@ def test_neighbours_of_clusters(spark, monkeypatch):
     monkeypatch.setattr(ann, "QUERIES", 3)
     monkeypatch.setattr(ann, "GROUP_ROWS", 100)
     assert recall(spark, rows)[0] >= 0.95
-    index = ann.Index(24, 2.8 * 1.3)
+    index = ann.fit(spark.createDataFrame([(i, 0, [float(x) for x in v]) for i, v in rows], 'c1 long, c2 long, vector array<double>'), 24)
     x = np.array([v for _, v in rows], np.float64)
     codes, probes = index.codes(x), index.probe_codes(x[:100:20])
     met = np.zeros((5, len(x)), bool)
