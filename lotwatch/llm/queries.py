@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, common, decontaminate, langid, mixing, neardup, quality, sharding, tokens, warc
+from . import ann, bpe, chat, common, decontaminate, langid, mixing, neardup, quality, sharding, tokens, warc
 from .common import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -65,6 +65,15 @@ def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.round(F.col("rate") * 1_000_000).cast("long").alias("rate_ppm"), "replica", "shuffle_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts to ids and ids to bytes; the digests are computed from what comes back."""
+    import public_tokenizers
+
+    path, pattern = tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern, keep=["doc_id"]), path, pattern)
+    return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("token_ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 NEAR_DUPLICATES_SQL = r"""
     WITH RECURSIVE words AS (
       SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
@@ -100,7 +109,7 @@ CAPTURES_SQL = """
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_quality_classifier, op2_histogram_sharding, op3_spaced_seed_decontamination, op4_multiprobe_neighbours, op5_warc_capture_index,
-        op6_minmax_near_duplicates, op7_byte_cnn_language, op8_snapshot_collapse, op9_token_counts, op10_poisson_mixing,
+        op6_minmax_near_duplicates, op7_byte_cnn_language, op8_snapshot_collapse, op9_token_counts, op10_poisson_mixing, op11_byte_bpe,
     )
     return {f.__name__: f for f in ops}
 
