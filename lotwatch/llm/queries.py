@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, common, decontaminate, langid, mixing, neardup, quality, sharding, tokens, warc
+from . import ann, bpe, chat, common, decontaminate, langid, mixing, neardup, negatives, quality, sharding, tokens, warc
 from .common import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -74,6 +74,12 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("token_ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of ids divisible by 7 are moved by one first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 NEAR_DUPLICATES_SQL = r"""
     WITH RECURSIVE words AS (
       SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
@@ -106,13 +112,32 @@ CAPTURES_SQL = """
 """
 
 
+HARD_NEGATIVES_SQL = """
+    WITH r AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+      FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+      SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+      FROM r a JOIN r c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+      s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+    QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) <= 3
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_quality_classifier, op2_histogram_sharding, op3_spaced_seed_decontamination, op4_multiprobe_neighbours, op5_warc_capture_index,
-        op6_minmax_near_duplicates, op7_byte_cnn_language, op8_snapshot_collapse, op9_token_counts, op10_poisson_mixing, op11_byte_bpe,
+        op6_minmax_near_duplicates, op7_byte_cnn_language, op8_snapshot_collapse, op9_token_counts, op10_poisson_mixing, op11_byte_bpe, op12_hard_negatives,
     )
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_capture_index": CAPTURES_SQL, "op6_minmax_near_duplicates": NEAR_DUPLICATES_SQL, "op8_snapshot_collapse": chat.oracle(), "op10_poisson_mixing": mixing.oracle()}
+    return {
+        "op5_warc_capture_index": CAPTURES_SQL, "op6_minmax_near_duplicates": NEAR_DUPLICATES_SQL, "op8_snapshot_collapse": chat.oracle(), "op10_poisson_mixing": mixing.oracle(),
+        "op12_hard_negatives": HARD_NEGATIVES_SQL,
+    }
