@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, common, decontaminate, langid, mixing, neardup, negatives, quality, sharding, tokens, warc
+from . import ann, bpe, chat, common, decontaminate, langid, mixing, neardup, negatives, phrases, quality, sharding, tokens, warc
 from .common import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -80,6 +80,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 NEAR_DUPLICATES_SQL = r"""
     WITH RECURSIVE words AS (
       SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
@@ -128,10 +132,38 @@ HARD_NEGATIVES_SQL = """
 """
 
 
+COLLOCATIONS_SQL = r"""
+    WITH pieces AS (
+      SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+    grams AS (
+      SELECT lang, 1 AS k, unnest(w) AS p FROM w
+      UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w
+      UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w),
+    f AS (SELECT lang, k, p, count(*) AS f, string_split(p, ' ') AS s FROM grams GROUP BY lang, k, p),
+    n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+    cuts AS (
+      SELECT c.lang, c.k, c.p, c.f AS a, i.i AS cut, c.s, array_to_string(c.s[:i.i], ' ') AS x, array_to_string(c.s[i.i + 1:], ' ') AS y
+      FROM f c JOIN (VALUES (1), (2)) i(i) ON i.i < c.k WHERE c.k > 1 AND c.f >= 10),
+    scored AS (
+      SELECT c.*, x.f AS l, y.f AS r, CAST(1000000 * CAST(c.a AS HUGEINT) * c.a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+      FROM cuts c JOIN f x ON x.lang = c.lang AND x.p = c.x JOIN f y ON y.lang = c.lang AND y.p = c.y
+      QUALIFY row_number() OVER (PARTITION BY c.lang, c.p ORDER BY score, cut) = 1),
+    inside AS (
+      SELECT lang, array_to_string(s[1:2], ' ') AS p, a FROM scored WHERE k = 3 UNION ALL SELECT lang, array_to_string(s[2:3], ' '), a FROM scored WHERE k = 3),
+    longer AS (SELECT lang, p, max(a) AS longer FROM inside GROUP BY lang, p)
+    SELECT c.lang, row_number() OVER (PARTITION BY c.lang ORDER BY c.score DESC, c.a DESC, c.p) AS rank, c.p AS phrase, c.a, c.l, c.r, n.n, c.score
+    FROM scored c JOIN n ON n.lang = c.lang LEFT JOIN longer g ON g.lang = c.lang AND g.p = c.p
+    WHERE g.longer IS NULL OR 100 * g.longer < 50 * c.a
+    QUALIFY row_number() OVER (PARTITION BY c.lang ORDER BY c.score DESC, c.a DESC, c.p) <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_quality_classifier, op2_histogram_sharding, op3_spaced_seed_decontamination, op4_multiprobe_neighbours, op5_warc_capture_index,
         op6_minmax_near_duplicates, op7_byte_cnn_language, op8_snapshot_collapse, op9_token_counts, op10_poisson_mixing, op11_byte_bpe, op12_hard_negatives,
+        op13_phrase_collocations,
     )
     return {f.__name__: f for f in ops}
 
@@ -139,5 +171,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_warc_capture_index": CAPTURES_SQL, "op6_minmax_near_duplicates": NEAR_DUPLICATES_SQL, "op8_snapshot_collapse": chat.oracle(), "op10_poisson_mixing": mixing.oracle(),
-        "op12_hard_negatives": HARD_NEGATIVES_SQL,
+        "op12_hard_negatives": HARD_NEGATIVES_SQL, "op13_phrase_collocations": COLLOCATIONS_SQL,
     }
