@@ -64,7 +64,8 @@ def fold_accents(col: Column) -> Column:
     text = F.translate(F.regexp_replace(col, r"\p{M}", ""), "".join(source), "".join(target))
     table = F.create_map(*[F.lit(x) for kv in longer.items() for x in kv])
     spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    return F.when(text.rlike("[" + "".join(longer) + "]"), spelled).otherwise(text)
+    folded = F.when(text.rlike("[" + "".join(longer) + "]"), spelled).otherwise(text)
+    return F.when(col.rlike(r"[^\x00-\x7F]"), folded).otherwise(col)  # ASCII needs none of it
 
 
 def normalize_name(col: Column) -> Column:

@@ -102,14 +102,16 @@ def upsert(docs: DataFrame, incoming: DataFrame, check_for_updates: bool = True,
     them an equal hash is ``skip_unchanged``, another one an ``update`` that archives the hash, text
     and metadata it replaces, superseded at ``now``. A new address whose bytes are stored is
     ``skip_same_bytes``, else ``insert``. An observation that couldn't be parsed is an ``error`` and
-    changes nothing. Within a batch the observations of an address follow each other by seq, and
+    changes nothing. A null source_hash is unknown bytes, equal to none. Within a batch the observations of an address follow each other by seq, and
     bytes belong to the first address that brought them.
     """
     url, held = ", ".join(URL), [c for c in ARCHIVED if c in docs.columns]
     failed = F.col("error").isNotNull() if "error" in incoming.columns else F.lit(False)
     stored = docs.select(*URL, F.col("id").alias("stored_id"), F.struct("normalized_hash", *held).alias("stored"))
     seen = incoming.withColumn("failed", failed)
-    first = F.when(~F.col("failed"), F.expr("row_number() over (partition by source_hash, failed order by seq)"))
+    # Unknown bytes are like no others: rows without a hash are told apart, and don't meet in one task.
+    content = f"coalesce(source_hash, concat_ws('\\u001f', 'none', {url}, seq))"
+    first = F.when(~F.col("failed"), F.expr(f"row_number() over (partition by {content}, failed order by seq)"))
     seen = seen.withColumn("content_first", first).join(stored, list(URL), "left")
     bytes_known = docs.select("source_hash").distinct().withColumn("bytes_known", F.lit(True))
     seen = seen.join(bytes_known, "source_hash", "left").withColumn("bytes_known", F.coalesce("bytes_known", F.lit(False)))

@@ -224,16 +224,44 @@ def repoint(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return docs.join(ids.select("id", F.array_distinct(F.col("x.m")).alias("new_ids")), "id", "left").withColumn("canonical_manufacturer_ids", F.coalesce("new_ids", "canonical_manufacturer_ids")).drop("new_ids")
 
 
+def survivors(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((source, target), errors): each source with the manufacturer that is left in the end.
+
+    Chains are followed by doubling: each round joins a target with its own, so rounds grow with the
+    logarithm of the longest chain. A source goes to its least target; other targets, a pair of one
+    id, and pairs that run into a cycle are errors (with ``fault``).
+    """
+    ranked = pairs.select("source", "target").distinct().withColumn("nth", F.expr("row_number() over (partition by source order by target)"))
+    asked = written(ranked.where("source != target"), "merge-pairs")
+    one = asked.groupBy("source").agg(F.min("target").alias("target"))
+    state = written(one.withColumn("root", F.col("target")), "merge-roots")
+    rounds = max(1, state.count().bit_length())
+    for _ in range(rounds):
+        above = state.select(F.col("source").alias("root"), F.col("root").alias("higher"))
+        older, state = state, written(state.join(above, "root", "left").select("source", "target", F.coalesce("higher", "root").alias("root")), "merge-roots")
+        release(older)
+    open_ = state.join(state.select(F.col("source").alias("root")), "root", "left_semi").select("source", "target", F.lit("cycle").alias("fault"))
+    good = state.join(open_.select("source"), "source", "left_anti").select("source", F.col("root").alias("target"))
+    errors = ranked.where("source = target").select("source", "target", F.lit("same").alias("fault"))
+    second = asked.join(one, ["source", "target"], "left_anti").select("source", "target", F.lit("second target").alias("fault"))
+    return good, errors.unionByName(open_).unionByName(second)
+
+
 def merge(manufacturers: DataFrame, docs: DataFrame, signals: DataFrame, pairs: DataFrame, now: datetime) -> dict[str, DataFrame]:
-    """Fold each source into its target: aliases, documents, signals. Pairs with an unknown id come back as ``errors``."""
+    """Fold each source into the manufacturer that is left of its chain of targets: aliases, documents, signals.
+
+    Pairs with an unknown id come back as ``errors``, as do pairs of one id, cycles and second targets.
+    """
     ids = manufacturers.select("id")
-    good = pairs.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    known = pairs.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    good, faults = survivors(known)
+    good = written(good, "merged")
     given = good.join(manufacturers.select(F.col("id").alias("source"), "canonical_name", "aliases"), "source")
     names = given.groupBy("target").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("source", F.concat(F.array("canonical_name"), "aliases").alias("n")))), lambda x: x["n"])).alias("more"))
     kept = manufacturers.join(good.select(F.col("source").alias("id")), "id", "left_anti").join(names, F.col("id") == F.col("target"), "left")
     aliases = F.filter(F.array_distinct(F.concat("aliases", F.coalesce("more", F.array().cast("array<string>")))), lambda x: x != F.col("canonical_name"))
     out_signals, events = resolve_for_merge(signals, good.select(F.col("source").alias("manufacturer_id")), now, "merge")
-    errors = pairs.join(good, ["source", "target"], "left_anti")
+    errors = pairs.select("source", "target").join(known, ["source", "target"], "left_anti").withColumn("fault", F.lit("unknown")).unionByName(faults)
     return {"manufacturers": kept.withColumn("aliases", aliases).drop("target", "more"), "documents": repoint(docs, good), "signals": out_signals, "events": events, "errors": errors}
 
 

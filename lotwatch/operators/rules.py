@@ -64,24 +64,27 @@ def with_ingredient_keys(docs: DataFrame, ingredient_col: str | None) -> tuple[D
 def repeat_violators(docs: DataFrame, manufacturers: DataFrame, as_of: date, cfg: RepeatViolator | None = None, ingredient_col: str | None = None) -> DataFrame:
     """Manufacturers over a threshold of recalls and weighted score, with the most frequent ingredient key (ties by name).
 
-    One pass: recalls are first counted by manufacturer and list of ingredients, and totals and the top ingredient come
-    from these counts.
+    Recalls are first counted by manufacturer and list of ingredients, and totals and the top ingredient come from these
+    counts; ids are gathered for the manufacturers over a threshold alone. A null in a list of ingredients is no ingredient.
     """
     cfg = cfg or RepeatViolator()
     docs, ingredient_col = with_ingredient_keys(docs, ingredient_col)
-    rows = by_manufacturer(recall_window(docs, as_of, cfg.window_months), "severity", ingredient_col)
+    rows = written(by_manufacturer(recall_window(docs, as_of, cfg.window_months), "severity", ingredient_col), "window-recalls")
     parts = rows.groupBy("manufacturer_id", F.col(ingredient_col).alias("names")).agg(
-        F.count("*").alias("n"), F.sum(sev.weight(F.col("severity"), cfg.severity_weights)).alias("score"), F.collect_list("id").alias("ids")
+        F.count("*").alias("n"), F.sum(sev.weight(F.col("severity"), cfg.severity_weights)).alias("score")
     )
-    each = parts.withColumn("name", F.explode_outer(F.concat(F.array(F.lit(None).cast("string")), F.coalesce("names", F.array().cast("array<string>")))))
-    # A row without a name stands for the part itself, the others count its ingredients.
-    whole = F.col("name").isNull()
-    by_name = each.groupBy("manufacturer_id", "name").agg(F.sum("n").alias("n"), F.sum(F.when(whole, F.col("score"))).alias("score"), F.collect_list(F.when(whole, F.col("ids"))).alias("ids"))
+    # One row stands for the part itself (whole), the others count its ingredients.
+    mark = lambda whole, name: F.struct(F.lit(whole).alias("whole"), name.alias("name"))
+    listed = F.transform(F.array_compact(F.coalesce("names", F.array().cast("array<string>"))), lambda x: mark(False, x))
+    each = parts.withColumn("e", F.explode(F.concat(F.array(mark(True, F.lit(None).cast("string"))), listed))).select("manufacturer_id", "n", "score", "e.*")
+    by_name = each.groupBy("manufacturer_id", "whole", "name").agg(F.sum("n").alias("n"), F.sum("score").alias("score"))
     totals = by_name.groupBy("manufacturer_id").agg(
-        F.sum(F.when(whole, F.col("n"))).alias("recall_count"), F.sum("score").alias("weighted_score"), F.sort_array(F.flatten(F.flatten(F.collect_list("ids")))).alias("evidence_document_ids"),
-        F.min(F.when(~whole, F.struct((-F.col("n")).alias("n"), F.col("name").alias("x")))).alias("top"),
+        F.sum(F.when(F.col("whole"), F.col("n"))).alias("recall_count"), F.sum(F.when(F.col("whole"), F.col("score"))).alias("weighted_score"),
+        F.min(F.when(~F.col("whole"), F.struct((-F.col("n")).alias("n"), F.col("name").alias("x")))).alias("top"),
     )
     crossed = totals.withColumn("severity", sev.recall_level(F.col("recall_count"), F.col("weighted_score"), cfg)).where("severity is not null")
+    evidence = rows.join(crossed.select("manufacturer_id"), "manufacturer_id", "left_semi").groupBy("manufacturer_id").agg(F.sort_array(F.collect_list("id")).alias("evidence_document_ids"))
+    crossed = crossed.join(evidence, "manufacturer_id")
     named = with_name(crossed.withColumn("active_ingredient", F.col("top.x")).drop("top"), manufacturers)
     action = F.format_string(f"Review procurement from %s: %d recall events (score %d) in {cfg.window_months} months.", "canonical_name", "recall_count", "weighted_score")
     return candidates(named.withColumns({"kind": F.lit("repeat_violator"), "recommended_action": action}))

@@ -76,9 +76,17 @@ def evidence_changed(old: Column, new: Column) -> Column:
 
 
 def state(prefix: str = "") -> Column:
-    """A signal's mutable fields as JSON for the audit trail."""
-    names = ["kind", "severity", "status", "manufacturer_id", "active_ingredient", "regions_affected", "exposure_pct", "alternative_supplier_count", "recommended_action"]
-    return F.to_json(F.struct(*[F.col(prefix + n).alias(n) for n in names]))
+    """A signal's mutable fields as JSON for the audit trail: missing ones are null, the evidence holds what its rule has."""
+    c = lambda n: F.col(prefix + n)
+    names = ["kind", "severity", "status", "manufacturer_id", "active_ingredient"]
+    return F.to_json(
+        F.struct(
+            *[c(n).alias(n) for n in names], F.coalesce(c("regions_affected"), F.array().cast("array<string>")).alias("regions_affected"), c("exposure_pct").cast("string").alias("exposure_pct"),
+            c("alternative_supplier_count").alias("alternative_supplier_count"), c("recommended_action").alias("recommended_action"),
+            F.coalesce(F.parse_json(F.to_json(c("evidence"))), F.parse_json(F.lit("{}"))).alias("evidence"), iso_time(c("last_updated")).alias("last_updated"),
+        ),
+        {"ignoreNullFields": "false"},
+    )
 
 
 def boosted(candidates: DataFrame, steps: int = 1) -> DataFrame:
@@ -170,7 +178,7 @@ def transition(signals: DataFrame, requests: DataFrame, now: datetime) -> tuple[
         "status": F.coalesce("to", "status"), "last_updated": F.when(F.col("to").isNotNull(), time).otherwise(F.col("last_updated")),
         "resolved_at": F.when(F.col("to").isin("resolved", "suppressed"), time).otherwise(F.col("resolved_at")),
     })
-    events = changed.withColumn("status", F.col("new_status")).select(
+    events = changed.withColumns({"status": F.col("new_status"), "last_updated": time}).select(
         stable_id(F.col("id"), F.col("to"), time).alias("id"), F.col("id").alias("signal_id"), F.col("to").alias("event_type"), "old_state", state().alias("new_state"), "actor", "reason", time.alias("occurred_at")
     )
     known = asked.join(signals.select("id").withColumn("known", F.lit(True)), "id", "left")

@@ -34,7 +34,9 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         cents("l_extendedprice"), cents("l_discount"), cents("l_tax"), "l_returnflag", "l_linestatus",
     )
     rows = t(spark, sf_dir, "lineitem").withColumns({"shipped": F.to_date("l_shipdate"), "line_text": text})
-    return rows.withColumn("line_id", F.concat_ws("-", "line_text", F.expr("row_number() over (partition by line_text order by l_orderkey)").cast("string")))
+    # Equal texts are numbered within two hashes: what is shuffled and sorted by is short.
+    number = F.expr("row_number() over (partition by xxhash64(line_text), xxhash64(1, line_text) order by l_orderkey)")
+    return rows.withColumn("line_id", F.concat_ws("-", "line_text", number.cast("string")))
 
 
 RECALLS_SQL = (

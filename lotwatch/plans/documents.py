@@ -47,8 +47,9 @@ def unknown_content(spark, sf):
 
 
 def _upsert(spark, sf):
-    """The later observations against the state that the earlier ones left; every 11th of an address can't be parsed."""
-    rows = b.observed(spark, sf).withColumn("source_hash", F.sha2(F.concat_ws("|", "source_url", "normalized_hash").cast("binary"), 256))
+    """The later observations against the state that the earlier ones left; every 11th of an address can't be parsed, and some have no hash of their bytes."""
+    known = F.when(F.length("id") % 5 > 0, F.sha2(F.concat_ws("|", "source_url", "normalized_hash").cast("binary"), 256))
+    rows = b.observed(spark, sf).withColumn("source_hash", known)
     stored = docs.latest_per_url(rows.where(F.col("created_at") < F.lit(date(2000, 1, 1))))
     later = rows.where(F.col("created_at") >= F.lit(date(2000, 1, 1)))
     batch = later.withColumn("seq", F.expr("row_number() over (partition by source_url order by created_at, id)").cast("long")).withColumn("error", F.when(F.col("seq") % 11 == 3, "unreadable"))
@@ -155,8 +156,8 @@ stored AS (SELECT * FROM observed WHERE created_at < DATE '2000-01-01' QUALIFY r
 later AS (SELECT *, row_number() OVER (PARTITION BY source_url ORDER BY created_at, id) AS seq FROM observed WHERE created_at >= DATE '2000-01-01'),
 parsed AS (
   SELECT l.*, s.id AS stored_id, s.normalized_hash AS stored_hash, s.raw_text AS stored_text,
-    s.id IS NULL AND NOT EXISTS (SELECT 1 FROM stored k WHERE k.source_url = l.source_url AND k.normalized_hash = l.normalized_hash)
-      AND row_number() OVER (PARTITION BY l.source_url, l.normalized_hash ORDER BY seq) = 1 AS opens,
+    s.id IS NULL AND (length(l.id) % 5 = 0 OR NOT EXISTS (SELECT 1 FROM stored k WHERE k.source_url = l.source_url AND k.normalized_hash = l.normalized_hash AND length(k.id) % 5 > 0)
+      AND row_number() OVER (PARTITION BY l.source_url, l.normalized_hash, length(l.id) % 5 = 0 ORDER BY seq) = 1) AS opens,
     lag(l.normalized_hash) OVER w AS last_hash, lag(l.raw_text) OVER w AS last_text
   FROM later l LEFT JOIN stored s ON s.source_id = l.source_id AND s.source_url = l.source_url WHERE seq % 11 <> 3 WINDOW w AS (PARTITION BY l.source_id, l.source_url ORDER BY seq)),
 opened AS (SELECT *, min(CASE WHEN opens THEN seq END) OVER (PARTITION BY source_id, source_url) AS opened FROM parsed),

@@ -28,7 +28,10 @@ def violators(spark: SparkSession, sf: str, as_of: date = b.AS_OF) -> DataFrame:
 
 
 def repeat_violators(spark, sf):
-    out = violators(spark, sf)
+    """Every second recall's list of ingredients holds nulls too: they are no ingredients and count nothing."""
+    hole = F.lit(None).cast("string")
+    docs = b.recalls(spark, sf).withColumn("active_ingredients", F.when(F.length("id") % 2 == 0, F.concat(F.array(hole), "active_ingredients", F.array(hole))).otherwise(F.col("active_ingredients")))
+    out = rules.repeat_violators(docs, b.makers(spark, sf), b.AS_OF)
     return out.select("manufacturer_id", "severity", "active_ingredient", "recall_count", "weighted_score", "recommended_action", F.md5(joined("evidence_document_ids").cast("binary")).alias("evidence"))
 
 
@@ -142,7 +145,12 @@ def signal_states(spark, sf):
     events = spark.createDataFrame([], signals.EVENT)
     _, new, _ = signals.persist_signals(violators(spark, sf), stored(spark, sf), events, RiskConfig(), b.AS_OF, NOW)
     field = lambda c, n: F.get_json_object(c, f"$.{n}")
-    return new.select(F.coalesce(field("new_state", "manufacturer_id"), F.lit("")).alias("manufacturer_id"), "event_type", field("old_state", "status").alias("old_status"), field("new_state", "status").alias("new_status"), field("new_state", "active_ingredient").alias("active_ingredient"))
+    ids = lambda c: F.md5(field(c, "evidence.document_ids").cast("binary"))
+    return new.select(
+        F.coalesce(field("new_state", "manufacturer_id"), F.lit("")).alias("manufacturer_id"), "event_type", field("old_state", "status").alias("old_status"), field("new_state", "status").alias("new_status"),
+        field("new_state", "active_ingredient").alias("active_ingredient"), ids("old_state").alias("old_evidence"), ids("new_state").alias("new_evidence"), field("old_state", "last_updated").alias("old_time"),
+        field("new_state", "last_updated").alias("new_time"), F.contains("new_state", F.lit('"regions_affected":[],"exposure_pct":null')).alias("keeps_nulls"), field("new_state", "evidence.recall_count").cast("long").alias("recall_count"),
+    )
 
 
 def supply_evidence(spark, sf):
@@ -316,7 +324,13 @@ SELECT kind, CASE WHEN kind = 'cross_source_corroboration' OR active_ingredient
     "carried_first_seen": (carried_first_seen, f"""WITH {b.RECALLS_SQL}, {_violators_at('2000-12-31', 'new')}, {_violators_at('2000-07-04', 'old')}
 SELECT n.manufacturer_id, n.active_ingredient, CASE WHEN o.manufacturer_id IS NOT NULL OR n.active_ingredient IN (SELECT active_ingredient FROM old WHERE CAST(manufacturer_id AS INTEGER) % 5 = 0) THEN TIMESTAMP '2000-07-05' ELSE TIMESTAMP '2001-01-01' END AS first_seen
 FROM new n LEFT JOIN old o ON o.manufacturer_id = n.manufacturer_id AND o.active_ingredient = n.active_ingredient AND CAST(o.manufacturer_id AS INTEGER) % 5 <> 0"""),
-    "signal_states": (signal_states, f"SELECT manufacturer_id, action AS event_type, CASE action WHEN 'created' THEN NULL ELSE 'active' END AS old_status, CASE action WHEN 'resolved' THEN 'resolved' ELSE 'active' END AS new_status, active_ingredient FROM ({MERGE})"),
+    "signal_states": (signal_states, f"""WITH m AS ({MERGE}), {b.RECALLS_SQL}, {_violators_at('2000-12-31', 'new')}, {_violators_at('2000-07-04', 'old')},
+ids AS (SELECT 'new' AS side, manufacturer_id, list_sort(list(id)) AS ids FROM new_rows GROUP BY 2 UNION ALL SELECT 'old', manufacturer_id, list_sort(list(id)) FROM old_rows GROUP BY 2),
+e AS (SELECT side, manufacturer_id, len(ids) AS n, md5('["' || array_to_string(ids, '","') || '"]') AS e FROM ids)
+SELECT m.manufacturer_id, action AS event_type, CASE action WHEN 'created' THEN NULL ELSE 'active' END AS old_status, CASE action WHEN 'resolved' THEN 'resolved' ELSE 'active' END AS new_status, active_ingredient,
+  CASE WHEN action <> 'created' THEN o.e END AS old_evidence, CASE action WHEN 'resolved' THEN o.e ELSE n.e END AS new_evidence, CASE WHEN action <> 'created' THEN '2000-07-05T00:00:00+00:00' END AS old_time,
+  '2001-01-01T00:00:00+00:00' AS new_time, true AS keeps_nulls, CAST(CASE action WHEN 'resolved' THEN o.n ELSE n.n END AS BIGINT) AS recall_count
+FROM m LEFT JOIN e o ON o.side = 'old' AND o.manufacturer_id = m.manufacturer_id LEFT JOIN e n ON n.side = 'new' AND n.manufacturer_id = m.manufacturer_id"""),
     "supply_evidence": (supply_evidence, f"""WITH {BRANDS_SQL}, ids AS (SELECT manufacturer_id, md5(array_to_string(list_sort(list(id)), '|')) AS supply FROM matched GROUP BY manufacturer_id, active_ingredient)
 SELECT manufacturer_id, 'supply_chain_exposure' AS kind, supply, '{signals.SUPPLY_SOURCE}' AS source, CAST({len(signals.SUPPLY_CAVEAT)} AS BIGINT) AS caveat, '{CONFIG.config_hash}' AS config_hash, DATE '2000-12-31' AS as_of FROM ids WHERE manufacturer_id IN (SELECT manufacturer_id FROM exposed)"""),
     "boosted_violators": (boosted_violators, BOOSTED),

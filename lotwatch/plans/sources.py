@@ -94,8 +94,8 @@ def details(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     reg = F.when(key % 2 == 0, F.concat(F.lit("A/"), text)).otherwise(F.lit("N/A"))
     one = F.concat(F.lit("<tr>"), head("Company name"), head("Batch number(s)"), head("Recall Date"), head("Re-call classification"), head("Registration-number"), F.lit("</tr><tr>"), cell(firm), cell(batch), cell(day), cell(kind), cell(reg), F.lit("</tr>"))
     two = F.concat(F.lit("<tr>"), head("Registration number"), head("RECALL DATE"), head("Recall classification"), head("Company Name &amp; address"), head("Batch Number"), F.lit("</tr><tr>"), cell(reg), cell(day), cell(kind), cell(firm), cell(batch), F.lit("</tr>"))
-    below = F.concat(F.lit("<p><strong>Brief Description</strong></p><p>first of "), text, F.lit("</p><p>second</p><p><b>Advice for healthcare professionals:</b> keep "), text, F.lit("</p><p>stray</p><p><strong>Reporting side effects</strong></p><p>elsewhere</p>"))
-    beside = F.concat(F.lit("<p><strong>Brief description:</strong> all of "), text, F.lit("</p><p>stray</p><p><strong>Proposed action</strong></p><ul><li>act "), text, F.lit("</li></ul>"))
+    below = F.concat(F.lit("<p>see the <b>brief description</b> of the plant</p></div><p>between</p><div><p><strong>Brief Description</strong></p><p>first of "), text, F.lit("</p><p>second</p><p><b>Advice for healthcare professionals:</b> keep "), text, F.lit("</p><p>stray</p><p><strong>Reporting side effects</strong></p><p>elsewhere</p>"))
+    beside = F.concat(F.lit("<p><strong>Brief description:</strong> all of "), text, F.lit("</p><p>stray</p><div><p><span><strong>Proposed action</strong></span></p><p>act "), text, F.lit("</p><ul><li>a list</li></ul></div><p>Copyright 2024</p>"))
     title = F.concat("s_name", F.when(key % 2 == 0, F.lit(" (Paracetamol, Zinc)")).otherwise(""))
     html = F.concat(F.lit("<h1><span>"), title, F.lit("</span></h1><table>"), F.when(key % 2 == 0, one).otherwise(two), F.lit("</table><div>"), F.when(key % 3 == 0, below).otherwise(beside), F.lit('</div><a class="document-library-pro-button" href="http://f.example/'), text, F.lit('.pdf">PDF</a>'))
     return landed.extract_recall_details(s.select(F.concat(F.lit("http://d.example/s-"), text, F.lit("/")).alias("url"), html.alias("html")))
@@ -202,9 +202,10 @@ def ingested(spark, sf):
 
 
 def merged_manufacturers(spark, sf):
-    """Every sixth pair of known manufacturers folded into one; unknown ids are errors."""
+    """Two manufacturers of every six folded into a third, one of them by way of the other; an unknown id, an id with itself, a second target and a cycle are errors."""
     dim = names.dimension(spark, sf)
-    pairs = dim.where("try_cast(id as int) % 6 = 2").select(F.col("id").alias("source"), (F.col("ordinal") - 2).cast("string").alias("target")).unionByName(spark.createDataFrame([("nobody", "0")], "source string, target string"))
+    pairs = dim.where("try_cast(id as int) % 6 > 0").select(F.col("id").alias("source"), (F.col("id").cast("int") - 2).cast("string").alias("target"))
+    pairs = pairs.unionByName(spark.createDataFrame([("nobody", "0"), ("0", "0"), ("2", "4"), ("6", "8")], "source string, target string"))
     out = m.merge(dim, names.documents(spark, sf), risk.stored(spark, sf), pairs, risk.NOW)
     rows = out["manufacturers"].select(F.lit("manufacturer").alias("kind"), "id", flat("aliases").alias("value"))
     rows = rows.unionByName(out["documents"].select(F.lit("document").alias("kind"), "id", flat("canonical_manufacturer_ids").alias("value")))
@@ -248,12 +249,12 @@ first AS (SELECT * FROM o WHERE seq = 1), second AS (SELECT o.*, f.id AS first_i
 SELECT f.id, f.source_id, f.source_url, coalesce(s.normalized_hash, f.normalized_hash) AS normalized_hash FROM first f LEFT JOIN second s ON s.source_url = f.source_url AND s.same
 UNION ALL SELECT id, source_id, source_url, normalized_hash FROM second WHERE NOT same AND NOT equal"""),
     "merged_manufacturers": (merged_manufacturers, f"""WITH {risk.OLD_LEVELS}, dim AS (SELECT s_suppkey AS k, replace(s_name, '#0000', ' ') AS name FROM supplier WHERE s_suppkey % 2 = 0),
-gone AS (SELECT k, name FROM dim WHERE k % 6 = 2), d AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderkey % 97 AS a, o_orderkey % 10 AS z FROM orders),
-f AS (SELECT id, a, z, CASE WHEN a IN (SELECT k FROM gone) THEN a - 2 ELSE a END AS fa, CASE WHEN z IN (SELECT k FROM gone) THEN z - 2 ELSE z END AS fz FROM d)
-SELECT 'manufacturer' AS kind, CAST(dim.k AS VARCHAR) AS id, 'Alias ' || dim.k || CASE WHEN gone.k IS NOT NULL THEN '|' || gone.name || '|Alias ' || gone.k ELSE '' END AS value FROM dim LEFT JOIN gone ON gone.k = dim.k + 2 AND dim.k % 6 = 0 WHERE dim.k NOT IN (SELECT k FROM gone)
+gone AS (SELECT k, name, k - k % 6 AS t FROM dim WHERE k % 6 > 0 AND k NOT IN (8, 10)), d AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderkey % 97 AS a, o_orderkey % 10 AS z FROM orders),
+f AS (SELECT id, a, z, CASE WHEN a IN (SELECT k FROM gone) THEN a - a % 6 ELSE a END AS fa, CASE WHEN z IN (SELECT k FROM gone) THEN z - z % 6 ELSE z END AS fz FROM d)
+SELECT 'manufacturer' AS kind, CAST(dim.k AS VARCHAR) AS id, 'Alias ' || dim.k || coalesce((SELECT string_agg('|' || name || '|Alias ' || k, '' ORDER BY CAST(k AS VARCHAR)) FROM gone WHERE t = dim.k), '') AS value FROM dim WHERE dim.k NOT IN (SELECT k FROM gone)
 UNION ALL SELECT 'document', id, CASE WHEN (fa <> a OR fz <> z) AND fa = fz THEN CAST(fa AS VARCHAR) ELSE fa || ',' || fz END FROM (SELECT * FROM f)
 UNION ALL SELECT 'signal', CASE WHEN CAST(manufacturer_id AS BIGINT) IN (SELECT k FROM gone) THEN 'resolved' ELSE 'active' END AS status, CAST(count(*) AS VARCHAR) FROM levels GROUP BY status
-UNION ALL SELECT 'error', 'nobody', '0'""".replace("|| ',' ||", "|| '|' ||")),
+UNION ALL SELECT 'error', * FROM (VALUES ('nobody', '0'), ('0', '0'), ('2', '4'), ('6', '8'), ('8', '6')) UNION ALL SELECT 'error', '10', '8' FROM dim WHERE k = 10""".replace("|| ',' ||", "|| '|' ||")),
     "link_categories_compat": (link_categories_compat, f"""WITH {LINKS_SQL}, c AS (SELECT CASE
   WHEN contains(lower(href), 'guideline') OR contains(lower(text), 'guidelines') THEN 'GUIDELINES' WHEN contains(lower(href), 'policy') OR contains(lower(text), 'framework') THEN 'POLICIES'
   WHEN contains(lower(href), 'product') OR contains(lower(text), 'registration') THEN 'REGISTRATION' WHEN contains(lower(href), 'form') OR contains(lower(text), 'application') THEN 'APPLICATIONS' ELSE 'TRAINING' END AS category FROM parts)

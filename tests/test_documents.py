@@ -130,6 +130,33 @@ def test_merge(spark):
     assert [r["source"] for r in out["errors"].collect()] == ["7"]
 
 
+def test_merge_of_pair_sets(spark):
+    """Chains end at the last survivor; a pair of one id, cycles and second targets are errors and change nothing."""
+    from lotwatch.plans.risk import EMPTY_SIGNALS
+
+    dim = spark.createDataFrame([(k, k.upper(), [f"{k}1"], [], 1.0, n) for n, k in enumerate("abcdefgh")], DIM)
+    rows = spark.createDataFrame([("d1", ["a", "b"]), ("d2", ["d", "a"]), ("d3", ["e", "g"])], "id string, canonical_manufacturer_ids array<string>")
+    pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "d"), ("e", "f"), ("f", "g"), ("g", "e"), ("h", "c"), ("h", "d"), ("a", "b")], "source string, target string")
+    out = m.merge(dim, rows, spark.createDataFrame([], EMPTY_SIGNALS), pairs, datetime(2026, 1, 1))
+    assert {r["id"]: r["aliases"] for r in out["manufacturers"].collect()} == {"c": ["c1", "A", "a1", "B", "b1", "H", "h1"], "d": ["d1"], "e": ["e1"], "f": ["f1"], "g": ["g1"]}
+    assert {r["id"]: r["canonical_manufacturer_ids"] for r in out["documents"].collect()} == {"d1": ["c"], "d2": ["d", "c"], "d3": ["e", "g"]}
+    assert sorted((r["source"], r["target"], r["fault"]) for r in out["errors"].collect()) == [("d", "d", "same"), ("e", "f", "cycle"), ("f", "g", "cycle"), ("g", "e", "cycle"), ("h", "d", "second target")]
+    chain = spark.createDataFrame([(f"{k:03d}", f"{k + 1:03d}") for k in range(100)], "source string, target string")
+    assert {r["target"] for r in m.survivors(chain)[0].collect()} == {"100"}
+
+
+def test_sections_end_with_what_holds_them():
+    page = "<div><p>see the <b>brief description</b> of it</p><p>x</p></div><div><p><strong>Proposed action</strong></p><p>act</p><p></p><p>more</p></div><div><p>Copyright</p></div><div><strong>Brief description</strong><p>in one</p></div>"
+    assert landed._sections(landed.tree(page)) == {"proposed": "act\nmore", "reason": "in one"}
+    address = "<h1>N</h1><table><tr><td>Company name</td><td>Recall date</td></tr><tr><td>" + "<br>".join(f"l{n}" for n in range(1200)) + "</td><td>4 May 2026</td></tr></table>"
+    assert landed._detail("u", address)[0]["company"].count("\n") == 1199
+
+
+def test_unknown_bytes_are_like_no_others(spark):
+    state, _, actions, _ = upsert(spark, [("1", "s", "u0", None, "x")], [("u1", None, "x1"), ("u2", None, "x1"), ("u1", None, "x1"), ("u0", None, "x")])
+    assert actions == ["insert", "insert", "skip_unchanged", "skip_unchanged"] and set(state) == {"u0", "u1", "u2"}
+
+
 def test_procurement(spark, tmp_path):
     (tmp_path / "counties.csv").write_text("id,name,region,population,health_facilities\nk1,Nairobi,C,100,5\nk2,Kisumu,W,50,2\n")
     (tmp_path / "suppliers.csv").write_text('id,name,role,countries_served\ns1,Maker,manufacturer,"KE, ,UG"\ns2,Maker,distributor,KE\n')

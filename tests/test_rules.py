@@ -43,6 +43,25 @@ def test_top_ingredient_ties_by_name(spark):
     assert rules.repeat_violators(rows, makers(spark), AS_OF).first()["active_ingredient"] == "a"
 
 
+def test_nulls_in_ingredients_count_nothing(spark):
+    rows = docs(spark, [("m", "class_3", n, "KE", "a") for n in range(3)]).withColumn("active_ingredients", F.array(F.lit(None).cast("string"), F.lit("a"), F.lit(None).cast("string")))
+    assert rules.repeat_violators(rows, makers(spark), AS_OF).isEmpty()
+    out = rules.repeat_violators(rows.unionByName(rows.withColumn("id", F.concat("id", F.lit("b")))), makers(spark), AS_OF).first()
+    assert (out["recall_count"], out["weighted_score"], len(out["evidence_document_ids"]), out["active_ingredient"]) == (6, 6, 6, "a")
+
+
+def test_states_hold_evidence_and_nulls(spark):
+    import json
+
+    kept, events, _ = run(spark, FIVE)
+    new = json.loads(events.first()["new_state"])
+    assert new["evidence"]["document_ids"] == [f"d{n}" for n in range(5)] and new["evidence"]["recall_count"] == 5 and "jurisdictions" not in new["evidence"]
+    assert new["exposure_pct"] is None and new["alternative_supplier_count"] is None and new["regions_affected"] == [] and new["last_updated"] == "2026-05-02T00:00:00+00:00"
+    _, events, _ = run(spark, FIVE + FIVE[:1], fixed(spark, kept), now=datetime(2026, 5, 3))
+    states = [json.loads(events.first()[c]) for c in ("old_state", "new_state")]
+    assert [len(s["evidence"]["document_ids"]) for s in states] == [5, 6] and states[0] != states[1]
+
+
 def test_corroboration(spark):
     rows = docs(spark, [("m", "class_1", 1, "US", "a"), ("n", "class_1", 1, "ZA", "a"), ("n", "class_1", 1, "ZA", "b"), ("n", "class_1", 1, "US", "")])
     out = rules.corroboration(rows, AS_OF).collect()
