@@ -27,7 +27,7 @@ from . import common
 #: Bytes of text of a pack (a longer text makes packs of its own, cut at piece ends).
 PACK_BYTES = 1 << 22
 #: Entries that a task holds before it writes filters, or merges what it has; n-grams of a block, at most as many on average.
-ENTRIES = 1 << 21
+ENTRIES = 1 << 20
 ROUNDS = 4
 PIECE_ENDS, SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
 
@@ -47,7 +47,7 @@ def _pack(lang: str, texts: list[bytes]) -> pa.RecordBatch:
     at = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
     coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(data[word].tobytes())]).dictionary_encode()
     number = coded.indices.to_numpy().astype(np.int32)
-    piece = np.cumsum(kind == 2)[starts]
+    piece = np.searchsorted(np.flatnonzero(kind == 2), starts)
     first = np.diff(piece, prepend=-1) != 0
     counts = np.bincount(number, minlength=len(coded.dictionary)).astype(np.int64)
     one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind))
