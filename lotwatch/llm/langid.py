@@ -27,8 +27,6 @@ EPOCHS, BATCH, RATE = 10, 32, 0.15
 SAMPLE_ROWS, SAMPLE_WINDOWS = 600, 3
 #: Languages are broadcast up to this number, and shuffled beyond.
 BROADCAST_LANGUAGES = 10_000
-#: A window to learn from has at least so many letters.
-LEAST_LETTERS = 4
 UNKNOWN = "und"
 
 #: Letters are lower-cased where they are single bytes; other ASCII is white space. Bytes from 128 stay.
@@ -81,8 +79,9 @@ def train(samples: list[bytes], langs: list[str], seed: int = 5) -> Model | None
     for sample, lang in zip(samples, langs):
         for row in np.frombuffer(sample, np.uint8).reshape(-1, WINDOW).copy():
             if rng.random() < 0.3:  # short texts must be told apart too
-                row[rng.integers(8, WINDOW) :] = 32
-            if (row != 32).sum() >= LEAST_LETTERS:
+                cut = np.where(np.arange(WINDOW) < rng.integers(8, WINDOW), row, 32).astype(np.uint8)
+                row = cut if (cut != 32).any() else row
+            if (row != 32).any():  # every window with a letter counts
                 rows.append(row)
                 labels.append(lang)
     if not rows:
