@@ -63,7 +63,7 @@ def seeded(rows: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     least = min(map(len, masks))
     places = rows.withColumn("pos", F.explode(F.when(n >= least, F.sequence(F.lit(0), n - least))))
     seed = lambda mask: F.when(F.col("pos") + len(mask) <= n, F.xxhash64(F.lit(mask), *[F.get("tokens", F.col("pos") + o) for o in mask_offsets(mask)]))
-    return places.withColumn("seed", F.explode(F.array(*map(seed, masks)))).where("seed is not null")
+    return places.select("*", F.posexplode(F.array(*map(seed, masks))).alias("mask", "seed")).where("seed is not null")
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
@@ -95,7 +95,15 @@ def equal_in(same: Column) -> Column:
 
 def stretch(same: Column, least: Column) -> Column:
     """(i, n) of the longest stretch with PERCENT equal; if that has fewer than ``least`` equal tokens, of the first short one that has them; else null."""
-    found = longest(same, PERCENT)
+    return bound(longest(same, PERCENT), lambda found: _stretch(same, least, found))
+
+
+def bound(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _stretch(same: Column, least: Column, found: Column) -> Column:
     size = F.floor(least * 100 / PERCENT).cast("int")
     start = F.get(F.filter(F.sequence(F.lit(0), F.size(same)), lambda i: equal_in(F.slice(same, i + 1, size)) >= least), F.lit(0))
     short = F.when(start.isNotNull(), F.struct(start.alias("i"), F.least(size, F.size(same) - start).alias("n")))
@@ -116,15 +124,25 @@ def _near_hits(base: DataFrame, probe: DataFrame, masks: tuple[str, ...]) -> Dat
     """(id, k1, k2, item, shift) of the diagonals on which a stretch near a seed counts, with broadcast seeds."""
     before = REACH - min(map(len, masks))
     probe = probe.withColumn("lo", F.greatest(F.lit(0), F.col("item_pos") - before))
-    probe = probe.select("seed", "item", "item_pos", least_equal(F.size("tokens")).alias("least"), "lo", F.slice("tokens", F.col("lo") + 1, F.col("item_pos") + REACH - F.col("lo")).alias("part"))
+    probe = probe.select("seed", "item", "item_pos", least_equal(F.size("tokens")).alias("least"), "lo", F.slice("tokens", F.col("lo") + 1, F.col("item_pos") + REACH + LEAST_EQUAL - F.col("lo")).alias("part"))
     hits = seeded(base, masks).join(F.broadcast(probe), "seed")
+    # Of hits of one mask at neighbouring places of a diagonal only the first is judged: a run of LEAST_EQUAL of them is
+    # a stretch that counts, and what a shorter one belongs to lies within LEAST_EQUAL more tokens. So the work on a text
+    # of repeated tokens grows with its diagonals, not with its pairs of places.
+    again = lambda mask: reduce(lambda a, b: a & b, [F.get("tokens", F.col("pos") - 1 + o) == F.get("part", F.col("item_pos") - 1 + o - F.col("lo")) for o in mask_offsets(mask)])
+    follows = reduce(lambda c, m: c.when(F.col("mask") == m[0], again(m[1])), list(enumerate(masks))[1:], F.when(F.col("mask") == 0, again(masks[0])))
+    first = (F.col("pos") == 0) | (F.col("item_pos") == 0) | ~F.coalesce(follows, F.lit(False))
     # Align the item with the document at the hit; what hangs over either end of the document is cut.
     hits = hits.withColumn("shift", F.col("pos") - F.col("item_pos")).withColumn("cut", F.greatest(F.lit(0), -(F.col("lo") + F.col("shift"))))
     own = F.slice("tokens", F.col("lo") + F.col("shift") + F.col("cut") + 1, F.size("part") - F.col("cut"))
-    same = F.zip_with(own, F.slice("part", F.col("cut") + 1, F.size("part")), lambda a, b: F.coalesce(a == b, F.lit(False)))
-    hits = hits.select("id", "k1", "k2", "item", "shift", "least", same.alias("same"))
+    # The slices are cut in generated code, where no row with all tokens is built. As ``same`` reads them twice, Spark
+    # keeps them in a step of their own before the functions on arrays, which run outside of it.
+    hits = hits.where(first).select("id", "k1", "k2", "item", "shift", "least", own.alias("own"), F.slice("part", F.col("cut") + 1, F.size("part")).alias("theirs"), (F.col("item_pos") - F.col("lo") - F.col("cut") + 1).alias("hit"))
+    same = F.when(F.size("own") + F.size("theirs") > 0, F.zip_with("own", "theirs", lambda a, b: F.coalesce(a == b, F.lit(False))))
+    ahead = [F.slice(c, F.col("hit"), F.col("least")) for c in ("own", "theirs")]  # equal tokens from the hit on settle it at once
+    hits = hits.select("id", "k1", "k2", "item", "shift", "least", same.alias("same"), ((ahead[0] == ahead[1]) & (F.size(ahead[0]) == F.col("least"))).alias("clear"))
     # Chance hits have too few equal tokens in all and aren't searched.
-    sure = stretch(F.col("same"), F.col("least")).isNotNull()
+    sure = F.when(F.col("clear"), F.lit(True)).otherwise(stretch(F.col("same"), F.col("least")).isNotNull())
     # The test blanks the shift, and blanks are dropped by an aggregate's result: a filter on a key would move into the
     # join's condition, and rows with all of a document's tokens would be built before it, one for each place.
     hits = hits.select("id", "k1", "k2", "item", F.when(sure, F.col("shift")).alias("at"))
@@ -139,20 +157,26 @@ def _far_hits(base: DataFrame, probe: DataFrame, masks: tuple[str, ...]) -> Data
 
 
 def _judged(diagonals: DataFrame, base: DataFrame, items: DataFrame) -> DataFrame:
-    """Every diagonal with the longest stretch that counts on it, if there is one; unequal tokens at its ends are cut off."""
-    slim = diagonals.drop("id").distinct()
+    """(id, k1, k2, item_id, b) for each document and item with a stretch that counts: the best over all their diagonals.
+
+    Unequal tokens at a stretch's ends are cut off. ``b`` orders stretches: (n_equal, -n_overlap, -doc_start,
+    -item_start). A document's tokens meet an item once, with a list of their diagonals.
+    """
+    slim = diagonals.groupBy("k1", "k2", "item").agg(F.collect_set("shift").alias("shifts"))
     items = items.select("item", "item_id", F.col("tokens").alias("theirs"))
-    both = base.join(slim, ["k1", "k2"]).join(items, "item")
-    start, item_start = F.greatest(F.lit(0), F.col("shift")), F.greatest(F.lit(0), -F.col("shift"))
-    n = F.greatest(F.lit(0), F.least(F.size("tokens") - start, F.size("theirs") - item_start))
-    same = F.zip_with(F.slice("tokens", start + 1, n), F.slice("theirs", item_start + 1, n), lambda a, b: a == b)
-    rows = both.select("id", "k1", "k2", "item_id", start.alias("start"), item_start.alias("item_start"), least_equal(F.size("theirs")).alias("least"), same.alias("same"))
-    rows = rows.withColumn("found", stretch(F.col("same"), F.col("least"))).where("found is not null").withColumn("part", F.slice("same", F.col("found.i") + 1, F.col("found.n")))
-    lead, back = F.array_position("part", True).cast("int") - 1, F.array_position(F.reverse("part"), True).cast("int") - 1
-    return rows.select(
-        "id", "k1", "k2", "item_id", (F.col("start") + F.col("found.i") + lead).alias("doc_start"), (F.col("item_start") + F.col("found.i") + lead).alias("item_start"),
-        (F.size("part") - lead - back).alias("n_overlap"), F.size(F.filter("part", lambda x: x)).alias("n_equal"),
-    )
+    both = base.join(slim, ["k1", "k2"]).join(items, "item").withColumn("least", least_equal(F.size("theirs")))
+
+    def judged(shift: Column) -> Column:
+        start, item_start = F.greatest(F.lit(0), shift), F.greatest(F.lit(0), -shift)
+        n = F.greatest(F.lit(0), F.least(F.size("tokens") - start, F.size("theirs") - item_start))
+        same = F.zip_with(F.slice("tokens", start + 1, n), F.slice("theirs", item_start + 1, n), lambda a, b: a == b)
+        return bound(same, lambda s: bound(stretch(s, F.col("least")), lambda f: F.when(f.isNotNull(), bound(F.slice(s, f["i"] + 1, f["n"]), lambda part: cut(part, start + f["i"], item_start + f["i"])))))
+
+    def cut(part: Column, start: Column, item_start: Column) -> Column:
+        lead, back = F.array_position(part, True).cast("int") - 1, F.array_position(F.reverse(part), True).cast("int") - 1
+        return F.struct(F.size(F.filter(part, lambda x: x)).alias("n_equal"), (lead + back - F.size(part)).alias("o"), (-(start + lead)).alias("d"), (-(item_start + lead)).alias("i"))
+
+    return both.select("id", "k1", "k2", "item_id", F.array_max(F.transform("shifts", judged)).alias("b")).where("b is not null")
 
 
 def _search(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
@@ -183,8 +207,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     columns are ignored.
     """
     diagonals, base, items, _ = _search(docs, benchmark, id_col, text_col)
-    best = F.max(F.struct("n_equal", (-F.col("n_overlap")).alias("o"), (-F.col("doc_start")).alias("d"), (-F.col("item_start")).alias("i"))).alias("b")
-    out = _judged(diagonals, base, items).groupBy("id", "k1", "k2", "item_id").agg(best)
+    out = _judged(diagonals, base, items).groupBy("id", "k1", "k2", "item_id").agg(F.max("b").alias("b"))
     return out.select(
         F.struct("k1", "k2").alias("row_key"), F.col("id").alias(id_col), "item_id", (-F.col("b.d")).alias("doc_start"),
         (-F.col("b.i")).alias("item_start"), (-F.col("b.o")).alias("n_overlap"), F.col("b.n_equal").alias("n_equal"),
