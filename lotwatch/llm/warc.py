@@ -15,6 +15,8 @@ import base64
 import gzip
 import hashlib
 import json
+import os
+import re
 import uuid
 import zlib
 from bisect import bisect_left, bisect_right
@@ -49,6 +51,24 @@ def open_fs(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def store_uri(spark: SparkSession, path: str) -> str:
+    """``path`` as a URI of the store that Spark means by it: without a scheme, that of ``fs.defaultFS``. Spark's ``s3a`` is pyarrow's ``s3``."""
+    if "://" not in path and not path.startswith("file:"):
+        default = spark._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(spark._jsc.hadoopConfiguration()).toString()
+        path = f"file://{os.path.abspath(path)}" if default.startswith("file:") else f"{default.rstrip('/')}/{path.lstrip('/')}"
+    return re.sub(r"^s3[an]://", "s3://", path)
+
+
+def shared_root(spark: SparkSession, path: str) -> str:
+    """The URI that tasks open, or an error before anything is written."""
+    uri = store_uri(spark, path)
+    try:
+        open_fs(uri)
+    except Exception as e:
+        raise ValueError(f"archives can't be written under {uri}: pyarrow has no access to this store ({e})") from e
+    return uri
+
+
 def escaped(text: str) -> str:
     """Visible ASCII as it is, all else (blanks, controls, separators, other scripts) as percent escapes of its UTF-8 bytes."""
     return quote_from_bytes(text.encode("utf-8", "surrogatepass"), safe=SAFE)
@@ -162,6 +182,7 @@ def duplicates(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 def write_archives(pages: DataFrame, root: str, min_bytes: int = 0) -> DataFrame:
     """Write a record for each row of ``pages`` (page_id, url, html) and return the unsorted index lines."""
+    root = shared_root(pages.sparkSession, root)
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     twice = common.written(duplicates(slim, min_bytes), "payloads")  # its size is known before the join is planned
     keyed = slim.withColumn("payload_key", F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)).join(twice, "payload_key", "left")
@@ -208,6 +229,7 @@ def _index_writer(root: str):
 
 def write_index(captures: DataFrame, root: str) -> DataFrame:
     """Sort the captures by URL key and page over all tasks, write the blocks and their directories, and return each index file's range of keys."""
+    root = shared_root(captures.sparkSession, root)
     # page_id breaks up a key that very many captures share.
     order = ["urlkey", F.coalesce("page_id", F.lit(NO_PAGE)), "archive", "offset"]
     ordered = captures.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -306,6 +328,7 @@ def find(requests: DataFrame, root: str, directory: DataFrame) -> DataFrame:
 
     Requests are sorted by key like the index, so each task reads the directories and blocks of its own range of keys.
     """
+    root = shared_root(requests.sparkSession, root)
     ranges = [tuple(r) for r in directory.drop("lines").collect()]  # one row of each task that wrote the index
     asked = requests.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).distinct()
     keyed = asked.mapInPandas(_keyed, "page_id long, url string, urlkey string")
@@ -349,6 +372,7 @@ def read_records(places: DataFrame, root: str, captures: int) -> DataFrame:
     Digests of responses are computed from what was read. A revisit has no payload: its size and
     digest must be those of the response that it names, or the job fails.
     """
+    root = shared_root(places.sparkSession, root)
     # The rows that name places are small and what is read behind them isn't, so the tasks are counted by captures and
     # not left to Spark, which would go by the rows' bytes.
     least = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -368,7 +392,8 @@ def roundtrip(pages: DataFrame, root: str, min_bytes: int = 0) -> DataFrame:
     Defined cases: a null html is an empty payload, a null url an empty target; any text is a valid
     url; of rows that repeat the largest page_id of a payload each is a response; rows without a
     page_id are revisits where some row with one has their payload, else responses; rows that repeat
-    give a record each; an empty table writes nothing; other columns are ignored.
+    give a record each; an empty table writes nothing; other columns are ignored. A ``root`` without a
+    scheme lies in the store of ``fs.defaultFS``; one that pyarrow can't open is an error at the start.
     """
     captures = write_archives(pages, root, min_bytes)
     directory = write_index(captures, root)
