@@ -151,8 +151,9 @@ def _numbered(rows: DataFrame, twins: DataFrame, key: str, key2: str, number: st
     """
     match = (F.col(key) == F.col("t1")) & (F.col(key2) == F.col("t2"))
     part, before = common.fresh("shard_of_part", rows.columns), common.fresh("shard_rows_before", rows.columns)
-    alone = rows.join(F.broadcast(twins), match, "left_anti").withColumn(number, F.lit(0).cast("long"))
-    some = common.written(rows.join(F.broadcast(twins), match, "left_semi").withColumn(part, F.spark_partition_id()), "shard-twins")
+    few = F.broadcast(twins) if twins.count() <= BROADCAST_ROWS else twins
+    alone = rows.join(few, match, "left_anti").withColumn(number, F.lit(0).cast("long"))
+    some = common.written(rows.join(few, match, "left_semi").withColumn(part, F.spark_partition_id()), "shard-twins")
     counts = some.groupBy(key, key2, part).agg(F.count("*").alias("n")).selectExpr(key, key2, part, f"sum(n) over (partition by {key}, {key2} order by {part}) - n as {before}")
     nth = F.expr(f"row_number() over (partition by {key}, {key2}, {part} order by {part})")
     some = some.withColumn(number, nth).join(common.written(counts, "shard-twin-counts"), [key, key2, part])

@@ -713,3 +713,38 @@ def test_oracles(spark, sf_dir, name):
     import oracle
 
     assert oracle.rows_of(queries.queries()[name](spark, sf_dir)) == oracle.rows_of_sql(oracle.duck(sf_dir), queries.oracle_sql()[name])
+
+
+def test_language_of_texts_of_one_character_is_learnt(spark):
+    rows = [(k, "漢" if k % 2 else f"the rain and stone {k}", "zh" if k % 2 else "en") for k in range(120)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {k: lang for k, _, lang in rows}
+
+
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_contamination_of_repeated_tokens_is_quick(spark, monkeypatch, broadcast):
+    """One word twenty thousand times against an item of that word, and words that alternate: work follows the diagonals."""
+    import time
+
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", broadcast)
+    n = 20_000 if broadcast else 3000
+    bench = spark.createDataFrame([(1, "word " * 60), (2, "tick tock " * 20)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "word " * n), (2, "tick tock " * 2000), (3, "word other " * 500)], "doc_id long, text string")
+    began = time.time()
+    got = {(r["doc_id"], r["item_id"]): (r["doc_start"], r["n_overlap"], r["n_equal"]) for r in decontaminate.overlaps(docs, bench).collect()}
+    assert got == {(1, 1): (0, 60, 60), (2, 2): (0, 40, 40)}
+    assert time.time() - began < 60
+
+
+def test_archives_lie_where_spark_means(spark, monkeypatch, tmp_path):
+    conf = spark._jsc.hadoopConfiguration()
+    assert warc.store_uri(spark, "/data/x") == "file:///data/x" and warc.store_uri(spark, "s3a://bucket/x") == "s3://bucket/x"
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "nowhere://host:1")
+    try:
+        assert warc.store_uri(spark, "/data/x") == "nowhere://host:1/data/x" and warc.store_uri(spark, f"file://{tmp_path}") == f"file://{tmp_path}"
+        with pytest.raises(ValueError, match="can't be written"):
+            warc.shared_root(spark, f"{tmp_path}/archives")
+        assert not (tmp_path / "archives").exists()
+    finally:
+        conf.set("fs.defaultFS", before or "file:///")
