@@ -95,7 +95,7 @@ def version_chain(observed: DataFrame, order: str = "seq") -> DataFrame:
     return lagged.where("not (normalized_hash <=> previous_hash) and coalesce(previous_hash, '') != ''")
 
 
-def upsert(docs: DataFrame, incoming: DataFrame, check_for_updates: bool = True, now: datetime | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def upsert(docs: DataFrame, incoming: DataFrame, check_for_updates: bool = True, now: datetime | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(documents', versions, log, counts) after a batch of observations (columns of docs, seq, and ``error`` where parsing can fail).
 
     Each observation has one outcome. Without update checks a known address is ``skip_known``. With
@@ -103,7 +103,8 @@ def upsert(docs: DataFrame, incoming: DataFrame, check_for_updates: bool = True,
     and metadata it replaces, superseded at ``now``. A new address whose bytes are stored is
     ``skip_same_bytes``, else ``insert``. An observation that couldn't be parsed is an ``error`` and
     changes nothing. A null source_hash is unknown bytes, equal to none. Within a batch the observations of an address follow each other by seq, and
-    bytes belong to the first address that brought them.
+    bytes belong to the first address that brought them; a document keeps the id that it was inserted with. ``known`` holds the stored bytes (source_hash)
+    where ``docs`` is only the part of the table with the batch's addresses.
     """
     url, held = ", ".join(URL), [c for c in ARCHIVED if c in docs.columns]
     failed = F.col("error").isNotNull() if "error" in incoming.columns else F.lit(False)
@@ -113,11 +114,11 @@ def upsert(docs: DataFrame, incoming: DataFrame, check_for_updates: bool = True,
     content = f"coalesce(source_hash, concat_ws('\\u001f', 'none', {url}, seq))"
     first = F.when(~F.col("failed"), F.expr(f"row_number() over (partition by {content}, failed order by seq)"))
     seen = seen.withColumn("content_first", first).join(stored, list(URL), "left")
-    bytes_known = docs.select("source_hash").distinct().withColumn("bytes_known", F.lit(True))
+    bytes_known = (docs if known is None else known).where("source_hash is not null").select("source_hash").distinct().withColumn("bytes_known", F.lit(True))
     seen = seen.join(bytes_known, "source_hash", "left").withColumn("bytes_known", F.coalesce("bytes_known", F.lit(False)))
     # A new address opens at its first observation whose bytes nobody has; what comes before is skipped.
-    opens = F.when(F.col("stored_id").isNull() & ~F.col("bytes_known") & (F.col("content_first") == 1), F.col("seq"))
-    seen = seen.withColumn("opened", opens).withColumn("opened", F.expr(f"min(opened) over (partition by {url})"))
+    opens = F.when(F.col("stored_id").isNull() & ~F.col("bytes_known") & (F.col("content_first") == 1), F.struct("seq", F.col("id").alias("id")))
+    seen = seen.withColumn("opened_by", opens).withColumn("opened_by", F.expr(f"min(opened_by) over (partition by {url})")).withColumn("opened", F.col("opened_by.seq"))
     live = F.coalesce(F.col("stored_id").isNotNull() | (F.col("seq") > F.col("opened")), F.lit(False))
     before = F.expr(f"lag(struct({', '.join(['normalized_hash', *held])})) over (partition by {url}, failed order by seq)")
     seen = seen.withColumn("before", F.when(F.col("seq") > F.coalesce("opened", F.lit(-1)), before)).withColumn("before", F.coalesce("before", "stored"))
@@ -128,7 +129,7 @@ def upsert(docs: DataFrame, incoming: DataFrame, check_for_updates: bool = True,
     )
     log = seen.withColumn("action", action)
     last = log.where("action in ('insert', 'update')").withColumn("_rank", F.expr(f"row_number() over (partition by {url} order by seq desc)")).where("_rank = 1")
-    new = last.withColumn("id", F.coalesce("stored_id", "id")).select(*docs.columns)
+    new = last.withColumn("id", F.coalesce("stored_id", "opened_by.id")).select(*docs.columns)
     kept = docs.join(new.select(*URL), list(URL), "left_anti")
     versions = log.where("action = 'update' and coalesce(before.normalized_hash, '') != ''").select(*URL, "before.*", "seq", F.lit(now).cast("timestamp").alias("superseded_at"))
     return kept.unionByName(new), versions, log, ingest_counts(log)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import dates, text
 from ..operators import documents as docs
 from ..operators import procurement, reports
-from ..sources import landed
+from ..sources import landed, ledger
+from ..storage import scratch_path
 from . import bindings as b
 
 
@@ -46,14 +47,18 @@ def unknown_content(spark, sf):
     return docs.unknown_content(rows.where("doc_id % 2 = 1"), rows.where("doc_id % 2 = 0")).select("doc_id", "source_hash")
 
 
-def _upsert(spark, sf):
+def _batch(spark, sf):
     """The later observations against the state that the earlier ones left; every 11th of an address can't be parsed, and some have no hash of their bytes."""
     known = F.when(F.length("id") % 5 > 0, F.sha2(F.concat_ws("|", "source_url", "normalized_hash").cast("binary"), 256))
     rows = b.observed(spark, sf).withColumn("source_hash", known)
     stored = docs.latest_per_url(rows.where(F.col("created_at") < F.lit(date(2000, 1, 1))))
     later = rows.where(F.col("created_at") >= F.lit(date(2000, 1, 1)))
     batch = later.withColumn("seq", F.expr("row_number() over (partition by source_url order by created_at, id)").cast("long")).withColumn("error", F.when(F.col("seq") % 11 == 3, "unreadable"))
-    return docs.upsert(stored, batch, now=datetime(2001, 1, 1))
+    return stored, batch
+
+
+def _upsert(spark, sf):
+    return docs.upsert(*_batch(spark, sf), now=datetime(2001, 1, 1))
 
 
 def upsert_documents(spark, sf):
@@ -75,6 +80,19 @@ def upserted_state(spark, sf):
     return _upsert(spark, sf)[0].select("id", "source_id", "source_url", "normalized_hash", F.md5("raw_text").alias("text"))
 
 
+def bucketed_merge(spark, sf):
+    """The same batch merged into a table in buckets; versions and log are those of its one commit."""
+    root = scratch_path(spark, "ledger")
+    stored, batch = _batch(spark, sf)
+    ledger.load(stored, root, 16)
+    ledger.merge_batch(batch, root, "q", 0, now=datetime(2001, 1, 1))
+    assert ledger.merge_batch(batch, root, "q", 0) is None  # the same batch again changes nothing
+    out = ledger.read_documents(spark, root).select(F.lit("state").alias("kind"), "id", "source_id", "source_url", "normalized_hash", F.md5("raw_text").alias("text"))
+    old = ledger.read_appended(spark, root, "versions").select(F.lit("version").alias("kind"), "source_id", "source_url", "normalized_hash", F.md5("raw_text").alias("text"))
+    log = ledger.read_appended(spark, root, "log").select(F.lit("log").alias("kind"), "id", F.col("action").alias("text"))
+    return out.unionByName(old, allowMissingColumns=True).unionByName(log, allowMissingColumns=True)
+
+
 def ingest_counts(spark, sf):
     rows = b.observed(spark, sf).withColumn("action", F.when(F.expr("lag(id) over (partition by source_id, source_url order by created_at, id)").isNull(), "insert").otherwise("skip_known"))
     return docs.ingest_counts(rows)
@@ -160,11 +178,11 @@ parsed AS (
       AND row_number() OVER (PARTITION BY l.source_url, l.normalized_hash, length(l.id) % 5 = 0 ORDER BY seq) = 1) AS opens,
     lag(l.normalized_hash) OVER w AS last_hash, lag(l.raw_text) OVER w AS last_text
   FROM later l LEFT JOIN stored s ON s.source_id = l.source_id AND s.source_url = l.source_url WHERE seq % 11 <> 3 WINDOW w AS (PARTITION BY l.source_id, l.source_url ORDER BY seq)),
-opened AS (SELECT *, min(CASE WHEN opens THEN seq END) OVER (PARTITION BY source_id, source_url) AS opened FROM parsed),
+opened AS (SELECT *, min(CASE WHEN opens THEN seq END) OVER (PARTITION BY source_id, source_url) AS opened, arg_min(CASE WHEN opens THEN id END, CASE WHEN opens THEN seq END) OVER (PARTITION BY source_id, source_url) AS opened_id FROM parsed),
 against AS (SELECT *, CASE WHEN seq > coalesce(opened, -1) AND last_hash IS NOT NULL THEN last_hash ELSE stored_hash END AS old_hash, CASE WHEN seq > coalesce(opened, -1) AND last_hash IS NOT NULL THEN last_text ELSE stored_text END AS old_text FROM opened),
 outcomes AS (
-  SELECT id, source_id, source_url, seq, normalized_hash, raw_text, stored_id, old_hash, old_text,
-    CASE WHEN stored_id IS NOT NULL OR seq > opened THEN CASE WHEN normalized_hash = old_hash THEN 'skip_unchanged' ELSE 'update' END WHEN seq = opened THEN 'insert' ELSE 'skip_same_bytes' END AS action FROM against
+  SELECT id, source_id, source_url, seq, normalized_hash, raw_text, coalesce(stored_id, opened_id) AS stored_id, old_hash, old_text,
+    CASE WHEN against.stored_id IS NOT NULL OR seq > opened THEN CASE WHEN normalized_hash = old_hash THEN 'skip_unchanged' ELSE 'update' END WHEN seq = opened THEN 'insert' ELSE 'skip_same_bytes' END AS action FROM against
   UNION ALL SELECT id, source_id, source_url, seq, normalized_hash, raw_text, NULL, NULL, NULL, 'error' FROM later WHERE seq % 11 = 3)"""
 
 PLANS = {
@@ -184,6 +202,10 @@ UNION ALL SELECT id, NULL, NULL, NULL, NULL FROM ranked WHERE k = 1"""),
     "upserted_state": (upserted_state, f"""WITH {UPSERT_SQL}, changed AS (SELECT * FROM outcomes WHERE action IN ('insert', 'update') QUALIFY row_number() OVER (PARTITION BY source_id, source_url ORDER BY seq DESC) = 1)
 SELECT coalesce(stored_id, id) AS id, source_id, source_url, normalized_hash, md5(raw_text) AS text FROM changed
 UNION ALL SELECT id, source_id, source_url, normalized_hash, md5(raw_text) FROM stored s WHERE NOT EXISTS (SELECT 1 FROM changed c WHERE c.source_id = s.source_id AND c.source_url = s.source_url)"""),
+    "bucketed_merge": (bucketed_merge, f"""WITH {UPSERT_SQL}, changed AS (SELECT * FROM outcomes WHERE action IN ('insert', 'update') QUALIFY row_number() OVER (PARTITION BY source_id, source_url ORDER BY seq DESC) = 1)
+SELECT 'state' AS kind, coalesce(stored_id, id) AS id, source_id, source_url, normalized_hash, md5(raw_text) AS text FROM changed
+UNION ALL SELECT 'state', id, source_id, source_url, normalized_hash, md5(raw_text) FROM stored s WHERE NOT EXISTS (SELECT 1 FROM changed c WHERE c.source_id = s.source_id AND c.source_url = s.source_url)
+UNION ALL SELECT 'version', NULL, source_id, source_url, old_hash, md5(old_text) FROM outcomes WHERE action = 'update' UNION ALL SELECT 'log', id, NULL, NULL, NULL, action FROM outcomes"""),
     "ingest_counts": (ingest_counts, f"WITH {b.OBSERVED_SQL} SELECT source_id, CAST(count(DISTINCT source_url) AS BIGINT) AS added, CAST(0 AS BIGINT) AS updated, CAST(count(*) - count(DISTINCT source_url) AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS failed FROM observed GROUP BY 1"),
     "since_filter": (since_filter, f"WITH {b.OBSERVED_SQL} SELECT id, created_at FROM observed WHERE created_at > DATE '2000-12-01'"),
     "validated_documents": (validated, """WITH r AS (SELECT doc_id, upper(lang) AS language, upper(CASE doc_id % 7 WHEN 0 THEN 'global' WHEN 1 THEN 'K3' ELSE lang END) AS jurisdiction, doc_id % 5 = 0 AS memo FROM documents)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import documents as docs
 from ..operators import manufacturers as m
 from ..operators import procurement, reports
-from ..sources import landed, sinks
+from ..sources import landed, ledger, sinks
 from ..storage import scratch_path, written
 from ..streaming import jobs
 from . import bindings as b
@@ -183,22 +183,22 @@ def review_queue(spark, sf):
 
 
 def ingested(spark, sf):
-    """Landed files through the upsert, a few files to a batch; the table is what one pass over all would leave."""
-    landing, root = scratch_path(spark, "landing"), scratch_path(spark, "ingested")
-    rows = b.observed(spark, sf).withColumn("source_hash", F.sha2(F.concat_ws("|", "source_url", "normalized_hash").cast("binary"), 256))
-    rows = written(rows.withColumn("seq", F.expr("row_number() over (partition by source_url order by created_at, id)").cast("long")).where("seq <= 2"), "observed")
-    rows.where("seq = 1").coalesce(1).write.mode("append").parquet(landing)
-    columns = [c for c in rows.columns if c != "seq"]
-    sinks.write_snapshot(rows.limit(0).select(*columns), root, "start")
-
-    def apply(batch: DataFrame, number: int) -> None:
-        sinks.write_snapshot(docs.upsert(sinks.read_snapshot(spark, root), batch)[0], root, f"b{number}-{batch.sparkSession.sparkContext.applicationId}")
+    """All observations as landed files, in two runs of a stream of several batches, into one table with its versions and log.
 
-    run = lambda: jobs.stream_ingest(spark, landing, rows.schema.simpleString()[7:-1].replace(":", " "), apply, f"{root}-checkpoint").awaitTermination()
-    run()
-    rows.where("seq = 2").coalesce(1).write.mode("append").parquet(landing)
-    run()
-    return sinks.read_snapshot(spark, root).select("id", "source_id", "source_url", "normalized_hash")
+    An address is in one file of each run, so the batches may take the files in any order.
+    """
+    landing, root = scratch_path(spark, "landing"), scratch_path(spark, "ingested")
+    rows = b.observed(spark, sf).withColumn("source_hash", F.sha2(F.concat_ws("|", "source_id", "source_url", "normalized_hash").cast("binary"), 256))
+    rows = written(rows.withColumn("seq", F.expr("row_number() over (partition by source_url order by created_at, id)").cast("long")), "observed")
+    ledger.load(rows.limit(0).drop("seq"), root, 16)
+    apply = lambda batch, number: ledger.merge_batch(batch, root, "ingest", number, now=datetime(2001, 1, 1))
+    for part in (F.col("created_at") < F.lit(date(2000, 1, 1)), F.col("created_at") >= F.lit(date(2000, 1, 1))):
+        rows.where(part).repartition(4, "source_url").write.mode("append").parquet(landing)
+        jobs.stream_ingest(spark, landing, rows.schema.simpleString()[7:-1].replace(":", " "), apply, f"{root}-checkpoint", files_per_batch=2).awaitTermination()
+    out = ledger.read_documents(spark, root).select(F.lit("state").alias("kind"), "id", "source_id", "source_url", "normalized_hash")
+    old = ledger.read_appended(spark, root, "versions").select(F.lit("version").alias("kind"), F.col("seq").cast("string").alias("id"), "source_id", "source_url", "normalized_hash")
+    log = ledger.read_appended(spark, root, "log").groupBy("source_id", "action").agg(F.count("*").cast("string").alias("id"))
+    return out.unionByName(old).unionByName(log.select(F.lit("log").alias("kind"), "id", "source_id", F.col("action").alias("source_url"), F.lit("").alias("normalized_hash")))
 
 
 def merged_manufacturers(spark, sf):
@@ -244,10 +244,12 @@ UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR), CASE WHEN s_suppkey % 2
     "snapshot": (snapshot, f"WITH {b.OBSERVED_SQL} SELECT id, source_id, created_at, '2' AS version FROM observed WHERE created_at > DATE '2000-06-30'"),
     "history": (history, "SELECT event_id, event_type, CASE WHEN event_id % 2 = 0 THEN DATE '2000-01-01' ELSE DATE '2000-01-02' END AS run_date FROM events"),
     "review_queue": (review_queue, None),
-    "ingested": (ingested, f"""WITH {b.OBSERVED_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY source_url ORDER BY created_at, id) AS seq FROM observed QUALIFY seq <= 2),
-first AS (SELECT * FROM o WHERE seq = 1), second AS (SELECT o.*, f.id AS first_id, f.source_id = o.source_id AS same, f.normalized_hash = o.normalized_hash AS equal FROM o JOIN first f USING (source_url) WHERE o.seq = 2)
-SELECT f.id, f.source_id, f.source_url, coalesce(s.normalized_hash, f.normalized_hash) AS normalized_hash FROM first f LEFT JOIN second s ON s.source_url = f.source_url AND s.same
-UNION ALL SELECT id, source_id, source_url, normalized_hash FROM second WHERE NOT same AND NOT equal"""),
+    "ingested": (ingested, f"""WITH {b.OBSERVED_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY source_url ORDER BY created_at, id) AS seq FROM observed),
+w AS (SELECT *, lag(normalized_hash) OVER a AS old_hash, first_value(id) OVER a AS first_id, row_number() OVER a AS k, count(*) OVER (PARTITION BY source_id, source_url) AS n FROM o WINDOW a AS (PARTITION BY source_id, source_url ORDER BY seq)),
+acts AS (SELECT *, CASE WHEN k = 1 THEN 'insert' WHEN normalized_hash = old_hash THEN 'skip_unchanged' ELSE 'update' END AS action FROM w)
+SELECT 'state' AS kind, first_id AS id, source_id, source_url, normalized_hash FROM acts WHERE k = n
+UNION ALL SELECT 'version', CAST(seq AS VARCHAR), source_id, source_url, old_hash FROM acts WHERE action = 'update'
+UNION ALL SELECT 'log', CAST(count(*) AS VARCHAR), source_id, action, '' FROM acts GROUP BY source_id, action"""),
     "merged_manufacturers": (merged_manufacturers, f"""WITH {risk.OLD_LEVELS}, dim AS (SELECT s_suppkey AS k, replace(s_name, '#0000', ' ') AS name FROM supplier WHERE s_suppkey % 2 = 0),
 gone AS (SELECT k, name, k - k % 6 AS t FROM dim WHERE k % 6 > 0 AND k NOT IN (8, 10)), d AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderkey % 97 AS a, o_orderkey % 10 AS z FROM orders),
 f AS (SELECT id, a, z, CASE WHEN a IN (SELECT k FROM gone) THEN a - a % 6 ELSE a END AS fa, CASE WHEN z IN (SELECT k FROM gone) THEN z - z % 6 ELSE z END AS fz FROM d)

@@ -13,20 +13,23 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def write_snapshot(df: DataFrame, root: str, version: str) -> None:
-    """A new version beside the old ones; readers see it once the pointer names it."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{root}/v={version}")
-    (new, fs), (final, _) = _path(spark, f"{root}/current.new"), _path(spark, f"{root}/current")
+def replace_file(spark: SparkSession, path: str, text: str) -> None:
+    """A small file with a new content, in one step: a reader finds the old content or the new one."""
+    (new, fs), (final, _) = _path(spark, f"{path}.new"), _path(spark, path)
     out = fs.create(new, True)
-    out.write(bytearray(version.encode()))
+    out.write(bytearray(text.encode()))
     out.close()
-    # One step, so that a reader finds the old pointer or the new one.
     options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
     options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(new, final, options)
 
 
+def write_snapshot(df: DataFrame, root: str, version: str) -> None:
+    """A new version beside the old ones; readers see it once the pointer names it."""
+    df.write.mode("overwrite").parquet(f"{root}/v={version}")
+    replace_file(df.sparkSession, f"{root}/current", version)
+
+
 def current_version(spark: SparkSession, root: str) -> str | None:
     p, fs = _path(spark, f"{root}/current")
     return spark.read.text(f"{root}/current").first()[0] if fs.exists(p) else None
