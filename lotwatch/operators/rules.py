@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import Corroboration, RepeatViolator, RiskConfig, SupplyChain
 from ..functions import severity as sev
 from ..functions.text import normalize_ingredient
-from ..storage import written
+from ..storage import numbered, written
 
 RECALL_TYPES = ("recall", "alert", "enforcement")
 
@@ -106,11 +106,24 @@ def county_exposure(signals: DataFrame, suppliers: DataFrame, supply: DataFrame)
 
 
 def alternative_suppliers(exposed: DataFrame, suppliers: DataFrame, supply: DataFrame) -> DataFrame:
-    """(manufacturer_id, active_ingredient, alternative_supplier_count): other suppliers of the ingredient in the exposed counties, not linked to the manufacturer."""
-    offers = supply.select("county_id", F.col("active_ingredient").alias("ingredient_key"), "supplier_id").distinct()
-    linked = suppliers.select("manufacturer_id", F.col("id").alias("supplier_id"))
-    others = exposed.select("manufacturer_id", "active_ingredient", "ingredient_key", "county_id").join(offers, ["county_id", "ingredient_key"]).join(linked, ["manufacturer_id", "supplier_id"], "left_anti")
-    return others.groupBy("manufacturer_id", "active_ingredient").agg(F.countDistinct("supplier_id").alias("alternative_supplier_count"))
+    """(manufacturer_id, active_ingredient, alternative_supplier_count): other suppliers of the ingredient in the exposed counties, not linked to the manufacturer.
+
+    Suppliers get dense numbers, and each county and ingredient a bitmap of its suppliers (one for every 32,768
+    numbers). An exposure then meets one bitmap of its county instead of every offer there. The others are
+    the bits of the counties' union that the linked suppliers don't have: |union or linked| - |linked|.
+    """
+    offers = supply.select("county_id", F.col("active_ingredient").alias("ingredient_key"), "supplier_id").where("supplier_id is not null")
+    number = numbered(offers.select("supplier_id").distinct(), "n")
+    part, bit = F.bitmap_bucket_number("n").alias("part"), F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("bits")
+    held = offers.join(number, "supplier_id").groupBy("county_id", "ingredient_key", part).agg(bit)
+    key = ["manufacturer_id", "active_ingredient"]
+    met = exposed.select(*key, "ingredient_key", "county_id").join(held, ["county_id", "ingredient_key"]).groupBy(*key, "part").agg(F.bitmap_or_agg("bits").alias("bits"))
+    linked = suppliers.select("manufacturer_id", F.col("id").alias("supplier_id")).where("manufacturer_id is not null").join(number, "supplier_id").groupBy("manufacturer_id", part).agg(bit.alias("own"))
+    both = met.join(linked, ["manufacturer_id", "part"], "left")
+    # Either of a row's bitmaps as rows of their own, so that the union is the same aggregate again.
+    either = both.select(*key, "part", F.coalesce(F.bitmap_count("own"), F.lit(0)).alias("n_own"), F.explode(F.array_compact(F.array("bits", "own"))).alias("bits"))
+    counts = either.groupBy(*key, "part").agg((F.bitmap_count(F.bitmap_or_agg("bits")) - F.max("n_own")).alias("n"))
+    return counts.groupBy(*key).agg(F.sum("n").alias("alternative_supplier_count")).where("alternative_supplier_count > 0")
 
 
 def supply_chain_exposure(
@@ -200,8 +213,23 @@ def all_candidates(tables: dict[str, DataFrame], as_of: date, cfg: RiskConfig) -
     return out
 
 
-def as_of_backfill(docs: DataFrame, dates: list[date], months: int = 24) -> DataFrame:
-    """(as_of, id, ...): the recalls that counted at each of some dates. Each row is repeated for the dates that see it; nothing is joined."""
+#: Days of a period by which recalls and dates are joined.
+PERIOD_DAYS = 30
+
+
+def as_of_backfill(docs: DataFrame, dates: list[date] | DataFrame, months: int = 24) -> DataFrame:
+    """(as_of, id, ...): the recalls that counted at each of some dates, given as a list or as a table with a column ``as_of``.
+
+    With a list each row is repeated for the dates that see it; nothing is joined. With a table a recall is
+    repeated for the periods of PERIOD_DAYS that see it and meets the dates of each; the exact bounds follow.
+    Null and repeated dates are left out.
+    """
     recalls = docs.where(F.col("document_type").isin(*RECALL_TYPES))
+    if isinstance(dates, DataFrame):
+        period = lambda d: F.floor(F.unix_date(d) / F.lit(PERIOD_DAYS))
+        days = dates.select(F.col("as_of").cast("date").alias("as_of")).where("as_of is not null").distinct().withColumn("_period", period(F.col("as_of")))
+        last = F.date_add("date_published", 30 * months)
+        spread = recalls.where("date_published is not null").withColumn("_period", F.explode(F.sequence(period(F.col("date_published")), period(last))))
+        return spread.join(days, "_period").where(F.col("as_of").between(F.col("date_published"), last)).drop("_period")
     seen = F.filter(F.array(*map(F.lit, dates)), lambda d: F.col("date_published").between(F.date_sub(d, 30 * months), d))
     return recalls.withColumn("as_of", F.explode(seen))

@@ -272,6 +272,12 @@ def as_of_backfill(spark, sf):
     return rules.as_of_backfill(b.recalls(spark, sf), days).groupBy("as_of", "severity").agg(F.count("*").alias("n"))
 
 
+def as_of_series(spark, sf):
+    """The recalls that counted at the end of each month with an order, for all such months at once."""
+    ends = b.t(spark, sf, "orders").select(F.last_day("o_orderdate").alias("as_of"))
+    return rules.as_of_backfill(b.recalls(spark, sf), ends).groupBy("as_of", "severity").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+
+
 def share_sums(spark, sf):
     return procurement.share_sums(b.supply(spark, sf), 0.02).select("county_id", "active_ingredient", F.col("total").cast("double").alias("total"))
 
@@ -354,6 +360,7 @@ SELECT signal AS id, array_to_string(list_concat(['Signal ID : ' || signal, 'Kin
     "top_manufacturers": (top_manufacturers, f"WITH {b.RECALLS_SQL} SELECT manufacturer_id, canonical_name, CAST(count(*) AS BIGINT) AS recalls FROM recalls JOIN makers ON makers.id = manufacturer_id WHERE document_type = 'recall' AND date_published >= DATE '1998-12-31' GROUP BY ALL ORDER BY recalls DESC, manufacturer_id LIMIT 25"),
     "top_ingredients": (top_ingredients, f"WITH {b.RECALLS_SQL} SELECT manufacturer_id, ingredient AS active_ingredient FROM (SELECT manufacturer_id, ingredient, count(*) AS n FROM recalls GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY manufacturer_id ORDER BY n DESC, ingredient) = 1"),
     "as_of_backfill": (as_of_backfill, f"WITH {b.RECALLS_SQL} SELECT as_of, severity, CAST(count(*) AS BIGINT) AS n FROM recalls JOIN (VALUES (DATE '1999-12-31'), (DATE '2000-06-30'), (DATE '2000-12-31')) d(as_of) ON date_published BETWEEN as_of - 720 AND as_of WHERE document_type = 'recall' GROUP BY ALL"),
+    "as_of_series": (as_of_series, f"WITH {b.RECALLS_SQL}, d AS (SELECT DISTINCT CAST(last_day(o_orderdate) AS DATE) AS as_of FROM orders) SELECT as_of, severity, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT id) AS BIGINT) AS ids FROM recalls JOIN d ON date_published BETWEEN as_of - 720 AND as_of WHERE document_type = 'recall' GROUP BY ALL"),
     "share_sums": (share_sums, f"WITH {b.SUPPLY_SQL} SELECT county_id, active_ingredient, CAST(sum(share_pct) AS DOUBLE) AS total FROM facts GROUP BY ALL HAVING abs(sum(share_pct) - 100) > 0.02"),
     "recall_events": (recall_events, f"""WITH {b.RECALLS_SQL},
 marked AS (SELECT *, CASE WHEN date_published - lag(date_published) OVER w <= 30 THEN 0 ELSE 1 END AS starts FROM recalls WINDOW w AS (PARTITION BY manufacturer_id, severity ORDER BY date_published, id)),

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +40,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def numbered(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with dense numbers from 0 in ``column``: it is written, and rows are counted for each task that wrote them."""
+    spark = df.sparkSession
+    kept = written(df.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    before, total = [], 0
+    for part, n in kept.groupBy(F.shiftright("_at", 33).alias("part")).count().orderBy("part").collect():  # a row for each task
+        before.append((part, total))
+        total += n
+    starts = F.broadcast(spark.createDataFrame(before, "_part long, _before long"))
+    out = kept.join(starts, F.shiftright("_at", 33) == F.col("_part")).select(*df.columns, (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias(column))
+    out._lotwatch_path = kept._lotwatch_path
+    return out
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -207,3 +207,37 @@ cross_source_corroboration:
     assert cfg.cross_source_corroboration.enable is False and cfg.config_hash != RiskConfig().config_hash
     with pytest.raises(ValueError):
         rules.register("repeat_violator")(None)
+
+
+def test_backfill_over_a_table_of_dates(spark):
+    """Ten thousand dates: the rows of the list form, joined by periods and not by a nested loop."""
+    rows = docs(spark, [("m", "class_1", d, "KE", "a") for d in (0, 1, 29, 30, 719, 720, 721, 5000, 9999)])
+    days = [AS_OF - timedelta(days=n) for n in range(-10, 9990)]
+    table = spark.createDataFrame([(d,) for d in days + days[:5]] + [(None,)], "as_of date")
+    out = rules.as_of_backfill(rows, table)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    got = sorted((r["as_of"], r["id"]) for r in out.select("as_of", "id").collect())
+    published = {r["id"]: r["date_published"] for r in rows.collect()}
+    assert got == sorted((d, k) for d in days for k, p in published.items() if d - timedelta(days=720) <= p <= d)
+    some = days[::997]
+    few = spark.createDataFrame([(d,) for d in some], "as_of date")
+    assert sorted((r["as_of"], r["id"]) for r in rules.as_of_backfill(rows, few).collect()) == sorted((r["as_of"], r["id"]) for r in rules.as_of_backfill(rows, some).collect())
+
+
+def test_alternatives_by_bitmaps(spark):
+    """More suppliers than one bitmap holds; the linked ones don't count, whether they offer or not; counties aren't multiplied by offers."""
+    import random
+
+    rng = random.Random(1)
+    facts = spark.range(70_000).selectExpr("concat('c', id % 3) as county_id", "concat('s', id % 40000) as supplier_id", "if(id % 2 = 0, 'x', 'y') as active_ingredient")
+    exposed = [(m, "X", "x", f"c{c}") for m in ("m1", "m2", "m3") for c in range(3) if rng.random() < 0.7] + [("m4", "Y", "y", "c1"), ("m5", "Z", "z", "c1")]
+    links = [("m1", f"s{k}") for k in range(0, 39_000, 7)] + [("m2", "none"), ("m4", "s1"), (None, "s2")]
+    exposed_df = spark.createDataFrame(exposed, "manufacturer_id string, active_ingredient string, ingredient_key string, county_id string")
+    got = rules.alternative_suppliers(exposed_df, spark.createDataFrame(links, "manufacturer_id string, id string"), facts)
+    offers, expect = {}, {}
+    for r in facts.collect():
+        offers.setdefault((r["county_id"], r["active_ingredient"]), set()).add(r["supplier_id"])
+    for m, name, key, county in exposed:
+        expect.setdefault((m, name), set()).update(offers.get((county, key), set()) - {s for o, s in links if o == m})
+    assert {(r["manufacturer_id"], r["active_ingredient"]): r["alternative_supplier_count"] for r in got.collect()} == {k: len(v) for k, v in expect.items() if v}
