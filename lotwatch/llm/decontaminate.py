@@ -63,7 +63,7 @@ def seeded(rows: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     least = min(map(len, masks))
     places = rows.withColumn("pos", F.explode(F.when(n >= least, F.sequence(F.lit(0), n - least))))
     seed = lambda mask: F.when(F.col("pos") + len(mask) <= n, F.xxhash64(F.lit(mask), *[F.get("tokens", F.col("pos") + o) for o in mask_offsets(mask)]))
-    return places.select("*", F.posexplode(F.array(*map(seed, masks))).alias("mask", "seed")).where("seed is not null")
+    return places.withColumn("seed", F.explode(F.array(*map(seed, masks)))).where("seed is not null")
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
@@ -126,12 +126,13 @@ def _near_hits(base: DataFrame, probe: DataFrame, masks: tuple[str, ...]) -> Dat
     probe = probe.withColumn("lo", F.greatest(F.lit(0), F.col("item_pos") - before))
     probe = probe.select("seed", "item", "item_pos", least_equal(F.size("tokens")).alias("least"), "lo", F.slice("tokens", F.col("lo") + 1, F.col("item_pos") + REACH + LEAST_EQUAL - F.col("lo")).alias("part"))
     hits = seeded(base, masks).join(F.broadcast(probe), "seed")
-    # Of hits of one mask at neighbouring places of a diagonal only the first is judged: a run of LEAST_EQUAL of them is
-    # a stretch that counts, and what a shorter one belongs to lies within LEAST_EQUAL more tokens. So the work on a text
-    # of repeated tokens grows with its diagonals, not with its pairs of places.
-    again = lambda mask: reduce(lambda a, b: a & b, [F.get("tokens", F.col("pos") - 1 + o) == F.get("part", F.col("item_pos") - 1 + o - F.col("lo")) for o in mask_offsets(mask)])
-    follows = reduce(lambda c, m: c.when(F.col("mask") == m[0], again(m[1])), list(enumerate(masks))[1:], F.when(F.col("mask") == 0, again(masks[0])))
-    first = (F.col("pos") == 0) | (F.col("item_pos") == 0) | ~F.coalesce(follows, F.lit(False))
+    # A hit is passed over where as many tokens as the widest mask spans are equal from the place before it on: the same
+    # mask hits there too. A run of LEAST_EQUAL such places is a stretch that counts, and what a shorter one belongs to
+    # lies within LEAST_EQUAL more tokens of its first. So the work on a text of repeated tokens grows with its
+    # diagonals, not with its pairs of places. The test is short on purpose: it runs in the join's generated code.
+    span = max(map(len, masks))
+    again = F.slice("tokens", F.greatest(F.col("pos"), F.lit(1)), F.lit(span)) == F.slice("part", F.greatest(F.col("item_pos") - F.col("lo"), F.lit(1)), F.lit(span))
+    first = (F.col("pos") == 0) | (F.col("item_pos") == 0) | ~again
     # Align the item with the document at the hit; what hangs over either end of the document is cut.
     hits = hits.withColumn("shift", F.col("pos") - F.col("item_pos")).withColumn("cut", F.greatest(F.lit(0), -(F.col("lo") + F.col("shift"))))
     own = F.slice("tokens", F.col("lo") + F.col("shift") + F.col("cut") + 1, F.size("part") - F.col("cut"))
