@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_name
 from ..storage import release, written
+from .graph import components
 from .signals import resolve_for_merge, stable_id
 
 THRESHOLD = 92.0
@@ -265,15 +266,62 @@ def merge(manufacturers: DataFrame, docs: DataFrame, signals: DataFrame, pairs:
     return {"manufacturers": kept.withColumn("aliases", aliases).drop("target", "more"), "documents": repoint(docs, good), "signals": out_signals, "events": events, "errors": errors}
 
 
+#: A component of similar keys with at most so many pairs is decided by one task; larger ones in rounds of joins.
+SETTLED_PAIRS = 200_000
+
+
+def _settle(frame: pd.DataFrame) -> pd.DataFrame:
+    """(b_at, founds) of one component (at, b_at): in order, a key founds unless an earlier similar one does."""
+    before: dict[int, list[int]] = {}
+    for at, b_at in zip(frame["at"].tolist(), frame["b_at"].tolist()):
+        before.setdefault(at, []).append(b_at)
+    founds: dict[int, bool] = {}
+    for at in sorted(before.keys() | {b for bs in before.values() for b in bs}):
+        founds[at] = not any(founds[b] for b in before.get(at, ()))
+    return pd.DataFrame({"b_at": list(founds), "founds": list(founds.values())})
+
+
+def _founding(nodes: DataFrame, edges: DataFrame, settled_pairs: int = SETTLED_PAIRS) -> DataFrame:
+    """(at) of the nodes (at, fixed) that are canonicals: the fixed ones, and each other one with no edge (at, b_at) to an earlier canonical.
+
+    Keys that a fixed one takes in are done at once. What is left falls into connected components, which
+    don't wait for each other: each of up to ``settled_pairs`` pairs is decided inside one task. Only
+    larger ones go in rounds, each round deciding at least the earliest open key.
+    """
+    fixed, open_ = nodes.where("fixed").select("at"), nodes.where("not fixed").select("at")
+    taken = written(edges.join(fixed.select(F.col("at").alias("b_at")), "b_at", "left_semi").select("at").distinct(), "cluster-taken")
+    links = edges.join(taken, "at", "left_anti").join(taken.select(F.col("at").alias("b_at")), "b_at", "left_anti")
+    links = written(links.select(F.col("at").cast("long").alias("at"), F.col("b_at").cast("long").alias("b_at")), "cluster-links")
+    lone = written(open_.join(taken, "at", "left_anti").join(links.select("at").union(links.select("b_at")).distinct(), "at", "left_anti"), "cluster-lone")
+    parts = components(links.select(F.col("at").alias("a"), F.col("b_at").alias("b")))
+    rooted = written(links.join(parts.select(F.col("node").alias("at"), "root"), "at"), "cluster-rooted")
+    release(taken, links, parts)
+    sizes = rooted.groupBy("root").agg(F.count("*").alias("n"))
+    wide = written(sizes.where(F.col("n") > settled_pairs).select("root"), "cluster-wide")
+    small = rooted.join(wide, "root", "left_anti").groupBy("root").applyInPandas(_settle, "b_at long, founds boolean")
+    decided = written(small, "cluster-decided")
+    rest = written(rooted.join(wide, "root", "left_semi").select("at", "b_at"), "cluster-rest")
+    release(rooted, wide)
+    waiting = written(rest.select("at").union(rest.select("b_at")).distinct(), "cluster-open")
+    while not waiting.isEmpty():
+        found = rest.join(waiting, "at", "left_semi").join(decided, "b_at", "left").groupBy("at").agg(F.max(F.coalesce("founds", F.lit(False))).alias("taken"), F.max(F.col("founds").isNull()).alias("waits"))
+        ready = waiting.join(found, "at", "left").where("coalesce(taken, false) or not coalesce(waits, false)")
+        step = written(ready.select(F.col("at").alias("b_at"), (~F.coalesce("taken", F.lit(False))).alias("founds")), "cluster-step")
+        older = decided, waiting, step
+        decided = written(decided.unionByName(step), "cluster-decided")
+        waiting = written(waiting.join(step.select(F.col("b_at").alias("at")), "at", "left_anti"), "cluster-open")
+        release(*older)
+    return fixed.union(lone).union(decided.where("founds").select("b_at"))
+
+
 def cluster_names(names: DataFrame, overrides: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(raw, canonical): names (raw, ordinal, both distinct) matched against those before them, without a dimension.
 
     In input order a name takes its override's canonical, else the first earlier canonical of equal
     key, else the most similar earlier canonical (ties to the earlier), else founds one. A key founds
-    at its first name or never, as canonicals only grow; so keys are decided, in rounds of joins: one
-    that an earlier canonical takes in founds none, one whose earlier similar keys are all decided
-    otherwise does. The earliest undecided key can always be decided, and unlike keys don't wait for
-    each other. Every name then takes the best of the canonicals before it.
+    at its first name or never, as canonicals only grow; so keys are decided first, each by whether an
+    earlier similar key founds (:func:`_founding`). Every name then takes the best of the canonicals
+    before it.
     """
     over = match_override(names, overrides).withColumnsRenamed({"canonical": "override"})
     rows = written(names.join(over, "raw", "left").withColumns({"key": normalize_name(F.col("raw")), "override_key": normalize_name(F.col("override"))}), "cluster-names")
@@ -286,18 +334,8 @@ def cluster_names(names: DataFrame, overrides: DataFrame, threshold: float = THR
     pairs = written(pairs.unionByName(keys.select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(1000.0).alias("score"))), "cluster-pairs")  # an equal key goes before similar ones
     ahead = nodes.select(F.col("key").alias("b"), F.col("at").alias("b_at"))
     edges = nodes.where("not fixed").select(F.col("key").alias("a"), "at").join(pairs, "a").join(ahead, "b").where("b_at < at")
-    edges = written(edges.select("at", "b_at"), "cluster-edges")
-    decided = written(nodes.where("fixed").select(F.col("at").alias("b_at"), F.lit(True).alias("founds")), "cluster-decided")
-    waiting = written(nodes.where("not fixed").select("at"), "cluster-open")
-    while not waiting.isEmpty():
-        found = edges.join(waiting, "at", "left_semi").join(decided, "b_at", "left").groupBy("at").agg(F.max(F.coalesce("founds", F.lit(False))).alias("taken"), F.max(F.col("founds").isNull()).alias("waits"))
-        ready = waiting.join(found, "at", "left").where("coalesce(taken, false) or not coalesce(waits, false)")
-        step = written(ready.select(F.col("at").alias("b_at"), (~F.coalesce("taken", F.lit(False))).alias("founds")), "cluster-step")
-        older = decided, waiting, step
-        decided = written(decided.unionByName(step), "cluster-decided")
-        waiting = written(waiting.join(step.select(F.col("b_at").alias("at")), "at", "left_anti"), "cluster-open")
-        release(*older)
-    canonical = nodes.join(decided.where("founds").select(F.col("b_at").alias("at")), "at", "left_semi").select(F.col("key").alias("b"), "at", "title")
+    founding = _founding(nodes, written(edges.select("at", "b_at"), "cluster-edges"))
+    canonical = nodes.join(founding, "at", "left_semi").select(F.col("key").alias("b"), "at", "title")
     open_ = rows.where("override is null").select("raw", "ordinal", F.col("key").alias("a"))
     met = open_.join(pairs, "a").join(canonical, "b").where("at <= ordinal")
     best = met.groupBy("raw").agg(F.min_by("title", F.struct(-F.col("score"), "at")).alias("title"))

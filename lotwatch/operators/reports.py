@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from .rules import top_ingredient
 
 
@@ -81,3 +82,44 @@ def dictionary_ingredients(docs: DataFrame, dictionary: list[str], text_col: str
     text = F.lower(F.coalesce(text_col, F.lit("")))
     found = F.filter(F.array(*map(F.lit, sorted(dictionary))), lambda w: F.regexp_like(text, F.concat(F.lit(r"(^|[^a-z0-9])\Q"), w, F.lit(r"\E([^a-z0-9]|$)"))))
     return docs.withColumn("found_ingredients", found)
+
+
+#: A dictionary of at most so many entries is broadcast (counted first); a larger one meets the texts in a shuffle of their phrases.
+BROADCAST_ENTRIES = 200_000
+WORD = "[a-z0-9]+"
+
+
+def _small(table: DataFrame, rows: int = BROADCAST_ENTRIES) -> DataFrame:
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
+def dictionary_matches(docs: DataFrame, dictionary: DataFrame, key: str = "id", text_col: str = "raw_text", broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
+    """(key, entry, n): the entries of a table ``dictionary`` (entry) whose words follow each other in a text, and how often.
+
+    Words are runs of a-z and 0-9 in the lower-cased text, whatever lies between them. Entries without a
+    word, null texts and rows with a null key match nothing; entries of the same words are all found. Each text is split once
+    into phrases of the lengths that entries have, counted within the text, and joined by equality.
+    """
+    entries = dictionary.select("entry").where("entry is not null").distinct().withColumn("_words", F.regexp_extract_all(F.lower("entry"), F.lit(WORD), F.lit(0))).where("size(_words) > 0")
+    entries = entries.select("entry", F.array_join("_words", " ").alias("_phrase"), F.size("_words").alias("_length"))
+    lengths = sorted(r[0] for r in entries.select("_length").distinct().collect())  # as many numbers as entries have lengths
+    if not lengths:
+        return docs.select(key, F.lit(None).cast("string").alias("entry"), F.lit(0).cast("long").alias("n")).limit(0)
+    words = docs.where(F.col(key).isNotNull() & F.col(text_col).isNotNull()).select(key, F.regexp_extract_all(F.lower(text_col), F.lit(WORD), F.lit(0)).alias("_words"))
+    phrase = lambda n: F.when(F.size("_words") >= n, F.transform(F.sequence(F.lit(1), F.size("_words") - n + 1), lambda i: F.array_join(F.slice("_words", i, n), " "))).otherwise(F.array().cast("array<string>"))
+    said = words.select(key, F.explode(F.concat(*[phrase(n) for n in lengths])).alias("_phrase"))
+    hits = said.join(_small(entries.select("entry", "_phrase"), broadcast_entries), "_phrase")
+    return hits.groupBy(key, "entry").agg(F.count("*").alias("n"))
+
+
+def normalized_by_table(docs: DataFrame, dictionary: DataFrame, key: str = "id", column: str = "active_ingredients_raw") -> DataFrame:
+    """(key, normalized, raw): the list ``column`` with each name replaced by the dictionary's (alias, inn), blanks left out, order kept.
+
+    As ``text.normalize_inn_list``, but the aliases are a table of any length: names join it by their trimmed
+    lower case. Of several entries of one alias the least name counts; a null list gives empty lists.
+    """
+    table = dictionary.where("alias is not null and inn is not null").groupBy(F.lower(strip(F.col("alias"))).alias("_alias")).agg(F.min("inn").alias("_inn"))
+    names = docs.select(key, F.posexplode_outer(column).alias("_pos", "_raw")).withColumn("_raw", strip(F.col("_raw")))
+    found = names.join(_small(table), F.lower("_raw") == F.col("_alias"), "left")
+    item = F.when(F.coalesce("_raw", F.lit("")) != "", F.struct("_pos", F.coalesce("_inn", "_raw").alias("inn"), F.col("_raw").alias("raw")))
+    return found.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("x")).select(key, F.col("x.inn").alias("normalized"), F.col("x.raw").alias("raw"))

@@ -103,7 +103,34 @@ def ingredient_dictionary(spark, sf):
     return reports.dictionary_ingredients(rows, ["ring", "widget", "red", "anvil"]).select("p_partkey", F.array_join("found_ingredients", "|").alias("found"))
 
 
+def dictionary_phrases(spark, sf):
+    """First words and first three words of the English texts as a dictionary, found in all texts."""
+    rows = b.t(spark, sf, "documents")
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
+    opening = rows.where("lang = 'en'").select(words.alias("w")).where("size(w) >= 3")
+    entries = opening.select(F.explode(F.array(F.get("w", F.lit(0)), F.array_join(F.slice("w", 1, 3), "-"))).alias("entry"))
+    found = reports.dictionary_matches(rows, entries, "doc_id", "text")
+    return found.groupBy("doc_id").agg(F.count("*").alias("entries"), F.sum("n").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("entry")), "|")).alias("digest"))
+
+
+def dictionary_names(spark, sf):
+    """Names of parts, every other one an alias of its first part's number, in lists of two with a blank."""
+    part = b.t(spark, sf, "part")
+    table = part.where("p_partkey % 2 = 0").select(F.concat(F.lit(" "), F.upper("p_name")).alias("alias"), F.concat(F.lit("inn-"), F.lpad(F.col("p_partkey").cast("string"), 12, "0")).alias("inn"))
+    lists = part.select("p_partkey", F.array(F.concat("p_name", F.lit(" ")), F.lit(" "), F.col("p_type")).alias("names"))
+    out = reports.normalized_by_table(lists, table, "p_partkey", "names")
+    return out.select("p_partkey", F.array_join("normalized", "|").alias("inn"), F.array_join("raw", "|").alias("raw"))
+
+
 PLANS = {
+    "dictionary_phrases": (dictionary_phrases, r"""WITH w AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
+opening AS (SELECT w FROM w WHERE lang = 'en' AND len(w) >= 3), entries AS (SELECT DISTINCT w[1] AS entry, w[1] AS phrase FROM opening UNION SELECT DISTINCT array_to_string(w[1:3], '-'), array_to_string(w[1:3], ' ') FROM opening),
+said AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) AS phrase FROM w),
+hits AS (SELECT doc_id, entry, count(*) AS n FROM said JOIN entries USING (phrase) GROUP BY ALL)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS entries, CAST(sum(n) AS BIGINT) AS n, md5(string_agg(entry, '|' ORDER BY entry)) AS digest FROM hits GROUP BY doc_id"""),
+    "dictionary_names": (dictionary_names, """WITH a AS (SELECT lower(trim(p_name)) AS alias, min('inn-' || lpad(CAST(p_partkey AS VARCHAR), 12, '0')) AS inn FROM part WHERE p_partkey % 2 = 0 GROUP BY 1)
+SELECT p_partkey, coalesce(x.inn, trim(p_name)) || '|' || coalesce(y.inn, trim(p_type)) AS inn, trim(p_name) || '|' || trim(p_type) AS raw
+FROM part LEFT JOIN a x ON x.alias = lower(trim(p_name)) LEFT JOIN a y ON y.alias = lower(trim(p_type))"""),
     "manufacturer_names": (manufacturer_names, "SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS manufacturer_id, CASE WHEN l_suppkey % 2 = 0 THEN coalesce(s_name, CAST(l_suppkey AS VARCHAR)) ELSE CAST(l_suppkey AS VARCHAR) END AS canonical_name FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey"),
     "alternative_suppliers": (alternative_suppliers, f"WITH {b.SUPPLY_SQL} SELECT e.supplier_id AS manufacturer_id, e.active_ingredient, CAST(count(DISTINCT f.supplier_id) AS BIGINT) AS alternative_supplier_count FROM facts e JOIN facts f ON f.county_id = e.county_id AND f.active_ingredient = e.active_ingredient AND f.supplier_id <> e.supplier_id GROUP BY ALL"),
     "foreign_key_cascade": (foreign_key_cascade, "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS c FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment = 'BUILDING')"),

@@ -25,7 +25,7 @@ def flat(column: str):
 
 
 def enforcement(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Parts as enforcement records, twenty landed JSON pages and an empty one."""
+    """Parts as enforcement records, landed JSON pages of a hundred and an empty one."""
     part = b.t(spark, sf, "part")
     record = F.to_json(F.struct(
         F.concat(F.lit("R-"), "p_partkey").alias("recall_number"), F.when(F.col("p_partkey") % 4 > 0, F.concat("p_name", F.lit(" impure"))).alias("reason_for_recall"), F.col("p_type").alias("product_description"),
@@ -33,8 +33,8 @@ def enforcement(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("p_partkey") % 5 > 0, F.date_format(F.date_add(F.lit(date(2000, 1, 1)), (F.col("p_partkey") % 300).cast("int")), "yyyyMMdd")).alias("report_date"),
         F.concat(F.lit("Kenya; "), "p_brand", F.lit(" ;")).alias("distribution_pattern"), F.struct(F.array(F.col("p_name"), F.lit(" "), F.lit("Paracetamol ")).alias("generic_name")).alias("openfda"),
     ))
-    pages = part.select((F.col("p_partkey") % 20).alias("page"), record.alias("r")).groupBy("page").agg(F.concat(F.lit('{"meta":{"results":{"total":1}},"results":['), F.array_join(F.collect_list("r"), ","), F.lit("]}")).alias("value"))
-    empty = spark.range(1).select(F.lit(99).cast("long").alias("page"), F.lit('{"meta":{"results":{"total":0}},"results":[]}').alias("value"))
+    pages = part.select((F.col("p_partkey") / 100).cast("long").alias("page"), record.alias("r")).groupBy("page").agg(F.concat(F.lit('{"meta":{"results":{"total":1}},"results":['), F.array_join(F.collect_list("r"), ","), F.lit("]}")).alias("value"))
+    empty = spark.range(1).select(F.lit(-1).cast("long").alias("page"), F.lit('{"meta":{"results":{"total":0}},"results":[]}').alias("value"))
     path = scratch_path(spark, "landed-json")
     pages.withColumn("page", F.col("page").cast("long")).unionByName(empty).repartition("page").write.partitionBy("page").text(path)
     return landed.read_enforcement_json(spark, path, b.AS_OF)
@@ -77,7 +77,7 @@ def listing_cards(spark, sf):
     lines = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("Recall<br>"), day, F.lit("<br>Class I<br>Brief Description<br>"), F.lit("1 January 1999"))).when(F.col("p_partkey") % 4 == 1, F.concat(day, F.lit("<br>a<br>b<br>c<br>d<br>e<br>f<br>brief description"))).otherwise(F.concat(day, F.lit("<br>no such line")))
     key = F.col("p_partkey").cast("string")
     card = F.concat(F.lit('<article class="dlp_document x"><h2 class="entry_title"><a href="http://d.example/'), key, F.lit('">'), "p_name", F.lit('</a></h2><p class="post_excerpt">'), lines, F.lit("</p></article><article><h2>other</h2></article>"))
-    pages = p.select((F.col("p_partkey") % 40).cast("string").alias("n"), card.alias("card")).groupBy("n").agg(F.array_join(F.collect_list("card"), "").alias("html"))
+    pages = p.select((F.col("p_partkey") / 100).cast("long").cast("string").alias("n"), card.alias("card")).groupBy("n").agg(F.array_join(F.collect_list("card"), "").alias("html"))
     found = landed.extract_listing_cards(pages.select(F.concat(F.lit("http://archive.example/"), "n").alias("url"), "html"))
     return found.select("detail_url", "title", "card_date")
 
@@ -110,6 +110,27 @@ def detail_documents(spark, sf):
     return out.unionByName(errors.select("source_url", F.col("error").alias("title")), allowMissingColumns=True)
 
 
+def landed_documents(spark, sf):
+    """All pages of the three sources in one document table: as they landed, then again (a third with another title), then from other addresses."""
+    found, _ = enforcement(spark, sf)
+    detail, errors = details(spark, sf)
+    rows = landed.normalize_listing_rows(landed.extract_recall_rows(listing_pages(spark, sf)))
+    seen = landed.observations(found).unionByName(landed.observations(rows)).unionByName(landed.observations(detail, errors, "detail"))
+    parsed = written(seen, "observations")
+    valid, _ = docs.validate(parsed.where("error is null"))
+    again = valid.withColumns({"title": F.when(F.length("title") % 3 == 0, F.concat("title", F.lit(" again"))).otherwise(F.col("title")), "source_hash": F.sha2(F.concat("source_hash", F.lit("again")).cast("binary"), 256)})
+    moved = valid.withColumn("source_url", F.concat("source_url", F.lit("?moved")))
+    failed = parsed.where("error is not null")
+    every = [docs.to_document(df).withColumn("seq", F.lit(n).cast("long")) for n, df in enumerate((valid, again, moved, failed), 1)]
+    incoming = every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3])
+    incoming = written(incoming.withColumn("id", F.sha2(F.concat_ws("|", "source_id", "source_url").cast("binary"), 256)), "incoming")
+    table, versions, log, _ = docs.upsert(incoming.drop("seq", "error").limit(0), incoming)
+    state = table.select(F.lit("state").alias("kind"), "source_id", "source_url", "title", "date_published", F.get("active_ingredients_normalized", F.lit(0)).alias("note"))
+    old = versions.select(F.lit("version").alias("kind"), "source_id", "source_url", F.coalesce(F.try_variant_get("raw_metadata", "$.batch_numbers[0]", "string"), F.try_variant_get("raw_metadata", "$.recall_number", "string")).alias("note"))
+    acts = log.select(F.lit("log").alias("kind"), "source_id", "source_url", F.col("action").alias("note"))
+    return state.unionByName(old, allowMissingColumns=True).unionByName(acts, allowMissingColumns=True)
+
+
 def procurement_files(spark: SparkSession, sf: str) -> str:
     """The procurement tables as CSV files."""
     path = scratch_path(spark, "procurement")
@@ -145,12 +166,12 @@ def provenance(spark, sf):
 
 
 def text_corpus(spark, sf):
-    """Documents as text files, some to a file, read back whole."""
+    """Documents as text files, two hundred to a file, read back whole."""
     path = scratch_path(spark, "texts")
-    rows = b.t(spark, sf, "documents").select((F.col("doc_id") % 30).alias("file"), "doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]", " ").alias("value"))
-    rows.repartition(1, "file").sortWithinPartitions("file", "doc_id").select("file", "value").write.partitionBy("file").text(path)
+    rows = b.t(spark, sf, "documents").select((F.col("doc_id") / 200).cast("long").alias("file"), "doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]", " ").alias("value"))
+    rows.repartition("file").sortWithinPartitions("file", "doc_id").select("file", "value").write.partitionBy("file").text(path)
     found = landed.read_text_corpus(spark, f"{path}/file=*")
-    return found.agg(F.count("*").alias("files"), F.sum(F.length(F.regexp_replace("text", "\n$", "")) + 1).alias("characters"))
+    return found.select(F.md5("text").alias("digest"), F.length("text").cast("long").alias("characters"))
 
 
 def snapshot(spark, sf):
@@ -177,9 +198,7 @@ def review_queue(spark, sf):
     found = written(m.resolve_names(b.raw_names(spark, sf), names.dimension(spark, sf), m.overrides_table(spark, names.OVERRIDES), 95.0, (80.0, 95.0)), "resolved")
     sinks.write_review(found, path, "2000-01-01")
     sinks.write_review(found, path, "2000-01-02")
-    first = sinks.read_review(spark, path).withColumn("place", F.monotonically_increasing_id())
-    order = first.select("reviewed_at", (F.expr("row_number() over (order by place)") <= F.expr("count(*) over ()") / 2).alias("first_half"))
-    return order.groupBy("reviewed_at", "first_half").agg(F.count("*").alias("n"))
+    return sinks.read_review(spark, path).select("raw_name", "candidate_canonical", F.round("score", 6).alias("score"), "reviewed_at")
 
 
 def ingested(spark, sf):
@@ -240,10 +259,12 @@ UNION ALL SELECT CAST(s_suppkey AS VARCHAR), NULL, NULL, NULL, NULL, NULL, 'Keny
 UNION ALL SELECT 'county', CASE WHEN n_nationkey < 12 THEN 'stored-' ELSE '' END || n_nationkey, n_name, '' FROM nation
 UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR), CASE WHEN s_suppkey % 2 = 0 THEN 'kept' END, '' FROM supplier"""),
     "provenance": (provenance, f"WITH {b.SUPPLY_SQL} SELECT CASE WHEN length(supplier_id) > 1 THEN 'v2' ELSE 'v1' END AS data_source, CAST(count(*) AS BIGINT) AS n FROM facts GROUP BY 1"),
-    "text_corpus": (text_corpus, "SELECT CAST(count(DISTINCT doc_id % 30) AS BIGINT) AS files, CAST(sum(length(coalesce(text, '')) + 1) AS BIGINT) AS characters FROM documents"),
+    "text_corpus": (text_corpus, r"""WITH f AS (SELECT string_agg(regexp_replace(coalesce(text, ''), '[\r\n]', ' ', 'g') || chr(10), '' ORDER BY doc_id) AS whole FROM documents GROUP BY doc_id // 200)
+SELECT md5(whole) AS digest, CAST(length(whole) AS BIGINT) AS characters FROM f"""),
     "snapshot": (snapshot, f"WITH {b.OBSERVED_SQL} SELECT id, source_id, created_at, '2' AS version FROM observed WHERE created_at > DATE '2000-06-30'"),
     "history": (history, "SELECT event_id, event_type, CASE WHEN event_id % 2 = 0 THEN DATE '2000-01-01' ELSE DATE '2000-01-02' END AS run_date FROM events"),
-    "review_queue": (review_queue, None),
+    "review_queue": (review_queue, "WITH " + names.RESOLVED_SQL.replace("92 *", "80 *").replace(">= 92", ">= 80") + """
+SELECT raw AS raw_name, f AS candidate_canonical, round(score, 6) AS score, day AS reviewed_at FROM settled, (VALUES ('2000-01-01'), ('2000-01-02')) d(day) WHERE kind = 'fuzzy' AND score < 95"""),
     "ingested": (ingested, f"""WITH {b.OBSERVED_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY source_url ORDER BY created_at, id) AS seq FROM observed),
 w AS (SELECT *, lag(normalized_hash) OVER a AS old_hash, first_value(id) OVER a AS first_id, row_number() OVER a AS k, count(*) OVER (PARTITION BY source_id, source_url) AS n FROM o WINDOW a AS (PARTITION BY source_id, source_url ORDER BY seq)),
 acts AS (SELECT *, CASE WHEN k = 1 THEN 'insert' WHEN normalized_hash = old_hash THEN 'skip_unchanged' ELSE 'update' END AS action FROM w)
@@ -262,3 +283,16 @@ UNION ALL SELECT 'error', * FROM (VALUES ('nobody', '0'), ('0', '0'), ('2', '4')
   WHEN contains(lower(href), 'product') OR contains(lower(text), 'registration') THEN 'REGISTRATION' WHEN contains(lower(href), 'form') OR contains(lower(text), 'application') THEN 'APPLICATIONS' ELSE 'TRAINING' END AS category FROM parts)
 SELECT coalesce(category, 'all') AS category, CAST(count(*) AS BIGINT) AS n FROM c GROUP BY ROLLUP (category)"""),
 }
+
+_OF = {name: PLANS[f"{name}_documents"][1] for name in ("enforcement", "listing", "detail")}
+PLANS["landed_documents"] = (landed_documents, f"""WITH e AS ({_OF["enforcement"]}), l AS ({_OF["listing"]}), d AS ({_OF["detail"]}),
+s AS (SELECT 'enforcement' AS source_id, source_url, title, date_published, string_split(ingredients, '|')[1] AS ingredient, document_id AS batch FROM e WHERE document_id IS NOT NULL
+  UNION ALL SELECT 'listing', source_url, title, date_published, string_split(ingredients, '|')[1], string_split(batches, '|')[1] FROM l
+  UNION ALL SELECT 'detail', source_url, title, date_published, nullif(string_split(ingredients, '|')[1], ''), string_split(batches, '|')[1] FROM d WHERE date_published IS NOT NULL),
+x AS (SELECT *, length(title) % 3 = 0 AS changed FROM s)
+SELECT 'state' AS kind, source_id, source_url, CASE WHEN changed THEN title || ' again' ELSE title END AS title, date_published, lower(ingredient) AS note FROM x
+UNION ALL SELECT 'version', source_id, source_url, NULL, NULL, batch FROM x WHERE changed
+UNION ALL SELECT 'log', source_id, source_url, NULL, NULL, 'insert' FROM x
+UNION ALL SELECT 'log', source_id, source_url, NULL, NULL, CASE WHEN changed THEN 'update' ELSE 'skip_unchanged' END FROM x
+UNION ALL SELECT 'log', source_id, source_url || '?moved', NULL, NULL, 'skip_same_bytes' FROM x
+UNION ALL SELECT 'log', 'detail', source_url, NULL, NULL, 'error' FROM d WHERE date_published IS NULL""")
