@@ -58,6 +58,15 @@ def stream_versions(spark, sf):
     return drained(jobs.stream_versions(rows))
 
 
+def stream_version_chain(spark, sf):
+    """Changes in event-time order with a time to live of nine hours, up to the last watermark."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = events(own, sf).select("ts", F.col("user_id").cast("string").alias("source_url"), F.col("event_id").alias("seq"), F.col("event_type").alias("normalized_hash"))
+    return drained(jobs.stream_version_chain(rows, delay="1 day", keep="9 hours"))
+
+
 def event_properties(spark, sf):
     """Open-ended JSON read as a variant."""
     rows = spark.read.parquet(f"{sf}/events.parquet").withColumn("v", F.try_parse_json("props"))
@@ -72,5 +81,8 @@ n AS (SELECT *, sum(opens) OVER (PARTITION BY manufacturer_id ORDER BY ts ROWS U
 SELECT manufacturer_id, CAST(min(ts) AS TIMESTAMP) AS start, CAST(max(ts) + INTERVAL 1 HOUR AS TIMESTAMP) AS "end", CAST(count(*) AS BIGINT) AS recall_count FROM n GROUP BY manufacturer_id, burst"""),
     "stream_dedup": (stream_dedup, "SELECT DISTINCT event_type AS source_id, CAST(user_id AS VARCHAR) AS source_url FROM events"),
     "stream_versions": (stream_versions, "WITH c AS (SELECT CAST(user_id AS VARCHAR) AS source_url, event_id AS seq, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS previous_hash, event_type AS normalized_hash FROM events) SELECT * FROM c WHERE previous_hash <> normalized_hash"),
+    "stream_version_chain": (stream_version_chain, """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS source_url, event_id AS seq, epoch_us(ts) AS us, event_type AS normalized_hash FROM events),
+c AS (SELECT *, lag(normalized_hash) OVER w AS previous_hash, lag(us) OVER w AS previous_us FROM e WINDOW w AS (PARTITION BY source_url ORDER BY us, seq))
+SELECT source_url, seq, previous_hash, normalized_hash FROM c WHERE previous_hash <> normalized_hash AND us - previous_us <= 32400000000 AND us <= ((SELECT max(us) FROM e) // 1000 - 86400000) * 1000"""),
     "event_properties": (event_properties, "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events"),
 }

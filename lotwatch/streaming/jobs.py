@@ -53,6 +53,73 @@ def stream_versions(stream: DataFrame) -> DataFrame:
     return stream.select("source_url", "seq", "normalized_hash").groupBy("source_url").transformWithStateInPandas(VersionTracker(), schema, "Append", "none")
 
 
+class ChainTracker(StatefulProcessor):
+    """Orders an address's observations by event time before it compares them, and forgets addresses that are no longer seen.
+
+    An observation waits in the state until the watermark passes it: from then on nothing earlier is let
+    in. A timer stands at the earliest one that waits, or else where the last one's time to live ends.
+    """
+
+    def __init__(self, keep_micros: int):
+        self.keep = keep_micros
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at long, hash string")
+        self.waiting = handle.getListState("waiting", "at long, seq long, hash string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+        seen = [(int(at), int(seq), now) for frame in rows for at, seq, now in zip(frame["at"], frame["seq"], frame["normalized_hash"])]
+        if seen:
+            self.waiting.appendList(seen)
+            self._wake(min(at for at, _, _ in seen))
+        yield pd.DataFrame(columns=["source_url", "seq", "previous_hash", "normalized_hash"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(tuple(r) for r in self.waiting.get())
+        last_at, last = self.last.get() if self.last.exists() else (None, None)
+        out = []
+        for at, seq, now in (r for r in waiting if r[0] <= passed):
+            if last and at - last_at <= self.keep and now != last:
+                out.append((key[0], seq, last, now))
+            last_at, last = at, now
+        later = [r for r in waiting if r[0] > passed]
+        if len(later) < len(waiting):
+            self.waiting.clear()
+            if later:
+                self.waiting.appendList(later)
+        if last_at is not None and last_at + self.keep <= passed:
+            self.last.clear()
+        elif len(later) < len(waiting):
+            self.last.update((last_at, last))
+            self._wake(last_at + self.keep)
+        if later:
+            self._wake(later[0][0])
+        yield pd.DataFrame(out, columns=["source_url", "seq", "previous_hash", "normalized_hash"])
+
+    def _wake(self, micros: int) -> None:
+        self.handle.registerTimer(-(-micros // 1000))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_version_chain(stream: DataFrame, time_col: str = "ts", delay: str = "1 day", keep: str = "365 days") -> DataFrame:
+    """(source_url, seq, previous_hash, normalized_hash) of changes in the order of event time, then seq, whatever order the rows come in within ``delay``.
+
+    Columns source_url, seq, normalized_hash and the time are needed; rows without an address, a number or a time take no part. A change
+    comes out when the watermark has passed it. An address that isn't seen for ``keep`` leaves the state; its
+    next observation has no predecessor. An empty or null predecessor counts as none, as in :func:`documents.version_chain`.
+    Needs the RocksDB state store.
+    """
+    schema = "source_url string, seq long, previous_hash string, normalized_hash string"
+    span = stream.sparkSession.sql(f"select unix_micros(timestamp'1970-01-01 00:00:00Z' + interval {keep}) as n").first()["n"]
+    rows = stream.where(f"source_url is not null and seq is not null and {time_col} is not null").withWatermark(time_col, delay)
+    rows = rows.select("source_url", time_col, F.unix_micros(time_col).alias("at"), "seq", F.coalesce("normalized_hash", F.lit("")).alias("normalized_hash"))
+    return rows.groupBy("source_url").transformWithStateInPandas(ChainTracker(span), schema, "Append", "EventTime")
+
+
 def stream_recall_counts(stream: DataFrame, time_col: str = "ts", key: str = "manufacturer_id", window: str = "30 days", slide: str | None = None, delay: str = "1 day", cfg: RepeatViolator | None = None) -> DataFrame:
     """(key, start, end, recall_count, weighted_score) of each window; rows later than the delay are dropped."""
     cfg = cfg or RepeatViolator()

@@ -387,3 +387,88 @@ def test_ledger_is_exactly_once(spark, tmp_path, sink):
     assert len(state) == 21 == ledger.read_documents(spark, root).count() and (state["u3"], state["new"]) == ("x3b", "xn")
     assert [r["normalized_hash"] for r in ledger.read_appended(spark, root, "versions").collect()] == ["x3"] and ledger.read_appended(spark, root, "log").count() == 2
     assert [(r["added"], r["updated"]) for r in ledger.read_appended(spark, root, "events").collect()] == [(1, 1)]
+
+
+def test_founding_decides_a_long_chain_and_wide_components_alike(spark):
+    """A chain of 2,000 names, a star around a fixed name and a name on its own, in one task for each component or in rounds."""
+    chain = [(n, n - 1) for n in range(1, 2000)]
+    star = [(3000 + n, 3000) for n in range(1, 20)]
+    edges = spark.createDataFrame(chain + star, "at int, b_at int")
+    nodes = spark.createDataFrame([(n, False) for n in range(2000)] + [(3000, True)] + [(3000 + n, False) for n in range(1, 20)] + [(5000, False)], "at int, fixed boolean")
+    expect = list(range(0, 2000, 2)) + [3000, 5000]
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("founding", "founding")
+    got = sorted(r[0] for r in m._founding(nodes, edges).collect())
+    ran = len(jobs.getJobIdsForGroup("founding"))
+    spark.sparkContext.setJobGroup("tests", "tests")
+    assert got == expect and ran < 400, ran
+    # The same rule in rounds: links of two, so that a few rounds settle all.
+    few = [(n, n - 1) for n in range(1, 60) if n % 3]
+    nodes = spark.createDataFrame([(n, False) for n in range(60)], "at int, fixed boolean")
+    edges = spark.createDataFrame(few, "at int, b_at int")
+    want = sorted(r[0] for r in m._founding(nodes, edges).collect())
+    assert sorted(r[0] for r in m._founding(nodes, edges, settled_pairs=1).collect()) == want
+    none = edges.limit(0)
+    assert sorted(r[0] for r in m._founding(nodes, none).collect()) == list(range(60))
+    assert m._founding(nodes.limit(0), none).collect() == []
+
+
+def test_dictionary_matches_by_hand(spark):
+    docs = spark.createDataFrame([("a", "Zinc, zinc-oxide and Amoxicillin / clavulanic ACID"), ("b", None), ("c", ""), (None, "zinc"), ("d", "zincs oxide")], "id string, raw_text string")
+    entries = spark.createDataFrame([("Zinc",), ("zinc oxide",), ("Zinc-Oxide",), ("amoxicillin/clavulanic acid",), ("!",), (None,), ("zinc",), ("oxide and amoxicillin clavulanic acid x",)], "entry string")
+    expect = [("a", "Zinc", 2), ("a", "Zinc-Oxide", 1), ("a", "amoxicillin/clavulanic acid", 1), ("a", "zinc", 2), ("a", "zinc oxide", 1)]
+    for limit in (1000, 0):  # broadcast, or shuffled
+        assert sorted(map(tuple, reports.dictionary_matches(docs, entries, broadcast_entries=limit).collect())) == expect
+    assert reports.dictionary_matches(docs, entries.limit(0)).collect() == []
+    assert reports.dictionary_matches(docs.limit(0), entries).collect() == []
+
+
+def test_dictionary_of_twenty_thousand_names(spark):
+    table = spark.range(20_000).selectExpr("concat('Alias ', id) as alias", "concat('inn ', id) as inn").union(spark.createDataFrame([(" alias 7 ", "earlier"), (None, "x"), ("y", None)], "alias string, inn string"))
+    rows = spark.createDataFrame([("a", ["ALIAS 3 ", " ", None, "alias 7", "other"]), ("b", None), ("c", [])], "id string, active_ingredients_raw array<string>")
+    found = reports.normalized_by_table(rows, table)
+    assert sorted((r["id"], r["normalized"], r["raw"]) for r in found.collect()) == [("a", ["inn 3", "earlier", "other"], ["ALIAS 3", "alias 7", "other"]), ("b", [], []), ("c", [], [])]
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sources_share_one_schema(spark):
+    """Rows of a listing and a detail page in one table; bytes are hashed as they lie, a row's by its own markup."""
+    row = "<tr><td>1</td><td>3 May 2020</td><td>R/1</td><td>Thing</td><td>Zinc</td><td>B</td><td>Maker, Kenya</td><td>why</td><td>open</td></tr>"
+    pages = spark.createDataFrame([("http://l", "<table><tr><th>Recall</th></tr>" + row + row.replace("R/1", "R/2") + "</table>")], "url string, html string")
+    listed = landed.normalize_listing_rows(landed.extract_recall_rows(pages))
+    detail = spark.createDataFrame([("http://d/x", "<h1>T</h1><table><tr><th>Recall date</th></tr><tr><td>1 May 2020</td></tr></table>"), ("http://d/y", None)], "url string, html string")
+    found, errors = landed.extract_recall_details(detail)
+    every = landed.observations(listed).unionByName(landed.observations(found, errors, "detail"))
+    assert every.columns == [*landed.DOCUMENT, "error"]
+    rows = {r["source_url"]: r for r in every.withColumn("meta", F.to_json("raw_metadata")).collect()}
+    assert set(rows) == {"http://l#R-1", "http://l#R-2", "http://d/x", "http://d/y"}
+    assert len({r["source_hash"] for r in rows.values()}) == 4 and rows["http://d/y"]["error"] and rows["http://d/y"]["source_hash"] is None
+    assert '"status":"open"' in rows["http://l#R-1"]["meta"]
+    table, _, log, _ = docs.upsert(*[d(docs.to_document(every).withColumn("id", F.col("source_url"))) for d in (lambda x: x.drop("error").limit(0), lambda x: x.withColumn("seq", F.lit(1)))])
+    assert table.count() == 3 and sorted(r["action"] for r in log.collect()) == ["error", "insert", "insert", "insert"]
+
+
+def test_version_chain_waits_for_late_rows_and_forgets(spark, tmp_path):
+    """Files out of order give the chain of the sorted rows; a key without observations for the time to live is gone from the state."""
+    minute = lambda n: datetime.fromtimestamp(1_000_000_000 + 60 * n)
+    rng = random.Random(5)
+    rows = [(f"u{rng.randrange(4)}", minute(n), n, rng.choice("ab")) for n in range(120)] + [("old", minute(0), 1000, "a"), ("old", minute(2), 1001, "b"), ("end", minute(5000), 2000, "z")]
+    shuffled = sorted(rows[:-1], key=lambda r: r[2] // 20 * 20 + rng.randrange(30) if r[2] < 1000 else 0) + rows[-1:]
+    for n in range(0, len(shuffled), 12):
+        frame = spark.createDataFrame(shuffled[n : n + 12], "source_url string, ts timestamp, seq long, normalized_hash string").coalesce(1)
+        frame.write.mode("append").parquet(f"{tmp_path}/in")
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own.conf.set("spark.sql.shuffle.partitions", "2")
+    stream = own.readStream.schema("source_url string, ts timestamp, seq long, normalized_hash string").option("maxFilesPerTrigger", 3).parquet(f"{tmp_path}/in")
+    out = []
+    chain = jobs.stream_version_chain(stream, delay="60 minutes", keep="1000 minutes")
+    chain.writeStream.foreachBatch(lambda df, _: out.extend(map(tuple, df.collect()))).option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    expect, last = [], {}
+    for url, _, seq, now in sorted(rows, key=lambda r: (r[1], r[2])):
+        if url in last and last[url] != now:
+            expect.append((url, seq, last[url], now))
+        last[url] = now
+    assert sorted(out) == sorted(expect)
+    left = own.read.format("statestore").option("path", f"{tmp_path}/checkpoint").option("stateVarName", "last").load()
+    assert left.count() == 0  # the last watermark is more than the time to live after all keys but "end", which still waits
