@@ -5,7 +5,7 @@ manufacturers: id, canonical_name, aliases (array), countries (array), confidenc
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime
 from functools import reduce
 
@@ -108,6 +108,24 @@ def _rarest(rows: DataFrame, counts: DataFrame, key: str, limit) -> DataFrame:
     return ranked.where(F.col("_rank") <= limit).select(key, "block")
 
 
+def _rare_words(key: str, threshold: float):
+    """So many of a key's rarest words suffice: one of them is in the part that a similar key shares."""
+    share = (100 - threshold) / 100
+    return F.floor(F.length(key) * 2 * share / (1 + share) / 2 + 1e-6) + 1
+
+
+def _rare_grams(key: str, threshold: float):
+    """So many of a key's rarest character pairs suffice: fewer of them can be missing in a key whose joined string is similar."""
+    share = (100 - threshold) / 100
+    return 2 * F.floor(F.length(key) * 2 * share / (1 - share) + 1e-6) + 1
+
+
+def grams_can_meet(threshold: float):
+    """Lengths of a and b at which joined strings may still be similar."""
+    share = (100 - threshold) / 100
+    return F.least(F.length("a"), F.length("b")) * (1 + share) + 1e-6 >= F.greatest(F.length("a"), F.length("b")) * (1 - share) - 2
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, score) of normalized keys (columns a and b) with a score of at least ``threshold``.
 
@@ -116,19 +134,21 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = THRESHOL
     that the rarest ones of both sides, in one order, must meet. Or one side's shared words make up
     nearly all of it: then one of its rarest words is the other's.
     """
-    share = (100 - threshold) / 100
     # Distinct keys are read many times below.
     a, b = written(left.select("a").where("a != ''").distinct(), "keys"), written(right.select("b").where("b != ''").distinct(), "keys")
     keys = a.select(F.col("a").alias("k")).union(b).distinct()
     words, grams = (f(keys, "k").groupBy("block").agg(F.count("*").alias("n")) for f in (_words, _grams))
-    few = lambda k: F.floor(F.length(k) * 2 * share / (1 + share) / 2 + 1e-6) + 1
-    edits = lambda k: 2 * F.floor(F.length(k) * 2 * share / (1 - share) + 1e-6) + 1
+    few, edits = (lambda k: _rare_words(k, threshold)), (lambda k: _rare_grams(k, threshold))
     found = [
         _rarest(_words(a, "a"), words, "a", few("a")).join(_words(b, "b"), "block"), _words(a, "a").join(_rarest(_words(b, "b"), words, "b", few("b")), "block"),
-        _rarest(_grams(a, "a"), grams, "a", edits("a")).join(_rarest(_grams(b, "b"), grams, "b", edits("b")), "block").where(F.least(F.length("a"), F.length("b")) * (1 + share) + 1e-6 >= F.greatest(F.length("a"), F.length("b")) * (1 - share) - 2),
+        _rarest(_grams(a, "a"), grams, "a", edits("a")).join(_rarest(_grams(b, "b"), grams, "b", edits("b")), "block").where(grams_can_meet(threshold)),
     ]
-    joined = reduce(DataFrame.union, [f.select("a", "b") for f in found]).distinct()
-    return joined.where(may_reach(threshold)).mapInPandas(_scored, "a string, b string, score double").where(F.col("score") >= threshold)
+    return scored_pairs(reduce(DataFrame.union, [f.select("a", "b") for f in found]).distinct(), threshold)
+
+
+def scored_pairs(candidates: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, score) of the candidates that reach the threshold; most that don't are dropped by built-in functions."""
+    return candidates.where(may_reach(threshold)).mapInPandas(_scored, "a string, b string, score double").where(F.col("score") >= threshold)
 
 
 def may_reach(threshold: float):
@@ -142,16 +162,19 @@ def may_reach(threshold: float):
     return part(left) | part(right) | (F.levenshtein(left, right) <= allowed(F.length(left) + F.length(right)))
 
 
-def match_fuzzy(names: DataFrame, manufacturers: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(raw, id, canonical_name, score): the most similar canonical name, ties to the first entered. Distinct keys are scored, not names."""
+def match_fuzzy(names: DataFrame, manufacturers: DataFrame, threshold: float = THRESHOLD, pairs: Callable[..., DataFrame] = similar_pairs) -> DataFrame:
+    """(raw, id, canonical_name, score): the most similar canonical name, ties to the first entered. Distinct keys are scored, not names.
+
+    ``pairs`` finds the similar keys: ``functools.partial(nameindex.kept_pairs, root=...)`` joins only those that are new.
+    """
     left = names.select("raw", normalize_name(F.col("raw")).alias("a"))
     right = manufacturers.select("id", "canonical_name", "ordinal", normalize_name(F.col("canonical_name")).alias("b"))
-    scored = similar_pairs(left, right, threshold).join(right, "b")
+    scored = pairs(left, right, threshold).join(right, "b")
     best = scored.groupBy("a").agg(F.min_by(F.struct("id", "canonical_name", "score"), F.struct(-F.col("score"), "ordinal", "id")).alias("m"))
     return left.join(best, "a").select("raw", "m.id", "m.canonical_name", "m.score")
 
 
-def resolve_names(names: DataFrame, manufacturers: DataFrame, overrides: DataFrame, threshold: float = THRESHOLD, review_band: tuple[float, float] | None = None) -> DataFrame:
+def resolve_names(names: DataFrame, manufacturers: DataFrame, overrides: DataFrame, threshold: float = THRESHOLD, review_band: tuple[float, float] | None = None, pairs: Callable[..., DataFrame] = similar_pairs) -> DataFrame:
     """(raw, action, canonical, manufacturer_id, confidence) of each name: override, exact, fuzzy, review or new.
 
     Of new names with one key the first in order names the group, and the others are exact matches of it.
@@ -162,7 +185,7 @@ def resolve_names(names: DataFrame, manufacturers: DataFrame, overrides: DataFra
     first = written(names.join(by_override, "raw", "left").join(by_key, "raw", "left"), "names-by-key")
     open_ = first.where("o_canonical is null and e_id is null").select("raw")
     low = min(threshold, review_band[0]) if review_band else threshold
-    fuzzy = match_fuzzy(open_, manufacturers, low).select("raw", F.col("id").alias("f_id"), F.col("canonical_name").alias("f_canonical"), "score")
+    fuzzy = match_fuzzy(open_, manufacturers, low, pairs).select("raw", F.col("id").alias("f_id"), F.col("canonical_name").alias("f_canonical"), "score")
     known = manufacturers.groupBy(F.col("canonical_name").alias("o_canonical")).agg(F.min("id").alias("o_id"))
     found = first.join(fuzzy, "raw", "left").join(known, "o_canonical", "left").withColumn("key", normalize_name(F.col("raw")))
     kind = (
@@ -209,9 +232,9 @@ def fully_displaced(before: DataFrame, after: DataFrame) -> DataFrame:
     return lost.join(pairs(after).select("manufacturer_id").distinct(), "manufacturer_id", "left_anti")
 
 
-def reconcile(docs: DataFrame, manufacturers: DataFrame, overrides: DataFrame, signals: DataFrame | None = None, now: datetime | None = None, threshold: float = THRESHOLD) -> dict[str, DataFrame]:
+def reconcile(docs: DataFrame, manufacturers: DataFrame, overrides: DataFrame, signals: DataFrame | None = None, now: datetime | None = None, threshold: float = THRESHOLD, pairs: Callable[..., DataFrame] = similar_pairs) -> dict[str, DataFrame]:
     """All results of a reconciliation: results, manufacturers, documents, and signals and events where signals are given."""
-    results = resolve_names(distinct_names(docs), manufacturers, overrides, threshold)
+    results = resolve_names(distinct_names(docs), manufacturers, overrides, threshold, pairs=pairs)
     out = {"results": results, "manufacturers": grown(manufacturers, results), "documents": linked(docs, results)}
     if signals is not None:
         out["signals"], out["events"] = resolve_for_merge(signals, fully_displaced(docs, out["documents"]), now)

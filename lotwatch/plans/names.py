@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import manufacturers as m
-from ..operators import procurement
+from ..operators import nameindex, procurement
+from ..storage import scratch_path
 from . import bindings as b
 
 OVERRIDES = {"Supplier Works": ["Supplier 00001 Ltd", "Supplier 00002"], "Customer House": ["CUSTOMER  00003", "Supplier 00001"]}
@@ -59,6 +62,16 @@ def match_fuzzy(spark, sf):
     return m.match_fuzzy(b.raw_names(spark, sf), dimension(spark, sf)).withColumn("score", F.round("score", 6))
 
 
+def match_fuzzy_kept(spark, sf):
+    """As match_fuzzy through a kept index that is built in two steps; ``extension`` is the one that found the pair."""
+    root, raw, dim = scratch_path(spark, "name-index"), b.raw_names(spark, sf), dimension(spark, sf)
+    key = lambda c: text.normalize_name(F.col(c))
+    nameindex.extend(raw.where("right(raw, 1) <> '7'").select(key("raw").alias("a")), dim.where("ordinal % 10 <> 4").select(key("canonical_name").alias("b")), root)
+    best = m.match_fuzzy(raw, dim, pairs=functools.partial(nameindex.kept_pairs, root=root))
+    found = nameindex.read_pairs(spark, root).select("a", "b", F.col("g").alias("extension"))
+    return best.withColumns({"a": key("raw"), "b": key("canonical_name")}).join(found, ["a", "b"]).select("raw", "id", "canonical_name", F.round("score", 6).alias("score"), "extension")
+
+
 def part_names(spark, sf):
     """Part names and types in several written forms, in the order of their first part."""
     end = F.element_at(F.array(F.lit(" Ltd"), F.lit(" LIMITED"), F.lit("s"), F.lit("")), (F.col("p_partkey") % 4 + 1).cast("int"))
@@ -162,6 +175,9 @@ PLANS = {
     "resolved_names": (resolved_names, f"WITH {RESOLVED_SQL} SELECT raw, action, canonical, confidence FROM results"),
     "reconcile_counts": (reconcile_counts, f"WITH {RESOLVED_SQL} SELECT action, CAST(count(*) AS BIGINT) AS n FROM results GROUP BY 1"),
     "match_fuzzy": (match_fuzzy, f"WITH {FUZZY_SQL} SELECT raw, id, canonical_name, round(score, 6) AS score FROM keyed JOIN best_match ON a = key"),
+    "match_fuzzy_kept": (match_fuzzy_kept, f"""WITH {FUZZY_SQL},
+entered AS (SELECT key, min(CASE WHEN right(raw, 1) <> '7' THEN 1 ELSE 2 END) AS g FROM keyed GROUP BY key), canon_entered AS (SELECT b, min(CASE WHEN ordinal % 10 <> 4 THEN 1 ELSE 2 END) AS g FROM canon GROUP BY b)
+SELECT raw, k.id, k.canonical_name, round(score, 6) AS score, CAST(greatest(e.g, c.g) AS INTEGER) AS extension FROM keyed JOIN best_match k ON k.a = key JOIN canon ON canon.id = k.id JOIN entered e USING (key) JOIN canon_entered c ON c.b = canon.b"""),
     "cluster_names": (cluster_names, None),
     "repointed_documents": (repointed, """WITH d AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderkey % 97 AS a, o_orderkey % 10 AS z FROM orders),
 f AS (SELECT id, a, z, CASE WHEN a < 10 AND a % 2 = 1 THEN 0 ELSE a END AS fa, CASE WHEN z % 2 = 1 THEN 0 ELSE z END AS fz FROM d)

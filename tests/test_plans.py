@@ -77,3 +77,41 @@ def test_entry_points():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_kept_index_joins_new_names_only(spark, tmp_path):
+    import functools
+    import random
+
+    from lotwatch.operators import manufacturers as m
+    from lotwatch.operators import nameindex
+
+    words = "alpha beta gamma delta omega pharma labs health care global east west".split()
+    draw = random.Random(7)
+    name = lambda: " ".join(draw.choices(words, k=draw.randint(1, 4))) + draw.choice(["", "s", " ltd", "x"])
+    names, known = [name() for _ in range(300)] + [None, ""], [name() for _ in range(120)] + [""]
+    left = lambda rows: spark.createDataFrame([(r,) for r in rows], "a string")
+    right = lambda rows: spark.createDataFrame([(r,) for r in rows], "b string")
+    found = lambda df: sorted((r["a"], r["b"], round(r["score"], 6)) for r in df.collect())
+    root = f"{tmp_path}/index"
+    for n, (a, b) in enumerate([(200, 90), (203, 90), (203, 100), (302, 121)], 1):
+        assert nameindex.extend(left(names[:a]), right(known[:b]), root) == n
+        assert found(nameindex.read_pairs(spark, root)) == found(m.similar_pairs(left(names[:a]), right(known[:b])))
+    assert nameindex.extend(left(names[:50]), right(known), root) == 4  # nothing new, nothing written
+    new = {n for n in names[200:203]} - set(names[:200])
+    step = nameindex.read_pairs(spark, root).where("g = 2")
+    assert {r["a"] for r in step.collect()} <= new
+    assert {r["key"] for r in spark.read.parquet(f"{root}/postings/g=2").collect()} == new
+    # An attempt that failed before the head is read by nobody; names that are gone give no pairs.
+    spark.createDataFrame([("x", "y", 99.0)], "a string, b string, score double").write.parquet(f"{root}/pairs/g=5")
+    assert found(nameindex.kept_pairs(left(names[:40]), right(known[:30]), root=root)) == found(m.similar_pairs(left(names[:40]), right(known[:30])))
+    assert nameindex.rebuild(spark, root, f"{tmp_path}/again") == 1
+    assert found(nameindex.read_pairs(spark, f"{tmp_path}/again")) == found(nameindex.read_pairs(spark, root))
+    with pytest.raises(ValueError):
+        nameindex.extend(left(names), right(known), root, 80.0)
+    # A reconciliation through the index, with names that it hasn't seen.
+    dim = spark.createDataFrame([(str(n), k, [], [], 1.0, n) for n, k in enumerate(dict.fromkeys(known[:120]))], "id string, canonical_name string, aliases array<string>, countries array<string>, confidence double, ordinal int")
+    raw = spark.createDataFrame([(n,) for n in {*names[:300], "alpha betas gamma"}], "raw string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    none = m.overrides_table(spark, {})
+    assert rows(m.resolve_names(raw, dim, none, pairs=functools.partial(nameindex.kept_pairs, root=root))) == rows(m.resolve_names(raw, dim, none))
