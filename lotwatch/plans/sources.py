@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import documents as docs
 from ..operators import manufacturers as m
 from ..operators import procurement, reports
-from ..sources import landed, ledger, sinks
+from ..sources import formats, landed, ledger, sinks
 from ..storage import scratch_path, written
 from ..streaming import jobs
 from . import bindings as b
@@ -24,8 +25,8 @@ def flat(column: str):
     return F.array_join(F.coalesce(column, F.array().cast("array<string>")), LISTED)
 
 
-def enforcement(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Parts as enforcement records, landed JSON pages of a hundred and an empty one."""
+def landed_enforcement(spark: SparkSession, sf: str) -> str:
+    """The folder of parts as enforcement records, landed JSON pages of a hundred and an empty one."""
     part = b.t(spark, sf, "part")
     record = F.to_json(F.struct(
         F.concat(F.lit("R-"), "p_partkey").alias("recall_number"), F.when(F.col("p_partkey") % 4 > 0, F.concat("p_name", F.lit(" impure"))).alias("reason_for_recall"), F.col("p_type").alias("product_description"),
@@ -37,7 +38,11 @@ def enforcement(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     empty = spark.range(1).select(F.lit(-1).cast("long").alias("page"), F.lit('{"meta":{"results":{"total":0}},"results":[]}').alias("value"))
     path = scratch_path(spark, "landed-json")
     pages.withColumn("page", F.col("page").cast("long")).unionByName(empty).repartition("page").write.partitionBy("page").text(path)
-    return landed.read_enforcement_json(spark, path, b.AS_OF)
+    return path
+
+
+def enforcement(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return landed.read_enforcement_json(spark, landed_enforcement(spark, sf), b.AS_OF)
 
 
 def enforcement_documents(spark, sf):
@@ -82,7 +87,7 @@ def listing_cards(spark, sf):
     return found.select("detail_url", "title", "card_date")
 
 
-def details(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def detail_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers as detail pages: two orders of columns, headers in several spellings, sections beside and below their labels."""
     s = b.t(spark, sf, "supplier")
     key = F.col("s_suppkey")
@@ -98,7 +103,11 @@ def details(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     beside = F.concat(F.lit("<p><strong>Brief description:</strong> all of "), text, F.lit("</p><p>stray</p><div><p><span><strong>Proposed action</strong></span></p><p>act "), text, F.lit("</p><ul><li>a list</li></ul></div><p>Copyright 2024</p>"))
     title = F.concat("s_name", F.when(key % 2 == 0, F.lit(" (Paracetamol, Zinc)")).otherwise(""))
     html = F.concat(F.lit("<h1><span>"), title, F.lit("</span></h1><table>"), F.when(key % 2 == 0, one).otherwise(two), F.lit("</table><div>"), F.when(key % 3 == 0, below).otherwise(beside), F.lit('</div><a class="document-library-pro-button" href="http://f.example/'), text, F.lit('.pdf">PDF</a>'))
-    return landed.extract_recall_details(s.select(F.concat(F.lit("http://d.example/s-"), text, F.lit("/")).alias("url"), html.alias("html")))
+    return s.select(F.concat(F.lit("http://d.example/s-"), text, F.lit("/")).alias("url"), html.alias("html"))
+
+
+def details(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return landed.extract_recall_details(detail_pages(spark, sf))
 
 
 def detail_documents(spark, sf):
@@ -131,6 +140,30 @@ def landed_documents(spark, sf):
     return state.unionByName(old, allowMissingColumns=True).unionByName(acts, allowMissingColumns=True)
 
 
+def format_documents(spark, sf):
+    """The landed files of three sources read as data sources, in small splits, on to documents and errors."""
+    formats.register(spark)
+    path = scratch_path(spark, "landed-pages")
+    listing_pages(spark, sf).write.json(f"{path}/listing")
+    detail_pages(spark, sf).write.json(f"{path}/detail")
+    read = lambda name, folder: spark.read.format(f"lotwatch_{name}").option("splitbytes", 1 << 18).load(folder)
+    records = read("enforcement", landed_enforcement(spark, sf))
+    found, failed = landed.detail_documents(read("detail", f"{path}/detail").where("error is null"))
+    every = [landed.enforcement_documents(records.where("error is null").select(F.parse_json("record").alias("record")), b.AS_OF), landed.normalize_listing_rows(read("listing", f"{path}/listing").where("error is null")), found]
+    out = [df.select("source_id", "source_url", "title", "date_published", flat("active_ingredients").alias("ingredients")) for df in every]
+    out.append(records.where("error is not null").select(F.lit("enforcement").alias("source_id"), F.col("error").alias("title")))
+    out.append(failed.select(F.lit("detail").alias("source_id"), "source_url", F.col("error").alias("title")))
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), out)
+
+
+def page_parts(spark, sf):
+    """What the table function finds on listing and detail pages, from SQL: each page is parsed once."""
+    formats.register(spark)
+    pages = listing_pages(spark, sf).unionByName(detail_pages(spark, sf))
+    value = "coalesce(get_json_object(x.fields, '$.recall_ref'), get_json_object(x.fields, '$.title'), get_json_object(x.fields, '$.url'))"
+    return spark.sql(f"SELECT p.url, x.part, x.at, {value} AS value FROM {{pages}} p, LATERAL page_parts(p.url, p.html) x", pages=pages)
+
+
 def procurement_files(spark: SparkSession, sf: str) -> str:
     """The procurement tables as CSV files."""
     path = scratch_path(spark, "procurement")
@@ -296,3 +329,12 @@ UNION ALL SELECT 'log', source_id, source_url, NULL, NULL, 'insert' FROM x
 UNION ALL SELECT 'log', source_id, source_url, NULL, NULL, CASE WHEN changed THEN 'update' ELSE 'skip_unchanged' END FROM x
 UNION ALL SELECT 'log', source_id, source_url || '?moved', NULL, NULL, 'skip_same_bytes' FROM x
 UNION ALL SELECT 'log', 'detail', source_url, NULL, NULL, 'error' FROM d WHERE date_published IS NULL""")
+
+PLANS["format_documents"] = (format_documents, f"""WITH e AS ({_OF["enforcement"]}), l AS ({_OF["listing"]}), d AS ({_OF["detail"]})
+SELECT 'enforcement' AS source_id, CASE WHEN document_id IS NOT NULL THEN source_url END AS source_url, coalesce(title, source_url) AS title, date_published, ingredients FROM e
+UNION ALL SELECT 'listing', source_url, title, date_published, ingredients FROM l UNION ALL SELECT 'detail', source_url, title, date_published, ingredients FROM d""")
+PLANS["page_parts"] = (page_parts, """WITH l AS (SELECT o_orderkey AS k, 'http://listing.example/' || (o_orderkey // 100) AS url FROM orders),
+d AS (SELECT s_suppkey AS k, 'http://d.example/s-' || s_suppkey || '/' AS url, s_name || CASE WHEN s_suppkey % 2 = 0 THEN ' (Paracetamol, Zinc)' ELSE '' END AS title FROM supplier)
+SELECT url, 'listing' AS part, CAST(row_number() OVER (PARTITION BY url ORDER BY k) - 1 AS INTEGER) AS at, 'REF/' || k AS value FROM l
+UNION ALL SELECT url, 'link', CAST(row_number() OVER (PARTITION BY url ORDER BY k) - 1 AS INTEGER), 'http://listing.example/recall/' || k FROM l WHERE k % 3 = 0
+UNION ALL SELECT url, 'detail', 0, title FROM d UNION ALL SELECT url, 'link', 0, 'http://f.example/' || k || '.pdf' FROM d""")
