@@ -58,9 +58,9 @@ def data_format(name: str, columns: str, lines: bool = True):
     return add
 
 
-data_format("listing", landed.LISTING_ROW)(landed.listing_rows)
-data_format("cards", landed.CARD_ROW)(landed.card_rows)
-data_format("detail", landed.DETAIL_ROW)(landed.detail_rows)
+data_format("listing", landed.LISTING_ROW)(landed._listing)
+data_format("cards", landed.CARD_ROW)(landed._cards)
+data_format("detail", landed.DETAIL_ROW)(landed._detail)
 
 
 @data_format("enforcement", "record string", lines=False)
