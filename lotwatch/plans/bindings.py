@@ -27,16 +27,19 @@ numbered AS (SELECT *, concat_ws('-', line_text, row_number() OVER (PARTITION BY
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines with ids."""
+    """Order lines with ids.
+
+    They are dealt by the text of their order, which is the address of an observation: what groups by address
+    next needs no other shuffle. Equal lines have one date and state, so a filter on these goes below the numbering.
+    """
     cents = lambda c: F.round(F.col(c) * 100).cast("long").cast("string")
     text = F.concat_ws(
         "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd"), F.col("l_quantity").cast("long").cast("string"),
         cents("l_extendedprice"), cents("l_discount"), cents("l_tax"), "l_returnflag", "l_linestatus",
     )
-    rows = t(spark, sf_dir, "lineitem").withColumns({"shipped": F.to_date("l_shipdate"), "line_text": text})
-    # Equal texts are numbered within two hashes: what is shuffled and sorted by is short.
-    number = F.expr("row_number() over (partition by xxhash64(line_text), xxhash64(1, line_text) order by l_orderkey)")
-    return rows.withColumn("line_id", F.concat_ws("-", "line_text", number.cast("string")))
+    rows = t(spark, sf_dir, "lineitem").withColumns({"shipped": F.to_date("l_shipdate"), "order_text": F.col("l_orderkey").cast("string")}).repartition("order_text")
+    number = F.expr("row_number() over (partition by order_text, line_text, shipped, l_linestatus order by l_orderkey)")
+    return rows.withColumn("line_text", text).withColumn("line_id", F.concat_ws("-", "line_text", number.cast("string")))
 
 
 RECALLS_SQL = (
@@ -162,6 +165,6 @@ observed AS (
 def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as observations; the order of an address is by date and id."""
     return lines(spark, sf_dir).select(
-        F.col("line_id").alias("id"), F.col("l_linenumber").cast("string").alias("source_id"), F.col("l_orderkey").cast("string").alias("source_url"),
+        F.col("line_id").alias("id"), F.col("l_linenumber").cast("string").alias("source_id"), F.col("order_text").alias("source_url"),
         F.md5(F.concat_ws("|", "l_returnflag", "l_linestatus").cast("binary")).alias("normalized_hash"), F.col("line_text").alias("raw_text"), F.col("shipped").alias("created_at"),
     )
