@@ -7,13 +7,15 @@ from __future__ import annotations
 
 from datetime import date
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Corroboration, RepeatViolator, RiskConfig, SupplyChain
 from ..functions import severity as sev
 from ..functions.text import normalize_ingredient
-from ..storage import numbered, written
+from ..storage import written
 
 RECALL_TYPES = ("recall", "alert", "enforcement")
 
@@ -105,25 +107,58 @@ def county_exposure(signals: DataFrame, suppliers: DataFrame, supply: DataFrame)
     return matched.groupBy("manufacturer_id", "active_ingredient", "ingredient_key", "county_id").agg(F.sum("share_pct").alias("share"), F.max("lead_time_days").alias("lead"), F.collect_set("supply_id").alias("supply_ids"))
 
 
+#: 64-bit words of a bitmap of 32,768 numbers.
+BITMAP_WORDS = 512
+#: Exposures that one task unites against the bitmaps of an ingredient.
+UNITED = 8192
+
+
+def _united(key: tuple, sets: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    """(manufacturer_id, active_ingredient, n) of one slice of an ingredient's exposures: how many suppliers their counties have together."""
+    at = {c: k for k, c in enumerate(held["county_id"].unique(), 1)}
+    parts = {p: k for k, p in enumerate(sorted(held["part"].unique()))}
+    bits = np.zeros((len(at) + 1, len(parts) * BITMAP_WORDS), np.uint64)  # row 0: a county without offers
+    for county, part, bitmap in zip(held["county_id"], held["part"], held["bits"]):
+        bits[at[county], parts[part] * BITMAP_WORDS :][:BITMAP_WORDS] = np.frombuffer(bitmap, np.uint64)
+    bits = np.ascontiguousarray(bits[:, bits.any(0)]) if len(held) else bits
+    asked = [tuple(sorted(at[c] for c in counties if c in at)) for counties in sets["counties"]]
+    distinct = list(dict.fromkeys(asked))
+    counts: dict[tuple, int] = {}
+    for start in range(0, len(distinct), 128):
+        some = distinct[start : start + 128]
+        padded = np.zeros((len(some), max(map(len, some), default=0)), np.int64)
+        for row, counties in zip(padded, some):
+            row[: len(counties)] = counties
+        union = np.zeros((len(some), bits.shape[1]), np.uint64)
+        for column in padded.T:
+            union |= bits[column]
+        counts |= zip(some, np.bitwise_count(union).sum(1, dtype=np.int64).tolist())
+    return pd.DataFrame({"manufacturer_id": sets["manufacturer_id"], "active_ingredient": sets["active_ingredient"], "n": [counts[a] for a in asked]})
+
+
 def alternative_suppliers(exposed: DataFrame, suppliers: DataFrame, supply: DataFrame) -> DataFrame:
     """(manufacturer_id, active_ingredient, alternative_supplier_count): other suppliers of the ingredient in the exposed counties, not linked to the manufacturer.
 
-    Suppliers get dense numbers, and each county and ingredient a bitmap of its suppliers (one for every 32,768
-    numbers). An exposure then meets one bitmap of its county instead of every offer there. The others are
-    the bits of the counties' union that the linked suppliers don't have: |union or linked| - |linked|.
+    An ingredient's suppliers get dense numbers, and each of its counties bitmaps of them (one for every 32,768
+    numbers). Only counties' bitmaps are shuffled, once for each slice of up to UNITED exposures of the ingredient, which a
+    task unites there; no exposure is joined with bitmaps in rows. The others are the union's suppliers less the linked
+    ones among them, which a join counts. An ingredient has one key.
     """
-    offers = supply.select("county_id", F.col("active_ingredient").alias("ingredient_key"), "supplier_id").where("supplier_id is not null")
-    number = numbered(offers.select("supplier_id").distinct(), "n")
-    part, bit = F.bitmap_bucket_number("n").alias("part"), F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("bits")
-    held = offers.join(number, "supplier_id").groupBy("county_id", "ingredient_key", part).agg(bit)
     key = ["manufacturer_id", "active_ingredient"]
-    met = exposed.select(*key, "ingredient_key", "county_id").join(held, ["county_id", "ingredient_key"]).groupBy(*key, "part").agg(F.bitmap_or_agg("bits").alias("bits"))
-    linked = suppliers.select("manufacturer_id", F.col("id").alias("supplier_id")).where("manufacturer_id is not null").join(number, "supplier_id").groupBy("manufacturer_id", part).agg(bit.alias("own"))
-    both = met.join(linked, ["manufacturer_id", "part"], "left")
-    # Either of a row's bitmaps as rows of their own, so that the union is the same aggregate again.
-    either = both.select(*key, "part", F.coalesce(F.bitmap_count("own"), F.lit(0)).alias("n_own"), F.explode(F.array_compact(F.array("bits", "own"))).alias("bits"))
-    counts = either.groupBy(*key, "part").agg((F.bitmap_count(F.bitmap_or_agg("bits")) - F.max("n_own")).alias("n"))
-    return counts.groupBy(*key).agg(F.sum("n").alias("alternative_supplier_count")).where("alternative_supplier_count > 0")
+    offered = supply.where("supplier_id is not null and county_id is not null and active_ingredient is not null").groupBy(F.col("active_ingredient").alias("ingredient_key"), "supplier_id").agg(F.collect_set("county_id").alias("offered"))
+    offered = written(offered.withColumn("n", F.expr("row_number() over (partition by ingredient_key order by supplier_id) - 1").cast("long")), "offers")
+    sets = written(exposed.groupBy(*key, "ingredient_key").agg(F.collect_set("county_id").alias("counties")), "exposed-counties")
+    widest = sets.groupBy("ingredient_key").count().agg(F.max("count")).first()[0] or 0
+    slices = -(-widest // UNITED) or 1
+    held = offered.withColumn("county_id", F.explode("offered")).groupBy("ingredient_key", "county_id", F.bitmap_bucket_number("n").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("bits"))
+    held = held.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    sliced = sets.where("ingredient_key is not null").withColumn("slice", F.pmod(F.xxhash64(*key), F.lit(slices)).cast("int"))
+    deal = ["ingredient_key", "slice"]
+    united = sliced.groupBy(*deal).cogroup(held.groupBy(*deal)).applyInPandas(_united, "manufacturer_id string, active_ingredient string, n long")
+    linked = suppliers.select("manufacturer_id", F.col("id").alias("supplier_id")).where("manufacturer_id is not null").distinct()
+    own = sets.join(linked.join(offered, "supplier_id"), ["manufacturer_id", "ingredient_key"]).where(F.arrays_overlap("counties", "offered")).groupBy(*key).agg(F.count("*").alias("own"))
+    counts = united.join(own, key, "left").select(*key, (F.col("n") - F.coalesce("own", F.lit(0))).alias("alternative_supplier_count"))
+    return counts.where("alternative_supplier_count > 0")
 
 
 def supply_chain_exposure(

@@ -11,6 +11,7 @@ from ..functions import text
 from ..operators import documents as docs
 from ..operators import manufacturers as m
 from ..operators import reports, rules, signals
+from ..storage import written
 from . import bindings as b
 from . import names, risk
 
@@ -23,7 +24,7 @@ def manufacturer_names(spark, sf):
 
 def alternative_suppliers(spark, sf):
     """For every supply fact as an exposed county: the other suppliers of the brand there."""
-    facts = b.supply(spark, sf)
+    facts = written(b.supply(spark, sf), "supply")  # read for the exposures and for the offers
     exposed = facts.select(F.col("supplier_id").alias("manufacturer_id"), "active_ingredient", F.col("active_ingredient").alias("ingredient_key"), "county_id")
     return rules.alternative_suppliers(exposed, b.suppliers(spark, sf), facts)
 
