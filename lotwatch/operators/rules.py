@@ -268,3 +268,24 @@ def as_of_backfill(docs: DataFrame, dates: list[date] | DataFrame, months: int =
         return spread.join(days, "_period").where(F.col("as_of").between(F.col("date_published"), last)).drop("_period")
     seen = F.filter(F.array(*map(F.lit, dates)), lambda d: F.col("date_published").between(F.date_sub(d, 30 * months), d))
     return recalls.withColumn("as_of", F.explode(seen))
+
+
+def as_of_counts(docs: DataFrame, dates: DataFrame, months: int = 24) -> DataFrame:
+    """(as_of, severity, n, ids): how many recalls, and how many ids, counted at each date of a table with a column ``as_of``.
+
+    The rows of :func:`as_of_backfill`, counted without making them: recalls are first counted by the stretch of days that they
+    count in, an id by stretches that don't overlap. Only these counts are repeated for periods and dates.
+    """
+    recalls = docs.where(F.col("document_type").isin(*RECALL_TYPES) & F.col("date_published").isNotNull())
+    end = lambda d: F.date_add(d, 30 * months)
+    zero, one = F.lit(0).cast("long"), F.count("*")
+    rows = recalls.groupBy("severity", F.col("date_published").alias("first")).agg(one.alias("n")).select("severity", "first", end("first").alias("last"), "n", zero.alias("ids"))
+    held = recalls.where("id is not null").groupBy("severity", "id").agg(F.array_sort(F.collect_set("date_published")).alias("days"))
+    until = lambda d, i: F.least(end(d), F.date_sub(F.get("days", i + 1), 1))  # noqa: E731  up to the id's next recall
+    each = held.select("severity", F.explode(F.transform("days", lambda d, i: F.struct(d.alias("first"), until(d, i).alias("last")))).alias("s"))
+    ids = each.groupBy("severity", "s.first", "s.last").agg(one.alias("ids")).select("severity", "first", "last", zero.alias("n"), "ids")
+    period = lambda d: F.floor(F.unix_date(d) / F.lit(PERIOD_DAYS))
+    days = dates.select(F.col("as_of").cast("date").alias("as_of")).where("as_of is not null").distinct().withColumn("_period", period(F.col("as_of")))
+    spread = rows.unionByName(ids).withColumn("_period", F.explode(F.sequence(period(F.col("first")), period(F.col("last")))))
+    met = spread.join(days, "_period").where(F.col("as_of").between(F.col("first"), F.col("last")))
+    return met.groupBy("as_of", "severity").agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"))
