@@ -10,7 +10,7 @@ from datetime import datetime
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_name
@@ -19,6 +19,8 @@ from .graph import components
 from .signals import resolve_for_merge, stable_id
 
 THRESHOLD = 92.0
+#: Scores from which on pairs are looked for first, where the best match is asked for.
+LEVELS = (92.0,)
 
 
 def distinct_names(docs: DataFrame) -> DataFrame:
@@ -95,35 +97,94 @@ def _words(keys: DataFrame, key: str) -> DataFrame:
     return keys.select(key, F.explode(F.array_distinct(F.split(key, " "))).alias("block"))
 
 
-def _grams(keys: DataFrame, key: str) -> DataFrame:
+def _gram_list(key: str) -> Column:
     """Character pairs of each word with marked ends: they don't depend on the words' order."""
     ends = F.transform(F.split(key, " "), lambda w: F.concat(F.lit("^"), w, F.lit("$")))
-    pairs = F.flatten(F.transform(ends, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))))
-    return keys.select(key, F.explode(F.array_distinct(pairs)).alias("block"))
+    return F.array_distinct(F.flatten(F.transform(ends, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2))))))
 
 
-def _rarest(rows: DataFrame, counts: DataFrame, key: str, limit) -> DataFrame:
-    """The first ``limit`` blocks of each key in the order of their frequency."""
-    ranked = rows.join(counts, "block").withColumn("_rank", F.expr(f"row_number() over (partition by {key} order by n, block)"))
-    return ranked.where(F.col("_rank") <= limit).select(key, "block")
+def _grams(keys: DataFrame, key: str, *more: str) -> DataFrame:
+    return keys.select(key, *more, F.explode(_gram_list(key)).alias("block"))
 
 
-def _rare_words(key: str, threshold: float):
-    """So many of a key's rarest words suffice: one of them is in the part that a similar key shares."""
+def _rarest(rows: DataFrame, counts: DataFrame, key: str, kept: str) -> DataFrame:
+    """The first blocks of each key in the order of their frequency, as far as ``kept`` says."""
+    ranked = rows.join(counts.hint("merge"), "block").selectExpr("*", f"{kept.format(order=f'partition by {key} order by n, block')} as _kept")
+    return ranked.where("_kept").drop("n", "_kept")
+
+
+def rare_words(key: str, threshold: float) -> str:
+    """A condition over a window ({order}): a key's rarest words up to the first whose rarer ones are longer than what a similar key may miss."""
     share = (100 - threshold) / 100
-    return F.floor(F.length(key) * 2 * share / (1 + share) / 2 + 1e-6) + 1
+    return f"coalesce(sum(length(block)) over ({{order}} rows between unbounded preceding and 1 preceding), 0) <= length({key}) * {2 * share / (1 + share)!r}D + 1e-6D"
 
 
-def _rare_grams(key: str, threshold: float):
-    """So many of a key's rarest character pairs suffice: fewer of them can be missing in a key whose joined string is similar."""
+def _missing_grams(key: str, threshold: float) -> str:
+    """So many of a key's character pairs can be missing in a key whose joined string is similar."""
     share = (100 - threshold) / 100
-    return 2 * F.floor(F.length(key) * 2 * share / (1 - share) + 1e-6) + 1
+    return f"2 * floor(length({key}) * {2 * share / (1 - share)!r}D + 1e-6D)"
+
+
+def rare_grams(key: str, threshold: float) -> str:
+    """A condition over a window ({order}): a key's rarest character pairs, one more than can be missing."""
+    return f"row_number() over ({{order}}) <= {_missing_grams(key, threshold)} + 1"
+
+
+def marked(keys: DataFrame, key: str) -> DataFrame:
+    """``keys`` with what :func:`grams_can_meet` compares: 64 bits, those of the hashes of a key's character pairs, and the length of its distinct words."""
+    bit = lambda g: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(g), F.lit(64)).cast("int"))
+    mask = F.aggregate(_gram_list(key), F.lit(0).cast("long"), lambda bits, g: bits.bitwiseOR(bit(g)))
+    return keys.withColumns({f"{key}_mask": mask, f"{key}_line": F.length(F.array_join(F.array_distinct(F.split(key, " ")), " "))})
 
 
 def grams_can_meet(threshold: float):
-    """Lengths of a and b at which joined strings may still be similar."""
+    """Marks of a and b at which joined strings may still be similar; repeated words don't count.
+
+    Lengths and the share of edits bound how many characters go and come. One that goes takes two character pairs
+    with it at most, one that comes takes one; a bit that one side lacks is a pair that it misses.
+    """
     share = (100 - threshold) / 100
-    return F.least(F.length("a"), F.length("b")) * (1 + share) + 1e-6 >= F.greatest(F.length("a"), F.length("b")) * (1 - share) - 2
+    gone = f"floor((floor((a_line + b_line) * {share!r}D + 1e-6D) + a_line - b_line) / 2)"
+    come = f"({gone} - a_line + b_line)"
+    return F.expr(f"{gone} >= 0 and {come} >= 0 and bit_count(a_mask & ~b_mask) <= 2 * {gone} + {come} and bit_count(b_mask & ~a_mask) <= 2 * {come} + {gone}")
+
+
+#: Tasks that share a block of one side.
+SLOTS = 16
+
+
+def dealt(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The rows of both sides that share a block. A frequent block's rows on the left are dealt to SLOTS tasks, those on the right go to all of them."""
+    tasks = max(4 * left.sparkSession.sparkContext.defaultParallelism, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    given = left.withColumn("slot", F.pmod(F.xxhash64("a"), F.lit(SLOTS)).cast("int")).repartition(tasks, "block", "slot")
+    return given.join(right.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1)))).hint("merge"), ["block", "slot"])
+
+
+#: Kinds of keys (sorted letters, without digits) are compared with each other if there are at most so many pairs of them.
+KINDS = 1_000_000
+
+
+def letters(key: str) -> Column:
+    """The sorted characters of a key's distinct words, digits aside."""
+    words = F.array_join(F.array_distinct(F.split(key, " ")), "")
+    return F.array_join(F.array_sort(F.split(F.regexp_replace(words, "[0-9]", ""), "")), "")
+
+
+def comparable(a: DataFrame, b: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The keys (columns a; b) whose joined strings can be similar to one of the other side by their letters alone.
+
+    An edit changes one character, so the letters of similar strings differ by no more. Where a side has many
+    kinds of letters (their pairs are counted first) all keys stay: this only spares work.
+    """
+    kinds = lambda df, key: df.groupBy(letters(key).alias(f"{key}_kind")).agg(F.max(F.length(key)).alias(f"{key}_length"))
+    x, y = written(kinds(a, "a"), "kinds"), written(kinds(b, "b"), "kinds")
+    if x.count() * y.count() > KINDS:
+        return a, b
+    told = lambda c: F.transform(F.split(c, ""), lambda v, i: F.concat(v, (i - F.array_position(F.split(c, ""), v)).cast("string")))  # noqa: E731  equal letters told apart
+    apart = F.size(F.array_except(told("a_kind"), told("b_kind"))) + F.size(F.array_except(told("b_kind"), told("a_kind")))
+    near = written(x.crossJoin(y).where(apart <= (F.col("a_length") + F.col("b_length")) * F.lit((100 - threshold) / 100) + 1e-6), "near-kinds")
+    kept = lambda df, key: df.withColumn(f"{key}_kind", letters(key)).join(near.select(f"{key}_kind").distinct(), f"{key}_kind", "left_semi").drop(f"{key}_kind")
+    return kept(a, "a"), kept(b, "b")
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -132,16 +193,19 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = THRESHOL
     Candidates are found through rare blocks only, and none is lost. A pair scores in one of two ways.
     Its joined strings differ by at most a share of their length: then so few character pairs differ
     that the rarest ones of both sides, in one order, must meet. Or one side's shared words make up
-    nearly all of it: then one of its rarest words is the other's.
+    nearly all of it: then one of its rarest words is the other's. No side is sent to all tasks.
     """
     # Distinct keys are read many times below.
     a, b = written(left.select("a").where("a != ''").distinct(), "keys"), written(right.select("b").where("b != ''").distinct(), "keys")
-    keys = a.select(F.col("a").alias("k")).union(b).distinct()
-    words, grams = (f(keys, "k").groupBy("block").agg(F.count("*").alias("n")) for f in (_words, _grams))
-    few, edits = (lambda k: _rare_words(k, threshold)), (lambda k: _rare_grams(k, threshold))
+    all_keys = lambda x, y: x.select(F.col("a").alias("k")).union(y.select("b")).distinct()
+    words = _words(all_keys(a, b), "k").groupBy("block").agg(F.count("*").alias("n"))
+    x, y = comparable(a, b, threshold)
+    x, y = written(marked(x, "a"), "gram-keys"), written(marked(y, "b"), "gram-keys")
+    grams = _grams(all_keys(x, y), "k").groupBy("block").agg(F.count("*").alias("n"))
+    few, edits = (lambda k: rare_words(k, threshold)), (lambda k: rare_grams(k, threshold))
     found = [
-        _rarest(_words(a, "a"), words, "a", few("a")).join(_words(b, "b"), "block"), _words(a, "a").join(_rarest(_words(b, "b"), words, "b", few("b")), "block"),
-        _rarest(_grams(a, "a"), grams, "a", edits("a")).join(_rarest(_grams(b, "b"), grams, "b", edits("b")), "block").where(grams_can_meet(threshold)),
+        _rarest(_words(a, "a"), words, "a", few("a")).join(_words(b, "b").hint("merge"), "block"), _words(a, "a").join(_rarest(_words(b, "b"), words, "b", few("b")).hint("merge"), "block"),
+        dealt(_rarest(_grams(x, "a", "a_mask", "a_line"), grams, "a", edits("a")), _rarest(_grams(y, "b", "b_mask", "b_line"), grams, "b", edits("b"))).where(grams_can_meet(threshold)),
     ]
     return scored_pairs(reduce(DataFrame.union, [f.select("a", "b") for f in found]).distinct(), threshold)
 
@@ -169,8 +233,15 @@ def match_fuzzy(names: DataFrame, manufacturers: DataFrame, threshold: float = T
     """
     left = names.select("raw", normalize_name(F.col("raw")).alias("a"))
     right = manufacturers.select("id", "canonical_name", "ordinal", normalize_name(F.col("canonical_name")).alias("b"))
-    scored = pairs(left, right, threshold).join(right, "b")
-    best = scored.groupBy("a").agg(F.min_by(F.struct("id", "canonical_name", "score"), F.struct(-F.col("score"), "ordinal", "id")).alias("m"))
+    # A key that has a match at a higher level needs no pairs below it.
+    levels = [*(x for x in LEVELS if x > threshold), threshold] if pairs is similar_pairs else [threshold]
+    best, open_ = None, left
+    for level in levels:
+        scored = pairs(open_, right, level).join(right, "b")
+        found = scored.groupBy("a").agg(F.min_by(F.struct("id", "canonical_name", "score"), F.struct(-F.col("score"), "ordinal", "id")).alias("m"))
+        found = written(found, "best-matches") if len(levels) > 1 else found
+        best = found if best is None else best.unionByName(found)
+        open_ = open_.join(found.select("a"), "a", "left_anti")
     return left.join(best, "a").select("raw", "m.id", "m.canonical_name", "m.score")
 
 
@@ -194,7 +265,7 @@ def resolve_names(names: DataFrame, manufacturers: DataFrame, overrides: DataFra
     )
     found = found.withColumn("kind", kind)
     lead = found.where("kind = 'new'").groupBy("key").agg(F.min("raw").alias("lead"))
-    found = found.join(lead, "key", "left")
+    found = found.join(lead.hint("merge"), "key", "left")
     is_new = F.col("kind") == "new"
     canonical = F.coalesce("o_canonical", "e_canonical", F.when(F.col("kind").isin("fuzzy", "review"), F.col("f_canonical")), "lead")
     return found.select(

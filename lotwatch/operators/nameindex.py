@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..sources.sinks import _path, replace_file
 from ..storage import release, written
-from .manufacturers import THRESHOLD, _grams, _rare_grams, _rare_words, _words, grams_can_meet, scored_pairs
+from .manufacturers import THRESHOLD, _grams, _words, comparable, dealt, grams_can_meet, marked, rare_grams, rare_words, scored_pairs
 
 TABLES = {"keys": "side string, key string", "order": "kind string, block string, n long", "postings": "kind string, block string, key string, rare boolean, side string", "pairs": "a string, b string, score double"}
 
@@ -51,9 +51,11 @@ def _met(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     """Candidate pairs of two sets of postings: a rarest word of one is a word of the other, or they share a rarest character pair."""
     left, right = a.select(F.col("key").alias("a"), "block", "kind", "rare"), b.select(F.col("key").alias("b"), "block", "kind", F.col("rare").alias("b_rare"))
     of = lambda df, kind: df.where(F.col("kind") == kind)
+    x, y = comparable(of(left, "c").select("a").distinct(), of(right, "c").select("b").distinct(), threshold)
+    x, y = marked(x, "a").join(of(left, "c").hint("merge"), "a"), marked(y, "b").join(of(right, "c").hint("merge"), "b")
     found = [
-        of(left, "w").where("rare").join(of(right, "w"), "block"), of(left, "w").join(of(right, "w").where("b_rare"), "block"),
-        of(left, "c").join(of(right, "c"), "block").where(grams_can_meet(threshold)),
+        of(left, "w").where("rare").join(of(right, "w").hint("merge"), "block"), of(left, "w").join(of(right, "w").where("b_rare").hint("merge"), "block"),
+        dealt(x, y).where(grams_can_meet(threshold)),
     ]
     return found[0].select("a", "b").union(found[1].select("a", "b")).union(found[2].select("a", "b"))
 
@@ -83,9 +85,9 @@ def extend(left: DataFrame, right: DataFrame, root: str, threshold: float = THRE
     known = _kept(spark, root, "order", done).select("kind", "block", "n")
     counts.join(known, ["kind", "block"], "left_anti").write.mode("overwrite").parquet(at("order"))
     order = known.unionByName(new("order"))
-    ranked = blocks.join(order, ["kind", "block"]).withColumn("place", F.expr("row_number() over (partition by kind, key order by n, block)"))
-    rare = F.col("place") <= F.when(F.col("kind") == "w", _rare_words("key", threshold)).otherwise(_rare_grams("key", threshold))
-    rows = ranked.select("kind", "block", "key", rare.alias("rare")).where("rare or kind = 'w'").join(fresh, "key")
+    ranked = blocks.join(order.hint("merge"), ["kind", "block"])
+    rare = F.expr("case kind when 'w' then {} else {} end".format(*(f("key", threshold).format(order="partition by kind, key order by n, block") for f in (rare_words, rare_grams))))
+    rows = ranked.select("kind", "block", "key", rare.alias("rare")).where("rare or kind = 'w'").join(fresh.hint("merge"), "key")
     rows.write.mode("overwrite").parquet(at("postings"))
     old, now = _kept(spark, root, "postings", done), new("postings")
     side = lambda df, s: df.select(*now.columns).where(F.col("side") == s)
