@@ -147,8 +147,9 @@ def format_documents(spark, sf):
     listing_pages(spark, sf).write.json(f"{path}/listing")
     detail_pages(spark, sf).write.json(f"{path}/detail")
     read = lambda name, folder: spark.read.format(f"lotwatch_{name}").option("splitbytes", 1 << 18).load(folder)
-    records = read("enforcement", landed_enforcement(spark, sf))
-    found, failed = landed.detail_documents(read("detail", f"{path}/detail").where("error is null"))
+    # Documents and errors come of the same rows, so these are parsed once.
+    records = written(read("enforcement", landed_enforcement(spark, sf)).select("record", "error"), "records")
+    found, failed = landed.detail_documents(written(read("detail", f"{path}/detail").where("error is null"), "details"))
     every = [landed.enforcement_documents(records.where("error is null").select(F.parse_json("record").alias("record")), b.AS_OF), landed.normalize_listing_rows(read("listing", f"{path}/listing").where("error is null")), found]
     out = [df.select("source_id", "source_url", "title", "date_published", flat("active_ingredients").alias("ingredients")) for df in every]
     out.append(records.where("error is not null").select(F.lit("enforcement").alias("source_id"), F.col("error").alias("title")))

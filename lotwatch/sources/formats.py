@@ -5,8 +5,8 @@ After ``register(spark)``:
     spark.read.format("lotwatch_listing").load("s3a://bucket/landed/listing")
     SELECT p.url, x.* FROM pages p, LATERAL page_parts(p.url, p.html) x
 
-A format discovers the files of a folder, deals them in splits of ``splitbytes`` (64 MB), fetches each split
-in a task and parses it into rows of its columns, with ``landed`` (the file) and ``error``. What can't be
+A format discovers the files of a folder, deals them in splits of ``splitbytes`` (64 MB; larger where there
+would be more than about a thousand), fetches each split in a task and parses it into rows of its columns, with ``landed`` (the file) and ``error``. What can't be
 parsed is a row with nothing but these two. Page formats read JSON lines with ``url`` and ``html``, and a
 large file is read by many tasks; other formats take each file whole. Files whose names begin with a dot or
 an underscore are left out. A folder without files gives no rows.
@@ -28,7 +28,8 @@ from pyspark.sql.functions import udtf
 from . import landed
 
 SPLIT_BYTES = 64 << 20
-BATCH_ROWS, BATCH_CHARS = 1000, 8 << 20
+#: Splits of a folder, about: those of a larger folder are larger than ``splitbytes``, as what a task holds doesn't follow its split.
+MOST_SPLITS = 1000
 
 
 @dataclass(frozen=True)
@@ -121,14 +122,14 @@ class LandedReader(DataSourceReader):
         system, root = _open(self.path, self.default_fs)
         files = sorted((f.path, f.size) for f in system.get_file_info(fs.FileSelector(root, recursive=True)) if f.is_file and f.size and not any(p[0] in "._" for p in f.path[len(root) :].split("/") if p))
         out: list[Splits] = []
-        room = 0
+        room, split_bytes = 0, max(self.split_bytes, sum(size for _, size in files) // MOST_SPLITS)
         for path, size in files:
-            step = self.split_bytes if self.kind.lines else size
+            step = split_bytes if self.kind.lines else size
             for start in range(0, size, step):
                 end = min(start + step, size)
                 if end - start > room:
                     out.append(Splits([]))
-                    room = self.split_bytes
+                    room = split_bytes
                 out[-1].splits.append((path, start, end))
                 room -= end - start
         return out or [Splits([])]
@@ -152,20 +153,9 @@ class LandedReader(DataSourceReader):
                 yield from found
 
     def read(self, partition: Splits) -> Iterator[pa.RecordBatch]:
-        kinds = {"string": pa.string(), "int": pa.int32()}
-        columns = [c.strip().split(" ") for c in self.kind.columns.split(",")]
-        schema = pa.schema([(n, kinds[t]) for n, t in columns] + [("landed", pa.string()), ("error", pa.string())])
         system, _ = _open(self.path, self.default_fs)
-        rows, chars = [], 0
-        for path, start, end in partition.splits:
-            for row in self._rows(system, path, start, end):
-                rows.append(row | {"landed": path})
-                chars += sum(len(v) for v in row.values() if isinstance(v, str))
-                if len(rows) >= BATCH_ROWS or chars >= BATCH_CHARS:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-                    rows, chars = [], 0
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema)
+        rows = (row | {"landed": path} for path, start, end in partition.splits for row in self._rows(system, path, start, end))
+        yield from landed.batches_of(rows, landed.arrow_schema(f"{self.kind.columns}, landed string, error string"))
 
 
 def source_class(kind: Format, default_fs: str) -> type[DataSource]:
