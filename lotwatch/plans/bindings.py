@@ -26,19 +26,20 @@ LINES_SQL = """lines AS (
 numbered AS (SELECT *, concat_ws('-', line_text, row_number() OVER (PARTITION BY line_text)) AS line_id FROM lines)"""
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lines(spark: SparkSession, sf_dir: str, deal: str = "order_text") -> DataFrame:
     """Order lines with ids.
 
-    They are dealt by the text of their order, which is the address of an observation: what groups by address
-    next needs no other shuffle. Equal lines have one date and state, so a filter on these goes below the numbering.
+    They are dealt by the text of their order, which is the address of an observation, or by another column that equal
+    lines share: what groups by address, or joins on that column, next needs no other shuffle. Equal lines have one date
+    and state, so a filter on these goes below the numbering.
     """
     cents = lambda c: F.round(F.col(c) * 100).cast("long").cast("string")
     text = F.concat_ws(
         "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd"), F.col("l_quantity").cast("long").cast("string"),
         cents("l_extendedprice"), cents("l_discount"), cents("l_tax"), "l_returnflag", "l_linestatus",
     )
-    rows = t(spark, sf_dir, "lineitem").withColumns({"shipped": F.to_date("l_shipdate"), "order_text": F.col("l_orderkey").cast("string")}).repartition("order_text")
-    number = F.expr("row_number() over (partition by order_text, line_text, shipped, l_linestatus order by l_orderkey)")
+    rows = t(spark, sf_dir, "lineitem").withColumns({"shipped": F.to_date("l_shipdate"), "order_text": F.col("l_orderkey").cast("string")}).repartition(deal)
+    number = F.expr(f"row_number() over (partition by {deal}, line_text, shipped, l_linestatus order by l_orderkey)")
     return rows.withColumn("line_text", text).withColumn("line_id", F.concat_ws("-", "line_text", number.cast("string")))
 
 
@@ -55,16 +56,16 @@ makers AS (SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS canonical_name FRO
 )
 
 
-def recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall documents of the schema that the rules take."""
+def recalls(spark: SparkSession, sf_dir: str, ingredient: str = "p_name") -> DataFrame:
+    """Recall documents of the schema that the rules take. Lines are dealt by their part, so they meet the parts where they lie."""
     joined = (
-        lines(spark, sf_dir)
+        lines(spark, sf_dir, "l_partkey")
         .join(t(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
         .join(t(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
         .join(t(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
     )
     return joined.select(
-        F.col("line_id").alias("id"), F.array(F.col("l_suppkey").cast("string")).alias("canonical_manufacturer_ids"), F.array("p_name").alias("active_ingredients"),
+        F.col("line_id").alias("id"), F.array(F.col("l_suppkey").cast("string")).alias("canonical_manufacturer_ids"), F.array(F.expr(ingredient)).alias("active_ingredients"),
         F.col("n_name").alias("jurisdiction"), F.col("shipped").alias("date_published"),
         F.when(F.col("l_returnflag") == "R", "class_1").when(F.col("l_returnflag") == "A", "class_2").otherwise("class_3").alias("severity"),
         F.when(F.col("l_linestatus") == "O", "recall").otherwise("guideline").alias("document_type"), F.col("l_linenumber").cast("string").alias("source_id"),
@@ -76,9 +77,7 @@ BRAND_RECALLS_SQL = RECALLS_SQL.replace("p_name AS ingredient", "lower(p_brand)
 
 
 def brand_recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = t(spark, sf_dir, "part").select(F.lower("p_brand").alias("brand"), "p_partkey")
-    part = F.split("id", "-")[2].cast("long")
-    return recalls(spark, sf_dir).withColumn("part", part).join(names, F.col("part") == F.col("p_partkey")).withColumn("active_ingredients", F.array("brand")).drop("part", "p_partkey", "brand")
+    return recalls(spark, sf_dir, "lower(p_brand)")
 
 
 def makers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,10 +107,9 @@ counties AS (SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, CAST((SE
 
 
 def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = (
-        t(spark, sf_dir, "lineitem").join(t(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
-        .join(t(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(t(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
-    )
+    # Orders meet their customers first: the lines, which are many more, are dealt by order and by part only.
+    placed = t(spark, sf_dir, "orders").join(t(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey")).select("o_orderkey", "c_nationkey")
+    joined = t(spark, sf_dir, "lineitem").join(placed, F.col("o_orderkey") == F.col("l_orderkey")).join(t(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
     sums = joined.groupBy(F.col("c_nationkey").alias("county"), F.col("p_brand").alias("ingredient"), F.col("l_suppkey").alias("supplier")).agg(F.sum(F.col("l_quantity").cast("long")).alias("quantity"), F.max(F.col("l_linenumber") * 10).alias("lead"))
     share = F.floor(F.lit(10000.0) * F.col("quantity") / F.expr("sum(quantity) over (partition by county, ingredient)")) / 100
     return sums.select(

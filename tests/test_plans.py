@@ -115,3 +115,16 @@ def test_kept_index_joins_new_names_only(spark, tmp_path):
     rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
     none = m.overrides_table(spark, {})
     assert rows(m.resolve_names(raw, dim, none, pairs=functools.partial(nameindex.kept_pairs, root=root))) == rows(m.resolve_names(raw, dim, none))
+
+
+def test_lines_are_dealt_once_for_recalls_and_their_parts(spark, sf_dir):
+    """Without broadcasts: lines and parts meet where the lines were numbered, and a brand comes with the part."""
+    from lotwatch.plans import bindings
+
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = bindings.brand_recalls(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert plan.count("Exchange hashpartitioning") == 6  # lines, parts; suppliers and nations, each with what they meet
