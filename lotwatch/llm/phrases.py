@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Bytes of text of a pack (a longer text makes packs of its own, cut at piece ends).
-PACK_BYTES = 1 << 22
+PACK_BYTES = 1 << 21
 #: Entries that a task holds before it writes filters, or merges what it has; n-grams of a block, at most as many on average.
-ENTRIES = 1 << 20
+ENTRIES = 1 << 19
 ROUNDS = 4
 PIECE_ENDS, SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
 
