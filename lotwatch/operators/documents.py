@@ -96,6 +96,17 @@ def version_chain(observed: DataFrame, order: str = "seq") -> DataFrame:
     return lagged.where("not (normalized_hash <=> previous_hash) and coalesce(previous_hash, '') != ''")
 
 
+def packed(text: Column) -> Column:
+    """Text as short bytes for shuffles: hex digits take half their length, and a first byte tells them from other text."""
+    digits = text.rlike(r"^[0-9a-f]+\z") & (F.length(text) % 2 == 0)
+    return F.when(digits, F.concat(F.unhex(F.lit("01")), F.unhex(text))).otherwise(F.concat(F.unhex(F.lit("00")), text.cast("binary")))
+
+
+def unpacked(column: str) -> Column:
+    """The text that :func:`packed` was given."""
+    return F.expr(f"case when substring({column}, 1, 1) = X'01' then lower(hex(substring({column}, 2))) else cast(substring({column}, 2) as string) end")
+
+
 def upsert(
     docs: DataFrame, incoming: DataFrame, check_for_updates: bool = True, now: datetime | None = None, known: DataFrame | None = None, hold: Callable[[DataFrame], DataFrame] | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -108,35 +119,42 @@ def upsert(
     changes nothing. A null source_hash is unknown bytes, equal to none. Within a batch the observations of an address follow each other by seq, and
     bytes belong to the first address that brought them; a document keeps the id that it was inserted with. ``known`` holds the stored bytes (source_hash)
     where ``docs`` is only the part of the table with the batch's addresses. ``hold`` (such as :func:`storage.written`) is given the
-    outcomes, from which all results follow: a caller that reads several of them lets it write the outcomes once.
+    outcomes, from which all results follow: a caller that reads several of them lets it write the outcomes once. It may leave
+    out columns of docs that the caller doesn't read; they are null in new documents.
     """
     url, held = ", ".join(URL), [c for c in ARCHIVED if c in docs.columns]
+    hashes = {c: packed(F.col(c)) for c in ("normalized_hash", "source_hash") if c in incoming.columns}
     failed = F.col("error").isNotNull() if "error" in incoming.columns else F.lit(False)
-    stored = docs.select(*URL, F.col("id").alias("stored_id"), F.struct("normalized_hash", *held).alias("stored"))
-    seen = incoming.withColumn("failed", failed)
-    # Who brings bytes first that nobody has: short rows, texts aren't shuffled for it. Unknown bytes are like no others.
-    brought = seen.where("not failed").select(*URL, "source_hash", F.struct("seq", *URL, "id").alias("by"))
-    firsts = brought.where("source_hash is not null").groupBy("source_hash").agg(F.min("by").alias("by"))
-    firsts = firsts.join((docs if known is None else known).where("source_hash is not null").select("source_hash").distinct(), "source_hash", "left_anti")
+    stored = docs.select(*URL, F.col("id").alias("stored_id"), F.struct(hashes["normalized_hash"].alias("normalized_hash"), *held).alias("stored"))
+    seen = incoming.withColumn("failed", failed).withColumns(hashes)
+    # Who brings bytes first that nobody has: short rows, neither texts nor ids are shuffled for it. Unknown bytes are like no others.
+    brought = seen.where("not failed").select(*URL, "source_hash", "seq")
+    firsts = brought.where("source_hash is not null").groupBy("source_hash").agg(F.min(F.struct("seq", *URL)).alias("by"))
+    firsts = firsts.join((docs if known is None else known).where("source_hash is not null").select(hashes["source_hash"].alias("source_hash")).distinct(), "source_hash", "left_anti")
     # A new address opens at its first observation whose bytes nobody has; what comes before is skipped.
-    openings = firsts.select("by.*").unionByName(brought.where("source_hash is null").select("by.*")).groupBy(*URL).agg(F.min(F.struct("seq", "id")).alias("opening"))
+    openings = firsts.select("by.*").unionByName(brought.where("source_hash is null").select("seq", *URL)).groupBy(*URL).agg(F.min("seq").alias("opening"))
     seen = seen.join(stored, list(URL), "left").join(openings, list(URL), "left")
-    seen = seen.withColumn("opened_by", F.when(F.col("stored_id").isNull(), F.col("opening"))).withColumn("opened", F.col("opened_by.seq"))
+    seen = seen.withColumn("opened", F.when(F.col("stored_id").isNull(), F.col("opening")))
+    opened_id = F.expr(f"min(case when seq = opened and not failed then id end) over (partition by {url})")
     live = F.coalesce(F.col("stored_id").isNotNull() | (F.col("seq") > F.col("opened")), F.lit(False))
     before = F.expr(f"lag(struct({', '.join(['normalized_hash', *held])})) over (partition by {url}, failed order by seq)")
-    seen = seen.withColumn("before", F.when(F.col("seq") > F.coalesce("opened", F.lit(-1)), before)).withColumn("before", F.coalesce("before", "stored"))
+    seen = seen.withColumns({"kept_id": F.coalesce("stored_id", opened_id), "before": F.when(F.col("seq") > F.coalesce("opened", F.lit(-1)), before)}).withColumn("before", F.coalesce("before", "stored"))
     action = (
         F.when(live & F.lit(not check_for_updates), "skip_known").when(F.col("failed"), "error")
         .when(live, F.when(F.col("normalized_hash").eqNullSafe(F.col("before.normalized_hash")), "skip_unchanged").otherwise("update"))
         .when(F.col("seq") == F.col("opened"), "insert").otherwise("skip_same_bytes")
     )
-    log = seen.withColumn("action", action).withColumn("before", F.when(F.col("action") == "update", F.col("before"))).drop("stored", "failed", "opening", "opened")
+    log = seen.withColumn("action", action).withColumn("stands", F.col("action").isin("insert", "update"))
+    # What stands at the end is marked while the address's rows are together: nothing is shuffled for it again.
+    log = log.withColumn("stands", F.col("stands") & (F.expr(f"row_number() over (partition by {url}, stands order by seq desc)") == 1))
+    old = F.struct(unpacked("before.normalized_hash").alias("normalized_hash"), *[F.col(f"before.{c}").alias(c) for c in held])
+    log = log.withColumn("before", F.when(F.col("action") == "update", old)).withColumns({c: unpacked(c) for c in hashes}).drop("stored", "stored_id", "failed", "opening", "opened")
     log = hold(log) if hold else log
-    last = log.where("action in ('insert', 'update')").withColumn("_rank", F.expr(f"row_number() over (partition by {url} order by seq desc)")).where("_rank = 1")
-    new = last.withColumn("id", F.coalesce("stored_id", "opened_by.id")).select(*docs.columns)
+    of = {c: "kept_id" if c == "id" else c for c in docs.columns}
+    new = log.where("stands").select(*[F.col(of[c]).alias(c) for c in docs.columns if of[c] in log.columns])
     kept = docs.join(new.select(*URL), list(URL), "left_anti")
     versions = log.where("action = 'update' and coalesce(before.normalized_hash, '') != ''").select(*URL, "before.*", "seq", F.lit(now).cast("timestamp").alias("superseded_at"))
-    return kept.unionByName(new), versions, log, ingest_counts(log)
+    return kept.unionByName(new, allowMissingColumns=True), versions, log, ingest_counts(log)
 
 
 def ingest_counts(log: DataFrame) -> DataFrame:

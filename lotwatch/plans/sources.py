@@ -132,8 +132,10 @@ def landed_documents(spark, sf):
     failed = parsed.where("error is not null")
     every = [docs.to_document(df).withColumn("seq", F.lit(n).cast("long")) for n, df in enumerate((valid, again, moved, failed), 1)]
     incoming = every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3])
-    incoming = written(incoming.withColumn("id", F.sha2(F.concat_ws("|", "source_id", "source_url").cast("binary"), 256)), "incoming")
-    table, versions, log, _ = docs.upsert(incoming.drop("seq", "error").limit(0), incoming)
+    incoming = incoming.withColumn("id", F.sha2(F.concat_ws("|", "source_id", "source_url").cast("binary"), 256))
+    # The outcomes are written once, with what is read of them below; nothing else of the documents is shuffled.
+    hold = lambda log: written(log.select("source_id", "source_url", "seq", "action", "stands", "before", "title", "date_published", "active_ingredients_normalized"), "outcomes")
+    table, versions, log, _ = docs.upsert(incoming.drop("seq", "error").limit(0), incoming, hold=hold)
     state = table.select(F.lit("state").alias("kind"), "source_id", "source_url", "title", "date_published", F.get("active_ingredients_normalized", F.lit(0)).alias("note"))
     old = versions.select(F.lit("version").alias("kind"), "source_id", "source_url", F.coalesce(F.try_variant_get("raw_metadata", "$.batch_numbers[0]", "string"), F.try_variant_get("raw_metadata", "$.recall_number", "string")).alias("note"))
     acts = log.select(F.lit("log").alias("kind"), "source_id", "source_url", F.col("action").alias("note"))
