@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..storage import written
 from .rules import top_ingredient
 
 
@@ -84,32 +86,58 @@ def dictionary_ingredients(docs: DataFrame, dictionary: list[str], text_col: str
     return docs.withColumn("found_ingredients", found)
 
 
-#: A dictionary of at most so many entries is broadcast (counted first); a larger one meets the texts in a shuffle of their phrases.
+#: Entries of one length are broadcast if they are at most so many (counted first); more of them meet the texts in a shuffle of the phrases that may be entries.
 BROADCAST_ENTRIES = 200_000
 WORD = "[a-z0-9]+"
+#: Rows of 64 bits in which entries are marked by hash: as many at most are broadcast, however long the dictionary is.
+MARKS = 1 << 19
 
 
 def _small(table: DataFrame, rows: int = BROADCAST_ENTRIES) -> DataFrame:
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
+def _phrases(docs: DataFrame, key: str, text_col: str, lengths: list[int]) -> DataFrame:
+    """(key, _phrase, n): the phrases of so many words in each text and how often; they are sorted and counted in the row, so nothing is shuffled."""
+    words = docs.where(F.col(key).isNotNull() & F.col(text_col).isNotNull()).select(key, F.regexp_extract_all(F.lower(text_col), F.lit(WORD), F.lit(0)).alias("_words"))
+    phrase = lambda n: F.when(F.size("_words") >= n, F.transform(F.sequence(F.lit(1), F.size("_words") - n + 1), lambda i: F.array_join(F.slice("_words", i, n), " "))).otherwise(F.array().cast("array<string>"))
+    said = words.select(key, F.sort_array(F.concat(*[F.col("_words") if n == 1 else phrase(n) for n in lengths])).alias("_said"))
+    first = said.select(key, "_said", F.expr("filter(sequence(0, size(_said) - 1), i -> i = 0 or get(_said, i) <> get(_said, i - 1))").alias("_first"))
+    # Outer, as a filter on what is unfolded would sort a text's phrases once for each; a text without a phrase gives a null, which meets no entry.
+    return first.select(key, F.expr("inline_outer(transform(_first, (at, i) -> struct(get(_said, at) as _phrase, coalesce(get(_first, i + 1), size(_said)) - at as n)))"))
+
+
+def _marked(phrases: DataFrame, entries: DataFrame) -> DataFrame:
+    """``phrases`` without most of those that no entry has: a phrase stays if the bit of its hash is set. None that an entry has is lost."""
+    marks = lambda df: df.withColumn("_hash", F.xxhash64("_phrase")).withColumn("_row", F.pmod(F.shiftright("_hash", 6), F.lit(MARKS)))
+    bits = marks(entries).groupBy("_row").agg(F.bit_or(F.expr("shiftleft(1L, cast(_hash & 63 as int))")).alias("_bits"))
+    kept = marks(phrases).join(F.broadcast(bits), "_row").where("getbit(_bits, cast(_hash & 63 as int)) = 1")
+    return kept.select(*phrases.columns)
+
+
 def dictionary_matches(docs: DataFrame, dictionary: DataFrame, key: str = "id", text_col: str = "raw_text", broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
     """(key, entry, n): the entries of a table ``dictionary`` (entry) whose words follow each other in a text, and how often.
 
     Words are runs of a-z and 0-9 in the lower-cased text, whatever lies between them. Entries without a
-    word, null texts and rows with a null key match nothing; entries of the same words are all found. Each text is split once
-    into phrases of the lengths that entries have, counted within the text, and joined by equality.
+    word, null texts and rows with a null key match nothing; entries of the same words are all found. Each text is split
+    into phrases of the lengths that entries have, counted within the text, and joined by equality. The dictionary is written once.
     """
     entries = dictionary.select("entry").where("entry is not null").distinct().withColumn("_words", F.regexp_extract_all(F.lower("entry"), F.lit(WORD), F.lit(0))).where("size(_words) > 0")
-    entries = entries.select("entry", F.array_join("_words", " ").alias("_phrase"), F.size("_words").alias("_length"))
-    lengths = sorted(r[0] for r in entries.select("_length").distinct().collect())  # as many numbers as entries have lengths
-    if not lengths:
+    entries = written(entries.select("entry", F.array_join("_words", " ").alias("_phrase"), F.size("_words").alias("_length")), "dictionary")
+    counts = {r["_length"]: r["count"] for r in entries.groupBy("_length").count().collect()}  # as many numbers as entries have lengths
+    if not counts:
         return docs.select(key, F.lit(None).cast("string").alias("entry"), F.lit(0).cast("long").alias("n")).limit(0)
-    words = docs.where(F.col(key).isNotNull() & F.col(text_col).isNotNull()).select(key, F.regexp_extract_all(F.lower(text_col), F.lit(WORD), F.lit(0)).alias("_words"))
-    phrase = lambda n: F.when(F.size("_words") >= n, F.transform(F.sequence(F.lit(1), F.size("_words") - n + 1), lambda i: F.array_join(F.slice("_words", i, n), " "))).otherwise(F.array().cast("array<string>"))
-    said = words.select(key, F.explode(F.concat(*[phrase(n) for n in lengths])).alias("_phrase"))
-    hits = said.join(_small(entries.select("entry", "_phrase"), broadcast_entries), "_phrase")
-    return hits.groupBy(key, "entry").agg(F.count("*").alias("n"))
+    few = sorted(n for n in counts if counts[n] <= broadcast_entries)
+    many = sorted(n for n in counts if counts[n] > broadcast_entries)
+    of = lambda lengths: entries.where(F.col("_length").isin(lengths)).select("entry", "_phrase")
+    hits = []
+    if few:
+        hits.append(_phrases(docs, key, text_col, few).join(F.broadcast(of(few)), "_phrase"))
+    if many:
+        hits.append(_marked(_phrases(docs, key, text_col, many), of(many)).join(of(many), "_phrase"))
+    # A text's hits are counted and whatever is made of them next is grouped where they lie.
+    found = reduce(DataFrame.unionByName, hits).select(key, "entry", "n").repartition(key)
+    return found.groupBy(key, "entry").agg(F.sum("n").alias("n"))
 
 
 def normalized_by_table(docs: DataFrame, dictionary: DataFrame, key: str = "id", column: str = "active_ingredients_raw") -> DataFrame:
