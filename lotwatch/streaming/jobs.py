@@ -66,18 +66,19 @@ class ChainTracker(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "at long, hash string")
-        self.waiting = handle.getListState("waiting", "at long, seq long, hash string")
+        # A batch's observations of an address are one value of three lists: the state is asked once for them, not for each.
+        self.waiting = handle.getListState("waiting", "at array<long>, seq array<long>, hash array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        seen = [(int(at), int(seq), now) for frame in rows for at, seq, now in zip(frame["at"], frame["seq"], frame["normalized_hash"])]
+        seen = [row for frame in rows for row in zip(frame["at"].tolist(), frame["seq"].tolist(), frame["normalized_hash"].tolist())]
         if seen:
-            self.waiting.appendList(seen)
+            self._wait(seen)
             self._wake(min(at for at, _, _ in seen))
-        yield pd.DataFrame(columns=["source_url", "seq", "previous_hash", "normalized_hash"])
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(tuple(r) for r in self.waiting.get())
+        waiting = sorted(row for held in self.waiting.get() for row in zip(*held))
         last_at, last = self.last.get() if self.last.exists() else (None, None)
         out = []
         for at, seq, now in (r for r in waiting if r[0] <= passed):
@@ -88,7 +89,7 @@ class ChainTracker(StatefulProcessor):
         if len(later) < len(waiting):
             self.waiting.clear()
             if later:
-                self.waiting.appendList(later)
+                self._wait(later)
         if last_at is not None and last_at + self.keep <= passed:
             self.last.clear()
         elif len(later) < len(waiting):
@@ -96,7 +97,11 @@ class ChainTracker(StatefulProcessor):
             self._wake(last_at + self.keep)
         if later:
             self._wake(later[0][0])
-        yield pd.DataFrame(out, columns=["source_url", "seq", "previous_hash", "normalized_hash"])
+        if out:
+            yield pd.DataFrame(out, columns=["source_url", "seq", "previous_hash", "normalized_hash"])
+
+    def _wait(self, seen: list[tuple[int, int, str]]) -> None:
+        self.waiting.appendValue(tuple(list(c) for c in zip(*seen)))
 
     def _wake(self, micros: int) -> None:
         self.handle.registerTimer(-(-micros // 1000))
