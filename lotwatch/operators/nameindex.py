@@ -18,13 +18,14 @@ replaced; what a failed attempt left is overwritten by the next. One writer at a
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.sinks import _path, replace_file
 from ..storage import release, written
-from .manufacturers import THRESHOLD, _grams, _words, comparable, dealt, grams_can_meet, marked, rare_grams, rare_words, scored_pairs
+from .manufacturers import THRESHOLD, _grams, _words, comparable, dealt, grams_can_meet, long_sides, marked, rare_grams, rare_words, scored_pairs, variant_pairs
 
 TABLES = {"keys": "side string, key string", "order": "kind string, block string, n long", "postings": "kind string, block string, key string, rare boolean, side string", "pairs": "a string, b string, score double"}
 
@@ -48,16 +49,18 @@ def read_pairs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _met(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs of two sets of postings: a rarest word of one is a word of the other, or they share a rarest character pair."""
+    """Candidate pairs of two sets of postings: a rarest word of one is a word of the other, or short keys share a variant, longer ones a rarest character pair."""
     left, right = a.select(F.col("key").alias("a"), "block", "kind", "rare"), b.select(F.col("key").alias("b"), "block", "kind", F.col("rare").alias("b_rare"))
     of = lambda df, kind: df.where(F.col("kind") == kind)
     x, y = comparable(of(left, "c").select("a").distinct(), of(right, "c").select("b").distinct(), threshold)
-    x, y = marked(x, "a").join(of(left, "c").hint("merge"), "a"), marked(y, "b").join(of(right, "c").hint("merge"), "b")
+    x, y = written(marked(x, "a", threshold), "index-marked"), written(marked(y, "b", threshold), "index-marked")
     found = [
         of(left, "w").where("rare").join(of(right, "w").hint("merge"), "block"), of(left, "w").join(of(right, "w").where("b_rare").hint("merge"), "block"),
-        dealt(x, y).where(grams_can_meet(threshold)),
+        variant_pairs(x, y, threshold),
     ]
-    return found[0].select("a", "b").union(found[1].select("a", "b")).union(found[2].select("a", "b"))
+    for p, q in long_sides(x, y):
+        found.append(dealt(p.join(of(left, "c").hint("merge"), "a"), q.join(of(right, "c").hint("merge"), "b")).where(grams_can_meet(threshold)))
+    return reduce(DataFrame.union, [f.select("a", "b") for f in found])
 
 
 def extend(left: DataFrame, right: DataFrame, root: str, threshold: float = THRESHOLD) -> int:
