@@ -117,44 +117,52 @@ def upsert(
     and metadata it replaces, superseded at ``now``. A new address whose bytes are stored is
     ``skip_same_bytes``, else ``insert``. An observation that couldn't be parsed is an ``error`` and
     changes nothing. A null source_hash is unknown bytes, equal to none. Within a batch the observations of an address follow each other by seq, and
-    bytes belong to the first address that brought them; a document keeps the id that it was inserted with. ``known`` holds the stored bytes (source_hash)
-    where ``docs`` is only the part of the table with the batch's addresses. ``hold`` (such as :func:`storage.written`) is given the
-    outcomes, from which all results follow: a caller that reads several of them lets it write the outcomes once. It may leave
-    out columns of docs that the caller doesn't read; they are null in new documents.
+    bytes belong to the first address that brought them; a document keeps the id that it was inserted with. ``known`` holds the stored bytes (source_hash,
+    and ``n`` where a row stands for more or less than one document that has them) where ``docs`` is only the part of the table with the batch's addresses.
+    ``hold`` (such as :func:`storage.written`) is given the outcomes with the rows of docs (which have no action, and stand unless they
+    are replaced), from which all results follow: a caller that reads several of them lets it write these once. It may leave
+    out columns of docs that the caller doesn't read; they are null in the documents.
     """
     url, held = ", ".join(URL), [c for c in ARCHIVED if c in docs.columns]
     hashes = {c: packed(F.col(c)) for c in ("normalized_hash", "source_hash") if c in incoming.columns}
     failed = F.col("error").isNotNull() if "error" in incoming.columns else F.lit(False)
-    stored = docs.select(*URL, F.col("id").alias("stored_id"), F.struct(hashes["normalized_hash"].alias("normalized_hash"), *held).alias("stored"))
     seen = incoming.withColumn("failed", failed).withColumns(hashes)
     # Who brings bytes first that nobody has: short rows, neither texts nor ids are shuffled for it. Unknown bytes are like no others.
-    brought = seen.where("not failed").select(*URL, "source_hash", "seq")
-    firsts = brought.where("source_hash is not null").groupBy("source_hash").agg(F.min(F.struct("seq", *URL)).alias("by"))
-    firsts = firsts.join((docs if known is None else known).where("source_hash is not null").select(hashes["source_hash"].alias("source_hash")).distinct(), "source_hash", "left_anti")
+    brought = seen.where("not failed and source_hash is not null").select("source_hash", F.struct("seq", *URL).alias("by"), F.lit(0).alias("n"))
+    had = docs.select("source_hash", F.lit(1).alias("n")) if known is None else known.select("source_hash", F.col("n") if "n" in known.columns else F.lit(1).alias("n"))
+    had = had.where("source_hash is not null").withColumn("source_hash", hashes["source_hash"])
+    firsts = brought.unionByName(had, allowMissingColumns=True).groupBy("source_hash").agg(F.min("by").alias("by"), F.sum("n").alias("n")).where("n <= 0 and by is not null")
+    # Documents, observations and openings of an address meet in one deal by its text: windows say the rest, and nothing is joined.
+    every = docs.withColumns({c: hashes[c] for c in hashes if c in docs.columns}).withColumns({"failed": F.lit(False), "_part": F.lit(0)}).repartition("source_url")
+    every = every.unionByName(seen.withColumn("_part", F.lit(1)).repartition("source_url"), allowMissingColumns=True)
+    every = every.unionByName(firsts.select("by.*", F.lit(2).alias("_part")).repartition("source_url"), allowMissingColumns=True)
+    of_url = lambda value: F.expr(f"{value} over (partition by {url})")
+    texts = f"struct({', '.join(['normalized_hash', *held])})"
     # A new address opens at its first observation whose bytes nobody has; what comes before is skipped.
-    openings = firsts.select("by.*").unionByName(brought.where("source_hash is null").select("seq", *URL)).groupBy(*URL).agg(F.min("seq").alias("opening"))
-    seen = seen.join(stored, list(URL), "left").join(openings, list(URL), "left")
-    seen = seen.withColumn("opened", F.when(F.col("stored_id").isNull(), F.col("opening")))
-    opened_id = F.expr(f"min(case when seq = opened and not failed then id end) over (partition by {url})")
+    opening = "min(case when _part = 2 or _part = 1 and not failed and source_hash is null then seq end)"
+    every = every.withColumns({"stored_id": of_url("max(case when _part = 0 then id end)"), "stored": of_url(f"first(case when _part = 0 then {texts} end, true)"), "opened": of_url(opening)})
+    every = every.withColumn("opened", F.when(F.col("stored_id").isNull(), F.col("opened")))
+    opened_id = of_url("min(case when _part = 1 and seq = opened and not failed then id end)")
     live = F.coalesce(F.col("stored_id").isNotNull() | (F.col("seq") > F.col("opened")), F.lit(False))
-    before = F.expr(f"lag(struct({', '.join(['normalized_hash', *held])})) over (partition by {url}, failed order by seq)")
-    seen = seen.withColumns({"kept_id": F.coalesce("stored_id", opened_id), "before": F.when(F.col("seq") > F.coalesce("opened", F.lit(-1)), before)}).withColumn("before", F.coalesce("before", "stored"))
+    before = F.expr(f"lag({texts}) over (partition by {url}, _part, failed order by seq)")
+    every = every.withColumns({"kept_id": F.coalesce("stored_id", opened_id), "before": F.when(F.col("seq") > F.coalesce("opened", F.lit(-1)), before)}).withColumn("before", F.coalesce("before", "stored"))
     action = (
-        F.when(live & F.lit(not check_for_updates), "skip_known").when(F.col("failed"), "error")
+        F.when(F.col("_part") != 1, None).when(live & F.lit(not check_for_updates), "skip_known").when(F.col("failed"), "error")
         .when(live, F.when(F.col("normalized_hash").eqNullSafe(F.col("before.normalized_hash")), "skip_unchanged").otherwise("update"))
         .when(F.col("seq") == F.col("opened"), "insert").otherwise("skip_same_bytes")
     )
-    log = seen.withColumn("action", action).withColumn("stands", F.col("action").isin("insert", "update"))
+    every = every.withColumn("action", action).withColumn("stands", F.coalesce(F.col("action").isin("insert", "update"), F.lit(False)))
     # What stands at the end is marked while the address's rows are together: nothing is shuffled for it again.
-    log = log.withColumn("stands", F.col("stands") & (F.expr(f"row_number() over (partition by {url}, stands order by seq desc)") == 1))
+    last = F.expr(f"row_number() over (partition by {url}, stands order by seq desc)") == 1
+    every = every.withColumn("stands", F.when(F.col("_part") == 0, ~of_url("max(stands)")).otherwise(F.col("stands") & last)).where("_part < 2")
     old = F.struct(unpacked("before.normalized_hash").alias("normalized_hash"), *[F.col(f"before.{c}").alias(c) for c in held])
-    log = log.withColumn("before", F.when(F.col("action") == "update", old)).withColumns({c: unpacked(c) for c in hashes}).drop("stored", "stored_id", "failed", "opening", "opened")
-    log = hold(log) if hold else log
+    every = every.withColumn("before", F.when(F.col("action") == "update", old)).withColumns({c: unpacked(c) for c in hashes}).drop("stored", "stored_id", "failed", "opened", "_part")
+    every = hold(every) if hold else every
     of = {c: "kept_id" if c == "id" else c for c in docs.columns}
-    new = log.where("stands").select(*[F.col(of[c]).alias(c) for c in docs.columns if of[c] in log.columns])
-    kept = docs.join(new.select(*URL), list(URL), "left_anti")
+    state = every.where("stands").select(*[(F.col(of[c]) if of[c] in every.columns else F.lit(None).cast(docs.schema[c].dataType)).alias(c) for c in docs.columns])
+    log = every.where("action is not null")
     versions = log.where("action = 'update' and coalesce(before.normalized_hash, '') != ''").select(*URL, "before.*", "seq", F.lit(now).cast("timestamp").alias("superseded_at"))
-    return kept.unionByName(new, allowMissingColumns=True), versions, log, ingest_counts(log)
+    return state, versions, log, ingest_counts(log)
 
 
 def ingest_counts(log: DataFrame) -> DataFrame:
