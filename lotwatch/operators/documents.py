@@ -134,18 +134,18 @@ def upsert(
     firsts = brought.unionByName(had, allowMissingColumns=True).groupBy("source_hash").agg(F.min("by").alias("by"), F.sum("n").alias("n")).where("n <= 0 and by is not null")
     # Documents, observations and openings of an address meet in one deal by its text: windows say the rest, and nothing is joined.
     every = docs.withColumns({c: hashes[c] for c in hashes if c in docs.columns}).withColumns({"failed": F.lit(False), "_part": F.lit(0)}).repartition("source_url")
-    every = every.unionByName(seen.withColumn("_part", F.lit(1)).repartition("source_url"), allowMissingColumns=True)
+    every = every.unionByName(seen.withColumns({"_part": F.lit(1), "_bare": ~F.col("failed") & F.col("source_hash").isNull()}).repartition("source_url"), allowMissingColumns=True)
     every = every.unionByName(firsts.select("by.*", F.lit(2).alias("_part")).repartition("source_url"), allowMissingColumns=True)
     of_url = lambda value: F.expr(f"{value} over (partition by {url})")
     texts = f"struct({', '.join(['normalized_hash', *held])})"
     # A new address opens at its first observation whose bytes nobody has; what comes before is skipped.
-    opening = "min(case when _part = 2 or _part = 1 and not failed and source_hash is null then seq end)"
-    every = every.withColumns({"stored_id": of_url("max(case when _part = 0 then id end)"), "stored": of_url(f"first(case when _part = 0 then {texts} end, true)"), "opened": of_url(opening)})
-    every = every.withColumn("opened", F.when(F.col("stored_id").isNull(), F.col("opened")))
-    opened_id = of_url("min(case when _part = 1 and seq = opened and not failed then id end)")
-    live = F.coalesce(F.col("stored_id").isNotNull() | (F.col("seq") > F.col("opened")), F.lit(False))
+    opening = "min(case when _part = 2 or _bare then seq end)"
+    every = every.withColumns({"known": of_url("max(_part = 0)"), "stored": of_url(f"first(case when _part = 0 then {texts} end, true)"), "opened": of_url(opening)})
+    every = every.withColumn("opened", F.when(~F.col("known"), F.col("opened")))
+    kept_id = F.coalesce(of_url("max(case when _part = 0 then id end)"), of_url("min(case when _part = 1 and seq = opened and not failed then id end)"))
+    live = F.coalesce(F.col("known") | (F.col("seq") > F.col("opened")), F.lit(False))
     before = F.expr(f"lag({texts}) over (partition by {url}, _part, failed order by seq)")
-    every = every.withColumns({"kept_id": F.coalesce("stored_id", opened_id), "before": F.when(F.col("seq") > F.coalesce("opened", F.lit(-1)), before)}).withColumn("before", F.coalesce("before", "stored"))
+    every = every.withColumns({"kept_id": kept_id, "before": F.when(F.col("seq") > F.coalesce("opened", F.lit(-1)), before)}).withColumn("before", F.coalesce("before", "stored"))
     action = (
         F.when(F.col("_part") != 1, None).when(live & F.lit(not check_for_updates), "skip_known").when(F.col("failed"), "error")
         .when(live, F.when(F.col("normalized_hash").eqNullSafe(F.col("before.normalized_hash")), "skip_unchanged").otherwise("update"))
@@ -156,7 +156,7 @@ def upsert(
     last = F.expr(f"row_number() over (partition by {url}, stands order by seq desc)") == 1
     every = every.withColumn("stands", F.when(F.col("_part") == 0, ~of_url("max(stands)")).otherwise(F.col("stands") & last)).where("_part < 2")
     old = F.struct(unpacked("before.normalized_hash").alias("normalized_hash"), *[F.col(f"before.{c}").alias(c) for c in held])
-    every = every.withColumn("before", F.when(F.col("action") == "update", old)).withColumns({c: unpacked(c) for c in hashes}).drop("stored", "stored_id", "failed", "opened", "_part")
+    every = every.withColumn("before", F.when(F.col("action") == "update", old)).withColumns({c: unpacked(c) for c in hashes}).drop("stored", "known", "failed", "opened", "_part", "_bare")
     every = hold(every) if hold else every
     of = {c: "kept_id" if c == "id" else c for c in docs.columns}
     state = every.where("stands").select(*[(F.col(of[c]) if of[c] in every.columns else F.lit(None).cast(docs.schema[c].dataType)).alias(c) for c in docs.columns])

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import document_hash
 from ..operators import documents as docs
 from ..operators import manufacturers as m
 from ..operators import procurement, reports
@@ -125,12 +126,14 @@ def landed_documents(spark, sf):
     detail, errors = details(spark, sf)
     rows = landed.normalize_listing_rows(landed.extract_recall_rows(listing_pages(spark, sf)))
     seen = landed.observations(found).unionByName(landed.observations(rows)).unionByName(landed.observations(detail, errors, "detail"))
-    parsed = written(seen, "observations")
+    # Ingredients are normalized once; only what is changed below is hashed again.
+    parsed = written(docs.to_document(seen), "observations")
+    hashed = lambda df: df.withColumn("normalized_hash", document_hash(df.schema))
     valid, _ = docs.validate(parsed.where("error is null"))
     again = valid.withColumns({"title": F.when(F.length("title") % 3 == 0, F.concat("title", F.lit(" again"))).otherwise(F.col("title")), "source_hash": F.sha2(F.concat("source_hash", F.lit("again")).cast("binary"), 256)})
     moved = valid.withColumn("source_url", F.concat("source_url", F.lit("?moved")))
     failed = parsed.where("error is not null")
-    every = [docs.to_document(df).withColumn("seq", F.lit(n).cast("long")) for n, df in enumerate((valid, again, moved, failed), 1)]
+    every = [df.withColumn("seq", F.lit(n).cast("long")) for n, df in enumerate((valid, hashed(again), hashed(moved), failed), 1)]
     incoming = every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3])
     incoming = incoming.withColumn("id", F.sha2(F.concat_ws("|", "source_id", "source_url").cast("binary"), 256))
     # The outcomes are written once, with what is read of them below; nothing else of the documents is shuffled.
